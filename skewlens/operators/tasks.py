@@ -55,18 +55,13 @@ def explode_tasks(stages: DataFrame) -> DataFrame:
     return exploded.select(*STAGE_KEYS, *flat_task_columns("task"))
 
 
-def flatten_task_records(records: DataFrame, stage_name: str = "", stage_status: str = "",
-                         num_tasks: int | None = None) -> DataFrame:
+def flatten_task_records(records: DataFrame) -> DataFrame:
     """Task-list records (one task object per row, stage ids alongside) -> flat rows.
 
-    A bare task list carries no stage name, status or task count; literals fill them.
+    A bare task list names its stage attempt but carries no stage name, status or task
+    count, so the result has ``app_id, stageId, attemptId`` and the ten task columns.
     """
-    keys = [
-        F.col("app_id"), F.col("stageId"), F.col("attemptId"),
-        F.lit(stage_name).alias("stageName"), F.lit(stage_status).alias("stageStatus"),
-        F.lit(num_tasks).cast("int").alias("numTasks"),
-    ]
-    return records.select(*keys, *flat_task_columns(None))
+    return records.select("app_id", "stageId", "attemptId", *flat_task_columns(None))
 
 
 def status_rank(status: Column) -> Column:
@@ -102,3 +97,33 @@ __all__ = [
     "project_stage", "derive_shuffle_read", "flat_task_columns", "explode_tasks",
     "flatten_task_records", "status_rank", "latest_attempt", "dedup_tasks", "FLAT_TASK_COLUMNS",
 ]
+
+
+# Every decoded task field: (output name, path inside the task struct).
+TASK_FIELD_PATHS = [
+    ("taskId", "taskId"), ("attempt", "attempt"), ("launchTime", "launchTime"), ("duration", "duration"),
+    ("executorId", "executorId"), ("host", "host"), ("status", "status"),
+    ("executorRunTime", "taskMetrics.executorRunTime"), ("resultSize", "taskMetrics.resultSize"),
+    ("jvmGcTime", "taskMetrics.jvmGcTime"), ("peakExecutionMemory", "taskMetrics.peakExecutionMemory"),
+    ("bytesRead", "taskMetrics.inputMetrics.bytesRead"),
+    ("recordsRead", "taskMetrics.inputMetrics.recordsRead"),
+    ("bytesWritten", "taskMetrics.outputMetrics.bytesWritten"),
+    ("recordsWritten", "taskMetrics.outputMetrics.recordsWritten"),
+    ("shuffleRemoteBytesRead", "taskMetrics.shuffleReadMetrics.remoteBytesRead"),
+    ("shuffleLocalBytesRead", "taskMetrics.shuffleReadMetrics.localBytesRead"),
+    ("shuffleRecordsRead", "taskMetrics.shuffleReadMetrics.recordsRead"),
+    ("shuffleBytesWritten", "taskMetrics.shuffleWriteMetrics.bytesWritten"),
+    ("shuffleWriteTime", "taskMetrics.shuffleWriteMetrics.writeTime"),
+    ("shuffleRecordsWritten", "taskMetrics.shuffleWriteMetrics.recordsWritten"),
+]
+
+
+def task_fields(task: str = "task") -> list[Column]:
+    """All 21 decoded task fields, flattened out of three levels of nesting."""
+    return [F.col(f"{task}.{path}").alias(name) for name, path in TASK_FIELD_PATHS]
+
+
+def explode_task_fields(stages: DataFrame) -> DataFrame:
+    """Stage attempts -> one row per task with stage ids and all 21 task fields."""
+    return (stages.select("app_id", "stageId", "attemptId", F.explode(F.map_values("tasks")).alias("task"))
+                  .select("app_id", "stageId", "attemptId", *task_fields("task")))

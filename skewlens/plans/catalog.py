@@ -11,14 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.functions.format import metric_text, pretty_bytes, pretty_time
+from skewlens.functions.format import display_ratio, metric_text, pretty_bytes, pretty_time
 from skewlens.operators.jobs import attach_job_ids, stage_to_jobs, stages_with_jobs
-from skewlens.operators.skew import (FLAG_NAMES, metric_flags, metric_long, skew_ratio, skewed_stages,
-                                     stage_skew, with_significance)
-from skewlens.operators.stats import STAT_METRICS, STATS_COLUMNS, group_skew_stats, stage_stats
-from skewlens.operators.tasks import dedup_tasks, explode_tasks, project_stage, status_rank
-from skewlens.plans.analyze import analyze, stats_from_tasks
-from skewlens.sources.testdata import events_jobs, events_tasks
+from skewlens.operators.skew import (metric_flags, metric_long, skew_predicate, skew_ratio, skewed_stages,
+                                     with_significance)
+from skewlens.operators.stats import STATS_COLUMNS, group_skew_stats, stage_stats
+from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_task_fields, explode_tasks,
+                                      flatten_task_records, project_stage, status_rank)
+from skewlens.plans.analyze import analyze_tasks, stats_from_tasks
+from skewlens.schemas import STAGE_KEYS
+from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, required_stages
+from skewlens.sources.sinks import stats_json
+from skewlens.sources.testdata import events_jobs, events_tasks, write_payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +60,19 @@ def _job_ids_text(col="jobIds"):
 
 # ---------------------------------------------------------------- Spark side: queries
 
+def _payloads(spark, sf, damaged=False):
+    return write_payloads(spark, sf, "task", damaged)
+
+
+def _stages(spark, sf, damaged=False):
+    return read_stages(spark, _payloads(spark, sf, damaged)["stages"])
+
+
+# (metric column stem, flag / ratio / text stems) in report order
+STEMS = ["Duration", "BytesRead", "BytesWritten", "ShuffleBytesRead", "ShuffleBytesWritten"]
+LOWER = ["duration", "bytesRead", "bytesWritten", "shuffleBytesRead", "shuffleBytesWritten"]
+
+
 def q_dedup_tasks(spark, sf):
     return dedup_tasks(task_view(spark, sf))
 
@@ -72,11 +89,176 @@ def q_skewed_stages_t8(spark, sf):
     return skewed_stages(task_stats(spark, sf), 8.0)
 
 
+def q_significance_gate(spark, sf):
+    return with_significance(gate_stats(spark, sf)).select(
+        "app_id", "stageId", "attemptId", "maxDuration", "maxDurationAllStages", "isSignificant")
+
+
+def q_metric_flags(spark, sf):
+    return metric_flags(gate_stats(spark, sf), 2.0)
+
+
+def q_skew_ratio(spark, sf):
+    return task_stats(spark, sf).select("app_id", "stageId", "attemptId", skew_ratio().alias("skewRatio"))
+
+
+def q_metric_long(spark, sf):
+    return metric_long(gate_stats(spark, sf), 2.0)
+
+
+def q_display_ratio(spark, sf):
+    stats = task_stats(spark, sf)
+    return stats.select("app_id", "stageId", "attemptId", *[
+        display_ratio(F.col(f"max{m}"), F.col(f"avg{m}").cast("long")).alias(f"{lo}Ratio")
+        for m, lo in zip(STEMS, LOWER)])
+
+
+def q_stage_to_jobs(spark, sf):
+    return stage_to_jobs(jobs_view(spark, sf)).select(
+        "app_id", "stageId", _job_ids_text(), F.size("jobIds").alias("n_jobs"))
+
+
+def q_stages_with_jobs(spark, sf):
+    return stages_with_jobs(task_view(spark, sf), stage_to_jobs(jobs_view(spark, sf)))
+
+
+def q_attach_job_ids(spark, sf):
+    joined = attach_job_ids(task_stats(spark, sf), stage_to_jobs(jobs_view(spark, sf)))
+    return joined.select(*STATS_COLUMNS, _job_ids_text())
+
+
+def q_skew_report(spark, sf):
+    return flagship(spark, sf).select(
+        "app_id", "stageId", "stageName", "attemptId", "stageStatus", _job_ids_text(),
+        "stageDuration", "taskCount", "skewRatio")
+
+
+def q_report_block(spark, sf):
+    return flagship(spark, sf).select("app_id", "stageId", "attemptId", "block")
+
+
+def q_metric_line(spark, sf):
+    long = metric_long(gate_stats(spark, sf), 2.0)
+    return long.select("app_id", "stageId", "attemptId", "metricIndex",
+                       metric_text(F.struct(*[F.col(c) for c in
+                                              ("metric", "unit", "avg", "max", "isSkewed", "displayRatio")]))
+                       .alias("line"))
+
+
+def q_fmt_time(spark, sf):
+    stats = task_stats(spark, sf)
+    return stats.select("app_id", "stageId", "attemptId",
+                        pretty_time(F.col("avgDuration")).alias("avgTime"),
+                        pretty_time(F.col("maxDuration")).alias("maxTime"))
+
+
+def q_fmt_bytes(spark, sf):
+    stats = task_stats(spark, sf)
+    cols = []
+    for m in STEMS[1:]:
+        cols += [pretty_bytes(F.col(f"avg{m}").cast("long")).alias(f"avg{m}Text"),
+                 pretty_bytes(F.col(f"max{m}")).alias(f"max{m}Text")]
+    return stats.select("app_id", "stageId", "attemptId", *cols)
+
+
+def q_stats_json(spark, sf):
+    return stats_json(task_stats(spark, sf))
+
+
+def q_status_rank(spark, sf):
+    return task_view(spark, sf).select("app_id", "stageId", "attemptId", "taskId", "attempt", "status",
+                                       status_rank(F.col("status")).alias("statusOrder"))
+
+
+def q_project_stage(spark, sf):
+    projected = project_stage(_stages(spark, sf))
+    # A large attempt may be stored as several documents; count its tasks over all of them.
+    return projected.groupBy(*STAGE_KEYS).agg(F.sum(F.size("tasks")).alias("n_tasks"))
+
+
+def q_explode_tasks(spark, sf):
+    return explode_tasks(_stages(spark, sf))
+
+
+def q_derive_shuffle_read(spark, sf):
+    rows = explode_task_fields(_stages(spark, sf))
+    return rows.select("app_id", "stageId", "attemptId", "taskId", "attempt", "shuffleRemoteBytesRead",
+                       "shuffleLocalBytesRead",
+                       derive_shuffle_read(F.col("shuffleRemoteBytesRead"), F.col("shuffleLocalBytesRead"))
+                       .alias("shuffleBytesRead"))
+
+
+def q_src_jobs(spark, sf):
+    jobs = read_jobs(spark, _payloads(spark, sf)["jobs"])
+    return jobs.select("app_id", "jobId", "name", "submissionTime", "completionTime",
+                       F.array_join(F.col("stageIds").cast("array<string>"), ",").alias("stage_ids"),
+                       F.size("stageIds").alias("n_stages"))
+
+
+def q_src_stages(spark, sf):
+    stages = _stages(spark, sf)
+    return (stages.groupBy("app_id", "stageId", "attemptId", "name", "status", "numTasks", "numCompleteTasks",
+                           "numFailedTasks", "firstTaskLaunchedTime", "completionTime")
+                  .agg(F.sum(F.size("tasks")).alias("n_tasks")))
+
+
+def q_src_tasks_flat(spark, sf):
+    return explode_task_fields(_stages(spark, sf))
+
+
+def q_src_task_list(spark, sf):
+    return flatten_task_records(read_task_list(spark, _payloads(spark, sf)["tasks"]))
+
+
+def q_src_required_fields(spark, sf):
+    good, bad = required_stages(_stages(spark, sf, damaged=True), mode="quarantine")
+    docs = good.withColumn("missing", F.array().cast("array<string>")).unionByName(bad)
+    return (docs.groupBy("app_id", "stageId", "attemptId")
+                .agg((F.max(F.size("missing")) == 0).alias("accepted"),
+                     F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))), ",")
+                     .alias("missing")))
+
+
+def q_doc_length_skew(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stats = group_skew_stats(docs, ["lang", "source"], ["n_chars"])
+    return stats.select("*", skew_predicate(3.0, [("avg_n_chars", "max_n_chars")]).alias("is_skewed"))
+
+
 QUERIES: dict[str, Query] = {
+    # attempt de-dup, statistics, skew filter
     "dedup_tasks": q_dedup_tasks,
+    "status_rank": q_status_rank,
     "stage_stats": q_stage_stats,
     "skewed_stages": q_skewed_stages,
     "skewed_stages_t8": q_skewed_stages_t8,
+    "significance_gate": q_significance_gate,
+    "metric_flags": q_metric_flags,
+    "skew_ratio": q_skew_ratio,
+    "metric_long": q_metric_long,
+    "display_ratio": q_display_ratio,
+    # job lookups
+    "stage_to_jobs": q_stage_to_jobs,
+    "stages_with_jobs": q_stages_with_jobs,
+    "attach_job_ids": q_attach_job_ids,
+    # ranked report and rendering
+    "skew_report": q_skew_report,
+    "report_block": q_report_block,
+    "metric_line": q_metric_line,
+    "fmt_time": q_fmt_time,
+    "fmt_bytes": q_fmt_bytes,
+    "stats_json": q_stats_json,
+    # payload sources and nested data
+    "src_jobs": q_src_jobs,
+    "src_stages": q_src_stages,
+    "src_tasks_flat": q_src_tasks_flat,
+    "src_task_list": q_src_task_list,
+    "src_required_fields": q_src_required_fields,
+    "project_stage": q_project_stage,
+    "explode_tasks": q_explode_tasks,
+    "derive_shuffle_read": q_derive_shuffle_read,
+    # the generic forms on a second table
+    "doc_length_skew": q_doc_length_skew,
 }
 
 
@@ -84,49 +266,63 @@ QUERIES: dict[str, Query] = {
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 APP = "'app-' || CAST(user_id % 3 AS VARCHAR)"
-
-TASK_SQL = f"""
+TS_TEXT = "'%Y-%m-%dT%H:%M:%S.%gGMT'"
+
+
+def payload_sql(view: str = "task", damaged: bool = False) -> str:
+    """events -> one row per task attempt with every payload field (mirrors events_payload_rows)."""
+    if view == "task":
+        attempt_id, duration, written = "CAST(day(ts) > 15 AS INTEGER)", "round(value * 1000)", "k * 1024"
+    else:
+        attempt_id, duration, written = "CAST((day(ts) - 1) // 3 AS INTEGER)", "round(value * 100)", "k % 10"
+    executor = "'exec-' || CAST(k % 8 AS VARCHAR)"
+    if damaged:
+        executor = f"CASE WHEN value >= 300 THEN NULL ELSE {executor} END"
+    return f"""
 SELECT {APP} AS app_id,
        CAST(user_id AS INTEGER) AS stageId,
-       CAST(day(ts) > 15 AS INTEGER) AS attemptId,
+       {attempt_id} AS attemptId,
        'stage ' || CAST(user_id AS VARCHAR) AS stageName,
        'COMPLETE' AS stageStatus,
        CAST(100 AS INTEGER) AS numTasks,
        k AS taskId,
        CAST(event_id AS INTEGER) AS attempt,
+       strftime(ts, {TS_TEXT}) AS launchTime,
+       CAST({duration} AS BIGINT) AS duration,
+       {executor} AS executorId,
+       'host-' || CAST(k % 4 AS VARCHAR) AS host,
        CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
-       CAST(round(value * 1000) AS BIGINT) AS duration,
+       CAST(round(value * 900) AS BIGINT) AS executorRunTime,
        k * 8 AS resultSize,
        CAST(round(value * 50) AS BIGINT) AS jvmGcTime,
+       k * 4096 AS peakExecutionMemory,
        CAST(round(value * value * 100) AS BIGINT) AS bytesRead,
-       k * 1024 AS bytesWritten,
+       k AS recordsRead,
+       {written} AS bytesWritten,
+       k AS recordsWritten,
        CASE WHEN event_type = 'purchase' THEN CAST(round(value * 1000) AS BIGINT) ELSE CAST(0 AS BIGINT) END
-         + CASE WHEN event_type = 'view' THEN k * 100 ELSE CAST(0 AS BIGINT) END AS shuffleBytesRead,
-       CAST(0 AS BIGINT) AS shuffleBytesWritten
+         AS shuffleRemoteBytesRead,
+       CASE WHEN event_type = 'view' THEN k * 100 ELSE CAST(0 AS BIGINT) END AS shuffleLocalBytesRead,
+       k AS shuffleRecordsRead,
+       CAST(0 AS BIGINT) AS shuffleBytesWritten,
+       CAST(0 AS BIGINT) AS shuffleWriteTime,
+       CAST(0 AS BIGINT) AS shuffleRecordsWritten
 FROM (SELECT *, {K} AS k FROM events)
 """
 
-GATE_SQL = f"""
-SELECT {APP} AS app_id,
-       CAST(user_id AS INTEGER) AS stageId,
-       CAST((day(ts) - 1) // 3 AS INTEGER) AS attemptId,
-       'stage ' || CAST(user_id AS VARCHAR) AS stageName,
-       'COMPLETE' AS stageStatus,
-       CAST(100 AS INTEGER) AS numTasks,
-       k AS taskId,
-       CAST(event_id AS INTEGER) AS attempt,
-       CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
-       CAST(round(value * 100) AS BIGINT) AS duration,
-       k * 8 AS resultSize,
-       CAST(round(value * 50) AS BIGINT) AS jvmGcTime,
-       CAST(round(value * value * 100) AS BIGINT) AS bytesRead,
-       k % 10 AS bytesWritten,
-       CASE WHEN event_type = 'purchase' THEN CAST(round(value * 1000) AS BIGINT) ELSE CAST(0 AS BIGINT) END
-         + CASE WHEN event_type = 'view' THEN k * 100 ELSE CAST(0 AS BIGINT) END AS shuffleBytesRead,
-       CAST(0 AS BIGINT) AS shuffleBytesWritten
-FROM (SELECT *, {K} AS k FROM events)
+
+def flat_sql(view: str = "task") -> str:
+    return f"""
+SELECT app_id, stageId, attemptId, stageName, stageStatus, numTasks, taskId, attempt, status, duration,
+       resultSize, jvmGcTime, bytesRead, bytesWritten, shuffleRemoteBytesRead + shuffleLocalBytesRead AS shuffleBytesRead,
+       shuffleBytesWritten
+FROM ({payload_sql(view)})
 """
 
+
+TASK_SQL = flat_sql("task")
+GATE_SQL = flat_sql("gate")
+
 KEYS = "app_id, stageId, attemptId, stageName, stageStatus, numTasks"
 FLAT = KEYS + (", taskId, attempt, status, duration, resultSize, jvmGcTime, bytesRead, bytesWritten,"
                " shuffleBytesRead, shuffleBytesWritten")
@@ -175,15 +371,181 @@ def skewed_sql(stats: str, t: float) -> str:
     return f"SELECT {STATS_COLS} FROM ({gated_sql(stats)}) WHERE isSignificant AND ({skew_clause_sql(t)})"
 
 
+JOBS_SQL = f"""
+SELECT {APP} AS app_id, CAST(day(ts) AS INTEGER) AS jobId, 'job ' || CAST(day(ts) AS VARCHAR) AS name,
+       strftime(min(ts), {TS_TEXT}) AS submissionTime, strftime(max(ts), {TS_TEXT}) AS completionTime,
+       list_sort(list(DISTINCT CAST(user_id AS INTEGER))) AS stageIds
+FROM events WHERE event_type = 'signup' GROUP BY 1, 2, 3
+"""
+
+STAGE_JOBS_SQL = f"""
+SELECT app_id, stageId, array_to_string(list_sort(list(jobId)), ',') AS job_ids,
+       CAST(count(*) AS INTEGER) AS n_jobs
+FROM (SELECT app_id, jobId, unnest(stageIds) AS stageId FROM ({JOBS_SQL})) GROUP BY app_id, stageId
+"""
+
+T = "CAST({} AS DOUBLE)"
+
+
+def time_text_sql(x: str) -> str:
+    s = f"CAST(trunc({x}) AS BIGINT)"
+    return f"printf('%4d:%02d:%02d', {s} // 3600, ({s} % 3600) // 60, {s} % 60)"
+
+
+def bytes_text_sql(x: str) -> str:
+    s = f"CAST(trunc({x}) AS BIGINT)"
+    units = [("EB", 60), ("PB", 50), ("TB", 40), ("GB", 30), ("MB", 20), ("KB", 10)]
+    whens = " ".join(f"WHEN {s} >= {1 << sh} THEN CAST({s} >> {sh} AS VARCHAR) || ' {u}'" for u, sh in units)
+    return f"CASE {whens} ELSE CAST({s} AS VARCHAR) || ' bytes' END"
+
+
+def ratio_text_sql(x: str) -> str:
+    # Half-up rounding of the value's shortest decimal form, as JVM %.2f does.
+    return f"printf('%.2f', CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE))"
+
+
+def display_ratio_sql(mx: str, avg_whole: str) -> str:
+    return (f"CASE WHEN {avg_whole} > 0 THEN CAST({mx} AS DOUBLE) / CAST({avg_whole} AS DOUBLE) "
+            f"ELSE CAST({mx} AS DOUBLE) END")
+
+
+METRIC_ROWS = [("Duration (HH:mm:ss)", "Duration", "seconds"), ("Bytes Read", "BytesRead", "bytes"),
+               ("Bytes Written", "BytesWritten", "bytes"), ("Shuffle Bytes Read", "ShuffleBytesRead", "bytes"),
+               ("Shuffle Bytes Written", "ShuffleBytesWritten", "bytes")]
+
+
+def metric_long_sql(stats: str, t: float, extra: str = "") -> str:
+    parts = []
+    for i, (label, m, unit) in enumerate(METRIC_ROWS):
+        whole = f"CAST(trunc(avg{m}) AS BIGINT)"
+        flag_base = f"avg{m}" if unit == "seconds" else whole
+        parts.append(f"""
+SELECT app_id, stageId, attemptId, {extra} CAST({i} AS INTEGER) AS metricIndex, '{label}' AS metric,
+       '{unit}' AS unit, {whole} AS "avg", CAST(max{m} AS BIGINT) AS "max",
+       max{m} > CAST({float(t)!r} AS DOUBLE) * {flag_base} AS isSkewed,
+       {display_ratio_sql(f"max{m}", whole)} AS displayRatio
+FROM ({stats})""")
+    return " UNION ALL ".join(parts)
+
+
+def metric_line_sql(long: str, extra: str = "") -> str:
+    avg_text = f"""CASE WHEN unit = 'seconds' THEN {time_text_sql('"avg"')} ELSE {bytes_text_sql('"avg"')} END"""
+    max_text = f"""CASE WHEN unit = 'seconds' THEN {time_text_sql('"max"')} ELSE {bytes_text_sql('"max"')} END"""
+    return f"""
+SELECT app_id, stageId, attemptId, {extra} metricIndex,
+       printf(chr(9) || '%-25s => Avg: %-17s, Max: %-17s,Ratio: %s%s', metric, {avg_text}, {max_text},
+              {ratio_text_sql('displayRatio')}, CASE WHEN isSkewed THEN ' <---' ELSE '' END) AS line
+FROM ({long})
+"""
+
+
+# The composed report: statistics of stages some job lists, gated per app, skew at t=8.
+JOB_STATS_SQL = f"""
+SELECT s.*, j.job_ids FROM ({STATS_SQL}) s JOIN ({STAGE_JOBS_SQL}) j USING (app_id, stageId)
+"""
+REPORT_SQL = f"""
+SELECT *, CASE WHEN avgDuration <> 0 THEN maxDuration / avgDuration ELSE CAST('NaN' AS DOUBLE) END AS skewRatio
+FROM ({gated_sql(JOB_STATS_SQL)}) WHERE isSignificant AND ({skew_clause_sql(8.0)})
+"""
+REPORT_BLOCK_SQL = f"""
+SELECT app_id, stageId, attemptId,
+       printf('[Stage Id: %d, Attempt Id: %d, Job Ids: (%s), Task Count: %d]', stageId, attemptId, job_ids, numTasks)
+       || chr(10) || printf('[Stage Status: %s, Stage Name: %s] ', stageStatus, stageName) || chr(10)
+       || string_agg(line, chr(10) ORDER BY metricIndex) AS block
+FROM ({metric_line_sql(metric_long_sql(REPORT_SQL, 8.0, "numTasks, stageStatus, stageName, job_ids,"),
+                       "numTasks, stageStatus, stageName, job_ids,")})
+GROUP BY app_id, stageId, attemptId, numTasks, stageStatus, stageName, job_ids
+"""
+
+DAMAGED_PAYLOAD_SQL = payload_sql("task", damaged=True)
+PAYLOAD_SQL = payload_sql("task")
+
+TASK_FIELDS = ("taskId, attempt, launchTime, duration, executorId, host, status, executorRunTime, resultSize, "
+               "jvmGcTime, peakExecutionMemory, bytesRead, recordsRead, bytesWritten, recordsWritten, "
+               "shuffleRemoteBytesRead, shuffleLocalBytesRead, shuffleRecordsRead, shuffleBytesWritten, "
+               "shuffleWriteTime, shuffleRecordsWritten")
+
+
+def _flag_cols(t: float) -> str:
+    out = []
+    for (label, m, unit), name in zip(METRIC_ROWS, ["durationSkewed", "bytesReadSkewed", "bytesWrittenSkewed",
+                                                    "shuffleBytesReadSkewed", "shuffleBytesWrittenSkewed"]):
+        base = f"avg{m}" if unit == "seconds" else f"CAST(trunc(avg{m}) AS BIGINT)"
+        out.append(f"max{m} > CAST({float(t)!r} AS DOUBLE) * {base} AS {name}")
+    return ", ".join(out)
+
+
 ORACLE_SQL: dict[str, str] = {
     "dedup_tasks": DEDUP_SQL,
+    "status_rank": f"""
+SELECT app_id, stageId, attemptId, taskId, attempt, status,
+       CASE WHEN status = 'SUCCESS' THEN 1 ELSE 2 END AS statusOrder FROM ({TASK_SQL})""",
     "stage_stats": STATS_SQL,
     "skewed_stages": skewed_sql(STATS_SQL, 10.0),
     "skewed_stages_t8": skewed_sql(STATS_SQL, 8.0),
+    "significance_gate": f"""
+SELECT app_id, stageId, attemptId, maxDuration, maxDurationAllStages, isSignificant
+FROM ({gated_sql(GATE_STATS_SQL)})""",
+    "metric_flags": f"SELECT {STATS_COLS}, {_flag_cols(2.0)} FROM ({GATE_STATS_SQL})",
+    "skew_ratio": f"""
+SELECT app_id, stageId, attemptId,
+       CASE WHEN avgDuration <> 0 THEN maxDuration / avgDuration ELSE CAST('NaN' AS DOUBLE) END AS skewRatio
+FROM ({STATS_SQL})""",
+    "metric_long": metric_long_sql(GATE_STATS_SQL, 2.0),
+    "display_ratio": "SELECT app_id, stageId, attemptId, " + ", ".join(
+        f"{display_ratio_sql(f'max{m}', f'CAST(trunc(avg{m}) AS BIGINT)')} AS {m[0].lower() + m[1:]}Ratio"
+        for _, m, _ in METRIC_ROWS) + f" FROM ({STATS_SQL})",
+    "stage_to_jobs": STAGE_JOBS_SQL,
+    "stages_with_jobs": f"""
+SELECT t.* FROM ({TASK_SQL}) t WHERE EXISTS (
+  SELECT 1 FROM ({STAGE_JOBS_SQL}) j WHERE j.app_id = t.app_id AND j.stageId = t.stageId)""",
+    "attach_job_ids": f"""
+SELECT {", ".join("s." + c for c in STATS_COLUMNS)}, COALESCE(j.job_ids, '') AS job_ids
+FROM ({STATS_SQL}) s LEFT JOIN ({STAGE_JOBS_SQL}) j ON s.app_id = j.app_id AND s.stageId = j.stageId""",
+    "skew_report": f"""
+SELECT app_id, stageId, stageName, attemptId, stageStatus, job_ids, CAST(0 AS BIGINT) AS stageDuration,
+       numTasks AS taskCount, skewRatio FROM ({REPORT_SQL})""",
+    "report_block": REPORT_BLOCK_SQL,
+    "metric_line": metric_line_sql(metric_long_sql(GATE_STATS_SQL, 2.0)),
+    "fmt_time": f"""
+SELECT app_id, stageId, attemptId, {time_text_sql('avgDuration')} AS avgTime,
+       {time_text_sql('maxDuration')} AS maxTime FROM ({STATS_SQL})""",
+    "fmt_bytes": "SELECT app_id, stageId, attemptId, " + ", ".join(
+        f"{bytes_text_sql(f'avg{m}')} AS avg{m}Text, {bytes_text_sql(f'max{m}')} AS max{m}Text"
+        for _, m, _ in METRIC_ROWS[1:]) + f" FROM ({STATS_SQL})",
+    "src_jobs": f"""
+SELECT app_id, jobId, name, submissionTime, completionTime, array_to_string(stageIds, ',') AS stage_ids,
+       CAST(len(stageIds) AS INTEGER) AS n_stages FROM ({JOBS_SQL})""",
+    "src_stages": f"""
+SELECT app_id, stageId, attemptId, stageName AS name, stageStatus AS status, numTasks,
+       CAST(sum(CAST(status = 'SUCCESS' AS INTEGER)) AS INTEGER) AS numCompleteTasks,
+       CAST(sum(CAST(status = 'FAILED' AS INTEGER)) AS INTEGER) AS numFailedTasks,
+       min(launchTime) AS firstTaskLaunchedTime, max(launchTime) AS completionTime,
+       count(*) AS n_tasks
+FROM ({PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId, stageName, stageStatus, numTasks""",
+    "src_tasks_flat": f"SELECT app_id, stageId, attemptId, {TASK_FIELDS} FROM ({PAYLOAD_SQL})",
+    "src_task_list": f"""
+SELECT app_id, stageId, attemptId, taskId, attempt, status, duration, resultSize, jvmGcTime, bytesRead,
+       bytesWritten, shuffleBytesRead, shuffleBytesWritten FROM ({TASK_SQL})""",
+    "src_required_fields": f"""
+SELECT app_id, stageId, attemptId, NOT bool_or(executorId IS NULL) AS accepted,
+       CASE WHEN bool_or(executorId IS NULL) THEN 'tasks.executorId' ELSE '' END AS missing
+FROM ({DAMAGED_PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId""",
+    "project_stage": f"""
+SELECT app_id, stageId, attemptId, stageName, stageStatus, numTasks, count(*) AS n_tasks
+FROM ({PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId, stageName, stageStatus, numTasks""",
+    "explode_tasks": TASK_SQL,
+    "derive_shuffle_read": f"""
+SELECT app_id, stageId, attemptId, taskId, attempt, shuffleRemoteBytesRead, shuffleLocalBytesRead,
+       shuffleRemoteBytesRead + shuffleLocalBytesRead AS shuffleBytesRead FROM ({PAYLOAD_SQL})""",
+    "doc_length_skew": """
+SELECT lang, source, sum(n_chars) / count(n_chars) AS avg_n_chars, max(n_chars) AS max_n_chars,
+       max(n_chars) > CAST(3.0 AS DOUBLE) * (sum(n_chars) / count(n_chars)) AS is_skewed
+FROM documents GROUP BY lang, source""",
 }
+# stats_json has no oracle: JSON number text differs between engines (checked in tests).
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The full report at threshold 8 over the task view: measures + rendered blocks."""
-    from skewlens.plans.analyze import analyze_tasks
     return analyze_tasks(task_view(spark, sf), stage_to_jobs(jobs_view(spark, sf)), 8.0)

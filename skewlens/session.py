@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     # Runtime re-planning: joins against a small side become broadcast joins only after
     # the small side's real size is measured; skewed partitions are split.

@@ -58,16 +58,20 @@ def missing_fields(required: list[str], nested: dict[str, list[str]] | None = No
     for coll, fields in (nested or {}).items():
         items = F.map_values(coll) if coll == "tasks" else F.col(coll)
         for f in fields:
-            parts = f.split(".")
+            checks.append(F.when(F.exists(items, _field_is_null(f)), F.lit(f"{coll}.{f}")))
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
-            def _null(t, parts=parts):
-                v = t
-                for p in parts:
-                    v = v[p]
-                return v.isNull()
 
-            checks.append(F.when(F.exists(items, _null), F.lit(f"{coll}.{f}")))
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+def _field_is_null(path: str):
+    """Lambda for higher-order functions: is ``element.<path>`` NULL?"""
+    parts = path.split(".")
+
+    def is_null(element: Column) -> Column:
+        for p in parts:
+            element = element[p]
+        return element.isNull()
+
+    return is_null
 
 
 def check_required(df: DataFrame, required: list[str], nested: dict[str, list[str]] | None = None,
