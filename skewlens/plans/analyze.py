@@ -13,12 +13,19 @@ from skewlens.operators.jobs import attach_job_ids, stage_to_jobs
 from skewlens.operators.skew import DEFAULT_THRESHOLD, rank_order, stage_skew
 from skewlens.operators.stats import stage_stats
 from skewlens.operators.tasks import dedup_tasks, explode_tasks
+from skewlens.schemas import METRICS, STAGE_KEYS
 from skewlens.session import ensure_checkpoint_dir
 
 
 def stats_from_tasks(tasks: DataFrame) -> DataFrame:
-    """Flat task rows -> one attempt per task -> per-stage-attempt statistics."""
-    return stage_stats(dedup_tasks(tasks))
+    """Flat task rows -> one attempt per task -> per-stage-attempt statistics.
+
+    Only the columns the statistics need cross the de-duplication shuffle; the
+    tie-breakers are then the metrics themselves, so the result stays deterministic
+    when a lost partition is recomputed.
+    """
+    needed = STAGE_KEYS + ["taskId", "attempt", "status"] + METRICS
+    return stage_stats(dedup_tasks(tasks.select(*needed)))
 
 
 def stats_from_stages(stages: DataFrame) -> DataFrame:

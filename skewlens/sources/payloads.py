@@ -53,13 +53,29 @@ def missing_fields(required: list[str], nested: dict[str, list[str]] | None = No
     e.g. ``{"tasks": TASK_REQUIRED}`` checks every task of a stage attempt in place
     (higher-order functions, no explode).
     """
-    checks = [F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed record"))]
-    checks += [F.when(F.col(f).isNull(), F.lit(f)) for f in required]
+    none = F.array().cast("array<string>")
+
+    def named_if(cond: Column, name: str) -> Column:
+        return F.when(cond, F.array(F.lit(name))).otherwise(none)
+
+    parts = [named_if(F.col(CORRUPT).isNotNull(), "malformed record")]
+    parts += [named_if(F.col(f).isNull(), f) for f in required]
     for coll, fields in (nested or {}).items():
         items = F.map_values(coll) if coll == "tasks" else F.col(coll)
-        for f in fields:
-            checks.append(F.when(F.exists(items, _field_is_null(f)), F.lit(f"{coll}.{f}")))
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+        # One pass over the elements finds the (rare) records with a gap; only those
+        # are scanned again per field to name what is missing.
+        any_gap = F.exists(items, lambda e: _any_null(e, fields))
+        per_field = F.concat(*[named_if(F.exists(items, _field_is_null(f)), f"{coll}.{f}") for f in fields])
+        parts.append(F.when(F.coalesce(any_gap, F.lit(False)), per_field).otherwise(none))
+    return F.concat(*parts)
+
+
+def _any_null(element: Column, fields: list[str]) -> Column:
+    out = None
+    for f in fields:
+        c = _field_is_null(f)(element)
+        out = c if out is None else out | c
+    return out
 
 
 def _field_is_null(path: str):

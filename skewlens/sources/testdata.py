@@ -23,80 +23,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.operators.tasks import flat_task_columns
+from skewlens.operators.tasks import derive_shuffle_read
 from skewlens.schemas import STAGE_KEYS
 from skewlens.session import scratch_path
 
 LAUNCH_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'"
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("long")
-
-
 def _round_long(x: Column) -> Column:
     return F.round(x).cast("long")
 
 
-def events_payload_rows(events: DataFrame, view: str = "task", damaged: bool = False) -> DataFrame:
-    """One row per task attempt: stage fields plus a ``task`` struct shaped like the payload.
+def _with_k(events: DataFrame) -> DataFrame:
+    """Parse ``props.k`` once per row; every derived field reads the parsed column."""
+    return events.select("event_id", "ts", "user_id", "event_type", "value",
+                         F.get_json_object("props", "$.k").cast("long").alias("k"))
 
-    ``damaged=True`` drops ``executorId`` from tasks of events with ``value >= 300``
-    (a rare, data-driven fault used to exercise the required-field check).
-    """
-    k, v, et = _k(), F.col("value"), F.col("event_type")
+
+def _stage_columns(view: str) -> dict[str, Column]:
     day = F.dayofmonth("ts")
-    if view == "task":
-        attempt_id = (day > 15).cast("int")
-        duration = _round_long(v * 1000)
-        bytes_written = k * 1024
-    elif view == "gate":
-        attempt_id = F.floor((day - 1) / 3).cast("int")
-        duration = _round_long(v * 100)
-        bytes_written = k % 10
-    else:
+    attempt_id = (day > 15).cast("int") if view == "task" else F.floor((day - 1) / 3).cast("int")
+    return {
+        "app_id": F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")),
+        "stageId": F.col("user_id").cast("int"),
+        "attemptId": attempt_id,
+        "stageName": F.concat(F.lit("stage "), F.col("user_id").cast("string")),
+        "stageStatus": F.lit("COMPLETE"),
+        "numTasks": F.lit(100),
+    }
+
+
+def _task_columns(view: str, damaged: bool = False) -> dict[str, Column]:
+    """Every task field as an expression over one event row (names as in the payload)."""
+    if view not in ("task", "gate"):
         raise ValueError(view)
+    k, v, et = F.col("k"), F.col("value"), F.col("event_type")
     executor = F.concat(F.lit("exec-"), (k % 8).cast("string"))
     if damaged:
         executor = F.when(v >= 300, F.lit(None).cast("string")).otherwise(executor)
+    return {
+        "taskId": k,
+        "attempt": F.col("event_id").cast("int"),
+        "launchTime": F.date_format("ts", LAUNCH_FORMAT),
+        "duration": _round_long(v * 1000) if view == "task" else _round_long(v * 100),
+        "executorId": executor,
+        "host": F.concat(F.lit("host-"), (k % 4).cast("string")),
+        "status": F.when(et == "error", F.lit("FAILED")).otherwise(F.lit("SUCCESS")),
+        "executorRunTime": _round_long(v * 900),
+        "resultSize": k * 8,
+        "jvmGcTime": _round_long(v * 50),
+        "peakExecutionMemory": k * 4096,
+        "bytesRead": _round_long(v * v * 100),
+        "recordsRead": k,
+        "bytesWritten": k * 1024 if view == "task" else k % 10,
+        "recordsWritten": k,
+        "remoteBytesRead": F.when(et == "purchase", _round_long(v * 1000)).otherwise(F.lit(0)).cast("long"),
+        "localBytesRead": F.when(et == "view", k * 100).otherwise(F.lit(0)).cast("long"),
+        "shuffleRecordsRead": k,
+        "shuffleBytesWritten": F.lit(0).cast("long"),
+        "writeTime": F.lit(0).cast("long"),
+        "shuffleRecordsWritten": F.lit(0).cast("long"),
+    }
+
+
+def events_payload_rows(events: DataFrame, view: str = "task", damaged: bool = False) -> DataFrame:
+    """One row per task attempt: stage fields plus a ``task`` struct shaped like the payload.
+
+    ``damaged=True`` drops ``executorId`` from tasks of events with ``value >= 300``
+    (a rare, data-driven fault used to exercise the required-field check).
+    """
+    t = _task_columns(view, damaged)
     task = F.struct(
-        k.alias("taskId"),
-        F.col("event_id").cast("int").alias("attempt"),
-        F.date_format("ts", LAUNCH_FORMAT).alias("launchTime"),
-        duration.alias("duration"),
-        executor.alias("executorId"),
-        F.concat(F.lit("host-"), (k % 4).cast("string")).alias("host"),
-        F.when(et == "error", F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("status"),
+        *[t[n].alias(n) for n in ("taskId", "attempt", "launchTime", "duration", "executorId", "host", "status")],
         F.struct(
-            _round_long(v * 900).alias("executorRunTime"),
-            (k * 8).alias("resultSize"),
-            _round_long(v * 50).alias("jvmGcTime"),
-            (k * 4096).alias("peakExecutionMemory"),
-            F.struct(_round_long(v * v * 100).alias("bytesRead"), k.alias("recordsRead")).alias("inputMetrics"),
-            F.struct(bytes_written.alias("bytesWritten"), k.alias("recordsWritten")).alias("outputMetrics"),
-            F.struct(
-                F.when(et == "purchase", _round_long(v * 1000)).otherwise(F.lit(0)).cast("long").alias("remoteBytesRead"),
-                F.when(et == "view", k * 100).otherwise(F.lit(0)).cast("long").alias("localBytesRead"),
-                k.alias("recordsRead"),
-            ).alias("shuffleReadMetrics"),
-            F.struct(F.lit(0).cast("long").alias("bytesWritten"), F.lit(0).cast("long").alias("writeTime"),
-                     F.lit(0).cast("long").alias("recordsWritten")).alias("shuffleWriteMetrics"),
+            *[t[n].alias(n) for n in ("executorRunTime", "resultSize", "jvmGcTime", "peakExecutionMemory")],
+            F.struct(t["bytesRead"].alias("bytesRead"), t["recordsRead"].alias("recordsRead")).alias("inputMetrics"),
+            F.struct(t["bytesWritten"].alias("bytesWritten"),
+                     t["recordsWritten"].alias("recordsWritten")).alias("outputMetrics"),
+            F.struct(t["remoteBytesRead"].alias("remoteBytesRead"), t["localBytesRead"].alias("localBytesRead"),
+                     t["shuffleRecordsRead"].alias("recordsRead")).alias("shuffleReadMetrics"),
+            F.struct(t["shuffleBytesWritten"].alias("bytesWritten"), t["writeTime"].alias("writeTime"),
+                     t["shuffleRecordsWritten"].alias("recordsWritten")).alias("shuffleWriteMetrics"),
         ).alias("taskMetrics"),
     )
-    return events.select(
-        F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")).alias("app_id"),
-        F.col("user_id").cast("int").alias("stageId"),
-        attempt_id.alias("attemptId"),
-        F.concat(F.lit("stage "), F.col("user_id").cast("string")).alias("stageName"),
-        F.lit("COMPLETE").alias("stageStatus"),
-        F.lit(100).alias("numTasks"),
-        task.alias("task"),
-    )
+    stage = _stage_columns(view)
+    return _with_k(events).select(*[c.alias(n) for n, c in stage.items()], task.alias("task"))
 
 
 def events_tasks(events: DataFrame, view: str = "task") -> DataFrame:
-    """The flat task table for a view (same projection as exploding a stage payload)."""
-    return events_payload_rows(events, view).select(*STAGE_KEYS, *flat_task_columns("task"))
+    """The flat task table for a view: the same field expressions as the payload rows,
+    computed directly (no payload struct, no unused fields per row)."""
+    t = _task_columns(view)
+    flat = {
+        "taskId": t["taskId"], "attempt": t["attempt"], "status": t["status"], "duration": t["duration"],
+        "resultSize": t["resultSize"], "jvmGcTime": t["jvmGcTime"], "bytesRead": t["bytesRead"],
+        "bytesWritten": t["bytesWritten"],
+        "shuffleBytesRead": derive_shuffle_read(t["remoteBytesRead"], t["localBytesRead"]),
+        "shuffleBytesWritten": t["shuffleBytesWritten"],
+    }
+    cols = {**_stage_columns(view), **flat}
+    return _with_k(events).select(*[c.alias(n) for n, c in cols.items()])
 
 
 def events_jobs(events: DataFrame) -> DataFrame:
