@@ -31,6 +31,21 @@ def _read(spark: SparkSession, path: str | list[str], schema: T.StructType, mult
     return df.select(app.alias("app_id"), *[f.name for f in schema.fields], CORRUPT)
 
 
+def read_stages_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming read of stage-attempt payload files (JSON Lines) arriving below ``path``.
+
+    ``app_id`` comes from ``app_id=`` folders (declared in the schema so the file source
+    fills it from the path).
+    """
+    schema = T.StructType([T.StructField("app_id", T.StringType(), True)] + STAGE_ATTEMPT.fields
+                          + [T.StructField(CORRUPT, T.StringType(), True)])
+    reader = (spark.readStream.schema(schema)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path)
+
+
 def read_jobs(spark: SparkSession, path, multi_line: bool = False, app_id: str | None = None) -> DataFrame:
     """Job payloads: app_id, jobId, name, submissionTime, completionTime, stageIds."""
     return _read(spark, path, JOB, multi_line, app_id)
