@@ -21,8 +21,9 @@ from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_
 from skewlens.plans.analyze import analyze_tasks, stats_from_tasks
 from skewlens.schemas import STAGE_KEYS
 from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, required_stages
-from skewlens.sources.sinks import stats_json
-from skewlens.sources.testdata import events_jobs, events_tasks, write_payloads
+from skewlens.session import scratch_path
+from skewlens.sources.sinks import REPORT_SEPARATOR, stats_json, write_measures, write_report
+from skewlens.sources.testdata import events_jobs, events_tasks, read_table, write_payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # ---------------------------------------------------------------- Spark side: views
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/events.parquet")
+    return read_table(spark, sf, "events")
 
 
 def task_view(spark, sf):
@@ -219,8 +220,24 @@ def q_src_required_fields(spark, sf):
                      .alias("missing")))
 
 
+def q_report_sink(spark, sf):
+    """Write the ranked report as text (blank-line separated) and read the blocks back."""
+    path = scratch_path(spark, "report")
+    write_report(flagship(spark, sf), path)
+    return spark.read.option("lineSep", REPORT_SEPARATOR).text(path).select(F.col("value").alias("block"))
+
+
+def q_measures_sink(spark, sf):
+    """Write the structured measures as parquet by app and read them back."""
+    path = scratch_path(spark, "measures")
+    write_measures(flagship(spark, sf).drop("block"), path)
+    return spark.read.parquet(path).select(
+        "app_id", "stageId", "attemptId", "taskCount", "skewRatio", _job_ids_text(),
+        F.size("taskAgg").alias("n_metrics"))
+
+
 def q_doc_length_skew(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read_table(spark, sf, "documents").select("lang", "source", "n_chars")
     stats = group_skew_stats(docs, ["lang", "source"], ["n_chars"])
     return stats.select("*", skew_predicate(3.0, [("avg_n_chars", "max_n_chars")]).alias("is_skewed"))
 
@@ -257,6 +274,8 @@ QUERIES: dict[str, Query] = {
     "project_stage": q_project_stage,
     "explode_tasks": q_explode_tasks,
     "derive_shuffle_read": q_derive_shuffle_read,
+    "report_sink": q_report_sink,
+    "measures_sink": q_measures_sink,
     # the generic forms on a second table
     "doc_length_skew": q_doc_length_skew,
 }
@@ -538,6 +557,10 @@ FROM ({PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId, stageName, stageStatus
     "derive_shuffle_read": f"""
 SELECT app_id, stageId, attemptId, taskId, attempt, shuffleRemoteBytesRead, shuffleLocalBytesRead,
        shuffleRemoteBytesRead + shuffleLocalBytesRead AS shuffleBytesRead FROM ({PAYLOAD_SQL})""",
+    "report_sink": f"SELECT block FROM ({REPORT_BLOCK_SQL})",
+    "measures_sink": f"""
+SELECT app_id, stageId, attemptId, numTasks AS taskCount, skewRatio, job_ids, CAST(5 AS INTEGER) AS n_metrics
+FROM ({REPORT_SQL})""",
     "doc_length_skew": """
 SELECT lang, source, sum(n_chars) / count(n_chars) AS avg_n_chars, max(n_chars) AS max_n_chars,
        max(n_chars) > CAST(3.0 AS DOUBLE) * (sum(n_chars) / count(n_chars)) AS is_skewed

@@ -29,6 +29,28 @@ from skewlens.session import scratch_path
 
 LAUNCH_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'"
 
+# Declared schemas of the driver tables used here (no footer scan to infer them).
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a driver table with its declared schema.
+
+    A table stored as one file with one row group scans as a single task; then rows are
+    spread round-robin over the default parallelism so the map side of the first
+    shuffle uses every core.  On a real dataset (many files / row groups) the scan is
+    already wide and nothing is added.
+    """
+    reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
+    df = reader.parquet(f"{sf_dir}/{name}.parquet")
+    parallelism = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        df = df.repartition(parallelism)
+    return df
+
 
 def _round_long(x: Column) -> Column:
     return F.round(x).cast("long")
@@ -183,7 +205,7 @@ def write_payloads(spark: SparkSession, sf_dir: str, view: str = "task", damaged
     key = (spark.sparkContext.applicationId, sf_dir, view, damaged, tasks_per_doc)
     if key in _WRITTEN:
         return _WRITTEN[key]
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = read_table(spark, sf_dir, "events")
     rows = events_payload_rows(events, view, damaged)
     base = scratch_path(spark, f"payloads-{view}{'-damaged' if damaged else ''}")
     paths = {kind: f"{base}/{kind}" for kind in ("jobs", "stages", "tasks")}
