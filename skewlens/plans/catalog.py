@@ -17,7 +17,7 @@ from skewlens.operators.skew import (metric_flags, metric_long, skew_predicate,
                                      with_significance)
 from skewlens.operators.stats import STATS_COLUMNS, group_skew_stats, stage_stats
 from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_task_fields, explode_tasks,
-                                      flatten_task_records, project_stage, status_rank)
+                                      flatten_task_records, latest_attempt, project_stage, status_rank)
 from skewlens.plans.analyze import analyze_tasks, stats_from_tasks
 from skewlens.schemas import STAGE_KEYS
 from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, required_stages
@@ -236,6 +236,28 @@ def q_measures_sink(spark, sf):
         F.size("taskAgg").alias("n_metrics"))
 
 
+LINEITEM_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                  "l_returnflag"]
+
+
+def q_latest_lineitem(spark, sf):
+    """The de-dup operator on a second table: one row per (order, line number), a finished
+    line ('F') first, then the latest ship date; remaining columns break ties."""
+    items = read_table(spark, sf, "lineitem")
+    order = [F.when(F.col("l_linestatus") == "F", 1).otherwise(2).asc(), F.col("l_shipdate").desc()] + \
+        [F.col(c).asc() for c in LINEITEM_ORDER]
+    return latest_attempt(items, ["l_orderkey", "l_linenumber"], order)
+
+
+def q_order_price_skew(spark, sf):
+    """Group statistics + skew flag on a double measure: order totals per customer."""
+    orders = read_table(spark, sf, "orders").select("o_custkey", "o_totalprice")
+    stats = group_skew_stats(orders, ["o_custkey"], ["o_totalprice"])
+    return stats.select("o_custkey", F.round("avg_o_totalprice", 6).alias("avg_o_totalprice"),
+                        F.col("max_o_totalprice"),
+                        skew_predicate(3.0, [("avg_o_totalprice", "max_o_totalprice")]).alias("is_skewed"))
+
+
 def q_doc_length_skew(spark, sf):
     docs = read_table(spark, sf, "documents").select("lang", "source", "n_chars")
     stats = group_skew_stats(docs, ["lang", "source"], ["n_chars"])
@@ -278,6 +300,8 @@ QUERIES: dict[str, Query] = {
     "measures_sink": q_measures_sink,
     # the generic forms on a second table
     "doc_length_skew": q_doc_length_skew,
+    "order_price_skew": q_order_price_skew,
+    "latest_lineitem": q_latest_lineitem,
 }
 
 
@@ -566,6 +590,18 @@ SELECT lang, source, sum(n_chars) / count(n_chars) AS avg_n_chars, max(n_chars)
        max(n_chars) > CAST(3.0 AS DOUBLE) * (sum(n_chars) / count(n_chars)) AS is_skewed
 FROM documents GROUP BY lang, source""",
 }
+ORACLE_SQL["order_price_skew"] = """
+SELECT o_custkey, round(sum(o_totalprice) / count(o_totalprice), 6) AS avg_o_totalprice,
+       max(o_totalprice) AS max_o_totalprice,
+       max(o_totalprice) > CAST(3.0 AS DOUBLE) * (sum(o_totalprice) / count(o_totalprice)) AS is_skewed
+FROM orders GROUP BY o_custkey"""
+ORACLE_SQL["latest_lineitem"] = """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (
+      PARTITION BY l_orderkey, l_linenumber
+      ORDER BY CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END, l_shipdate DESC, l_partkey, l_suppkey,
+               l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) AS rn
+  FROM lineitem) WHERE rn = 1"""
 # stats_json has no oracle: JSON number text differs between engines (checked in tests).
 
 

@@ -33,6 +33,11 @@ LAUNCH_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'"
 TABLE_SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
 }
 
 
@@ -46,10 +51,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
     df = reader.parquet(f"{sf_dir}/{name}.parquet")
-    parallelism = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism:
-        df = df.repartition(parallelism)
-    return df
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < parallelism
+    except Exception:  # no SparkContext (remote session): leave the scan as it is
+        narrow = False
+    return df.repartition(parallelism) if narrow else df
 
 
 def _round_long(x: Column) -> Column:
