@@ -12,11 +12,13 @@ BYTE_UNITS = [("EB", 60), ("PB", 50), ("TB", 40), ("GB", 30), ("MB", 20), ("KB",
 TIME_FORMAT = "%4d:%02d:%02d"
 METRIC_LINE_FORMAT = "\t%-25s => Avg: %-17s, Max: %-17s,Ratio: %.2f%s"
 SKEW_MARK = " <---"
+STAGE_HEADER_FORMAT = ("[Stage Id: %d, Attempt Id: %d, Job Ids: (%s), Task Count: %d]\n"
+                       "[Stage Status: %s, Stage Name: %s] \n")
 
 
 def _idiv(a: Column, b: int) -> Column:
     """Integer division truncating toward zero (like JVM ``/`` on longs)."""
-    return F.try_divide(a - a % F.lit(b), F.lit(b)).cast("long")
+    return ((a - a % F.lit(b)) / F.lit(b)).cast("long")
 
 
 def pretty_time(seconds: Column) -> Column:
@@ -58,7 +60,6 @@ def stage_block(stage_id: Column, attempt_id: Column, job_ids: Column, task_coun
                 stage_status: Column, stage_name: Column, task_agg: Column) -> Column:
     """Two header lines and one line per metric, as one text block."""
     header = F.format_string(
-        "[Stage Id: %d, Attempt Id: %d, Job Ids: (%s), Task Count: %d]\n[Stage Status: %s, Stage Name: %s] \n",
-        stage_id, attempt_id, F.array_join(job_ids.cast("array<string>"), ","), task_count,
+        STAGE_HEADER_FORMAT, stage_id, attempt_id, F.array_join(job_ids.cast("array<string>"), ","), task_count,
         stage_status, stage_name)
     return F.concat(header, F.array_join(F.transform(task_agg, metric_text), "\n"))

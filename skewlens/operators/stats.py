@@ -57,7 +57,8 @@ STATS_COLUMNS = STAGE_KEYS + [
     "avgShuffleBytesWritten", "maxShuffleBytesWritten",
 ]
 
-# (metric label, avg column, max column, unit) in report order.
+# Metric display names, in report order, with their statistics columns
+# and unit: (metric label, avg column, max column, unit).
 STAT_METRICS = [
     ("Duration (HH:mm:ss)", "avgDuration", "maxDuration", "seconds"),
     ("Bytes Read", "avgBytesRead", "maxBytesRead", "bytes"),
