@@ -214,10 +214,13 @@ def q_src_task_list(spark, sf):
 def q_src_required_fields(spark, sf):
     good, bad = required_stages(_stages(spark, sf, damaged=True), mode="quarantine")
     docs = good.withColumn("missing", F.array().cast("array<string>")).unionByName(bad)
-    return (docs.groupBy("app_id", "stageId", "attemptId")
-                .agg((F.max(F.size("missing")) == 0).alias("accepted"),
-                     F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))), ",")
-                     .alias("missing")))
+    # One row per (document, missing field); the set per attempt is bounded by the number of
+    # distinct field names however many documents an attempt is split into.
+    reasons = docs.select("app_id", "stageId", "attemptId", F.size("missing").alias("n_missing"),
+                          F.explode_outer("missing").alias("reason"))
+    return (reasons.groupBy("app_id", "stageId", "attemptId")
+                   .agg((F.max("n_missing") == 0).alias("accepted"),
+                        F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("missing")))
 
 
 def q_report_sink(spark, sf):
