@@ -5,7 +5,7 @@ de-dup window and the aggregate reuse that partitioning.  It ships every row (no
 window limit) and puts a whole stage into one task.  Prints seconds, shuffle bytes and the
 largest reducer input of each variant (from an event log in a fresh scratch folder).
 
-usage: python tools/exchange_variants.py [sf_dir] [hot_share]
+usage: python tools/exchange_variants.py [sf_dir | events.parquet] [hot_share]
 ``hot_share`` > 0 moves that share of the events into one stage (user) to show skew.
 """
 
@@ -29,7 +29,7 @@ from skewlens.operators.tasks import dedup_tasks  # noqa: E402
 from skewlens.plans.analyze import stats_from_tasks  # noqa: E402
 from skewlens.schemas import METRICS, STAGE_KEYS  # noqa: E402
 from skewlens.session import get_session  # noqa: E402
-from skewlens.sources.testdata import events_tasks, read_table  # noqa: E402
+from skewlens.sources.testdata import TABLE_SCHEMAS, events_tasks, read_table  # noqa: E402
 
 
 def one_exchange(tasks):
@@ -41,14 +41,14 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     hot = float(sys.argv[2]) if len(sys.argv) > 2 else 0.0
     logdir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark = get_session("local[8]", shuffle_partitions=16, **{
-        "spark.eventLog.enabled": "true", "spark.eventLog.dir": logdir,
+    spark = get_session("local[8]", shuffle_partitions=16 if not sf.endswith(".parquet") else 64, **{
+        "spark.eventLog.enabled": "true", "spark.eventLog.dir": logdir, "spark.driver.memory": "16g",
         "spark.sql.adaptive.coalescePartitions.enabled": "false"})
-    events = read_table(spark, sf, "events")
+    events = (spark.read.schema(TABLE_SCHEMAS["events"]).parquet(sf) if sf.endswith(".parquet")
+              else read_table(spark, sf, "events"))
     if hot > 0:
         events = events.withColumn("user_id", F.when(F.rand(7) < hot, F.lit(0)).otherwise(F.col("user_id")))
-    tasks = events_tasks(events).cache()
-    tasks.count()
+    tasks = events_tasks(events)
     marks = {}
     for name, fn in [("two_exchanges", stats_from_tasks), ("one_exchange", one_exchange)] * 2:
         spark.sparkContext.setJobGroup(name, name)
