@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skewlens.functions.format import display_ratio
 from skewlens.operators.jobs import attach_job_ids
-from skewlens.operators.stats import STAT_METRICS, STATS_COLUMNS
+from skewlens.operators.stats import STAT_METRICS
 
 # Fixed values of the analysis.
 DEFAULT_THRESHOLD = 3.0

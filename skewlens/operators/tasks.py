@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skewlens.schemas import FLAT_TASK_COLUMNS, STAGE_KEYS
+from skewlens.schemas import STAGE_KEYS
 
 
 def project_stage(stages: DataFrame) -> DataFrame:
@@ -84,8 +84,9 @@ def latest_attempt(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 def dedup_tasks(tasks: DataFrame, task_key: str = "taskId") -> DataFrame:
     """One row per task of a stage attempt: a successful attempt first, then the latest.
 
-    Remaining columns break ties so the pick never depends on input order.
-    ``task_key="index"`` is not available on the flat table; the default keys on ``taskId``.
+    ``task_key`` names the column that identifies a task within an attempt (``taskId``).
+    Remaining columns break ties so the pick never depends on input order, and a
+    partition recomputed after an executor loss picks the same rows.
     """
     # Same key set as STAGE_KEYS + task key; high-cardinality integers first so the sort
     # that feeds the window compares on a selective 8-byte prefix (a 25 % faster sort at
@@ -96,12 +97,6 @@ def dedup_tasks(tasks: DataFrame, task_key: str = "taskId") -> DataFrame:
     return latest_attempt(tasks, keys, order).select(*tasks.columns)
 
 
-__all__ = [
-    "project_stage", "derive_shuffle_read", "flat_task_columns", "explode_tasks",
-    "flatten_task_records", "status_rank", "latest_attempt", "dedup_tasks", "FLAT_TASK_COLUMNS",
-]
-
-
 # Every decoded task field: (output name, path inside the task struct).
 TASK_FIELD_PATHS = [
     ("taskId", "taskId"), ("attempt", "attempt"), ("launchTime", "launchTime"), ("duration", "duration"),

@@ -1,7 +1,6 @@
 """Random task sets: the Spark analysis equals a direct Python computation."""
 
 import math
-import random
 
 from hypothesis import given, settings, strategies as st
 
