@@ -20,9 +20,9 @@ from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_
                                       flatten_task_records, latest_attempt, project_stage, status_rank)
 from skewlens.plans.analyze import analyze_tasks, stats_from_tasks
 from skewlens.schemas import STAGE_KEYS
-from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, required_stages
+from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, read_task_table, required_stages
 from skewlens.session import scratch_path
-from skewlens.sources.sinks import REPORT_SEPARATOR, stats_json, write_measures, write_report
+from skewlens.sources.sinks import REPORT_SEPARATOR, stats_json, write_measures, write_report, write_task_table
 from skewlens.sources.testdata import events_jobs, events_tasks, read_table, write_payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +223,13 @@ def q_src_required_fields(spark, sf):
                         F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("missing")))
 
 
+def q_task_table(spark, sf):
+    """Flat task rows converted once to parquet by app, then read back for analysis."""
+    path = scratch_path(spark, "tasks-parquet")
+    write_task_table(explode_tasks(_stages(spark, sf)), path)
+    return read_task_table(spark, path)
+
+
 def q_report_sink(spark, sf):
     """Write the ranked report as text (blank-line separated) and read the blocks back."""
     path = scratch_path(spark, "report")
@@ -299,6 +306,7 @@ QUERIES: dict[str, Query] = {
     "project_stage": q_project_stage,
     "explode_tasks": q_explode_tasks,
     "derive_shuffle_read": q_derive_shuffle_read,
+    "task_table": q_task_table,
     "report_sink": q_report_sink,
     "measures_sink": q_measures_sink,
     # the generic forms on a second table
@@ -581,6 +589,7 @@ FROM ({DAMAGED_PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId""",
 SELECT app_id, stageId, attemptId, stageName, stageStatus, numTasks, count(*) AS n_tasks
 FROM ({PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId, stageName, stageStatus, numTasks""",
     "explode_tasks": TASK_SQL,
+    "task_table": TASK_SQL,
     "derive_shuffle_read": f"""
 SELECT app_id, stageId, attemptId, taskId, attempt, shuffleRemoteBytesRead, shuffleLocalBytesRead,
        shuffleRemoteBytesRead + shuffleLocalBytesRead AS shuffleBytesRead FROM ({PAYLOAD_SQL})""",

@@ -46,6 +46,15 @@ def read_stages_stream(spark: SparkSession, path: str, max_files_per_trigger: in
     return reader.json(path)
 
 
+def read_task_table(spark: SparkSession, path: str) -> DataFrame:
+    """Flat task rows written by ``write_task_table`` (``app_id`` from the folders)."""
+    from skewlens.schemas import FLAT_TASK_COLUMNS
+    schema = ("stageId int, attemptId int, stageName string, stageStatus string, numTasks int, taskId bigint, "
+              "attempt int, status string, duration bigint, resultSize bigint, jvmGcTime bigint, bytesRead bigint, "
+              "bytesWritten bigint, shuffleBytesRead bigint, shuffleBytesWritten bigint, app_id string")
+    return spark.read.schema(schema).parquet(path).select(*FLAT_TASK_COLUMNS)
+
+
 def read_jobs(spark: SparkSession, path, multi_line: bool = False, app_id: str | None = None) -> DataFrame:
     """Job payloads: app_id, jobId, name, submissionTime, completionTime, stageIds."""
     return _read(spark, path, JOB, multi_line, app_id)

@@ -53,3 +53,20 @@ def test_hot_stage_is_spread_over_reducers(spark):
         spark.conf.set(conf, old)
     assert len(parts) >= 4
     assert max(r["count"] for r in parts) < 3000 / 2
+
+
+def test_task_table_prunes_apps_pushes_stage_filters_and_columns(spark, tmp_dir):
+    from skewlens.plans.analyze import stats_from_tasks
+    from skewlens.sources.payloads import read_task_table
+    from skewlens.sources.sinks import write_task_table
+    rows = [dict(app_id=f"app-{a}", stageId=s, taskId=t, duration=100 * t) for a in range(3) for s in range(4)
+            for t in range(5)]
+    write_task_table(flat_rows(spark, rows), f"{tmp_dir}/tasks")
+    table = read_task_table(spark, f"{tmp_dir}/tasks")
+    one = table.filter((F.col("app_id") == "app-1") & (F.col("stageId") == 2))
+    text = plan(stats_from_tasks(one))
+    assert "PartitionFilters: [isnotnull(app_id" in text and "app-1" in text
+    assert "PushedFilters: [IsNotNull(stageId), EqualTo(stageId,2)]" in text
+    read_schema = [ln for ln in text.splitlines() if ln.startswith("ReadSchema")][0]
+    assert "resultSize" not in read_schema and "jvmGcTime" not in read_schema
+    assert one.count() == 5
