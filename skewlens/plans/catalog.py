@@ -19,9 +19,9 @@ from skewlens.operators.stats import STATS_COLUMNS, group_skew_stats, stage_stat
 from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_task_fields, explode_tasks,
                                       flatten_task_records, latest_attempt, project_stage, status_rank)
 from skewlens.plans.analyze import analyze_tasks, stats_from_tasks
-from skewlens.schemas import STAGE_KEYS
-from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, read_task_table, required_stages
+from skewlens.schemas import METRICS, STAGE_KEYS
 from skewlens.session import scratch_path
+from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, read_task_table, required_stages
 from skewlens.sources.sinks import REPORT_SEPARATOR, stats_json, write_measures, write_report, write_task_table
 from skewlens.sources.testdata import events_jobs, events_tasks, read_table, write_payloads
 
@@ -51,7 +51,7 @@ def task_stats(spark, sf):
 
 
 def gate_stats(spark, sf):
-    # The gate view has no retries worth resolving: statistics straight from the rows.
+    # The gate view is aggregated without the de-dup step, by design of the view.
     return stage_stats(gate_view(spark, sf))
 
 
@@ -69,9 +69,10 @@ def _stages(spark, sf, damaged=False):
     return read_stages(spark, _payloads(spark, sf, damaged)["stages"])
 
 
-# (metric column stem, flag / ratio / text stems) in report order
+# Metric name stems in report order: as in the statistics columns (avg<Stem>, max<Stem>)
+# and as in derived column names (<metric>Ratio).
 STEMS = ["Duration", "BytesRead", "BytesWritten", "ShuffleBytesRead", "ShuffleBytesWritten"]
-LOWER = ["duration", "bytesRead", "bytesWritten", "shuffleBytesRead", "shuffleBytesWritten"]
+LOWER = METRICS
 
 
 def q_dedup_tasks(spark, sf):
