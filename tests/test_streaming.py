@@ -28,3 +28,16 @@ def test_stream_matches_batch(spark, tmp_dir):
     want = sorted(tuple(r) for r in stats_from_stages(good).collect())
     assert got == want and len(got) == 2
     assert spark.read.json(f"{tmp_dir}/bad").count() == 1
+
+
+def test_stream_restart_processes_only_new_files(spark, tmp_dir):
+    src = f"{tmp_dir}/in"
+    _drop(f"{src}/app_id=a/1.json", [stage_json(1, 0, [task_json(i, duration=10 * i) for i in range(4)])])
+    args = (spark, src, f"{tmp_dir}/out", f"{tmp_dir}/ckpt")
+    start_stage_stats_stream(*args, available_now=True).awaitTermination(120)
+    start_stage_stats_stream(*args, available_now=True).awaitTermination(120)   # nothing new
+    assert read_stream_stats(spark, f"{tmp_dir}/out").count() == 1
+    _drop(f"{src}/app_id=a/2.json", [stage_json(2, 0, [task_json(9, duration=5)])])
+    start_stage_stats_stream(*args, available_now=True).awaitTermination(120)
+    got = sorted((r.stageId, r.batch) for r in read_stream_stats(spark, f"{tmp_dir}/out").collect())
+    assert [s for s, _ in got] == [1, 2] and got[0][1] < got[1][1]
