@@ -12,15 +12,23 @@ def stage_job_pairs(jobs: DataFrame) -> DataFrame:
                .select("app_id", "stageId", "jobId")
 
 
-def stage_to_jobs(jobs: DataFrame) -> DataFrame:
-    """Invert job -> stages into stage -> ascending list of job ids (no de-dup).
+def jobs_by_stage(pairs: DataFrame) -> DataFrame:
+    """(app_id, stageId, jobId) pairs -> one row per stage with its ascending job ids.
 
     A list holds one entry per job that lists the stage, so it is bounded by the
     app's job count; the aggregate is partial before the shuffle.
     """
-    return (stage_job_pairs(jobs)
-            .groupBy("app_id", "stageId")
-            .agg(F.array_sort(F.collect_list("jobId")).alias("jobIds")))
+    return (pairs.groupBy("app_id", "stageId")
+                 .agg(F.array_sort(F.collect_list("jobId")).alias("jobIds")))
+
+
+def stage_to_jobs(jobs: DataFrame) -> DataFrame:
+    """Invert job -> stages into stage -> ascending list of job ids (no de-dup).
+
+    A job may be stored as several records (same job fields, a slice of its stage ids
+    each); exploding them gives the same pairs.
+    """
+    return jobs_by_stage(stage_job_pairs(jobs))
 
 
 def stages_with_jobs(df: DataFrame, stage_jobs: DataFrame) -> DataFrame:

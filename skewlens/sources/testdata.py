@@ -154,19 +154,38 @@ def events_tasks(events: DataFrame, view: str = "task") -> DataFrame:
     return _with_k(events).select(*[c.alias(n) for n, c in cols.items()])
 
 
-def events_jobs(events: DataFrame) -> DataFrame:
-    """Job payload rows: one job per (app, day) with its signup users as stage ids."""
-    signups = events.filter(F.col("event_type") == "signup")
-    return (signups
-            .groupBy(F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")).alias("app_id"),
-                     F.dayofmonth("ts").alias("jobId"))
-            .agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"),
-                 F.array_sort(F.collect_set(F.col("user_id").cast("int"))).alias("stageIds"))
-            .select("app_id", "jobId",
-                    F.concat(F.lit("job "), F.col("jobId").cast("string")).alias("name"),
-                    F.date_format("t0", LAUNCH_FORMAT).alias("submissionTime"),
-                    F.date_format("t1", LAUNCH_FORMAT).alias("completionTime"),
-                    "stageIds"))
+def _signups(events: DataFrame) -> DataFrame:
+    return (events.filter(F.col("event_type") == "signup")
+                  .select(F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")).alias("app_id"),
+                          F.dayofmonth("ts").alias("jobId"), F.col("user_id").cast("int").alias("stageId"), "ts"))
+
+
+def events_stage_job_pairs(events: DataFrame) -> DataFrame:
+    """(app_id, stageId, jobId) of the job mapping, straight from the events: each user
+    with a signup that day, once per job (a partial-aggregated distinct, no per-job list)."""
+    return _signups(events).select("app_id", "stageId", "jobId").distinct()
+
+
+def events_jobs(events: DataFrame, stages_per_record: int = 10_000) -> DataFrame:
+    """Job payload rows: one job per (app, day) with its signup users as stage ids.
+
+    In this mapping a job's stage list grows with the data, so a job with many stages is
+    written as several records (same job fields, a hash slice of about
+    ``stages_per_record`` stage ids each); readers explode them into the same pairs.
+    """
+    signups = _signups(events)
+    per_job = signups.groupBy("app_id", "jobId").agg(
+        F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.countDistinct("stageId").alias("_n"))
+    chunked = (signups.select("app_id", "jobId", "stageId").distinct()
+               .join(per_job, ["app_id", "jobId"])
+               .withColumn("_chunk", F.pmod(F.xxhash64("stageId"), F.ceil(F.col("_n") / stages_per_record))))
+    return (chunked.groupBy("app_id", "jobId", "t0", "t1", "_chunk")
+                   .agg(F.array_sort(F.collect_list("stageId")).alias("stageIds"))
+                   .select("app_id", "jobId",
+                           F.concat(F.lit("job "), F.col("jobId").cast("string")).alias("name"),
+                           F.date_format("t0", LAUNCH_FORMAT).alias("submissionTime"),
+                           F.date_format("t1", LAUNCH_FORMAT).alias("completionTime"),
+                           "stageIds"))
 
 
 def stage_documents(rows: DataFrame, tasks_per_doc: int = 1000) -> DataFrame:

@@ -96,3 +96,17 @@ def test_stats_json_renders_every_column(spark, tmp_dir):
     doc = json.loads(row.json)
     assert doc["avgDuration"] == 1.5 and doc["maxDuration"] == 1 and doc["stageName"] == "stage"
     assert list(doc)[:3] == ["stageId", "attemptId", "stageName"]
+
+
+def test_job_records_split_by_stage_count_give_the_same_lookup(spark):
+    from pyspark.sql import functions as F
+    from skewlens.operators.jobs import jobs_by_stage, stage_to_jobs
+    from skewlens.sources.testdata import events_jobs, events_stage_job_pairs, read_table
+    events = read_table(spark, "/root/testdata/sf0.001", "events")
+    small = events_jobs(events, stages_per_record=2)
+    assert small.agg(F.max(F.size("stageIds"))).first()[0] <= 6          # hash slices of about 2
+    assert small.count() > events_jobs(events).count()
+    def lookup(df):
+        return sorted((r.app_id, r.stageId, tuple(r.jobIds)) for r in df.collect())
+    want = lookup(stage_to_jobs(events_jobs(events)))
+    assert lookup(stage_to_jobs(small)) == want == lookup(jobs_by_stage(events_stage_job_pairs(events)))

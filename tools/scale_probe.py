@@ -22,10 +22,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from skewlens.operators.jobs import stage_to_jobs  # noqa: E402
+from skewlens.operators.jobs import jobs_by_stage  # noqa: E402
 from skewlens.plans.analyze import analyze_tasks, stats_from_tasks  # noqa: E402
 from skewlens.session import get_session  # noqa: E402
-from skewlens.sources.testdata import TABLE_SCHEMAS, events_jobs, events_tasks  # noqa: E402
+from skewlens.sources.testdata import TABLE_SCHEMAS, events_stage_job_pairs, events_tasks  # noqa: E402
 
 
 def main():
@@ -58,7 +58,7 @@ def main():
         stats_from_tasks(events_tasks(events)).write.format("noop").mode("overwrite").save()
         out[f"stats_s_{rnd}"] = round(time.perf_counter() - t0, 2)
         t0 = time.perf_counter()
-        rep = analyze_tasks(events_tasks(events), stage_to_jobs(events_jobs(events)), 8.0)
+        rep = analyze_tasks(events_tasks(events), jobs_by_stage(events_stage_job_pairs(events)), 8.0)
         rep.write.format("noop").mode("overwrite").save()
         out[f"report_s_{rnd}"] = round(time.perf_counter() - t0, 2)
     out["rows_per_s_stats"] = int(rows / out["stats_s_1"])
