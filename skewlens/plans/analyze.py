@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skewlens.functions.format import stage_block
 from skewlens.operators.jobs import attach_job_ids, stage_to_jobs
-from skewlens.operators.skew import DEFAULT_THRESHOLD, rank_order, stage_skew
+from skewlens.operators.skew import DEFAULT_THRESHOLD, stage_skew
 from skewlens.operators.stats import stage_stats
 from skewlens.operators.tasks import dedup_tasks, explode_tasks
 from skewlens.schemas import METRICS, STAGE_KEYS
@@ -58,8 +58,9 @@ def analyze_tasks(tasks: DataFrame, stage_jobs: DataFrame, threshold: float = DE
     if materialize:
         ensure_checkpoint_dir(stats.sparkSession)
         stats = stats.checkpoint(eager=True)
-    measures = stage_skew(stats, stage_jobs, threshold, ordered=False)
-    return with_report_block(measures).orderBy(*rank_order())
+    # Sort the compact measures, then render: the range-partitioned sort samples its input
+    # before shuffling it, and the text would otherwise be built on both passes.
+    return with_report_block(stage_skew(stats, stage_jobs, threshold, ordered=True))
 
 
 def analyze(jobs: DataFrame, stages: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
