@@ -44,15 +44,17 @@ def flat_task_columns(task: str | None = "task") -> list[Column]:
     ]
 
 
-def explode_tasks(stages: DataFrame) -> DataFrame:
+def explode_tasks(stages: DataFrame, with_index: bool = False) -> DataFrame:
     """One flat row per (stage attempt, task).
 
     The explode is an inner one: an attempt without tasks yields no rows, exactly as
     the analysis expects.  Map keys (task ids as text) are dropped; values are kept.
+    ``with_index`` appends the task's ``index`` (for ``dedup_tasks(task_key="index")``).
     """
     exploded = project_stage(stages).select(
         *STAGE_KEYS, F.explode(F.map_values("tasks")).alias("task"))
-    return exploded.select(*STAGE_KEYS, *flat_task_columns("task"))
+    extra = [F.col("task.index").alias("index")] if with_index else []
+    return exploded.select(*STAGE_KEYS, *flat_task_columns("task"), *extra)
 
 
 def flatten_task_records(records: DataFrame) -> DataFrame:
@@ -69,12 +71,16 @@ def status_rank(status: Column) -> Column:
     return F.when(status.like("SUCCESS"), F.lit(1)).otherwise(F.lit(2))
 
 
-def latest_attempt(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Keep the first row per ``keys`` under ``order`` (a total order gives a deterministic pick).
+def latest_attempt(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                   prefer: Column | None = None) -> DataFrame:
+    """Keep one row per ``keys``: rows where ``prefer`` is true first (NULL counts as
+    false), then the first under ``order`` (a total order gives a deterministic pick).
 
     ``row_number() = 1`` lets Catalyst insert a partial WindowGroupLimit before the shuffle,
     so a key repeated across many input partitions sends at most one row per partition.
     """
+    if prefer is not None:
+        order = [F.when(prefer, F.lit(1)).otherwise(F.lit(2)).asc(), *order]
     window = Window.partitionBy(*keys).orderBy(*order)
     return (df.withColumn("_rn", F.row_number().over(window))
               .filter(F.col("_rn") == 1)
@@ -84,7 +90,9 @@ def latest_attempt(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 def dedup_tasks(tasks: DataFrame, task_key: str = "taskId") -> DataFrame:
     """One row per task of a stage attempt: a successful attempt first, then the latest.
 
-    ``task_key`` names the column that identifies a task within an attempt (``taskId``).
+    ``task_key`` names the column that identifies a task within an attempt: ``taskId``
+    (default, as the original analysis) or ``index`` (rows from ``explode_tasks(...,
+    with_index=True)``), which also folds retries that Spark gave new task ids.
     Remaining columns break ties so the pick never depends on input order, and a
     partition recomputed after an executor loss picks the same rows.
     """

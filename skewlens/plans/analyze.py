@@ -17,15 +17,15 @@ from skewlens.schemas import METRICS, STAGE_KEYS
 from skewlens.session import ensure_checkpoint_dir
 
 
-def stats_from_tasks(tasks: DataFrame) -> DataFrame:
+def stats_from_tasks(tasks: DataFrame, task_key: str = "taskId") -> DataFrame:
     """Flat task rows -> one attempt per task -> per-stage-attempt statistics.
 
     Only the columns the statistics need cross the de-duplication shuffle; the
     tie-breakers are then the metrics themselves, so the result stays deterministic
     when a lost partition is recomputed.
     """
-    needed = STAGE_KEYS + ["taskId", "attempt", "status"] + METRICS
-    return stage_stats(dedup_tasks(tasks.select(*needed)))
+    needed = STAGE_KEYS + [task_key, "attempt", "status"] + METRICS
+    return stage_stats(dedup_tasks(tasks.select(*needed), task_key))
 
 
 def stats_from_stages(stages: DataFrame) -> DataFrame:

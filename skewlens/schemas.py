@@ -30,6 +30,7 @@ TASK_METRICS = _struct(
 
 TASK = _struct(
     taskId=LONG,
+    index=INT,          # logical task within the stage (shared by its retries); optional
     attempt=INT,
     launchTime=STR,
     duration=LONG,

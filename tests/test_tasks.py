@@ -44,3 +44,24 @@ def test_dedup_keeps_schema_and_is_idempotent(spark):
     assert once.columns == df.columns
     assert sorted(once.collect()) == sorted(dedup_tasks(once).collect())
     assert once.count() == once.select("taskId").distinct().count() == 3
+
+
+def test_index_key_folds_retries_with_new_task_ids(spark, tmp_dir):
+    from skewlens.plans.analyze import stats_from_tasks
+    failed = dict(task_json(31, duration=90_000, status="FAILED"), index=3)
+    retry = dict(task_json(52, duration=1_000, attempt=1), index=3)
+    other = dict(task_json(32, duration=1_000), index=4)
+    write_json(f"{tmp_dir}/stages/app_id=a/s.json", [stage_json(1, 0, [failed, retry, other])])
+    stages = read_stages(spark, f"{tmp_dir}/stages", multi_line=True)
+    by_id = stats_from_tasks(explode_tasks(stages)).first()
+    by_index = stats_from_tasks(explode_tasks(stages, with_index=True), task_key="index").first()
+    assert (by_id.maxDuration, by_index.maxDuration) == (90, 1)     # the failed try no longer counts
+    assert dedup_tasks(explode_tasks(stages, with_index=True), "index").count() == 2
+
+
+def test_latest_attempt_prefer_then_order(spark):
+    from skewlens.operators.tasks import latest_attempt
+    df = spark.createDataFrame([(1, None, 5), (1, True, 1), (1, False, 9), (2, None, 3), (2, False, 4)],
+                               "k int, ok boolean, v int")
+    got = sorted(tuple(r) for r in latest_attempt(df, ["k"], [F.col("v").desc()], prefer=F.col("ok")).collect())
+    assert got == [(1, True, 1), (2, False, 4)]
