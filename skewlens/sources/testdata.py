@@ -169,23 +169,22 @@ def events_stage_job_pairs(events: DataFrame) -> DataFrame:
 def events_jobs(events: DataFrame, stages_per_record: int = 10_000) -> DataFrame:
     """Job payload rows: one job per (app, day) with its signup users as stage ids.
 
-    In this mapping a job's stage list grows with the data, so a job with many stages is
-    written as several records (same job fields, a hash slice of about
-    ``stages_per_record`` stage ids each); readers explode them into the same pairs.
+    In this mapping a job's stage list grows with the data, so a job is written as one
+    record per range of ``stages_per_record`` consecutive stage ids (same job fields in
+    each).  Stage ids of a job are distinct integers, so no record holds more than that
+    many; readers explode the records into the same (stage, job) pairs.
     """
     signups = _signups(events)
-    per_job = signups.groupBy("app_id", "jobId").agg(
-        F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.countDistinct("stageId").alias("_n"))
-    chunked = (signups.select("app_id", "jobId", "stageId").distinct()
-               .join(per_job, ["app_id", "jobId"])
-               .withColumn("_chunk", F.pmod(F.xxhash64("stageId"), F.ceil(F.col("_n") / stages_per_record))))
-    return (chunked.groupBy("app_id", "jobId", "t0", "t1", "_chunk")
-                   .agg(F.array_sort(F.collect_list("stageId")).alias("stageIds"))
-                   .select("app_id", "jobId",
-                           F.concat(F.lit("job "), F.col("jobId").cast("string")).alias("name"),
-                           F.date_format("t0", LAUNCH_FORMAT).alias("submissionTime"),
-                           F.date_format("t1", LAUNCH_FORMAT).alias("completionTime"),
-                           "stageIds"))
+    per_job = signups.groupBy("app_id", "jobId").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    slices = (signups.select("app_id", "jobId", "stageId").distinct()
+              .groupBy("app_id", "jobId", F.floor(F.col("stageId") / stages_per_record).alias("_slice"))
+              .agg(F.array_sort(F.collect_list("stageId")).alias("stageIds")))
+    return (slices.join(per_job, ["app_id", "jobId"])
+                  .select("app_id", "jobId",
+                          F.concat(F.lit("job "), F.col("jobId").cast("string")).alias("name"),
+                          F.date_format("t0", LAUNCH_FORMAT).alias("submissionTime"),
+                          F.date_format("t1", LAUNCH_FORMAT).alias("completionTime"),
+                          "stageIds"))
 
 
 def stage_documents(rows: DataFrame, tasks_per_doc: int = 1000) -> DataFrame:
