@@ -1,6 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
-env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_SHUFFLE_PARTITIONS
+(default: one per core; AQE coalesces further).
 Each query runs to completion through the ``noop`` sink (no collect).  Payload files for
 the source-path queries are derived once before timing starts, and one untimed pass over
 the queries warms the JVM (class loading, JIT) so the numbers show steady-state plans.
@@ -29,7 +30,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
                         **{"spark.driver.memory": "8g"})
     spark.range(1000).selectExpr("sum(id)").collect()          # JVM warm-up
     write_payloads(spark, sf_dir, "task")
