@@ -70,7 +70,7 @@ def stage_json(stage_id, attempt_id, tasks, name="stage", status="COMPLETE", num
          "numTasks": len(tasks) if num_tasks is None else num_tasks, "numCompleteTasks": len(tasks),
          "numFailedTasks": 0, "firstTaskLaunchedTime": "2026-03-04T05:06:07.000GMT",
          "completionTime": "2026-03-04T05:09:07.000GMT",
-         "tasks": {str(t["taskId"]): t for t in tasks}}
+         "tasks": {str(t.get("taskId", f"no-id-{i}")): t for i, t in enumerate(tasks)}}
     d.update(extra)
     return d
 
