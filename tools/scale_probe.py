@@ -1,7 +1,8 @@
 """Scale-up measurement: the analysis on N stacked copies of ``events`` (optionally skewed).
 
 Copies get disjoint user / event ids, so stage and task counts grow with N.  With
-``--hot`` a share of all rows is moved into one stage (user 0) to test the skew handling.
+``--hot`` a share of all rows is moved into one stage (user 0) to test the skew handling;
+``--hot-task`` also puts them on one task id and one day, so a single de-dup key holds them.
 Writes the enlarged table once into a fresh scratch folder, then times:
   stats   : explode-free flat rows -> de-dup -> statistics (noop sink)
   report  : the full analysis (statistics checkpointed, gate, skew filter, jobs, ranking)
@@ -32,6 +33,8 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--copies", type=int, default=100)
     ap.add_argument("--hot", type=float, default=0.0)
+    ap.add_argument("--hot-task", action="store_true",
+                    help="also give the hot rows one task id and one day: a single de-dup key")
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
     ap.add_argument("--partitions", type=int, default=64)
     a = ap.parse_args()
@@ -46,13 +49,18 @@ def main():
     if a.hot > 0:  # deterministic: a hash of the event id picks the rows moved into stage 0
         pick = F.pmod(F.xxhash64("event_id"), F.lit(10_000)) < int(a.hot * 10_000)
         big = big.withColumn("user_id", F.when(pick, F.lit(0)).otherwise(F.col("user_id")))
+        if a.hot_task:
+            big = (big.withColumn("props", F.when(pick, F.lit('{"k": 7}')).otherwise(F.col("props")))
+                      .withColumn("ts", F.when(pick, F.lit("2024-01-03 10:00:00").cast("timestamp_ntz"))
+                                  .otherwise(F.col("ts"))))
     path = f"{scratch}/events.parquet"
     t0 = time.perf_counter()
     big.repartition(a.partitions).write.parquet(path)
     write_s = time.perf_counter() - t0
     events = spark.read.schema(TABLE_SCHEMAS["events"]).parquet(path)
     rows = events.count()
-    out = {"copies": a.copies, "hot_share": a.hot, "rows": rows, "write_s": round(write_s, 2)}
+    out = {"copies": a.copies, "hot_share": a.hot, "hot_task": a.hot_task, "rows": rows,
+           "write_s": round(write_s, 2)}
     for rnd in range(2):
         t0 = time.perf_counter()
         stats_from_tasks(events_tasks(events)).write.format("noop").mode("overwrite").save()
