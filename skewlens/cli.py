@@ -3,8 +3,10 @@
     spark-submit -m skewlens --payloads /data/payloads --out /data/reports/skew [--app-id app-1] [--threshold 3]
     python -m skewlens --payloads /data/payloads            # report to stdout
 
-``--payloads`` holds ``jobs/`` and ``stages/``, each with ``app_id=<id>/`` folders.  Without
-``--out`` the report is printed one partition at a time, never collected whole.
+``--payloads`` holds ``jobs/`` and ``stages/``, each with ``app_id=<id>/`` folders.  With
+``--convert-to`` the stage payloads are converted once (one JSON pass) into a parquet task
+table that later runs read with ``--tasks``.  Without ``--out`` the report is printed one
+partition at a time, never collected whole.
 """
 
 from __future__ import annotations
@@ -15,15 +17,21 @@ import sys
 from pyspark.sql import functions as F
 
 from skewlens.operators.skew import DEFAULT_THRESHOLD
-from skewlens.plans.analyze import analyze
+from skewlens.operators.jobs import stage_to_jobs
+from skewlens.operators.tasks import explode_tasks
+from skewlens.plans.analyze import analyze_tasks
 from skewlens.session import get_session
-from skewlens.sources.payloads import read_jobs, read_stages, required_jobs, required_stages
-from skewlens.sources.sinks import REPORT_SEPARATOR, write_measures, write_report
+from skewlens.sources.payloads import read_jobs, read_stages, read_task_table, required_jobs, required_stages
+from skewlens.sources.sinks import REPORT_SEPARATOR, convert_stages, write_measures, write_report
 
 
 def parse_args(argv):
     p = argparse.ArgumentParser(prog="skewlens", description="Find data skew in saved Spark task metrics.")
     p.add_argument("--payloads", required=True, help="folder with jobs/ and stages/ (app_id=<id>/ inside)")
+    p.add_argument("--convert-to", help="first convert stages/ into a parquet task table here (one JSON pass, "
+                                        "quarantined rows under valid=false), then analyse the table")
+    p.add_argument("--tasks", help="analyse this task table (from --convert-to or write_task_table) instead "
+                                   "of stages/")
     p.add_argument("--app-id", action="append", help="analyse only these applications (repeatable)")
     p.add_argument("--threshold", type=float, default=DEFAULT_THRESHOLD, help="max/avg ratio that counts as skew")
     p.add_argument("--out", help="write the text report here (overwrites); default: print it")
@@ -31,6 +39,7 @@ def parse_args(argv):
     p.add_argument("--quarantine-out", help="write rejected payload records here as JSON")
     p.add_argument("--multi-line", action="store_true", help="files are JSON arrays (saved REST responses)")
     p.add_argument("--strict", action="store_true", help="fail on any record with a missing field")
+    p.add_argument("--tasks-converted", action="store_true", help="--tasks was written by --convert-to")
     p.add_argument("--master", help="Spark master (default: from spark-submit)")
     return p.parse_args(argv)
 
@@ -47,11 +56,23 @@ def main(argv=None) -> int:
     if mode == "fail":
         jobs, stages = required_jobs(jobs, mode), required_stages(stages, mode)
     else:
-        (jobs, bad_jobs), (stages, bad_stages) = required_jobs(jobs), required_stages(stages)
+        jobs, bad_jobs = required_jobs(jobs)
         if args.quarantine_out:
             bad_jobs.write.mode("overwrite").json(f"{args.quarantine_out}/jobs")
-            bad_stages.drop("tasks").write.mode("overwrite").json(f"{args.quarantine_out}/stages")
-    report = analyze(jobs, stages, args.threshold)
+    if args.convert_to:
+        convert_stages(stages, args.convert_to)        # quarantined rows stay in the table (valid=false)
+        tasks = read_task_table(spark, args.convert_to, converted=True)
+    elif args.tasks:
+        tasks = read_task_table(spark, args.tasks, converted=args.tasks_converted)
+    else:
+        if mode == "quarantine":
+            stages, bad_stages = required_stages(stages)
+            if args.quarantine_out:
+                bad_stages.drop("tasks").write.mode("overwrite").json(f"{args.quarantine_out}/stages")
+        tasks = explode_tasks(stages)
+    if args.app_id:
+        tasks = tasks.filter(F.col("app_id").isin(args.app_id))
+    report = analyze_tasks(tasks, stage_to_jobs(jobs), args.threshold)
     if args.measures_out:
         write_measures(report.drop("block"), args.measures_out)
     if args.out:

@@ -19,10 +19,12 @@ from skewlens.operators.stats import STATS_COLUMNS, group_skew_stats, stage_stat
 from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_task_fields, explode_tasks,
                                       flatten_task_records, latest_attempt, project_stage, status_rank)
 from skewlens.plans.analyze import analyze_tasks, stats_from_tasks
-from skewlens.schemas import METRICS, STAGE_KEYS
+from skewlens.schemas import FLAT_TASK_COLUMNS, METRICS, STAGE_KEYS
 from skewlens.session import scratch_path
-from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, read_task_table, required_stages
-from skewlens.sources.sinks import REPORT_SEPARATOR, stats_json, write_measures, write_report, write_task_table
+from skewlens.sources.payloads import (TASK_TABLE_SCHEMA, read_jobs, read_stages, read_task_list, read_task_table,
+                                       required_stages)
+from skewlens.sources.sinks import (REPORT_SEPARATOR, convert_stages, stats_json, write_measures, write_report,
+                                    write_task_table)
 from skewlens.sources.testdata import (events_jobs, events_stage_job_pairs, events_tasks, read_table,
                                       write_payloads)
 
@@ -234,6 +236,14 @@ def q_task_table(spark, sf):
     return read_task_table(spark, path)
 
 
+def q_convert_stages(spark, sf):
+    """Payloads with some damaged tasks converted in one pass: valid and quarantined rows."""
+    path = scratch_path(spark, "converted")
+    convert_stages(_stages(spark, sf, damaged=True), path)
+    table = spark.read.schema(TASK_TABLE_SCHEMA + ", missing array<string>, valid boolean").parquet(path)
+    return table.select(*FLAT_TASK_COLUMNS, "valid", F.array_join("missing", ",").alias("missing"))
+
+
 def q_report_sink(spark, sf):
     """Write the ranked report as text (blank-line separated) and read the blocks back."""
     path = scratch_path(spark, "report")
@@ -311,6 +321,7 @@ QUERIES: dict[str, Query] = {
     "explode_tasks": q_explode_tasks,
     "derive_shuffle_read": q_derive_shuffle_read,
     "task_table": q_task_table,
+    "convert_stages": q_convert_stages,
     "report_sink": q_report_sink,
     "measures_sink": q_measures_sink,
     # the generic forms on a second table
@@ -369,13 +380,14 @@ FROM (SELECT *, {K} AS k FROM events)
 """
 
 
+# The flat task columns computed from payload rows.
+FLAT_FROM_PAYLOAD = """app_id, stageId, attemptId, stageName, stageStatus, numTasks, taskId, attempt, status,
+       duration, resultSize, jvmGcTime, bytesRead, bytesWritten,
+       shuffleRemoteBytesRead + shuffleLocalBytesRead AS shuffleBytesRead, shuffleBytesWritten"""
+
+
 def flat_sql(view: str = "task") -> str:
-    return f"""
-SELECT app_id, stageId, attemptId, stageName, stageStatus, numTasks, taskId, attempt, status, duration,
-       resultSize, jvmGcTime, bytesRead, bytesWritten, shuffleRemoteBytesRead + shuffleLocalBytesRead AS shuffleBytesRead,
-       shuffleBytesWritten
-FROM ({payload_sql(view)})
-"""
+    return f"SELECT {FLAT_FROM_PAYLOAD} FROM ({payload_sql(view)})"
 
 
 TASK_SQL = flat_sql("task")
@@ -594,6 +606,10 @@ SELECT app_id, stageId, attemptId, stageName, stageStatus, numTasks, count(*) AS
 FROM ({PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId, stageName, stageStatus, numTasks""",
     "explode_tasks": TASK_SQL,
     "task_table": TASK_SQL,
+    "convert_stages": f"""
+SELECT {FLAT_FROM_PAYLOAD}, NOT bad AS valid, CASE WHEN bad THEN 'tasks.executorId' ELSE '' END AS missing
+FROM (SELECT *, bool_or(executorId IS NULL) OVER (PARTITION BY app_id, stageId, attemptId) AS bad
+      FROM ({DAMAGED_PAYLOAD_SQL}))""",
     "derive_shuffle_read": f"""
 SELECT app_id, stageId, attemptId, taskId, attempt, shuffleRemoteBytesRead, shuffleLocalBytesRead,
        shuffleRemoteBytesRead + shuffleLocalBytesRead AS shuffleBytesRead FROM ({PAYLOAD_SQL})""",

@@ -46,13 +46,29 @@ def read_stages_stream(spark: SparkSession, path: str, max_files_per_trigger: in
     return reader.json(path)
 
 
-def read_task_table(spark: SparkSession, path: str) -> DataFrame:
-    """Flat task rows written by ``write_task_table`` (``app_id`` from the folders)."""
+TASK_TABLE_SCHEMA = ("stageId int, attemptId int, stageName string, stageStatus string, numTasks int, "
+                     "taskId bigint, attempt int, status string, duration bigint, resultSize bigint, "
+                     "jvmGcTime bigint, bytesRead bigint, bytesWritten bigint, shuffleBytesRead bigint, "
+                     "shuffleBytesWritten bigint, app_id string")
+
+
+def read_task_table(spark: SparkSession, path: str, converted: bool = False) -> DataFrame:
+    """Flat task rows written by ``write_task_table`` (``app_id`` from the folders).
+
+    ``converted=True`` reads a table written by ``convert_stages``: the filter on its
+    ``valid`` partition column means only the ``valid=true`` folders are listed and read.
+    """
     from skewlens.schemas import FLAT_TASK_COLUMNS
-    schema = ("stageId int, attemptId int, stageName string, stageStatus string, numTasks int, taskId bigint, "
-              "attempt int, status string, duration bigint, resultSize bigint, jvmGcTime bigint, bytesRead bigint, "
-              "bytesWritten bigint, shuffleBytesRead bigint, shuffleBytesWritten bigint, app_id string")
-    return spark.read.schema(schema).parquet(path).select(*FLAT_TASK_COLUMNS)
+    schema = TASK_TABLE_SCHEMA + (", valid boolean" if converted else "")
+    df = spark.read.schema(schema).parquet(path)
+    if converted:
+        df = df.filter(F.col("valid"))
+    return df.select(*FLAT_TASK_COLUMNS)
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Rows set aside by ``convert_stages``, with ``missing`` naming their gaps."""
+    return spark.read.parquet(path).filter(~F.col("valid"))
 
 
 def read_jobs(spark: SparkSession, path, multi_line: bool = False, app_id: str | None = None) -> DataFrame:

@@ -38,6 +38,28 @@ def write_task_table(tasks: DataFrame, path: str, mode: str = "overwrite") -> No
           .write.mode(mode).partitionBy("app_id").parquet(path))
 
 
+def convert_stages(stages: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One pass over stage payloads: check required fields, explode, write task rows.
+
+    Rows land in ``<path>/valid=true/app_id=<id>/`` (documents with every required field)
+    or ``<path>/valid=false/...`` with ``missing`` naming the gaps (a malformed record keeps
+    one row with NULL task fields).  Good and quarantined rows come out of the same scan of
+    the JSON; ``read_task_table(spark, path, converted=True)`` reads the valid side.
+    """
+    from skewlens.operators.tasks import flat_task_columns
+    from skewlens.schemas import STAGE_KEYS, STAGE_REQUIRED, TASK_REQUIRED
+    from skewlens.sources.payloads import missing_fields
+
+    tagged = stages.withColumn("missing", missing_fields(STAGE_REQUIRED, {"tasks": TASK_REQUIRED}))
+    rows = tagged.select(
+        "app_id", "stageId", "attemptId", F.col("name").alias("stageName"), F.col("status").alias("stageStatus"),
+        "numTasks", "missing", F.explode_outer(F.map_values("tasks")).alias("task"))
+    flat = rows.select(*STAGE_KEYS, *flat_task_columns("task"), "missing",
+                       (F.size("missing") == 0).alias("valid"))
+    (flat.sortWithinPartitions("app_id", "stageId", "attemptId", "taskId")
+         .write.mode(mode).partitionBy("valid", "app_id").parquet(path))
+
+
 def write_measures(measures: DataFrame, path: str) -> None:
     """The structured result (measures with nested metric list) as parquet by app."""
     measures.write.mode("overwrite").partitionBy("app_id").parquet(path)

@@ -110,3 +110,30 @@ def test_job_records_split_by_stage_count_give_the_same_lookup(spark):
         return sorted((r.app_id, r.stageId, tuple(r.jobIds)) for r in df.collect())
     want = lookup(stage_to_jobs(events_jobs(events)))
     assert lookup(stage_to_jobs(small)) == want == lookup(jobs_by_stage(events_stage_job_pairs(events)))
+
+
+def test_convert_stages_splits_good_and_quarantined_in_one_pass(spark, tmp_dir):
+    from skewlens.operators.tasks import explode_tasks
+    from skewlens.sources.payloads import read_quarantine, read_task_table
+    from skewlens.sources.sinks import convert_stages
+    write_json(f"{tmp_dir}/stages/app_id=a/s.json", [
+        stage_json(1, 0, [task_json(1, duration=5), task_json(2, duration=7)]),
+        stage_json(2, 0, [task_json(3, drop=("host",))]),
+    ])
+    stages = read_stages(spark, f"{tmp_dir}/stages", multi_line=True)
+    convert_stages(stages, f"{tmp_dir}/table")
+    good = read_task_table(spark, f"{tmp_dir}/table", converted=True)
+    want = explode_tasks(stages.filter("stageId = 1"))
+    assert sorted(good.collect()) == sorted(want.collect())
+    bad = read_quarantine(spark, f"{tmp_dir}/table").collect()
+    assert [(r.stageId, list(r.missing)) for r in bad] == [(2, ["tasks.host"])]
+    assert "PartitionFilters: [isnotnull(valid" in _plan(good)
+
+
+def _plan(df):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
