@@ -218,8 +218,7 @@ def q_src_task_list(spark, sf):
 
 
 def q_src_required_fields(spark, sf):
-    good, bad = required_stages(_stages(spark, sf, damaged=True), mode="quarantine")
-    docs = good.withColumn("missing", F.array().cast("array<string>")).unionByName(bad)
+    docs = required_stages(_stages(spark, sf, damaged=True), mode="tag")      # one pass over the JSON
     # One row per (document, missing field); the set per attempt is bounded by the number of
     # distinct field names however many documents an attempt is split into.
     reasons = docs.select("app_id", "stageId", "attemptId", F.size("missing").alias("n_missing"),

@@ -137,9 +137,13 @@ def check_required(df: DataFrame, required: list[str], nested: dict[str, list[st
     * ``mode="fail"``: returns ``df``; the first action raises if any record misses a field
       (one bad record fails the whole read).
     * ``mode="quarantine"``: returns ``(good, bad)``; ``bad`` carries ``missing`` (the field
-      names) so one bad application does not sink a batch of thousands.
+      names) so one bad application does not sink a batch of thousands.  Using both sides
+      reads the source twice; ``convert_stages`` splits in one pass.
+    * ``mode="tag"``: returns ``df`` with ``missing`` (empty when complete), one pass.
     """
     reasons = missing_fields(required, nested)
+    if mode == "tag":
+        return df.withColumn("missing", reasons)
     if mode == "fail":
         guard = F.when(F.size(reasons) > 0, F.raise_error(F.concat(
             F.lit("missing required fields: "), F.array_join(reasons, ", ")))).otherwise(F.lit(True))

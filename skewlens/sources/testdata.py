@@ -20,7 +20,7 @@ users with a 'signup' event that day as stage ids.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skewlens.operators.tasks import derive_shuffle_read
@@ -174,17 +174,16 @@ def events_jobs(events: DataFrame, stages_per_record: int = 10_000) -> DataFrame
     each).  Stage ids of a job are distinct integers, so no record holds more than that
     many; readers explode the records into the same (stage, job) pairs.
     """
-    signups = _signups(events)
-    per_job = signups.groupBy("app_id", "jobId").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    slices = (signups.select("app_id", "jobId", "stageId").distinct()
+    slices = (_signups(events)
               .groupBy("app_id", "jobId", F.floor(F.col("stageId") / stages_per_record).alias("_slice"))
-              .agg(F.array_sort(F.collect_list("stageId")).alias("stageIds")))
-    return (slices.join(per_job, ["app_id", "jobId"])
-                  .select("app_id", "jobId",
-                          F.concat(F.lit("job "), F.col("jobId").cast("string")).alias("name"),
-                          F.date_format("t0", LAUNCH_FORMAT).alias("submissionTime"),
-                          F.date_format("t1", LAUNCH_FORMAT).alias("completionTime"),
-                          "stageIds"))
+              .agg(F.min("ts").alias("s0"), F.max("ts").alias("s1"),
+                   F.array_sort(F.collect_set("stageId")).alias("stageIds")))
+    job = Window.partitionBy("app_id", "jobId")          # the few slices of one job
+    return slices.select("app_id", "jobId",
+                         F.concat(F.lit("job "), F.col("jobId").cast("string")).alias("name"),
+                         F.date_format(F.min("s0").over(job), LAUNCH_FORMAT).alias("submissionTime"),
+                         F.date_format(F.max("s1").over(job), LAUNCH_FORMAT).alias("completionTime"),
+                         "stageIds")
 
 
 def stage_documents(rows: DataFrame, tasks_per_doc: int = 1000) -> DataFrame:
