@@ -32,25 +32,51 @@ def _cap(name: str) -> str:
     return name[0].upper() + name[1:]
 
 
-def stage_stats(tasks: DataFrame) -> DataFrame:
-    """Per stage attempt: average and maximum duration (seconds) and byte counters.
+def stage_partials(tasks: DataFrame) -> DataFrame:
+    """Per stage attempt: ``sum_<m>``, ``n_<m>`` and ``max_<m>`` of every metric.
+
+    Partials of disjoint task sets merge exactly (``merge_partials``), which is what the
+    streaming path stores per micro-batch.
+    """
+    aggs = []
+    for m in METRICS:
+        aggs += [F.sum(m).alias(f"sum_{m}"), F.count(m).alias(f"n_{m}"), F.max(m).alias(f"max_{m}")]
+    return tasks.groupBy(*STAGE_KEYS).agg(*aggs)
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Combine partials of the same stage attempt (sums add up, maxima take the largest)."""
+    aggs = []
+    for m in METRICS:
+        aggs += [F.sum(f"sum_{m}").alias(f"sum_{m}"), F.sum(f"n_{m}").alias(f"n_{m}"),
+                 F.max(f"max_{m}").alias(f"max_{m}")]
+    return partials.groupBy(*STAGE_KEYS).agg(*aggs)
+
+
+def finalize_stats(partials: DataFrame) -> DataFrame:
+    """Partials -> the statistics columns.
 
     ``avgDuration`` is the exact mean in seconds (double).  ``maxDuration`` is the longest
     task in whole seconds, truncated; since truncation is monotone, truncating the
     maximum equals the maximum of truncated values.
     """
-    raw = group_skew_stats(tasks, STAGE_KEYS, METRICS)
     byte_cols = []
     for m in METRICS[1:]:
-        byte_cols += [F.col(f"avg_{m}").alias(f"avg{_cap(m)}"), F.col(f"max_{m}").alias(f"max{_cap(m)}")]
-    return raw.select(
+        byte_cols += [(F.col(f"sum_{m}") / F.col(f"n_{m}")).alias(f"avg{_cap(m)}"),
+                      F.col(f"max_{m}").alias(f"max{_cap(m)}")]
+    return partials.select(
         *STAGE_KEYS,
-        (F.col("avg_duration") / 1000).alias("avgDuration"),
+        (F.col("sum_duration") / F.col("n_duration") / 1000).alias("avgDuration"),
         F.expr("max_duration div 1000").alias("maxDuration"),
         *byte_cols,
     )
 
 
+def stage_stats(tasks: DataFrame) -> DataFrame:
+    """Per stage attempt: average and maximum duration (seconds) and byte counters."""
+    return finalize_stats(stage_partials(tasks))
+
+
 STATS_COLUMNS = STAGE_KEYS + [
     "avgDuration", "maxDuration", "avgBytesRead", "maxBytesRead", "avgBytesWritten",
     "maxBytesWritten", "avgShuffleBytesRead", "maxShuffleBytesRead",

@@ -1,15 +1,15 @@
 """The stage-statistics analysis over a folder that keeps receiving stage payload files.
 
 Each micro-batch is checked (bad documents go to a quarantine folder), exploded,
-de-duplicated and aggregated with the batch functions, and its per-stage statistics are
-written to ``<output>/batch=<epoch>``.  Writing a batch folder with ``overwrite`` makes a
-replayed epoch (after a driver or executor failure) replace its own output instead of
-adding duplicates.
-
-Assumption, as for the monitoring API: the documents of one stage attempt are delivered
-together (one stage payload per file, or the pieces of a split attempt in one write), so
-each micro-batch sees every attempt of the tasks it contains.  Do not set
-``max_files_per_trigger`` below the number of files a stage attempt is split into.
+de-duplicated and reduced to mergeable partials per stage attempt (sum, count and maximum
+of every metric), written to ``<output>/batch=<epoch>``.  Writing a batch folder with
+``overwrite`` makes a replayed epoch (after a driver or executor failure) replace its own
+output instead of adding duplicates.  ``read_stream_stats`` merges the partials of all
+batches and finalises them exactly as the batch path does, so a stage attempt whose
+documents arrive over several micro-batches gets the same statistics.
+
+Assumption, as for the monitoring API: all attempts of one task arrive in the same
+micro-batch (they are in the same stage document), because attempts are resolved per batch.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skewlens.plans.analyze import stats_from_stages
+from skewlens.operators.stats import finalize_stats, merge_partials, stage_partials
+from skewlens.operators.tasks import dedup_tasks, explode_tasks
+from skewlens.schemas import METRICS, STAGE_KEYS
 from skewlens.sources.payloads import read_stages_stream, required_stages
 
 
@@ -27,8 +29,9 @@ def _write_batch(output: str, quarantine: str | None):
         batch = batch.persist()
         try:
             good, bad = required_stages(batch, mode="quarantine")
-            stats = stats_from_stages(good).withColumn("batch", F.lit(epoch_id))
-            stats.write.mode("overwrite").parquet(f"{output}/batch={epoch_id}")
+            tasks = explode_tasks(good).select(*STAGE_KEYS, "taskId", "attempt", "status", *METRICS)
+            partials = stage_partials(dedup_tasks(tasks)).withColumn("batch", F.lit(epoch_id))
+            partials.write.mode("overwrite").parquet(f"{output}/batch={epoch_id}")
             if quarantine:
                 bad.drop("tasks").write.mode("overwrite").json(f"{quarantine}/batch={epoch_id}")
         finally:
@@ -48,6 +51,11 @@ def start_stage_stats_stream(spark: SparkSession, stages_dir: str, output_dir: s
     return writer.start()
 
 
-def read_stream_stats(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Statistics written so far (one row per stage attempt and batch)."""
+def read_stream_partials(spark: SparkSession, output_dir: str) -> DataFrame:
+    """Partials written so far (one row per stage attempt and micro-batch)."""
     return spark.read.parquet(output_dir)
+
+
+def read_stream_stats(spark: SparkSession, output_dir: str) -> DataFrame:
+    """Statistics of everything processed so far (one row per stage attempt)."""
+    return finalize_stats(merge_partials(read_stream_partials(spark, output_dir)))

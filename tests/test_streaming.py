@@ -3,7 +3,7 @@ import os
 
 from skewlens.plans.analyze import stats_from_stages
 from skewlens.sources.payloads import read_stages
-from skewlens.streaming import read_stream_stats, start_stage_stats_stream
+from skewlens.streaming import read_stream_partials, read_stream_stats, start_stage_stats_stream
 from tests.conftest import stage_json, task_json
 
 
@@ -23,7 +23,7 @@ def test_stream_matches_batch(spark, tmp_dir):
     q = start_stage_stats_stream(spark, src, f"{tmp_dir}/out", f"{tmp_dir}/ckpt", f"{tmp_dir}/bad",
                                  available_now=True)
     q.awaitTermination(120)
-    got = sorted(tuple(r) for r in read_stream_stats(spark, f"{tmp_dir}/out").drop("batch").collect())
+    got = sorted(tuple(r) for r in read_stream_stats(spark, f"{tmp_dir}/out").collect())
     good = read_stages(spark, src).filter("stageId != 3")
     want = sorted(tuple(r) for r in stats_from_stages(good).collect())
     assert got == want and len(got) == 2
@@ -39,5 +39,19 @@ def test_stream_restart_processes_only_new_files(spark, tmp_dir):
     assert read_stream_stats(spark, f"{tmp_dir}/out").count() == 1
     _drop(f"{src}/app_id=a/2.json", [stage_json(2, 0, [task_json(9, duration=5)])])
     start_stage_stats_stream(*args, available_now=True).awaitTermination(120)
-    got = sorted((r.stageId, r.batch) for r in read_stream_stats(spark, f"{tmp_dir}/out").collect())
+    assert sorted(r.stageId for r in read_stream_stats(spark, f"{tmp_dir}/out").collect()) == [1, 2]
+    got = sorted((r.stageId, r.batch) for r in read_stream_partials(spark, f"{tmp_dir}/out").collect())
     assert [s for s, _ in got] == [1, 2] and got[0][1] < got[1][1]
+
+
+def test_attempt_split_over_micro_batches_merges_exactly(spark, tmp_dir):
+    src = f"{tmp_dir}/in"
+    pieces = [[task_json(i, duration=1000 * (i + 1), bytes_read=7 * i) for i in range(k, k + 3)] for k in (0, 3, 6)]
+    for n, piece in enumerate(pieces):
+        _drop(f"{src}/app_id=a/{n}.json", [stage_json(4, 0, piece, num_tasks=9)])
+    start_stage_stats_stream(spark, src, f"{tmp_dir}/out", f"{tmp_dir}/ckpt", available_now=True,
+                             max_files_per_trigger=1).awaitTermination(120)
+    assert read_stream_partials(spark, f"{tmp_dir}/out").select("batch").distinct().count() == 3
+    got = [tuple(r) for r in read_stream_stats(spark, f"{tmp_dir}/out").collect()]
+    want = [tuple(r) for r in stats_from_stages(read_stages(spark, src)).collect()]
+    assert got == want and got[0].__len__() == 16
