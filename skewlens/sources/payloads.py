@@ -2,7 +2,8 @@
 
 Layout: ``<root>/<kind>/app_id=<id>/*.json`` — partition discovery turns the folder into
 the ``app_id`` column, so a filter on ``app_id`` prunes whole folders.  A folder holding
-one application without ``app_id=`` directories is read with ``app_id=...``.
+one application without ``app_id=`` directories is read with ``app_id=...`` (default: the
+empty string, never NULL).
 
 ``multi_line=False`` (default) reads JSON Lines, which Spark splits across tasks;
 ``multi_line=True`` reads saved REST responses (one JSON array per file, one file per
@@ -27,7 +28,9 @@ def _read(spark: SparkSession, path: str | list[str], schema: T.StructType, mult
           .option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT)
           .json(path))
-    app = F.col("app_id").cast("string") if "app_id" in df.columns else F.lit(app_id).cast("string")
+    # Never NULL: app_id is a join and grouping key downstream (a NULL key would match nothing).
+    given = F.lit("" if app_id is None else app_id)
+    app = F.coalesce(F.col("app_id").cast("string"), given) if "app_id" in df.columns else given
     return df.select(app.alias("app_id"), *[f.name for f in schema.fields], CORRUPT)
 
 
@@ -43,7 +46,7 @@ def read_stages_stream(spark: SparkSession, path: str, max_files_per_trigger: in
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(path)
+    return reader.json(path).withColumn("app_id", F.coalesce(F.col("app_id"), F.lit("")))
 
 
 TASK_TABLE_SCHEMA = ("stageId int, attemptId int, stageName string, stageStatus string, numTasks int, "

@@ -137,3 +137,12 @@ def _plan(df):
     with contextlib.redirect_stdout(buf):
         df.explain("formatted")
     return buf.getvalue()
+
+
+def test_single_app_folder_without_app_id_still_analyses(spark, tmp_dir):
+    skewed = [task_json(i, duration=10_000) for i in range(9)] + [task_json(9, duration=100_000)]
+    write_json(f"{tmp_dir}/stages/s.json", [stage_json(1, 0, skewed)])
+    write_json(f"{tmp_dir}/jobs/j.json", _jobs((1,)))
+    report = analyze(read_jobs(spark, f"{tmp_dir}/jobs", multi_line=True),
+                     read_stages(spark, f"{tmp_dir}/stages", multi_line=True), 3.0).collect()
+    assert [(r.app_id, r.stageId, r.jobIds) for r in report] == [("", 1, [4])]
