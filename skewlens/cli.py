@@ -1,6 +1,7 @@
 """Command-line job: saved payloads -> skew report.
 
-    spark-submit -m skewlens --payloads /data/payloads --out /data/reports/skew [--app-id app-1] [--threshold 3]
+    spark-submit --py-files skewlens.zip skewlens/__main__.py --payloads /data/payloads --out /data/reports/skew
+    python -m skewlens --payloads /data/payloads --out /data/reports/skew [--app-id app-1] [--threshold 3]
     python -m skewlens --payloads /data/payloads            # report to stdout
 
 ``--payloads`` holds ``jobs/`` and ``stages/``, each with ``app_id=<id>/`` folders.  With
