@@ -6,8 +6,8 @@ one application without ``app_id=`` directories is read with ``app_id=...`` (def
 empty string, never NULL).
 
 ``multi_line=False`` (default) reads JSON Lines, which Spark splits across tasks;
-``multi_line=True`` reads saved REST responses (one JSON array per file, one file per
-task: keep one file per stage rather than per application).
+``multi_line=True`` reads saved REST responses (one JSON array per file; each file is
+parsed whole by one Spark task, so keep one file per stage rather than per application).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skewlens.schemas import (CORRUPT, JOB, JOB_REQUIRED, STAGE_ATTEMPT, STAGE_REQUIRED,
+from skewlens.schemas import (CORRUPT, FLAT_TASK_COLUMNS, JOB, JOB_REQUIRED, STAGE_ATTEMPT, STAGE_REQUIRED,
                               TASK_RECORD, TASK_REQUIRED)
 
 
@@ -61,7 +61,6 @@ def read_task_table(spark: SparkSession, path: str, converted: bool = False) ->
     ``converted=True`` reads a table written by ``convert_stages``: the filter on its
     ``valid`` partition column means only the ``valid=true`` folders are listed and read.
     """
-    from skewlens.schemas import FLAT_TASK_COLUMNS
     schema = TASK_TABLE_SCHEMA + (", valid boolean" if converted else "")
     df = spark.read.schema(schema).parquet(path)
     if converted:
