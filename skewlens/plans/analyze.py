@@ -1,6 +1,7 @@
 """Composed analyses: payloads -> statistics -> ranked skew report.
 
-One lazy plan from the first read to the sink; the caller triggers a single action.
+Plans are lazy; the one exception is ``analyze_tasks`` (and ``analyze``), which writes the
+per-stage statistics once to the checkpoint folder before returning the report plan.
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ def analyze_tasks(tasks: DataFrame, stage_jobs: DataFrame, threshold: float = DE
     # Job ids are attached to the per-stage statistics, a table orders of magnitude smaller
     # than the tasks; keeping only stages some job lists is then a filter on that column.
     # Restricting the statistics equals restricting the task rows (stageId is a grouping
-    # key), and one shared subtree lets the per-app maximum reuse the statistics exchange.
+    # key).  Without ``materialize`` the per-app maximum branch would rebuild the statistics
+    # from the (reused) de-dup exchange, since column pruning gives it a narrower aggregate.
     stats = attach_job_ids(stats_from_tasks(tasks), stage_jobs)
     if only_job_stages:
         stats = stats.filter(F.size("jobIds") > 0)
