@@ -70,3 +70,14 @@ def test_task_table_prunes_apps_pushes_stage_filters_and_columns(spark, tmp_dir)
     read_schema = [ln for ln in text.splitlines() if ln.startswith("ReadSchema")][0]
     assert "resultSize" not in read_schema and "jvmGcTime" not in read_schema
     assert one.count() == 5
+
+
+def test_scans_read_only_the_columns_a_query_uses(spark):
+    text = plan(entry.queries()["doc_length_skew"](spark, SF))
+    schemas = [ln for ln in text.splitlines() if ln.startswith("ReadSchema")]
+    assert schemas and all("text:" not in ln and "doc_id" not in ln for ln in schemas), schemas
+
+
+def test_generic_dedup_also_limits_before_the_shuffle(spark):
+    text = plan(entry.queries()["latest_lineitem"](spark, SF))
+    assert "WindowGroupLimit" in text and "Partial" in text and "Final" in text
