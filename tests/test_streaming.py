@@ -55,3 +55,20 @@ def test_attempt_split_over_micro_batches_merges_exactly(spark, tmp_dir):
     got = [tuple(r) for r in read_stream_stats(spark, f"{tmp_dir}/out").collect()]
     want = [tuple(r) for r in stats_from_stages(read_stages(spark, src)).collect()]
     assert got == want and got[0].__len__() == 16
+
+
+def test_streamed_statistics_feed_the_ranked_report(spark, tmp_dir):
+    from skewlens.operators.jobs import stage_to_jobs
+    from skewlens.operators.skew import stage_skew
+    from skewlens.plans.analyze import analyze, with_report_block
+    from skewlens.sources.payloads import read_jobs
+    src = f"{tmp_dir}/in"
+    skewed = [task_json(i, duration=10_000) for i in range(9)] + [task_json(9, duration=100_000)]
+    _drop(f"{src}/app_id=a/1.json", [stage_json(1, 0, skewed)])
+    _drop(f"{tmp_dir}/jobs/app_id=a/j.json", [{"jobId": 3, "name": "j", "submissionTime": "t",
+                                              "completionTime": "t", "stageIds": [1]}])
+    start_stage_stats_stream(spark, src, f"{tmp_dir}/out", f"{tmp_dir}/ckpt", available_now=True).awaitTermination(120)
+    jobs = read_jobs(spark, f"{tmp_dir}/jobs")
+    streamed = with_report_block(stage_skew(read_stream_stats(spark, f"{tmp_dir}/out"), stage_to_jobs(jobs), 3.0))
+    batch = analyze(jobs, read_stages(spark, src), 3.0)
+    assert [r.block for r in streamed.collect()] == [r.block for r in batch.collect()]
