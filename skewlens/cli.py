@@ -33,9 +33,12 @@ def parse_args(argv):
                                         "quarantined rows under valid=false), then analyse the table")
     p.add_argument("--tasks", help="analyse this task table (from --convert-to or write_task_table) instead "
                                    "of stages/")
-    p.add_argument("--app-id", action="append", help="analyse only these applications (repeatable)")
-    p.add_argument("--threshold", type=float, default=DEFAULT_THRESHOLD, help="max/avg ratio that counts as skew")
-    p.add_argument("--out", help="write the text report here (overwrites); default: print it")
+    p.add_argument("-a", "--app-id", action="append", help="analyse only these applications (repeatable)")
+    p.add_argument("-t", "--threshold", "--skew-threshold", dest="threshold", type=float, default=DEFAULT_THRESHOLD,
+                   help="max/avg ratio that counts as skew (default 3.0)")
+    p.add_argument("-o", "--out", "--out-file", dest="out",
+                   help="write the text report into this folder (overwrites; part files in rank order); "
+                        "default: print it")
     p.add_argument("--measures-out", help="also write the structured result as parquet")
     p.add_argument("--quarantine-out", help="write rejected payload records here as JSON")
     p.add_argument("--multi-line", action="store_true", help="files are JSON arrays (saved REST responses)")

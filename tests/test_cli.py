@@ -37,3 +37,10 @@ def test_cli_convert_then_reuse_task_table(spark, tmp_dir, monkeypatch):
     assert main(["--payloads", f"{tmp_dir}/p", "--multi-line", "--out", f"{tmp_dir}/r3"]) == 0
     assert report(f"{tmp_dir}/r1") == report(f"{tmp_dir}/r2") == report(f"{tmp_dir}/r3")
     assert report(f"{tmp_dir}/r1").count("[Stage Id:") == 1
+
+
+def test_cli_accepts_the_original_option_names():
+    from skewlens.cli import parse_args
+    a = parse_args(["--payloads", "/p", "-a", "app-1", "-t", "1.5", "-o", "/r"])
+    b = parse_args(["--payloads", "/p", "--app-id", "app-1", "--skew-threshold", "1.5", "--out-file", "/r"])
+    assert (a.app_id, a.threshold, a.out) == (b.app_id, b.threshold, b.out) == (["app-1"], 1.5, "/r")
