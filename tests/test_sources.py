@@ -146,3 +146,28 @@ def test_single_app_folder_without_app_id_still_analyses(spark, tmp_dir):
     report = analyze(read_jobs(spark, f"{tmp_dir}/jobs", multi_line=True),
                      read_stages(spark, f"{tmp_dir}/stages", multi_line=True), 3.0).collect()
     assert [(r.app_id, r.stageId, r.jobIds) for r in report] == [("", 1, [4])]
+
+
+def test_convert_keeps_malformed_lines_in_quarantine(spark, tmp_dir):
+    import json as _json
+    from skewlens.sources.payloads import read_quarantine, read_task_table
+    from skewlens.sources.sinks import convert_stages
+    os.makedirs(f"{tmp_dir}/stages/app_id=a")
+    with open(f"{tmp_dir}/stages/app_id=a/part.json", "w") as f:
+        f.write(_json.dumps(stage_json(1, 0, [task_json(1), task_json(2)])) + "\n")
+        f.write('{"stageId": 2, "attemptId": 0, "tasks": {"x": \n')
+    convert_stages(read_stages(spark, f"{tmp_dir}/stages"), f"{tmp_dir}/t")
+    assert read_task_table(spark, f"{tmp_dir}/t", converted=True).count() == 2
+    (bad,) = read_quarantine(spark, f"{tmp_dir}/t").collect()
+    assert "malformed record" in bad.missing and bad.taskId is None
+
+
+def test_task_list_required_fields(spark, tmp_dir):
+    from skewlens.sources.payloads import required_task_records
+    tasks = [dict(task_json(1), stageId=1, attemptId=0), dict(task_json(2, drop=("duration",)), stageId=1),
+             dict(task_json(3), attemptId=0)]
+    write_json(f"{tmp_dir}/tasks/app_id=a/list.json", tasks)
+    good, bad = required_task_records(read_task_list(spark, f"{tmp_dir}/tasks", multi_line=True))
+    assert [r.taskId for r in good.collect()] == [1]
+    assert sorted((r.taskId, tuple(r.missing)) for r in bad.collect()) == [(2, ("attemptId", "duration")),
+                                                                          (3, ("stageId",))]
