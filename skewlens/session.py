@@ -29,6 +29,11 @@ DEFAULT_CONF = {
 
 def get_session(master: str | None = None, app_name: str = "skewlens",
                 shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with the defaults above, or the caller's active session left as it is."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_checkpoint_dir(active)
+        return active
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

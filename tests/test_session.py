@@ -9,3 +9,14 @@ def test_scratch_goes_below_the_sessions_checkpoint_dir(spark):
         assert base.replace("file:", "").startswith(configured.replace("file:", "").rstrip("/"))
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(base.rstrip("/") + "/skewlens/x-")
+
+
+def test_get_session_leaves_an_active_session_untouched(spark):
+    from skewlens.session import get_session
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert get_session(shuffle_partitions=3) is spark
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
