@@ -310,4 +310,37 @@ SELECT * EXCLUDE (rn) FROM (
       ORDER BY CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END, l_shipdate DESC, l_partkey, l_suppkey,
                l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) AS rn
   FROM lineitem) WHERE rn = 1"""
-# stats_json has no oracle: JSON number text differs between engines (checked in tests).
+
+
+def java_double_sql(x: str) -> str:
+    """Text of a non-negative double as JVM ``Double.toString`` writes it (what Spark's JSON writer
+    emits): plain shortest decimal in [1e-3, 1e7), ``d.dddE<n>`` outside."""
+    s = f"CAST({x} AS VARCHAR)"
+    digits = f"trim(replace({s}, '.', ''), '0')"
+    mantissa = f"substr({digits}, 1, 1) || '.' || coalesce(nullif(substr({digits}, 2), ''), '0')"
+    big = f"{mantissa} || 'E' || CAST(strpos({s}, '.') - 2 AS VARCHAR)"
+    small = (f"{mantissa} || 'E-' || CAST(length(split_part({s}, '.', 2)) - length(ltrim(split_part({s}, '.', 2), '0'))"
+             f" + 1 AS VARCHAR)")
+    # DuckDB itself writes very small or very large values as '1.5e-05': same digits, other layout.
+    m = f"split_part({s}, 'e', 1)"
+    exp_form = (f"CASE WHEN strpos({m}, '.') > 0 THEN {m} ELSE {m} || '.0' END || 'E' || "
+                f"CAST(CAST(split_part({s}, 'e', 2) AS INTEGER) AS VARCHAR)")
+    return (f"CASE WHEN {x} = 0 THEN '0.0' WHEN strpos({s}, 'e') > 0 THEN {exp_form} "
+            f"WHEN {x} >= 1e7 THEN {big} WHEN {x} < 1e-3 THEN {small} ELSE {s} END")
+
+
+def stats_json_sql(stats: str) -> str:
+    parts = []
+    for c in STATS_COLUMNS[1:]:
+        if c in ("stageName", "stageStatus"):
+            v = f"to_json({c})"
+        elif c.startswith("avg"):
+            v = java_double_sql(c)
+        else:
+            v = f"CAST({c} AS VARCHAR)"
+        parts.append(f"'\"{c}\":' || {v}")
+    body = " || ',' || ".join(parts)
+    return f"SELECT app_id, stageId, attemptId, '{{' || {body} || '}}' AS json FROM ({stats})"
+
+
+ORACLE_SQL["stats_json"] = stats_json_sql(STATS_SQL)

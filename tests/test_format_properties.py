@@ -54,3 +54,20 @@ def test_ratio_text_rounds_half_up_on_shortest_decimal(spark):
     line = metric_line(F.lit("m"), F.lit("a"), F.lit("b"), F.col("r"), F.lit(False))
     for r in df.select("r", line.alias("l")).collect():
         assert r.l.rsplit("Ratio: ", 1)[1] == py_ratio(r.r), r.r
+
+
+def test_json_double_text_matches_the_oracle_emulation(spark):
+    import duckdb
+    from skewlens.plans.oracle import java_double_sql
+    rng = random.Random(3)
+    values = [0.0, 1e7, 1e-3, 1e-4, 9999999.999, 0.001, 123.0]
+    values += [rng.uniform(1, 10) * 10 ** rng.randrange(-8, 16) for _ in range(400)]
+    values += [rng.randrange(1, 10**6) / rng.randrange(1, 10**5) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r.x: r.j[5:-1] for r in df.select("x", F.to_json(F.struct("x")).alias("j")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    want = dict(con.sql(f"SELECT x, {java_double_sql('x')} FROM t").fetchall())
+    bad = [(v, got[v], want[v]) for v in values if got[v] != want[v]]
+    assert not bad, bad[:5]
