@@ -24,7 +24,7 @@ def brute_force(rows, t):
         n = len(rs)
         s = {"avgDuration": sum(r["duration"] for r in rs) / n / 1000,
              "maxDuration": max(r["duration"] for r in rs) // 1000}
-        for m in ("bytesRead", "bytesWritten"):
+        for m in ("bytesRead", "bytesWritten", "shuffleBytesRead", "shuffleBytesWritten"):
             cap = m[0].upper() + m[1:]
             s["avg" + cap] = sum(r[m] for r in rs) / n
             s["max" + cap] = max(r[m] for r in rs)
@@ -35,7 +35,8 @@ def brute_force(rows, t):
     out = set()
     for (app, sid, aid), s in stats.items():
         gate = s["maxDuration"] >= 60 or s["maxDuration"] >= 0.2 * app_max[app]
-        skew = any(s["max" + m] > t * s["avg" + m] for m in ("Duration", "BytesRead", "BytesWritten"))
+        skew = any(s["max" + m] > t * s["avg" + m]
+                   for m in ("Duration", "BytesRead", "BytesWritten", "ShuffleBytesRead", "ShuffleBytesWritten"))
         if gate and skew:
             out.add((app, sid, aid))
     return stats, out
@@ -45,6 +46,7 @@ task = st.fixed_dictionaries({
     "app_id": st.sampled_from(["a", "b"]), "stageId": st.integers(0, 4), "attemptId": st.integers(0, 1),
     "taskId": st.integers(0, 6), "attempt": st.integers(0, 3), "status": st.sampled_from(["SUCCESS", "FAILED"]),
     "duration": st.integers(0, 400_000), "bytesRead": st.integers(0, 5000), "bytesWritten": st.integers(0, 9),
+    "shuffleBytesRead": st.integers(0, 3000), "shuffleBytesWritten": st.sampled_from([0, 0, 1, 10**9]),
 })
 
 
@@ -61,6 +63,8 @@ def test_spark_equals_brute_force(spark, rows, t):
     for k, s in want_stats.items():
         g = got_stats[k]
         assert g.maxDuration == s["maxDuration"] and g.maxBytesRead == s["maxBytesRead"]
+        assert g.maxShuffleBytesRead == s["maxShuffleBytesRead"]
+        assert math.isclose(g.avgShuffleBytesWritten, s["avgShuffleBytesWritten"], rel_tol=1e-12)
         assert math.isclose(g.avgDuration, s["avgDuration"], rel_tol=1e-12)
         assert g.maxDuration >= math.trunc(g.avgDuration)
     got = {(r.app_id, r.stageId, r.attemptId) for r in skewed_stages(stats_df, t).collect()}
