@@ -3,6 +3,7 @@
 import math
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from skewlens.operators.skew import skewed_stages
 from skewlens.plans.analyze import stats_from_tasks
@@ -99,3 +100,31 @@ def test_ranked_report_equals_brute_force(spark, rows, pairs, t):
     assert [(r.app_id, r.stageId, r.attemptId) for r in got] == want
     for r in got:
         assert r.jobIds == sorted(listed[(r.app_id, r.stageId)])
+
+
+stat_row = st.fixed_dictionaries({
+    "avgDuration": st.sampled_from([0.0, 0.5, 1.0, 19.0, 33.3333, 60.0]),
+    "maxDuration": st.integers(0, 400),
+    "avgBytesRead": st.sampled_from([0.0, 0.4, 0.999, 1.0, 4.5, 1023.9, 1e6 + 0.5]),
+    "maxBytesRead": st.integers(0, 5_000_000),
+})
+
+
+@settings(max_examples=6, deadline=None, derandomize=True)
+@given(rows=st.lists(stat_row, min_size=1, max_size=25), t=st.sampled_from([1.0, 2.0, 3.0, 8.0]))
+def test_metric_flags_and_printed_ratios_equal_direct_rules(spark, rows, t):
+    from skewlens.operators.skew import metric_long
+    keyed = [dict(r, app_id="a", stageId=i, attemptId=0) for i, r in enumerate(rows)]
+    schema = ("app_id string, stageId int, attemptId int, avgDuration double, maxDuration bigint, "
+              "avgBytesRead double, maxBytesRead bigint")
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in keyed], schema)
+    for m in ("BytesWritten", "ShuffleBytesRead", "ShuffleBytesWritten"):
+        df = df.withColumn(f"avg{m}", F.lit(0.0)).withColumn(f"max{m}", F.lit(0).cast("long"))
+    got = {(r.stageId, r.metricIndex): r for r in metric_long(df, t).collect()}
+    for i, r in enumerate(rows):
+        dur, byt = got[(i, 0)], got[(i, 1)]
+        avg_s, avg_b = math.trunc(r["avgDuration"]), math.trunc(r["avgBytesRead"])
+        assert dur.avg == avg_s and dur.isSkewed == (r["maxDuration"] > t * r["avgDuration"])
+        assert dur.displayRatio == (r["maxDuration"] / avg_s if avg_s > 0 else float(r["maxDuration"]))
+        assert byt.avg == avg_b and byt.isSkewed == (r["maxBytesRead"] > t * avg_b)
+        assert byt.displayRatio == (r["maxBytesRead"] / avg_b if avg_b > 0 else float(r["maxBytesRead"]))
