@@ -13,7 +13,7 @@ from tests.conftest import flat_rows
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
-             "FlatMapGroupsInPandas", "MapInPandas", "Generate collect"]
+             "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF", "Cross"]
 
 
 def plan(df, mode="formatted"):
