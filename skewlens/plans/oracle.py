@@ -313,8 +313,12 @@ SELECT * EXCLUDE (rn) FROM (
 
 
 def java_double_sql(x: str) -> str:
-    """Text of a non-negative double as JVM ``Double.toString`` writes it (what Spark's JSON writer
-    emits): plain shortest decimal in [1e-3, 1e7), ``d.dddE<n>`` outside."""
+    """Text of a double as JVM ``Double.toString`` writes it (what Spark's JSON writer emits):
+    plain shortest decimal for magnitudes in [1e-3, 1e7), ``d.dddE<n>`` outside."""
+    return f"CASE WHEN {x} < 0 THEN '-' || ({_java_nonneg_sql(f'(-{x})')}) ELSE {_java_nonneg_sql(x)} END"
+
+
+def _java_nonneg_sql(x: str) -> str:
     s = f"CAST({x} AS VARCHAR)"
     digits = f"trim(replace({s}, '.', ''), '0')"
     mantissa = f"substr({digits}, 1, 1) || '.' || coalesce(nullif(substr({digits}, 2), ''), '0')"

@@ -63,6 +63,7 @@ def test_json_double_text_matches_the_oracle_emulation(spark):
     values = [0.0, 1e7, 1e-3, 1e-4, 9999999.999, 0.001, 123.0]
     values += [rng.uniform(1, 10) * 10 ** rng.randrange(-8, 16) for _ in range(400)]
     values += [rng.randrange(1, 10**6) / rng.randrange(1, 10**5) for _ in range(200)]
+    values += [-v for v in values[7:60]]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = {r.x: r.j[5:-1] for r in df.select("x", F.to_json(F.struct("x")).alias("j")).collect()}
     con = duckdb.connect()
