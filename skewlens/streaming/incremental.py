@@ -15,7 +15,6 @@ micro-batch (they are in the same stage document), because attempts are resolved
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skewlens.operators.stats import finalize_stats, merge_partials, stage_partials
@@ -30,8 +29,8 @@ def _write_batch(output: str, quarantine: str | None):
         try:
             good, bad = required_stages(batch, mode="quarantine")
             tasks = explode_tasks(good).select(*STAGE_KEYS, "taskId", "attempt", "status", *METRICS)
-            partials = stage_partials(dedup_tasks(tasks)).withColumn("batch", F.lit(epoch_id))
-            partials.write.mode("overwrite").parquet(f"{output}/batch={epoch_id}")
+            # the batch= folder names the epoch; readers get it back as the ``batch`` column
+            stage_partials(dedup_tasks(tasks)).write.mode("overwrite").parquet(f"{output}/batch={epoch_id}")
             if quarantine:
                 bad.drop("tasks").write.mode("overwrite").json(f"{quarantine}/batch={epoch_id}")
         finally:
