@@ -18,20 +18,21 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from skewlens.llm.common import ship_package
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 CHUNKS = re.compile(rb" *[^ ]+| +")
-#: Longest chunk that is remembered, and how many are.
-MEMO_BYTES, MEMO_CHUNKS = 40, 400_000
+#: Longest chunk that is remembered, and how many are in each of two generations.
+MEMO_BYTES, MEMO_CHUNKS = 40, 250_000
 
 
 @dataclass
@@ -115,12 +116,12 @@ class DoubleArray:
         return cls(base, check, value)
 
 
-class Tokenizer(dict):
-    """Encoder and decoder of one task; as a dict it remembers chunk -> ids (little-endian 4-byte numbers)."""
+class Encoder(dict):
+    """Encoder of a Python worker; as a dict it remembers chunk -> ids (little-endian 4-byte numbers)."""
 
     def __init__(self, vocabulary: Vocabulary, trie: DoubleArray):
         super().__init__()
-        self.v, self.trie = vocabulary, trie
+        self.v, self.trie, self.older = vocabulary, trie, {}
         self.unknown = min((s for s in vocabulary.scores if s is not None), default=0.0) - UNKNOWN_PENALTY
 
     def viterbi(self, text: bytes) -> tuple[list[int], float]:
@@ -159,9 +160,12 @@ class Tokenizer(dict):
         return out, best[n]
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.viterbi(chunk)[0], "<u4").tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = struct.pack(f"<{len(found := self.viterbi(chunk)[0])}I", *found)
         if len(chunk) <= MEMO_BYTES:
-            if len(self) >= MEMO_CHUNKS:
+            if len(self) >= MEMO_CHUNKS:                    # what was not used since the last change is forgotten
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -176,15 +180,24 @@ class Tokenizer(dict):
             parts.extend(map(self.__getitem__, CHUNKS.findall(part if k else b" " + part)))
         return b"".join(parts)
 
-    def decode(self, ids: list[int]) -> str:
-        """Bytes that are no UTF-8 become U+FFFD; ids without text (control pieces) vanish."""
-        return b"".join(map(self.v.pieces.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
+def trie_of(vocabulary: Vocabulary) -> DoubleArray:
+    return DoubleArray.build({p: i for i, (p, s) in enumerate(zip(vocabulary.pieces, vocabulary.scores)) if s is not None})
 
-def _tokenizer(spark: SparkSession, vocabulary: Vocabulary):
-    ship_package(spark)
-    keys = {p: i for i, (p, s) in enumerate(zip(vocabulary.pieces, vocabulary.scores)) if s is not None}
-    return spark.sparkContext.broadcast((vocabulary, DoubleArray.build(keys)))
+
+def decoded(pieces: list[bytes], ids: list[int]) -> str:
+    """Bytes that are no UTF-8 become U+FFFD; ids without text (control pieces) vanish."""
+    return b"".join(map(pieces.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+
+
+#: The last broadcast value seen by this Python worker and its encoder, so that tasks share what it remembers.
+_held: list = [None, None]
+
+
+def _encoder_of(shared) -> Encoder:
+    if _held[0] is not shared.value:
+        _held[:] = shared.value, Encoder(*shared.value)
+    return _held[1]
 
 
 def _with_column(df: DataFrame, name: str, kind: str, make) -> DataFrame:
@@ -201,13 +214,14 @@ def _with_column(df: DataFrame, name: str, kind: str, make) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
     """``docs`` with the array of piece ids of each whole text."""
-    shared = _tokenizer(docs.sparkSession, vocabulary)
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, trie_of(vocabulary)))
 
     def make(batches):
-        tokenizer = Tokenizer(*shared.value)
+        encoder = _encoder_of(shared)
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col)).cast(pa.binary())
-            ids = [tokenizer.encode(t.as_py() or b"") for t in texts]
+            ids = [encoder.encode(t.as_py() or b"") for t in texts]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32), pa.int32())
             yield batch, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
@@ -217,13 +231,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of each array of piece ids (null: empty)."""
-    shared = _tokenizer(df.sparkSession, vocabulary)
+    ship_package(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.pieces)
 
     def make(batches):
-        tokenizer = Tokenizer(*shared.value)
         for batch in batches:
-            ids = batch.column(batch.schema.names.index(ids_col))
-            texts = [tokenizer.decode(x.values.to_pylist() if x.is_valid else []) for x in ids]
+            ids = batch.column(batch.schema.names.index(ids_col)).fill_null([])
+            texts = [decoded(shared.value, x.values.to_numpy(zero_copy_only=False).tolist()) for x in ids]
             yield batch, pa.array(texts, pa.string())
 
     return _with_column(df, out, "string", make)
