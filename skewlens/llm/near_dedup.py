@@ -5,8 +5,9 @@
    a register keeps the shingle of its first arrival, and a process ends once its next arrival is later than
    every register's.  Two signatures agree in a register with probability J_P, the probability Jaccard.
 2. Texts with equal weighted shingles form a copy class, and one of them represents it from here on.
-3. Representatives that agree in all registers of a band share a bucket.  In each bucket they are compared
-   with two leaders only (the smallest and the largest copy hash), never all with all.
+3. Representatives that agree in all registers of a band share a bucket.  Each is first compared with one leader,
+   the smallest copy hash that leads one of its buckets, and then with the other leaders (a bucket's smallest and
+   largest copy hash) that are still in another class; never all with all.
 4. Candidates are verified by the exact J_P >= 0.8 of their whole texts; connected components of verified links
    are classes.
 5. Where a bucket still holds several classes, the members outside its most frequent class are compared with
@@ -197,7 +198,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     again = docs.select(F.col(id_col).cast("long").alias("__nd_i"), _key(text_col).alias("__nd_k"), text_of(text_col).alias("text"))
     texts = owner.join(again, owner["__nd_id"].eqNullSafe(again["__nd_i"]) & (owner["__nd_key"] == again["__nd_k"]))
     texts = cut(texts.groupBy("copy").agg(F.max("text").alias("text")), "texts")
-    links = cut(_verified(star, texts, threshold), "links")
+    own = placed.groupBy("copy").agg(F.min("first").alias("lead")).where("copy != lead")
+    own = cut(own.select(F.greatest("copy", "lead").alias("a"), F.least("copy", "lead").alias("b")), "leaders")
+    links = cut(_verified(own, texts, threshold), "links")
+    label = components(links)
+    apart = star.join(own, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        apart = apart.join(label.toDF(side, f"label_{side}"), side, "left")
+    apart = cut(apart.where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b"), "apart")
+    links = cut(links.union(_verified(apart, texts, threshold)), "links")
     label = components(links)
     more = cut(_across(placed, reps, label, bands * rows).join(star, ["a", "b"], "left_anti"), "across")
     more = cut(_verified(more, texts, threshold), "links")
