@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.llm import exact_dedup, language_id, mixture, near_dedup, sentencepiece
+from skewlens.llm import exact_dedup, language_id, mixture, near_dedup, sentencepiece, topk, warc
 from skewlens.llm.common import table
 
 #: The tokenizer file of the production query; read once on the driver.
@@ -29,10 +29,25 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised("embedding").alias("v"))
+    return topk.top_k(rows, rows.where("vec_id % 50 = 0"), "vec_id", "v")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and size of a response are those of the payload read back; a revisit's stand in its record."""
+    index, folder = warc.archive(spark, table(spark, sf_dir, "pages"))
+    out = warc.read_records(index, folder)
+    own = F.col("payload").isNotNull()
+    return out.select("page_id", F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+                      F.when(own, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+                      "record_type", "refers_to")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +60,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("guess.lang").alias("lang_pred"), "guess.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixture, op6_exact_dedup, op8_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixture, op3_topk, op6_exact_dedup, op7_warc, op8_near_dedup,
+                                 op10_language_id)}
 
 _SIZES = r"""
 WITH docs AS (
@@ -77,6 +93,25 @@ SELECT doc_id, size, s::BIGINT AS source_size, CASE WHEN s = 0 THEN 0 ELSE targe
 FROM (SELECT *, least(2, whole + CASE WHEN upto <= need THEN 1
                                       WHEN upto - same <= need AND need > 0 AND 2 * (need - upto + same) >= same THEN 1
                                       ELSE 0 END)::BIGINT AS times FROM sums)
+""",
+    "op3_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+""",
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM g
 """,
     "op6_exact_dedup": r"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
