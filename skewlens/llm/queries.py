@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.llm import exact_dedup, language_id, mixture, near_dedup, sentencepiece, topk, warc
+from skewlens.llm import exact_dedup, language_id, license_scan, mixture, near_dedup, secrets, sentencepiece, topk, warc
 from skewlens.llm.common import table
 
 #: The tokenizer file of the production query; read once on the driver.
@@ -34,6 +34,14 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"), "vec_id", "v")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < secrets.BASE)
+    return out.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+                      F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_templates"),
+                      F.array_join(F.transform("licenses", lambda x: x["template"]), ",").alias("templates"),
+                      F.coalesce(F.array_max(F.transform("licenses", lambda x: x["containment"])), F.lit(0.0)).alias("containment"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     guess = language_id.identify(language_id.learn_fold(docs), spark)
@@ -60,8 +75,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("guess.lang").alias("lang_pred"), "guess.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixture, op3_topk, op6_exact_dedup, op7_warc, op8_near_dedup,
-                                 op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixture, op3_topk, op4_secrets, op6_exact_dedup, op7_warc,
+                                 op8_near_dedup, op9_licenses, op10_language_id)}
 
 _SIZES = r"""
 WITH docs AS (
@@ -104,6 +119,27 @@ scored AS (
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+""",
+    "op9_licenses": r"""
+WITH templates(template, body) AS (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items()) + r"""),
+words AS (SELECT template, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM templates),
+known AS (
+  SELECT DISTINCT template, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT template, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words)),
+sized AS (SELECT template, count(*) AS n, (2 ** ceil(log2(count(*))))::BIGINT AS p FROM known GROUP BY template),
+texts AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+placed AS (
+  SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM texts WHERE len(w) > 0)),
+hits AS (SELECT doc_id, template, p, n, pos, s FROM placed JOIN known USING (s) JOIN sized USING (template)),
+windows AS (
+  SELECT doc_id, template, n, pos // p AS w, s FROM hits
+  UNION ALL SELECT doc_id, template, n, pos // p - 1, s FROM hits WHERE pos // p >= 1),
+held AS (SELECT doc_id, template, w, count(DISTINCT s) / n::DOUBLE AS c FROM windows GROUP BY doc_id, template, w, n),
+best AS (SELECT doc_id, template, max(c) AS c FROM held WHERE c >= 0.8 GROUP BY doc_id, template)
+SELECT d.doc_id, count(template) AS n_templates, coalesce(string_agg(template, ',' ORDER BY template), '') AS templates,
+       coalesce(max(c), 0)::DOUBLE AS containment
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id GROUP BY d.doc_id
 """,
     "op7_warc": """
 WITH p AS (
