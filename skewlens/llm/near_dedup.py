@@ -11,7 +11,7 @@
 4. Candidates are verified by the exact J_P >= 0.8 of their whole texts; connected components of verified links
    are classes.
 5. Where a bucket still holds several classes, the members outside its most frequent class are compared with
-   those of other classes (if they agree in enough registers), so that every pair that shares a bucket is either
+   those of other classes (if enough registers agree, first of the same and then of a longer signature), so that every pair that shares a bucket is either
    in one class or was verified to differ.
 
 With 20 bands of 6 registers a pair of similarity s shares a bucket with probability 1 - (1 - s^6)^20:
@@ -34,9 +34,13 @@ from skewlens.llm.common import cut, ship_package, text_of
 from skewlens.llm.shingles import WordHashes, mixed, probability_jaccard, shingle_sets
 
 BANDS, ROWS = 20, 6
+#: Registers beyond those of the bands serve the estimate only.
+REGISTERS = 238
 THRESHOLD = 0.8
-#: Registers that must agree before an exact comparison across classes; J_P = 0.8 reaches it but for 1 in 10^6 pairs.
-LEAST_AGREE = 0.60
+#: Shares of registers that must agree before an exact comparison across classes.  Both are estimates of J_P: the first, from
+#: the bands' signature, is 4.6 standard errors below 0.8; the second, from a longer signature of the texts in question, 2.7
+#: (a pair of exactly 0.8 misses it with probability 0.0035, one of 0.82 with 0.00001).
+LEAST_AGREE, FINE_REGISTERS, FINE_AGREE = 0.68, 952, 0.765
 #: Characters of neighbouring texts that are sketched together.
 CHUNK = 3_000_000
 
@@ -51,17 +55,21 @@ def signatures(starts: np.ndarray, hashes: np.ndarray, counts: np.ndarray, m: in
     best, owner = np.full(n * m, np.inf), np.zeros(n * m, np.uint64)
     doc = np.repeat(np.arange(n), np.diff(starts))
     h, rate, time, step = hashes, counts.astype(float), np.zeros(len(hashes)), 0
+    worst, open_ = np.full(n, np.inf), np.arange(n)
     with np.errstate(over="ignore"):
         while len(h):
             step += 1
             draw = mixed(h + np.uint64(step) * np.uint64(0xD6E8FEB86659FD93))
             time = time - np.log(_uniform(draw)) / rate
-            alive = time < best.reshape(n, m).max(axis=1)[doc]          # early termination
+            worst[open_] = best.reshape(n, m)[open_].max(axis=1)
+            alive = time < worst[doc]                                   # early termination
             doc, h, rate, time, draw = doc[alive], h[alive], rate[alive], time[alive], draw[alive]
             slot = doc * m + (mixed(draw) % np.uint64(m)).astype(np.int64)
             np.minimum.at(best, slot, time)
             won = time == best[slot]
             owner[slot[won]] = h[won]
+            if not step % 8:
+                open_ = np.unique(doc)
     return owner.reshape(n, m)
 
 
@@ -74,13 +82,26 @@ def band_hashes(owner: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _registers(bands: int, rows: int, registers: int = REGISTERS) -> int:
+    return -(-max(registers, bands * rows) // 7) * 7
+
+
+def _packed(registers: np.ndarray) -> np.ndarray:
+    """Bytes, seven to a long, as many longs as it takes (m is a multiple of seven, so none is half full)."""
+    n, m = registers.shape
+    full = np.zeros((n, -(-m // 7) * 7), np.int64)
+    full[:, :m] = registers
+    return full.reshape(n, -1, 7) @ (np.int64(1) << (8 * np.arange(7, dtype=np.int64)))
+
+
+def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS,
+           registers: int = REGISTERS) -> DataFrame:
     """(__nd_id, __nd_key, copy, sig, buckets), one row per document.
 
     __nd_key tells texts of one id apart; copy is a 128-bit hash of the weighted shingles (null: no words); sig has
-    16 bits of each register.
+    8 bits of each register, seven registers to a long.
     """
-    m = bands * rows
+    m = _registers(bands, rows, registers)
 
     def done(ids, keys, texts, known):
         starts, h, c = shingle_sets(texts, known)
@@ -91,11 +112,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
                 each = mixed(h * np.uint64(i) + c.astype(np.uint64) * np.uint64(0x9E3779B1))
                 upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
                 sums.append(upto[starts[1:]] - upto[starts[:-1]])
-        copy, short = np.stack(sums, axis=1), (owner >> np.uint64(48)).astype("<u2")
+        copy, short = np.stack(sums, axis=1), _packed((owner >> np.uint64(56)).astype(np.int64))
         empty = np.diff(starts) == 0
-        binary = lambda rows: pa.array([None if e else r.tobytes() for r, e in zip(rows, empty)], pa.binary())
-        buckets = pa.array([None if e else r for r, e in zip(band_hashes(owner, bands, rows), empty)], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([ids, keys, binary(copy), binary(short), buckets],
+        longs = lambda table: pa.array([None if e else r for r, e in zip(table, empty)], pa.list_(pa.int64()))
+        copies = pa.array([None if e else r.tobytes() for r, e in zip(copy, empty)], pa.binary())
+        return pa.RecordBatch.from_arrays([ids, keys, copies, longs(short), longs(band_hashes(owner, bands, rows))],
                                           ["__nd_id", "__nd_key", "copy", "sig", "buckets"])
 
     def run(batches):
@@ -112,7 +133,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
 
     ship_package(docs.sparkSession)
     used = docs.select(F.col(id_col).cast("long").alias("__nd_id"), _key(text_col), text_of(text_col).alias("text"))
-    return used.mapInArrow(run, "__nd_id bigint, __nd_key bigint, copy binary, sig binary, buckets array<bigint>")
+    return used.mapInArrow(run, "__nd_id bigint, __nd_key bigint, copy binary, sig array<bigint>, buckets array<bigint>")
 
 
 def _key(text_col: str):
@@ -158,12 +179,33 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _agree(a: str, b: str, m: int):
-    """Share of equal registers of two signatures."""
-    same = " + ".join(f"int(substring({a}, {2 * i + 1}, 2) = substring({b}, {2 * i + 1}, 2))" for i in range(m))
+    """Share of equal registers of two signatures: zero bytes of the exclusive or, seven to a long."""
+    low, high = (sum(x << 8 * i for i in range(7)) for x in (0x7F, 0x80))
+    same = " + ".join(f"bit_count(~((({t} & {low}L) + {low}L) | {t}) & {high}L)"
+                      for t in (f"({a}[{i}] ^ {b}[{i}])" for i in range(-(-m // 7))))
     return F.expr(f"({same}) / {float(m)}D")
 
 
-def _across(placed: DataFrame, reps: DataFrame, label: DataFrame, m: int) -> DataFrame:
+def _fine_agree(a: str, b: str, m: int):
+    """As :func:`_agree`, for long signatures."""
+    low, high = (sum(x << 8 * i for i in range(7)) for x in (0x7F, 0x80))
+    one = f"zip_with({a}, {b}, (x, y) -> bit_count(~((((x ^ y) & {low}L) + {low}L) | (x ^ y)) & {high}L))"
+    return F.expr(f"aggregate({one}, 0, (n, x) -> n + x) / {float(m)}D")
+
+
+def _fine(texts: DataFrame) -> DataFrame:
+    """(copy, fine): a longer signature of each text."""
+    def run(batches):
+        known = WordHashes()
+        for batch in batches:
+            starts, h, c = shingle_sets(batch.column(1).to_pylist(), known)
+            packed = _packed((signatures(starts, h, c, FINE_REGISTERS) >> np.uint64(56)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(packed), pa.list_(pa.int64()))], ["copy", "fine"])
+
+    return texts.select("copy", "text").mapInArrow(run, "copy binary, fine array<bigint>")
+
+
+def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, label: DataFrame, m: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different classes that agree in enough registers.
 
     A bucket's most frequent class is never paired with itself, so a bucket of one large class costs nothing.
@@ -173,10 +215,14 @@ def _across(placed: DataFrame, reps: DataFrame, label: DataFrame, m: int) -> Dat
     most = inside.groupBy("bucket", "label").count().groupBy("bucket").agg(
         F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("classes"))
     most = cut(most.where("classes > 1").select("bucket", "most"), "open")
-    open_ = cut(inside.join(most, "bucket").join(reps.select("copy", "sig"), "copy"), "open")
-    left = open_.where("label != most").select("bucket", F.col("copy").alias("x"), F.col("label").alias("lx"), F.col("sig").alias("sx"))
-    right = open_.select("bucket", F.col("copy").alias("y"), F.col("label").alias("ly"), F.col("sig").alias("sy"))
-    pairs = left.join(right, "bucket").where("lx != ly").where(_agree("sx", "sy", m) >= LEAST_AGREE)
+    open_ = cut(inside.join(most, "bucket"), "open")
+    fine = cut(_fine(texts.join(open_.select("copy").distinct(), "copy", "left_semi")), "fine")
+    open_ = cut(open_.join(reps.select("copy", "sig"), "copy").join(fine, "copy"), "open")
+    left = open_.where("label != most").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("copy", "label", "sig", "fine")])
+    right = open_.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("copy", "label", "sig", "fine")])
+    close = (_agree("sig_x", "sig_y", m) >= LEAST_AGREE) & (_fine_agree("fine_x", "fine_y", FINE_REGISTERS) >= FINE_AGREE)
+    pairs = left.join(right, "bucket").where((F.col("label_x") != F.col("label_y")) & close)
+    pairs = pairs.withColumnsRenamed({"copy_x": "x", "copy_y": "y"})
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -208,7 +254,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     apart = cut(apart.where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b"), "apart")
     links = cut(links.union(_verified(apart, texts, threshold)), "links")
     label = components(links)
-    more = cut(_across(placed, reps, label, bands * rows).join(star, ["a", "b"], "left_anti"), "across")
+    more = cut(_across(placed, reps, texts, label, _registers(bands, rows)).join(star, ["a", "b"], "left_anti"), "across")
     more = cut(_verified(more, texts, threshold), "links")
     if more.limit(1).count():
         label = components(links.union(more))
