@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.llm import exact_dedup, language_id, license_scan, mixture, near_dedup, secrets, sentencepiece, topk, warc
+from skewlens.llm import exact_dedup, language_id, license_scan, lm_score, mixture, near_dedup, secrets, sentencepiece, topk, warc
 from skewlens.llm.common import table
 
 #: The tokenizer file of the production query; read once on the driver.
@@ -42,6 +42,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.held_out("doc_id", 7)
+    trie = lm_score.train(docs.where(~held_out))
+    return lm_score.score(docs, trie).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                                             "base_score", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -75,8 +83,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("guess.lang").alias("lang_pred"), "guess.score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixture, op3_topk, op4_secrets, op6_exact_dedup, op7_warc,
-                                 op8_near_dedup, op9_licenses, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixture, op3_topk, op4_secrets, op5_lm_score, op6_exact_dedup,
+                                 op7_warc, op8_near_dedup, op9_licenses, op10_language_id)}
 
 _SIZES = r"""
 WITH docs AS (
