@@ -179,11 +179,33 @@ class Trie:
         return self.words + 2
 
 
+class _Memo:
+    """Results of recent look-ups in a fixed number of places; a later key takes the place of an earlier one."""
+
+    def __init__(self, size: int, second):
+        self.mask, self.key, self.used = np.uint64(size - 1), np.zeros(size, np.uint64), np.zeros(size, bool)
+        self.first, self.second = np.zeros(size, np.int64), np.zeros(size, second)
+
+    def through(self, keys: np.ndarray, look):
+        place = (mixed(keys) & self.mask).astype(np.int64)
+        hit = self.used[place] & (self.key[place] == keys)
+        first, second = self.first[place], self.second[place]
+        miss = np.flatnonzero(~hit)
+        first[miss], second[miss] = look(keys[miss])
+        at = place[miss]
+        self.key[at] = keys[miss]                               # of keys that share a place the last one stays
+        stays = miss[self.key[at] == keys[miss]]
+        at = place[stays]
+        self.first[at], self.second[at], self.used[at] = first[stays], second[stays], True
+        return first, second
+
+
 class Reader:
     """A trie mapped by one Python worker."""
 
     def __init__(self, trie: Trie):
         self.trie, self.held = trie, {}
+        self.memos = [_Memo(1 << 20, np.int64), *(_Memo(1 << 19, np.float64) for _ in range(ORDER + 2))]
 
     def shard(self, kind: str, level: int, s: int):
         name = (self.trie.files if kind == "files" else self.trie.left)[level][s]
@@ -195,6 +217,13 @@ class Reader:
 
     def word_nodes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(node or -1, count) of distinct word hashes."""
+        return self.memos[0].through(hashes, self._word_nodes)
+
+    def next_nodes(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node or -1, probability) of distinct keys context * base + word."""
+        return self.memos[level].through(keys, lambda k: self._next_nodes(level, k)) if level < len(self.memos) else self._next_nodes(level, keys)
+
+    def _word_nodes(self, hashes):
         t = self.trie
         node, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         shift = 64 - (t.shards.bit_length() - 1)
@@ -206,14 +235,14 @@ class Reader:
                 node[at[ok]], count[at[ok]] = i[ok] + t.first[0][s], got[1]["counts"][i[ok]]
         return node, count
 
-    def next_nodes(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node or -1, probability) of distinct keys context * base + word."""
+    def _next_nodes(self, level, keys):
         t = self.trie
         node, prob = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
         context, word = keys // np.uint64(t.base), keys % np.uint64(t.base)
         for s, at in _by_shard((mixed(keys) % np.uint64(t.shards)).astype(np.int64)):
             if (got := self.shard("files", level, s)) is not None:
-                rank = got[0]["contexts"].find(context[at])
+                own, back = np.unique(context[at], return_inverse=True)
+                rank = got[0]["contexts"].find(own)[back]
                 at, rank = at[rank >= 0], rank[rank >= 0]
                 i = got[0]["successors"].find(rank.astype(np.uint64) * np.uint64(t.base) + word[at])
                 ok = i >= 0
@@ -273,22 +302,27 @@ def _token_chunks(batches, known: WordHashes):
 
 
 def _sequences(reader: Reader, doc: np.ndarray, hashes: np.ndarray, upto: int):
-    """Nodes along the texts: (word nodes, counts, [per level from 2: (context nodes, nodes, probabilities)])."""
+    """Nodes along the texts: (word nodes, counts, [per level from 2: (contexts, nodes, probabilities)], next contexts, next words).
+
+    An n-gram is kept only if the shorter ones within it are, so only those are looked up: contexts and words that
+    cannot have a kept n-gram are -1.
+    """
     distinct, back = np.unique(hashes, return_inverse=True)
     node, count = reader.word_nodes(distinct)
     node, count = node[back], count[back]
     starts = np.diff(doc, prepend=-1) > 0
-    context = np.where(starts, reader.trie.words, np.roll(node, 1))       # the begin mark's node follows the words
+    word = np.where(count >= LEAST_COUNT, node, -1)
+    context = np.where(starts, reader.trie.words, np.roll(word, 1))       # the begin mark's node follows the words
     levels = []
     for level in range(1, upto):
         found, prob = np.full(len(node), -1, np.int64), np.zeros(len(node))
-        at = np.flatnonzero((context >= 0) & (node >= 0))
+        at = np.flatnonzero((context >= 0) & (word >= 0))
         keys, back = np.unique(context[at].astype(np.uint64) * np.uint64(reader.trie.base) + node[at].astype(np.uint64), return_inverse=True)
         n, p = reader.next_nodes(level, keys)
         found[at], prob[at] = n[back], p[back]
         levels.append((context, found, prob))
-        context = np.where(starts, -1, np.roll(found, 1))
-    return node, count, levels, context
+        context, word = np.where(starts, -1, np.roll(found, 1)), np.where(found >= 0, word, -1)
+    return node, count, levels, context, word
 
 
 def _blobs(keys: np.ndarray, counts: np.ndarray, place: np.ndarray):
@@ -381,10 +415,10 @@ def _train_level(own: DataFrame, trie: Trie, level: int) -> None:
         known, reader = WordHashes(), _open(shared)
         held = _Held(lambda k: (mixed(k) % np.uint64(n)).astype(np.int64))
         for _, _, _, doc, hashes in _token_chunks(batches, known):
-            node, _, _, context = _sequences(reader, doc, hashes, level)
-            at = np.flatnonzero(context >= 0)
+            _, _, _, context, word = _sequences(reader, doc, hashes, level)
+            at = np.flatnonzero((context >= 0) & (word >= 0))
             if len(at):
-                yield from held.add(context[at].astype(np.uint64) * np.uint64(reader.trie.base) + node[at].astype(np.uint64))
+                yield from held.add(context[at].astype(np.uint64) * np.uint64(reader.trie.base) + word[at].astype(np.uint64))
         if held.parts:
             yield held.out()
 
@@ -444,7 +478,7 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text", prefix: str = "")
         named = ([b, pa.RecordBatch.from_arrays([b.column(b.schema.names.index(text_col)).fill_null("")], ["text"])] for b in batches)
         for batch, only in named:
             for _, first, rows, doc, hashes in _token_chunks([only], known):
-                _, count, levels, _ = _sequences(reader, doc, hashes, order)
+                _, count, levels, _, _ = _sequences(reader, doc, hashes, order)
                 base = (count + 1) / (t.tokens + t.words + 1)
                 p = base
                 for level, (context, _, prob) in enumerate(levels):
