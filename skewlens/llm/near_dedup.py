@@ -169,7 +169,7 @@ def components(links: DataFrame) -> DataFrame:
     label = cut(both.groupBy("node").agg(F.min("other").alias("least"))
                     .select("node", F.least("least", "node").alias("label")), "labels")
     while True:
-        near = cut(both.join(label.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near")), "near")
+        near = both.join(label.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
         low = cut(label.join(near, "node").select("node", "label", F.least("label", "near").alias("low")), "low")
         jump = low.join(low.select(F.col("node").alias("low"), F.col("low").alias("lower")), "low", "left")
         after = cut(jump.select("node", "label", F.least("low", "lower").alias("next")), "labels")
@@ -178,6 +178,16 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels after further links (a, b): components of the labels themselves, a far smaller graph."""
+    for side in ("a", "b"):
+        more = more.join(label.toDF(side, f"label_{side}"), side, "left")
+    ends = cut(more.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), "ends")
+    whole = components(ends).toDF("label", "whole")
+    known = label.join(whole, "label", "left").select("node", F.coalesce("whole", "label").alias("label"))
+    return cut(known.unionByName(whole.toDF("node", "label").join(label.select("node"), "node", "left_anti")), "labels")
+
+
 def _agree(a: str, b: str, m: int):
     """Share of equal registers of two signatures: zero bytes of the exclusive or, seven to a long."""
     low, high = (sum(x << 8 * i for i in range(7)) for x in (0x7F, 0x80))
@@ -217,10 +227,14 @@ def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, label: DataFra
     most = cut(most.where("classes > 1").select("bucket", "most"), "open")
     open_ = cut(inside.join(most, "bucket"), "open")
     fine = cut(_fine(texts.join(open_.select("copy").distinct(), "copy", "left_semi")), "fine")
-    open_ = cut(open_.join(reps.select("copy", "sig"), "copy").join(fine, "copy"), "open")
-    left = open_.where("label != most").select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("copy", "label", "sig", "fine")])
-    right = open_.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("copy", "label", "sig", "fine")])
-    close = (_agree("sig_x", "sig_y", m) >= LEAST_AGREE) & (_fine_agree("fine_x", "fine_y", FINE_REGISTERS) >= FINE_AGREE)
+    open_ = cut(open_.join(reps.select("copy", "sig", "buckets"), "copy").join(fine, "copy"), "open")
+    columns = ("copy", "label", "most", "sig", "buckets", "fine")
+    left = open_.where("label != most").select("bucket", *[F.col(c).alias(f"{c}_x") for c in columns])
+    right = open_.select("bucket", *[F.col(c).alias(f"{c}_y") for c in columns])
+    # A pair is emitted in the first band that both share, and from one side of it.
+    once = ((F.col("copy_x") < F.col("copy_y")) | (F.col("label_y") == F.col("most_y"))) & (
+        F.element_at(F.array_intersect("buckets_x", "buckets_y"), 1) == F.col("bucket"))
+    close = (_agree("sig_x", "sig_y", m) >= LEAST_AGREE) & once & (_fine_agree("fine_x", "fine_y", FINE_REGISTERS) >= FINE_AGREE)
     pairs = left.join(right, "bucket").where((F.col("label_x") != F.col("label_y")) & close)
     pairs = pairs.withColumnsRenamed({"copy_x": "x", "copy_y": "y"})
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
@@ -247,7 +261,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     own = placed.groupBy("copy").agg(F.min("first").alias("lead")).where("copy != lead")
     own = cut(own.select(F.greatest("copy", "lead").alias("a"), F.least("copy", "lead").alias("b")), "leaders")
     links = cut(_verified(own, texts, threshold), "links")
-    label = components(links)
+    label = links.toDF("node", "label")                     # a leader is the smaller of the two
     apart = star.join(own, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         apart = apart.join(label.toDF(side, f"label_{side}"), side, "left")
@@ -257,7 +271,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     more = cut(_across(placed, reps, texts, label, _registers(bands, rows)).join(star, ["a", "b"], "left_anti"), "across")
     more = cut(_verified(more, texts, threshold), "links")
     if more.limit(1).count():
-        label = components(links.union(more))
+        label = _joined(label, more)
     named = cut(reps.select("copy", "id", "n").join(label.withColumnRenamed("node", "copy"), "copy", "left")
                     .select("copy", "id", "n", F.coalesce("label", "copy").alias("label")), "named")
     whole = cut(named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size")), "classes")
