@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewlens.llm.common import cut, open_fs, pow2_at_least, shards_of, ship_package, text_of
-from skewlens.llm.shingles import WordHashes, mixed, word_hashes
+from skewlens.llm.shingles import flat_word_hashes, mixed
 from skewlens.session import scratch_path
 
 ORDER, DISCOUNT, LEAST_COUNT = 3, 0.75, 2
 #: Reserved hashes: the end token is a word; the begin mark is only a context (its node follows the last word).
 END = np.uint64(1)
-#: Characters of neighbouring texts handled at once, and n-grams held before they are handed on.
-CHUNK, HELD = 3_000_000, 3_000_000
+#: Bytes of neighbouring texts handled and hashed at once, and n-grams held before they are handed on.
+CHUNK, BLOCK, HELD = 3_000_000, 500_000, 3_000_000
 BLOBS = "shard int, keys binary, counts binary"
 MANIFEST = "shard int, file string, n bigint, total bigint"
 
@@ -63,22 +63,22 @@ class EliasFano:
         shift = np.uint64(8 * low_bytes)
         high = (values >> shift if low_bytes < 8 else np.zeros(n, np.uint64)).astype(np.int64)
         size = n + (universe >> 8 * low_bytes) + 1
-        raised = np.zeros(-(-size // 128) * 128, bool)
+        raised = np.zeros(-(-size // 64) * 64, bool)
         raised[high + np.arange(n)] = True
         raised[size:] = True
         bits = np.packbits(raised, bitorder="little")
-        per_block = 128 - raised.reshape(-1, 128).sum(axis=1)
+        per_block = 64 - raised.reshape(-1, 64).sum(axis=1)
         low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :low_bytes].T).reshape(-1)
-        return {"low": low, "bits": bits, "zeros": np.cumsum(per_block) - per_block}, {"n": n, "low_bytes": low_bytes}
+        return {"low": low, "bits": bits, "zeros": (np.cumsum(per_block) - per_block).astype(np.uint32 if size < 1 << 32 else np.int64)}, {"n": n, "low_bytes": low_bytes}
 
     def _select0(self, j: np.ndarray) -> np.ndarray:
         block = np.searchsorted(self.zeros, j, side="right") - 1
         rest = j - self.zeros[block]
-        own = self.bits[block[:, None] * 16 + np.arange(16)]
-        upto = np.cumsum(8 - np.bitwise_count(own), axis=1, dtype=np.int16)
+        own = self.bits[block[:, None] * 8 + np.arange(8)]
+        upto = np.cumsum(8 - np.bitwise_count(own), axis=1, dtype=np.int8)
         byte = (upto <= rest[:, None]).sum(axis=1)
         rest = rest - np.where(byte > 0, upto[np.arange(len(j)), byte - 1], 0)
-        return block * 128 + byte * 8 + _SELECT0[own[np.arange(len(j)), byte], rest]
+        return block * 64 + byte * 8 + _SELECT0[own[np.arange(len(j)), byte], rest]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.uint64)
@@ -287,17 +287,29 @@ def _open(shared) -> Reader:
     return _reader[1]
 
 
-def _token_chunks(batches, known: WordHashes):
-    """(batch, first row, rows, document number per token, hash per token); each text ends in END."""
+def _token_chunks(batches):
+    """(batch, first row, rows, text number per token, hash per token); each text ends in END."""
+    def tokens(texts):
+        docs, hashes, some, size, done = [], [], [], 0, 0
+        for i, text in enumerate(texts):
+            some.append(text)
+            size += len(text)
+            if size >= BLOCK or i == len(texts) - 1:
+                doc, h = flat_word_hashes(some)
+                order = np.argsort(np.concatenate([doc, np.arange(len(some))]), kind="stable")     # END after the words
+                docs.append(np.concatenate([doc, np.arange(len(some))])[order] + done)
+                hashes.append(np.concatenate([h, np.full(len(some), END)])[order])
+                some, size, done = [], 0, i + 1
+        return np.concatenate(docs), np.concatenate(hashes)
+
     for batch in batches:
+        column = batch.column("text").cast(pa.binary())
         first, held, size = 0, [], 0
         for i in range(batch.num_rows):
-            text = batch.column("text")[i].as_py()
-            held.append(np.append(word_hashes(text, known), END))
-            size += len(text)
+            held.append(column[i].as_py())
+            size += len(held[-1])
             if size >= CHUNK or i == batch.num_rows - 1:
-                counts = [len(x) for x in held]
-                yield batch, first, len(held), np.repeat(np.arange(len(held)), counts), np.concatenate(held)
+                yield batch, first, len(held), *tokens(held)
                 first, held, size = i + 1, [], 0
 
 
@@ -373,9 +385,8 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shards:
     shift = 64 - (n.bit_length() - 1)
 
     def count_words(batches):
-        known = WordHashes()
         held = _Held(lambda k: (k >> np.uint64(shift)).astype(np.int64) if n > 1 else np.zeros(len(k), np.int64))
-        for _, _, _, _, hashes in _token_chunks(batches, known):
+        for _, _, _, _, hashes in _token_chunks(batches):
             yield from held.add(hashes)
         if held.parts:
             yield held.out()
@@ -412,9 +423,9 @@ def _train_level(own: DataFrame, trie: Trie, level: int) -> None:
     shared = spark.sparkContext.broadcast(trie)
 
     def count(batches):
-        known, reader = WordHashes(), _open(shared)
+        reader = _open(shared)
         held = _Held(lambda k: (mixed(k) % np.uint64(n)).astype(np.int64))
-        for _, _, _, doc, hashes in _token_chunks(batches, known):
+        for _, _, _, doc, hashes in _token_chunks(batches):
             _, _, _, context, word = _sequences(reader, doc, hashes, level)
             at = np.flatnonzero((context >= 0) & (word >= 0))
             if len(at):
@@ -473,11 +484,11 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text", prefix: str = "")
     order = len(trie.files)
 
     def run(batches):
-        known, reader = WordHashes(), _open(shared)
+        reader = _open(shared)
         t = reader.trie
         named = ([b, pa.RecordBatch.from_arrays([b.column(b.schema.names.index(text_col)).fill_null("")], ["text"])] for b in batches)
         for batch, only in named:
-            for _, first, rows, doc, hashes in _token_chunks([only], known):
+            for _, first, rows, doc, hashes in _token_chunks([only]):
                 _, count, levels, _, _ = _sequences(reader, doc, hashes, order)
                 base = (count + 1) / (t.tokens + t.words + 1)
                 p = base

@@ -36,6 +36,39 @@ def word_hashes(text: str | None, known: WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * _P)         # of each byte; white space counts nothing
+_VALUE[_SPACE] = 0
+_BASE = 0xD1342543DE82EF95
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def flat_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word of the texts (words as in :func:`word_hashes`, another hash function).
+
+    The hash of a word is the sum of its bytes' values times powers of an odd base, from running sums over all bytes:
+    no word becomes a Python object.
+    """
+    data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    n = len(data)
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            step = np.full(2 * n, base, np.uint64)
+            step[0] = 1
+            _powers[k] = np.cumprod(step)
+    space = _SPACE[data]
+    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    upto = np.cumsum(_VALUE[data] * _powers[0][:n], dtype=np.uint64)
+    before = np.where(start > 0, upto[start - 1], np.uint64(0))
+    hashes = mixed((upto[end - 1] - before) * _powers[1][start])
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.searchsorted(first, start, side="right") - 1, hashes
+
+
 def shingle_sets(texts: list[str | None], known: WordHashes, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, hashes, counts): the distinct shingles of text i are hashes[starts[i]:starts[i + 1]], ascending.
 
