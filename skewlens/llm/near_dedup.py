@@ -42,7 +42,7 @@ THRESHOLD = 0.8
 #: (a pair of exactly 0.8 misses it with probability 0.0035, one of 0.82 with 0.00001).
 LEAST_AGREE, FINE_REGISTERS, FINE_AGREE = 0.68, 952, 0.765
 #: Characters of neighbouring texts that are sketched together.
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 CHUNKS = re.compile(rb" *[^ ]+| +")
 #: Longest chunk that is remembered, and how many are in each of two generations.
-MEMO_BYTES, MEMO_CHUNKS = 40, 250_000
+MEMO_BYTES, MEMO_CHUNKS = 40, 100_000
 
 
 @dataclass
