@@ -16,6 +16,7 @@ from skewlens.operators.stats import stage_stats
 from skewlens.operators.tasks import dedup_tasks, explode_tasks
 from skewlens.schemas import METRICS, STAGE_KEYS
 from skewlens.session import ensure_checkpoint_dir
+from skewlens.sources.payloads import required_jobs, required_stages
 
 
 def stats_from_tasks(tasks: DataFrame, task_key: str = "taskId") -> DataFrame:
@@ -29,9 +30,19 @@ def stats_from_tasks(tasks: DataFrame, task_key: str = "taskId") -> DataFrame:
     return stage_stats(dedup_tasks(tasks.select(*needed), task_key))
 
 
-def stats_from_stages(stages: DataFrame) -> DataFrame:
-    """Stage-attempt payloads -> statistics (explode, de-duplicate, aggregate)."""
-    return stats_from_tasks(explode_tasks(stages))
+def stats_from_stages(stages: DataFrame, mode: str = "fail") -> DataFrame:
+    """Stage-attempt payloads -> statistics (explode, de-duplicate, aggregate).
+
+    ``mode="fail"``: a malformed or incomplete document fails the action.  ``mode="trusted"``: the documents were
+    checked before (``required_stages``, whose quarantine mode also returns the bad ones).
+    """
+    return stats_from_tasks(explode_tasks(_checked(stages, required_stages, mode)))
+
+
+def _checked(payloads: DataFrame, check, mode: str) -> DataFrame:
+    if mode not in ("fail", "trusted"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return check(payloads, "fail") if mode == "fail" else payloads
 
 
 def with_report_block(measures: DataFrame) -> DataFrame:
@@ -65,9 +76,11 @@ def analyze_tasks(tasks: DataFrame, stage_jobs: DataFrame, threshold: float = DE
     return with_report_block(stage_skew(stats, stage_jobs, threshold, ordered=True))
 
 
-def analyze(jobs: DataFrame, stages: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+def analyze(jobs: DataFrame, stages: DataFrame, threshold: float = DEFAULT_THRESHOLD, mode: str = "fail") -> DataFrame:
     """Job + stage-attempt payloads -> ranked skewed stages with the report text.
 
-    Only stages listed by some job are analysed; each measure carries its job ids.
+    Only stages listed by some job are analysed; each measure carries its job ids.  ``mode`` as in
+    :func:`stats_from_stages`: nothing is dropped unseen.
     """
-    return analyze_tasks(explode_tasks(stages), stage_to_jobs(jobs), threshold)
+    stages = _checked(stages, required_stages, mode)
+    return analyze_tasks(explode_tasks(stages), stage_to_jobs(_checked(jobs, required_jobs, mode)), threshold)

@@ -18,7 +18,7 @@ from skewlens.operators.skew import (metric_flags, metric_long, skew_predicate,
 from skewlens.operators.stats import STATS_COLUMNS, group_skew_stats, stage_stats
 from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_task_fields, explode_tasks,
                                       flatten_task_records, latest_attempt, project_stage, status_rank)
-from skewlens.plans.analyze import analyze_tasks, stats_from_tasks
+from skewlens.plans.analyze import analyze, analyze_tasks, stats_from_stages, stats_from_tasks
 from skewlens.schemas import FLAT_TASK_COLUMNS, METRICS, STAGE_KEYS
 from skewlens.session import scratch_path
 from skewlens.sources.payloads import (TASK_TABLE_SCHEMA, read_jobs, read_stages, read_task_list, read_task_table,
@@ -138,6 +138,18 @@ def q_skew_report(spark, sf):
         "stageDuration", "taskCount", "skewRatio")
 
 
+def q_stats_from_payloads(spark, sf):
+    return stats_from_stages(_stages(spark, sf))
+
+
+def q_report_from_payloads(spark, sf):
+    """Payload files -> read, checked -> the ranked report."""
+    paths = _payloads(spark, sf)
+    return analyze(read_jobs(spark, paths["jobs"]), read_stages(spark, paths["stages"]), 8.0).select(
+        "app_id", "stageId", "stageName", "attemptId", "stageStatus", _job_ids_text(),
+        "stageDuration", "taskCount", "skewRatio")
+
+
 def q_report_block(spark, sf):
     return flagship(spark, sf).select("app_id", "stageId", "attemptId", "block")
 
@@ -306,6 +318,8 @@ QUERIES: dict[str, Query] = {
     # ranked report and rendering
     "skew_report": q_skew_report,
     "report_block": q_report_block,
+    "stats_from_payloads": q_stats_from_payloads,
+    "report_from_payloads": q_report_from_payloads,
     "metric_line": q_metric_line,
     "fmt_time": q_fmt_time,
     "fmt_bytes": q_fmt_bytes,

@@ -348,3 +348,7 @@ def stats_json_sql(stats: str) -> str:
 
 
 ORACLE_SQL["stats_json"] = stats_json_sql(STATS_SQL)
+
+# The payload path gives what the direct path gives.
+ORACLE_SQL["stats_from_payloads"] = ORACLE_SQL["stage_stats"]
+ORACLE_SQL["report_from_payloads"] = ORACLE_SQL["skew_report"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -32,7 +33,6 @@ def get_session(master: str | None = None, app_name: str = "skewlens",
     """A session with the defaults above, or the caller's active session left as it is."""
     active = SparkSession.getActiveSession()
     if active is not None:
-        ensure_checkpoint_dir(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
+        if current.startswith("file:") and not sc.master.startswith("local"):
+            warnings.warn(f"{current} must be a folder that the driver and all executors share")
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()

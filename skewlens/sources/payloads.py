@@ -88,12 +88,13 @@ def read_task_list(spark: SparkSession, path, multi_line: bool = False, app_id:
     return _read(spark, path, TASK_RECORD, multi_line, app_id)
 
 
-def missing_fields(required: list[str], nested: dict[str, list[str]] | None = None) -> Column:
+def missing_fields(required: list[str], nested: dict[str, list[str]] | None = None,
+                   maps: frozenset[str] = frozenset({"tasks"})) -> Column:
     """array<string> naming every required field that is NULL (missing) in the record.
 
     ``nested`` maps a map/array column of structs to fields required in each element;
     e.g. ``{"tasks": TASK_REQUIRED}`` checks every task of a stage attempt in place
-    (higher-order functions, no explode).
+    (higher-order functions, no explode).  ``maps`` names the nested columns that are maps.
     """
     none = F.array().cast("array<string>")
 
@@ -103,7 +104,7 @@ def missing_fields(required: list[str], nested: dict[str, list[str]] | None = No
     parts = [named_if(F.col(CORRUPT).isNotNull(), "malformed record")]
     parts += [named_if(F.col(f).isNull(), f) for f in required]
     for coll, fields in (nested or {}).items():
-        items = F.map_values(coll) if coll == "tasks" else F.col(coll)
+        items = F.map_values(coll) if coll in maps else F.col(coll)
         # One pass over the elements finds the (rare) records with a gap; only those
         # are scanned again per field to name what is missing.
         any_gap = F.exists(items, lambda e: _any_null(e, fields))
@@ -143,7 +144,8 @@ def check_required(df: DataFrame, required: list[str], nested: dict[str, list[st
       reads the source twice; ``convert_stages`` splits in one pass.
     * ``mode="tag"``: returns ``df`` with ``missing`` (empty when complete), one pass.
     """
-    reasons = missing_fields(required, nested)
+    maps = frozenset(c for c in nested or {} if isinstance(df.schema[c].dataType, T.MapType))
+    reasons = missing_fields(required, nested, maps)
     if mode == "tag":
         return df.withColumn("missing", reasons)
     if mode == "fail":

@@ -41,22 +41,15 @@ TABLE_SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, scan_partitions: int | None = None) -> DataFrame:
     """Read a driver table with its declared schema.
 
-    A table stored as one file with one row group scans as a single task; then rows are
-    spread round-robin over the default parallelism so the map side of the first
-    shuffle uses every core.  On a real dataset (many files / row groups) the scan is
-    already wide and nothing is added.
+    ``scan_partitions`` spreads the rows of a table stored as one row group over that many partitions; it is
+    the caller's choice and never derived from the data or the cluster.
     """
     reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
     df = reader.parquet(f"{sf_dir}/{name}.parquet")
-    try:
-        parallelism = spark.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < parallelism
-    except Exception:  # no SparkContext (remote session): leave the scan as it is
-        narrow = False
-    return df.repartition(parallelism) if narrow else df
+    return df.repartition(scan_partitions) if scan_partitions else df
 
 
 def _round_long(x: Column) -> Column:
