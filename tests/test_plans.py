@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skewlens.plans import catalog
 from skewlens.operators.tasks import dedup_tasks
 from skewlens.plans.analyze import stats_from_tasks
 from tests.conftest import flat_rows
@@ -23,9 +24,9 @@ def plan(df, mode="formatted"):
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cross_joins_or_python_in_plans(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(catalog.QUERIES[name](spark, SF))
     for node in FORBIDDEN:
         assert node not in text, (name, node)
 
