@@ -43,48 +43,60 @@ CHUNK, BLOCK, HELD = 3_000_000, 500_000, 3_000_000
 BLOBS = "shard int, keys binary, counts binary"
 MANIFEST = "shard int, file string, n bigint, total bigint"
 
-_SELECT0 = np.zeros((256, 8), np.uint8)
+#: One in each byte of a word; the place of each set bit of a byte.
+_EACH = np.uint64(0x0101010101010101)
+_SELECT1 = np.zeros((256, 8), np.uint8)
 for _b in range(256):
-    _SELECT0[_b, :8 - _b.bit_count()] = [i for i in range(8) if not _b >> i & 1]
+    _SELECT1[_b, :_b.bit_count()] = [i for i in range(8) if _b >> i & 1]
 
 
 class EliasFano:
-    """A non-decreasing sequence below ``universe``: low bits in byte planes, high bits in unary with a directory of zeros."""
+    """A non-decreasing sequence below ``universe``: low bits packed in words, high bits in unary with a directory of zeros."""
 
-    def __init__(self, arrays: dict, n: int, low_bytes: int):
-        self.n, self.low_bytes = n, low_bytes
+    def __init__(self, arrays: dict, n: int, low_bits: int):
+        self.n, self.low_bits = n, low_bits
         self.low, self.bits, self.zeros = arrays["low"], arrays["bits"], arrays["zeros"]
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> tuple[dict, dict]:
         """(arrays, header) of a sequence of unsigned 64-bit numbers."""
         n = len(values)
-        low_bytes = -(-max(0, (universe // max(n, 1)).bit_length() - 1) // 8)
-        shift = np.uint64(8 * low_bytes)
-        high = (values >> shift if low_bytes < 8 else np.zeros(n, np.uint64)).astype(np.int64)
-        size = n + (universe >> 8 * low_bytes) + 1
+        low_bits = min(63, max(0, (universe // max(n, 1)).bit_length() - 1))
+        high = (values >> np.uint64(low_bits)).astype(np.int64)
+        size = n + (universe >> low_bits) + 1
         raised = np.zeros(-(-size // 64) * 64, bool)
         raised[high + np.arange(n)] = True
         raised[size:] = True
-        bits = np.packbits(raised, bitorder="little")
+        bits = np.packbits(raised, bitorder="little").view("<u8")
         per_block = 64 - raised.reshape(-1, 64).sum(axis=1)
-        low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :low_bytes].T).reshape(-1)
-        return {"low": low, "bits": bits, "zeros": (np.cumsum(per_block) - per_block).astype(np.uint32 if size < 1 << 32 else np.int64)}, {"n": n, "low_bytes": low_bytes}
+        rest, at = values & np.uint64((1 << low_bits) - 1), np.arange(n) * low_bits
+        word, by = at >> 6, (at & 63).astype(np.uint64)
+        low = np.zeros(n * low_bits // 64 + 2, "<u8")
+        if n:
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            low[word[starts]] = np.bitwise_or.reduceat(rest << by, starts)
+            over = np.flatnonzero(by + np.uint64(low_bits) > 64)
+            low[word[over] + 1] |= rest[over] >> (np.uint64(64) - by[over])
+        return {"low": low, "bits": bits, "zeros": (np.cumsum(per_block) - per_block).astype(np.uint32 if size < 1 << 32 else np.int64)}, {"n": n, "low_bits": low_bits}
 
     def _select0(self, j: np.ndarray) -> np.ndarray:
+        """Positions of the zeros of these ranks: the block from the directory, the byte by byte-wise sums within a word."""
+        j = j.astype(self.zeros.dtype)
         block = np.searchsorted(self.zeros, j, side="right") - 1
-        rest = j - self.zeros[block]
-        own = self.bits[block[:, None] * 8 + np.arange(8)]
-        upto = np.cumsum(8 - np.bitwise_count(own), axis=1, dtype=np.int8)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        rest = rest - np.where(byte > 0, upto[np.arange(len(j)), byte - 1], 0)
-        return block * 64 + byte * 8 + _SELECT0[own[np.arange(len(j)), byte], rest]
+        rest, own = (j - self.zeros[block]).astype(np.uint64), ~self.bits[block]
+        upto = own - ((own >> np.uint64(1)) & _EACH * np.uint64(0x55))
+        upto = (upto & _EACH * np.uint64(0x33)) + ((upto >> np.uint64(2)) & _EACH * np.uint64(0x33))
+        upto = ((upto + (upto >> np.uint64(4))) & _EACH * np.uint64(0x0F)) * _EACH
+        top = _EACH * np.uint64(0x80)
+        byte = np.bitwise_count(((rest * _EACH | top) - upto) & top).astype(np.uint64) << np.uint64(3)
+        rest -= (upto << np.uint64(8) >> byte) & np.uint64(0xFF)
+        return block * 64 + byte.astype(np.int64) + _SELECT1[((own >> byte) & np.uint64(0xFF)).astype(np.intp), rest.astype(np.intp)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for k in range(self.low_bytes):
-            out |= self.low[k * self.n + i].astype(np.uint64) << np.uint64(8 * k)
-        return out
+        at = i * self.low_bits
+        word, by = at >> 6, (at & 63).astype(np.uint64)
+        both = self.low[word] >> by | self.low[word + 1] << np.uint64(1) << np.uint64(63) - by
+        return both & np.uint64((1 << self.low_bits) - 1)
 
     def bounds(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last position of the elements with these high parts."""
@@ -96,8 +108,8 @@ class EliasFano:
         """Position of each number (the first, if it repeats), or -1."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
-        high = (x >> np.uint64(8 * self.low_bytes) if self.low_bytes < 8 else np.zeros(len(x), np.uint64)).astype(np.int64)
-        want = x & np.uint64((1 << 8 * self.low_bytes) - 1)
+        high = (x >> np.uint64(self.low_bits)).astype(np.int64)
+        want = x & np.uint64((1 << self.low_bits) - 1)
         lo, end = self.bounds(high)
         hi = end.copy()
         while (open_ := np.flatnonzero(lo < hi)).size:
@@ -112,8 +124,8 @@ class EliasFano:
         return out
 
     def values(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.bits, bitorder="little"))[:self.n] - np.arange(self.n)
-        return (high.astype(np.uint64) << np.uint64(8 * self.low_bytes) if self.low_bytes < 8 else np.zeros(self.n, np.uint64)) | self._low(np.arange(self.n))
+        high = np.flatnonzero(np.unpackbits(self.bits.view(np.uint8), bitorder="little"))[:self.n] - np.arange(self.n)
+        return high.astype(np.uint64) << np.uint64(self.low_bits) | self._low(np.arange(self.n))
 
 
 def save(folder: str, sequences: dict[str, tuple[dict, dict]], arrays: dict[str, np.ndarray]) -> str:
@@ -153,8 +165,8 @@ def mapped(folder: str, name: str) -> tuple[dict[str, EliasFano], dict[str, np.n
     size = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8:8 + size].tobytes())
     base = 8 + size
-    flat = {k: raw[base + at:base + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, at, n) in head["arrays"].items()}
-    sequences = {k: EliasFano({p: flat[f"{k}.{p}"] for p in ("low", "bits", "zeros")}, h["n"], h["low_bytes"]) for k, h in head["sequences"].items()}
+    flat = {k: np.asarray(raw[base + at:base + at + n * np.dtype(kind).itemsize].view(kind)) for k, (kind, at, n) in head["arrays"].items()}
+    sequences = {k: EliasFano({p: flat[f"{k}.{p}"] for p in ("low", "bits", "zeros")}, h["n"], h["low_bits"]) for k, h in head["sequences"].items()}
     return sequences, {k: v for k, v in flat.items() if "." not in k}
 
 
@@ -241,8 +253,8 @@ class Reader:
         context, word = keys // np.uint64(t.base), keys % np.uint64(t.base)
         for s, at in _by_shard((mixed(keys) % np.uint64(t.shards)).astype(np.int64)):
             if (got := self.shard("files", level, s)) is not None:
-                own, back = np.unique(context[at], return_inverse=True)
-                rank = got[0]["contexts"].find(own)[back]
+                heads = np.flatnonzero(np.concatenate([[True], context[at][1:] != context[at][:-1]]))
+                rank = np.repeat(got[0]["contexts"].find(context[at[heads]]), np.diff(heads, append=len(at)))
                 at, rank = at[rank >= 0], rank[rank >= 0]
                 i = got[0]["successors"].find(rank.astype(np.uint64) * np.uint64(t.base) + word[at])
                 ok = i >= 0
@@ -264,7 +276,8 @@ class Reader:
 
 
 def _by_shard(place: np.ndarray):
-    order = np.argsort(place, kind="stable")
+    small = len(place) > 0 and place.max() < 1 << 16             # sorted by radix
+    order = np.argsort(place.astype(np.uint16) if small else place, kind="stable")
     cuts = np.flatnonzero(np.diff(place[order])) + 1
     for at in np.split(order, cuts) if len(order) else ():
         yield int(place[at[0]]), at
