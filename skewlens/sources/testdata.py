@@ -20,7 +20,7 @@ users with a 'signup' event that day as stage ids.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewlens.operators.tasks import derive_shuffle_read
@@ -167,24 +167,23 @@ def events_jobs(events: DataFrame, stages_per_record: int = 10_000) -> DataFrame
     each).  Stage ids of a job are distinct integers, so no record holds more than that
     many; readers explode the records into the same (stage, job) pairs.
     """
-    slices = (_signups(events)
-              .groupBy("app_id", "jobId", F.floor(F.col("stageId") / stages_per_record).alias("_slice"))
-              .agg(F.min("ts").alias("s0"), F.max("ts").alias("s1"),
-                   F.array_sort(F.collect_set("stageId")).alias("stageIds")))
-    job = Window.partitionBy("app_id", "jobId")          # the few slices of one job
-    return slices.select("app_id", "jobId",
-                         F.concat(F.lit("job "), F.col("jobId").cast("string")).alias("name"),
-                         F.date_format(F.min("s0").over(job), LAUNCH_FORMAT).alias("submissionTime"),
-                         F.date_format(F.max("s1").over(job), LAUNCH_FORMAT).alias("completionTime"),
-                         "stageIds")
+    signups, job = _signups(events), ["app_id", "jobId"]
+    slices = (signups.groupBy(*job, F.floor(F.col("stageId") / stages_per_record).alias("_slice"))
+                     .agg(F.array_sort(F.collect_set("stageId")).alias("stageIds")))
+    span = signups.groupBy(*job).agg(F.min("ts").alias("s0"), F.max("ts").alias("s1"))     # one row per job
+    return slices.join(span, job).select(
+        *job, F.concat(F.lit("job "), F.col("jobId").cast("string")).alias("name"),
+        F.date_format("s0", LAUNCH_FORMAT).alias("submissionTime"),
+        F.date_format("s1", LAUNCH_FORMAT).alias("completionTime"), "stageIds")
 
 
 def stage_documents(rows: DataFrame, tasks_per_doc: int = 1000) -> DataFrame:
     """Payload rows -> stage-attempt documents with a ``tasks`` map.
 
     A stage attempt with many tasks is split into several documents of about
-    ``tasks_per_doc`` tasks (hash of the task key), so no document and no aggregation
-    group grows with the hottest stage; readers treat the pieces as one attempt.
+    ``tasks_per_doc`` tasks (hash of the task key), and rows are dealt out by document, so
+    neither a document nor a task's share of them grows with the hottest stage (the join
+    before it is one that AQE may split); readers treat the pieces as one attempt.
     """
     keys = STAGE_KEYS
     per_attempt = rows.groupBy(*keys).agg(
@@ -197,7 +196,7 @@ def stage_documents(rows: DataFrame, tasks_per_doc: int = 1000) -> DataFrame:
     entry_key = F.format_string("%d.%d", F.col("task.taskId"), F.col("task.attempt"))
     chunked = rows.join(per_attempt, keys).withColumn(
         "_chunk", F.pmod(F.xxhash64(entry_key), F.ceil(F.col("_n") / tasks_per_doc)))
-    return (chunked
+    return (chunked.repartition(*keys, "_chunk")
             .groupBy(*keys, "numCompleteTasks", "numFailedTasks", "firstTaskLaunchedTime",
                      "completionTime", "_chunk")
             .agg(F.map_from_entries(F.collect_list(F.struct(entry_key, F.col("task")))).alias("tasks"))

@@ -171,3 +171,20 @@ def test_task_list_required_fields(spark, tmp_dir):
     assert [r.taskId for r in good.collect()] == [1]
     assert sorted((r.taskId, tuple(r.missing)) for r in bad.collect()) == [(2, ("attemptId", "duration")),
                                                                           (3, ("stageId",))]
+
+
+def test_documents_of_a_hot_stage_are_spread_over_partitions(spark):
+    from pyspark.sql import functions as F
+    from skewlens.sources.testdata import events_payload_rows, read_table, stage_documents
+    events = read_table(spark, "/root/testdata/sf0.001", "events").withColumn(
+        "user_id", F.when(F.col("event_id") % 5 < 3, F.lit(1)).otherwise(F.col("user_id")).cast("long"))
+    events = events.withColumn("ts", F.lit("2024-01-01 00:00:00").cast(events.schema["ts"].dataType))
+    docs = stage_documents(events_payload_rows(events), tasks_per_doc=10)
+    docs = docs.select(F.spark_partition_id().alias("p"), F.size("tasks").alias("n"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r.n for r in docs.groupBy("p").agg(F.sum("n").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(sizes) == events.count() and max(sizes) < 0.4 * sum(sizes)
