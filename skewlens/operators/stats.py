@@ -32,16 +32,15 @@ def _cap(name: str) -> str:
     return name[0].upper() + name[1:]
 
 
-def stage_partials(tasks: DataFrame) -> DataFrame:
+def stage_partials(tasks: DataFrame, keys: Sequence[str] = STAGE_KEYS) -> DataFrame:
     """Per stage attempt: ``sum_<m>``, ``n_<m>`` and ``max_<m>`` of every metric.
 
-    Partials of disjoint task sets merge exactly (``merge_partials``), which is what the
-    streaming path stores per micro-batch.
+    Partials of disjoint task sets merge exactly (``merge_partials``).
     """
     aggs = []
     for m in METRICS:
         aggs += [F.sum(m).alias(f"sum_{m}"), F.count(m).alias(f"n_{m}"), F.max(m).alias(f"max_{m}")]
-    return tasks.groupBy(*STAGE_KEYS).agg(*aggs)
+    return tasks.groupBy(*keys).agg(*aggs)
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:

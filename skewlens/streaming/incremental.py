@@ -1,38 +1,41 @@
 """The stage-statistics analysis over a folder that keeps receiving stage payload files.
 
-Each micro-batch is checked (bad documents go to a quarantine folder), exploded,
-de-duplicated and reduced to mergeable partials per stage attempt (sum, count and maximum
-of every metric), written to ``<output>/batch=<epoch>``.  Writing a batch folder with
-``overwrite`` makes a replayed epoch (after a driver or executor failure) replace its own
-output instead of adding duplicates.  ``read_stream_stats`` merges the partials of all
-batches and finalises them exactly as the batch path does, so a stage attempt whose
-documents arrive over several micro-batches gets the same statistics.
-
-Assumption, as for the monitoring API: all attempts of one task arrive in the same
-micro-batch (they are in the same stage document), because attempts are resolved per batch.
+Each micro-batch is checked (bad documents go to a quarantine folder, by default
+``<output>_rejected``), exploded and de-duplicated, and its task rows are written to
+``<output>/batch=<epoch>``.  Writing a batch folder with ``overwrite`` makes a replayed epoch
+(after a driver or executor failure) replace its own output instead of adding duplicates.
+``read_stream_stats`` resolves the attempts of each task over all batches and aggregates
+them as the batch path does.  So an attempt split over batches, a document delivered twice and a
+retry that arrives later all count once.
+
+A stage saved while it runs and again later has the stage fields (name, status, task count) of
+its latest batch.  Of two equal-ranked records of one task, ``dedup_tasks`` picks the same one always.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skewlens.operators.stats import finalize_stats, merge_partials, stage_partials
+from skewlens.operators.stats import stage_partials, stage_stats
 from skewlens.operators.tasks import dedup_tasks, explode_tasks
 from skewlens.schemas import METRICS, STAGE_KEYS
 from skewlens.sources.payloads import read_stages_stream, required_stages
 
 
-def _write_batch(output: str, quarantine: str | None):
+ATTEMPT = ["app_id", "stageId", "attemptId"]
+
+
+def _write_batch(output: str, quarantine: str):
     def run(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
             good, bad = required_stages(batch, mode="quarantine")
             tasks = explode_tasks(good).select(*STAGE_KEYS, "taskId", "attempt", "status", *METRICS)
             # the batch= folder names the epoch; readers get it back as the ``batch`` column
-            stage_partials(dedup_tasks(tasks)).write.mode("overwrite").parquet(f"{output}/batch={epoch_id}")
-            if quarantine:
-                bad.drop("tasks").write.mode("overwrite").json(f"{quarantine}/batch={epoch_id}")
+            dedup_tasks(tasks).write.mode("overwrite").parquet(f"{output}/batch={epoch_id}")
+            bad.drop("tasks").write.mode("overwrite").json(f"{quarantine}/batch={epoch_id}")
         finally:
             batch.unpersist()
     return run
@@ -43,6 +46,7 @@ def start_stage_stats_stream(spark: SparkSession, stages_dir: str, output_dir: s
                              processing_time: str = "1 minute",
                              max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the query; ``available_now=True`` processes what is there and stops."""
+    quarantine_dir = quarantine_dir or f"{output_dir.rstrip('/')}_rejected"
     stream = read_stages_stream(spark, stages_dir, max_files_per_trigger)
     writer = (stream.writeStream.foreachBatch(_write_batch(output_dir, quarantine_dir))
               .option("checkpointLocation", checkpoint_location))
@@ -50,11 +54,21 @@ def start_stage_stats_stream(spark: SparkSession, stages_dir: str, output_dir: s
     return writer.start()
 
 
-def read_stream_partials(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Partials written so far (one row per stage attempt and micro-batch)."""
+def read_stream_tasks(spark: SparkSession, output_dir: str) -> DataFrame:
+    """Task rows written so far, with the ``batch`` that brought them."""
     return spark.read.parquet(output_dir)
 
 
+def read_stream_partials(spark: SparkSession, output_dir: str) -> DataFrame:
+    """What each micro-batch brought: one row of partials per stage attempt and batch."""
+    return stage_partials(read_stream_tasks(spark, output_dir), [*STAGE_KEYS, "batch"])
+
+
 def read_stream_stats(spark: SparkSession, output_dir: str) -> DataFrame:
     """Statistics of everything processed so far (one row per stage attempt)."""
-    return finalize_stats(merge_partials(read_stream_partials(spark, output_dir)))
+    rows = read_stream_tasks(spark, output_dir)
+    fields = [c for c in STAGE_KEYS if c not in ATTEMPT]
+    latest = rows.groupBy(*ATTEMPT).agg(F.max(F.struct("batch", *fields)).alias("_latest"))
+    named = rows.drop(*fields, "batch").join(latest, ATTEMPT).select(
+        *ATTEMPT, *[F.col(f"_latest.{c}").alias(c) for c in fields], "taskId", "attempt", "status", *METRICS)
+    return stage_stats(dedup_tasks(named))

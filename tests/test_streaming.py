@@ -72,3 +72,15 @@ def test_streamed_statistics_feed_the_ranked_report(spark, tmp_dir):
     streamed = with_report_block(stage_skew(read_stream_stats(spark, f"{tmp_dir}/out"), stage_to_jobs(jobs), 3.0))
     batch = analyze(jobs, read_stages(spark, src), 3.0)
     assert [r.block for r in streamed.collect()] == [r.block for r in batch.collect()]
+
+
+def test_document_delivered_twice_and_late_retry_count_once(spark, tmp_dir):
+    src = f"{tmp_dir}/in"
+    first = [task_json(1, duration=4000, status="FAILED"), task_json(2, duration=2000)]
+    _drop(f"{src}/app_id=a/0.json", [stage_json(4, 0, first), stage_json(5, 0, [task_json(9, drop=("host",))])])
+    _drop(f"{src}/app_id=a/1.json", [stage_json(4, 0, [task_json(1, duration=6000, attempt=1), task_json(2, duration=2000)])])
+    start_stage_stats_stream(spark, src, f"{tmp_dir}/out", f"{tmp_dir}/ckpt", available_now=True,
+                             max_files_per_trigger=1).awaitTermination(120)
+    got = [(r.stageId, r.avgDuration, r.maxDuration) for r in read_stream_stats(spark, f"{tmp_dir}/out").collect()]
+    assert got == [(4, 4.0, 6)]
+    assert spark.read.json(f"{tmp_dir}/out_rejected").count() == 1
