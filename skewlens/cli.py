@@ -15,6 +15,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewlens.operators.skew import DEFAULT_THRESHOLD
@@ -48,21 +49,34 @@ def parse_args(argv):
     return p.parse_args(argv)
 
 
+def _reject(bad: DataFrame, kind: str, out: str | None) -> None:
+    """Write the rejected records, if a folder is given, and report how many there are."""
+    if out:
+        bad.write.mode("overwrite").json(f"{out}/{kind}")
+    if n := bad.count():
+        where = f"written to {out}/{kind}" if out else "left out; --quarantine-out keeps them"
+        print(f"{n} rejected records in {kind}/: {where}", file=sys.stderr)
+
+
 def main(argv=None) -> int:
     args = parse_args(sys.argv[1:] if argv is None else argv)
     spark = get_session(args.master)
     jobs = read_jobs(spark, f"{args.payloads}/jobs", multi_line=args.multi_line)
-    stages = read_stages(spark, f"{args.payloads}/stages", multi_line=args.multi_line)
+    # --tasks takes the place of stages/, which need not exist then
+    stages = None if args.tasks and not args.convert_to else read_stages(
+        spark, f"{args.payloads}/stages", multi_line=args.multi_line)
     if args.app_id:  # a filter on the partition column: only those folders are listed and read
         jobs = jobs.filter(F.col("app_id").isin(args.app_id))
-        stages = stages.filter(F.col("app_id").isin(args.app_id))
+        if stages is not None:
+            stages = stages.filter(F.col("app_id").isin(args.app_id))
     mode = "fail" if args.strict else "quarantine"
     if mode == "fail":
-        jobs, stages = required_jobs(jobs, mode), required_stages(stages, mode)
+        jobs = required_jobs(jobs, mode)
+        if stages is not None:
+            stages = required_stages(stages, mode)
     else:
         jobs, bad_jobs = required_jobs(jobs)
-        if args.quarantine_out:
-            bad_jobs.write.mode("overwrite").json(f"{args.quarantine_out}/jobs")
+        _reject(bad_jobs, "jobs", args.quarantine_out)
     if args.convert_to:
         convert_stages(stages, args.convert_to)        # quarantined rows stay in the table (valid=false)
         tasks = read_task_table(spark, args.convert_to, converted=True)
@@ -71,8 +85,7 @@ def main(argv=None) -> int:
     else:
         if mode == "quarantine":
             stages, bad_stages = required_stages(stages)
-            if args.quarantine_out:
-                bad_stages.drop("tasks").write.mode("overwrite").json(f"{args.quarantine_out}/stages")
+            _reject(bad_stages.drop("tasks"), "stages", args.quarantine_out)
         tasks = explode_tasks(stages)
     if args.app_id:
         tasks = tasks.filter(F.col("app_id").isin(args.app_id))
