@@ -44,3 +44,18 @@ def test_cli_accepts_the_original_option_names():
     a = parse_args(["--payloads", "/p", "-a", "app-1", "-t", "1.5", "-o", "/r"])
     b = parse_args(["--payloads", "/p", "--app-id", "app-1", "--skew-threshold", "1.5", "--out-file", "/r"])
     assert (a.app_id, a.threshold, a.out) == (b.app_id, b.threshold, b.out) == (["app-1"], 1.5, "/r")
+
+
+def test_cli_reports_rejected_records_and_tasks_need_no_stages(spark, tmp_dir, monkeypatch, capsys):
+    skewed = [task_json(i, duration=10_000) for i in range(9)] + [task_json(9, duration=100_000)]
+    job = [{"jobId": 0, "name": "j", "submissionTime": "t", "completionTime": "t", "stageIds": [1, 2]}]
+    write_json(f"{tmp_dir}/p/stages/app_id=app-1/1.json", [stage_json(1, 0, skewed),
+                                                         stage_json(2, 0, [task_json(50, drop=("status",))])])
+    for root in ("p", "bare"):
+        write_json(f"{tmp_dir}/{root}/jobs/app_id=app-1/jobs.json", job)
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    assert main(["--payloads", f"{tmp_dir}/p", "--multi-line", "--out", f"{tmp_dir}/r1"]) == 0
+    assert "1 rejected records in stages/" in capsys.readouterr().err
+    assert main(["--payloads", f"{tmp_dir}/p", "--multi-line", "--convert-to", f"{tmp_dir}/t", "--out", f"{tmp_dir}/r2"]) == 0
+    assert main(["--payloads", f"{tmp_dir}/bare", "--multi-line", "--tasks", f"{tmp_dir}/t", "--tasks-converted",
+                 "--out", f"{tmp_dir}/r3"]) == 0
