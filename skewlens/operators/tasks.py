@@ -105,7 +105,8 @@ def dedup_tasks(tasks: DataFrame, task_key: str = "taskId") -> DataFrame:
     return latest_attempt(tasks, keys, order).select(*tasks.columns)
 
 
-# Every decoded task field: (output name, path inside the task struct).
+# Every decoded task field: (output name, path inside the task struct).  Fixed values: the field names of the
+# monitoring REST API.
 TASK_FIELD_PATHS = [
     ("taskId", "taskId"), ("attempt", "attempt"), ("launchTime", "launchTime"), ("duration", "duration"),
     ("executorId", "executorId"), ("host", "host"), ("status", "status"),

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skewlens.functions.format import display_ratio, metric_text, pretty_bytes, pretty_time
 from skewlens.operators.jobs import attach_job_ids, jobs_by_stage, stage_to_jobs, stages_with_jobs
-from skewlens.operators.skew import (metric_flags, metric_long, skew_predicate, skew_ratio, skewed_stages,
-                                     with_significance)
+from skewlens.operators.skew import (metric_flags, metric_long, rank_order, skew_predicate, skew_ratio,
+                                     skewed_stages, stage_skew, with_significance)
 from skewlens.operators.stats import STATS_COLUMNS, group_skew_stats, stage_stats
 from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_task_fields, explode_tasks,
                                       flatten_task_records, latest_attempt, project_stage, status_rank)
@@ -26,7 +26,7 @@ from skewlens.sources.payloads import (TASK_TABLE_SCHEMA, read_jobs, read_stages
 from skewlens.sources.sinks import (REPORT_SEPARATOR, convert_stages, stats_json, write_measures, write_report,
                                     write_task_table)
 from skewlens.sources.testdata import (events_jobs, events_stage_job_pairs, events_tasks, read_table,
-                                      write_payloads)
+                                      write_payload)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,12 +64,12 @@ def _job_ids_text(col="jobIds"):
 
 # ---------------------------------------------------------------- Spark side: queries
 
-def _payloads(spark, sf, damaged=False):
-    return write_payloads(spark, sf, "task", damaged)
+def _payload(spark, sf, kind, damaged=False):
+    return write_payload(spark, sf, kind, "task", damaged)
 
 
 def _stages(spark, sf, damaged=False):
-    return read_stages(spark, _payloads(spark, sf, damaged)["stages"])
+    return read_stages(spark, _payload(spark, sf, "stages", damaged))
 
 
 # Metric name stems in report order: as in the statistics columns (avg<Stem>, max<Stem>)
@@ -94,6 +94,36 @@ def q_skewed_stages_t8(spark, sf):
     return skewed_stages(task_stats(spark, sf), 8.0)
 
 
+def q_skewed_stages_gate(spark, sf):
+    """A view in which the gate rejects stages that the skew predicate alone would keep."""
+    return skewed_stages(gate_stats(spark, sf), 2.0)
+
+
+def q_skew_rank(spark, sf):
+    """The report order (default threshold) as a rank within each application."""
+    pairs = jobs_by_stage(events_stage_job_pairs(_events(spark, sf)))
+    order = Window.partitionBy("app_id").orderBy(*rank_order())
+    return stage_skew(gate_stats(spark, sf), pairs, ordered=False).select(
+        "app_id", "stageId", "attemptId", "skewRatio", F.row_number().over(order).alias("app_rank"))
+
+
+def q_skew_ratio_shuffle_read(spark, sf):
+    """The ratio of a metric that is 0 in every task of some stages (NaN there)."""
+    return gate_stats(spark, sf).select("app_id", "stageId", "attemptId",
+                                        skew_ratio("maxShuffleBytesRead", "avgShuffleBytesRead").alias("ratio"))
+
+
+def q_stages_with_large_jobs(spark, sf):
+    """Most stages have no job in this jobs view: the semi join drops them."""
+    return stages_with_jobs(task_view(spark, sf), stage_to_jobs(events_jobs(_events(spark, sf), large=True)))
+
+
+def q_attach_large_job_ids(spark, sf):
+    """Stages without a job in this jobs view get an empty list."""
+    joined = attach_job_ids(task_stats(spark, sf), stage_to_jobs(events_jobs(_events(spark, sf), large=True)))
+    return joined.select("app_id", "stageId", "attemptId", _job_ids_text())
+
+
 def q_significance_gate(spark, sf):
     return with_significance(gate_stats(spark, sf)).select(
         "app_id", "stageId", "attemptId", "maxDuration", "maxDurationAllStages", "isSignificant")
@@ -143,9 +173,8 @@ def q_stats_from_payloads(spark, sf):
 
 
 def q_report_from_payloads(spark, sf):
-    """Payload files -> read, checked -> the ranked report."""
-    paths = _payloads(spark, sf)
-    return analyze(read_jobs(spark, paths["jobs"]), read_stages(spark, paths["stages"]), 8.0).select(
+    """Payload files -> read, checked -> the ranked report, at the default threshold."""
+    return analyze(read_jobs(spark, _payload(spark, sf, "jobs")), _stages(spark, sf)).select(
         "app_id", "stageId", "stageName", "attemptId", "stageStatus", _job_ids_text(),
         "stageDuration", "taskCount", "skewRatio")
 
@@ -206,7 +235,7 @@ def q_derive_shuffle_read(spark, sf):
 
 
 def q_src_jobs(spark, sf):
-    jobs = read_jobs(spark, _payloads(spark, sf)["jobs"])
+    jobs = read_jobs(spark, _payload(spark, sf, "jobs"))
     # A job may span several records; per-job figures stay bounded however many stages it lists.
     return (jobs.groupBy("app_id", "jobId", "name", "submissionTime", "completionTime")
                 .agg(F.sum(F.size("stageIds")).alias("n_stages"),
@@ -226,7 +255,7 @@ def q_src_tasks_flat(spark, sf):
 
 
 def q_src_task_list(spark, sf):
-    return flatten_task_records(read_task_list(spark, _payloads(spark, sf)["tasks"]))
+    return flatten_task_records(read_task_list(spark, _payload(spark, sf, "tasks")))
 
 
 def q_src_required_fields(spark, sf):
@@ -285,11 +314,12 @@ def q_latest_lineitem(spark, sf):
 
 
 def q_order_price_skew(spark, sf):
-    """Group statistics + skew flag on a double measure: order totals per customer."""
-    orders = read_table(spark, sf, "orders").select("o_custkey", "o_totalprice")
+    """Group statistics + skew flag on a money measure: order totals per customer.  The totals are summed in whole
+    cents, so that the average does not depend on the order of rows."""
+    orders = read_table(spark, sf, "orders").select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("long")
+                                                    .alias("o_totalprice"))
     stats = group_skew_stats(orders, ["o_custkey"], ["o_totalprice"])
-    return stats.select("o_custkey", F.round("avg_o_totalprice", 6).alias("avg_o_totalprice"),
-                        F.col("max_o_totalprice"),
+    return stats.select("o_custkey", "avg_o_totalprice", "max_o_totalprice",
                         skew_predicate(3.0, [("avg_o_totalprice", "max_o_totalprice")]).alias("is_skewed"))
 
 
@@ -306,17 +336,22 @@ QUERIES: dict[str, Query] = {
     "stage_stats": q_stage_stats,
     "skewed_stages": q_skewed_stages,
     "skewed_stages_t8": q_skewed_stages_t8,
+    "skewed_stages_gate": q_skewed_stages_gate,
     "significance_gate": q_significance_gate,
     "metric_flags": q_metric_flags,
     "skew_ratio": q_skew_ratio,
+    "skew_ratio_shuffle_read": q_skew_ratio_shuffle_read,
     "metric_long": q_metric_long,
     "display_ratio": q_display_ratio,
     # job lookups
     "stage_to_jobs": q_stage_to_jobs,
     "stages_with_jobs": q_stages_with_jobs,
     "attach_job_ids": q_attach_job_ids,
+    "stages_with_large_jobs": q_stages_with_large_jobs,
+    "attach_large_job_ids": q_attach_large_job_ids,
     # ranked report and rendering
     "skew_report": q_skew_report,
+    "skew_rank": q_skew_rank,
     "report_block": q_report_block,
     "stats_from_payloads": q_stats_from_payloads,
     "report_from_payloads": q_report_from_payloads,

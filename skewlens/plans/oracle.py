@@ -2,12 +2,15 @@
 
 Each statement recomputes a query's result independently from the raw tables: the events
 mapping, the statistics and the text formats are restated in SQL.  Column names and types
-match the Spark side; ``stats_json`` has none (JSON number text differs between engines).
+match the Spark side.
 """
 
 from __future__ import annotations
 
-from skewlens.operators.stats import STATS_COLUMNS
+# Columns of the statistics, restated.
+STATS_COLUMNS = ["app_id", "stageId", "attemptId", "stageName", "stageStatus", "numTasks"] + [
+    f"{side}{metric}" for metric in ("Duration", "BytesRead", "BytesWritten", "ShuffleBytesRead", "ShuffleBytesWritten")
+    for side in ("avg", "max")]
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 APP = "'app-' || CAST(user_id % 3 AS VARCHAR)"
@@ -25,13 +28,13 @@ def payload_sql(view: str = "task", damaged: bool = False) -> str:
         executor = f"CASE WHEN value >= 300 THEN NULL ELSE {executor} END"
     return f"""
 SELECT {APP} AS app_id,
-       CAST(user_id AS INTEGER) AS stageId,
+       CAST(user_id AS BIGINT) AS stageId,
        {attempt_id} AS attemptId,
        'stage ' || CAST(user_id AS VARCHAR) AS stageName,
        'COMPLETE' AS stageStatus,
        CAST(100 AS INTEGER) AS numTasks,
        k AS taskId,
-       CAST(event_id AS INTEGER) AS attempt,
+       CAST(event_id AS BIGINT) AS attempt,
        strftime(ts, {TS_TEXT}) AS launchTime,
        CAST({duration} AS BIGINT) AS duration,
        {executor} AS executorId,
@@ -42,16 +45,16 @@ SELECT {APP} AS app_id,
        CAST(round(value * 50) AS BIGINT) AS jvmGcTime,
        k * 4096 AS peakExecutionMemory,
        CAST(round(value * value * 100) AS BIGINT) AS bytesRead,
-       k AS recordsRead,
+       k * 3 + 1 AS recordsRead,
        {written} AS bytesWritten,
-       k AS recordsWritten,
+       k * 5 + 2 AS recordsWritten,
        CASE WHEN event_type = 'purchase' THEN CAST(round(value * 1000) AS BIGINT) ELSE CAST(0 AS BIGINT) END
          AS shuffleRemoteBytesRead,
        CASE WHEN event_type = 'view' THEN k * 100 ELSE CAST(0 AS BIGINT) END AS shuffleLocalBytesRead,
-       k AS shuffleRecordsRead,
-       CAST(0 AS BIGINT) AS shuffleBytesWritten,
-       CAST(0 AS BIGINT) AS shuffleWriteTime,
-       CAST(0 AS BIGINT) AS shuffleRecordsWritten
+       k * 7 + 3 AS shuffleRecordsRead,
+       CASE WHEN event_type = 'view' THEN CAST(1 AS BIGINT) ELSE k * 10 + 2 END AS shuffleBytesWritten,
+       k * 11 + 4 AS shuffleWriteTime,
+       k * 13 + 5 AS shuffleRecordsWritten
 FROM (SELECT *, {K} AS k FROM events)
 """
 
@@ -117,19 +120,28 @@ def skewed_sql(stats: str, t: float) -> str:
     return f"SELECT {STATS_COLS} FROM ({gated_sql(stats)}) WHERE isSignificant AND ({skew_clause_sql(t)})"
 
 
-JOBS_SQL = f"""
+
+def jobs_sql(where: str = "") -> str:
+    return f"""
 SELECT {APP} AS app_id, CAST(day(ts) AS INTEGER) AS jobId, 'job ' || CAST(day(ts) AS VARCHAR) AS name,
        strftime(min(ts), {TS_TEXT}) AS submissionTime, strftime(max(ts), {TS_TEXT}) AS completionTime,
-       list_sort(list(DISTINCT CAST(user_id AS INTEGER))) AS stageIds
-FROM events WHERE event_type = 'signup' GROUP BY 1, 2, 3
+       list_sort(list(DISTINCT CAST(user_id AS BIGINT))) AS stageIds
+FROM events WHERE event_type = 'signup' {where} GROUP BY 1, 2, 3
 """
 
-STAGE_JOBS_SQL = f"""
+
+def stage_jobs_sql(jobs: str) -> str:
+    return f"""
 SELECT app_id, stageId, array_to_string(list_sort(list(jobId)), ',') AS job_ids,
        CAST(count(*) AS INTEGER) AS n_jobs
-FROM (SELECT app_id, jobId, unnest(stageIds) AS stageId FROM ({JOBS_SQL})) GROUP BY app_id, stageId
+FROM (SELECT app_id, jobId, unnest(stageIds) AS stageId FROM ({jobs})) GROUP BY app_id, stageId
 """
 
+
+JOBS_SQL = jobs_sql()
+STAGE_JOBS_SQL = stage_jobs_sql(JOBS_SQL)
+LARGE_STAGE_JOBS_SQL = stage_jobs_sql(jobs_sql("AND value >= 300"))
+
 T = "CAST({} AS DOUBLE)"
 
 
@@ -189,10 +201,14 @@ FROM ({long})
 JOB_STATS_SQL = f"""
 SELECT s.*, j.job_ids FROM ({STATS_SQL}) s JOIN ({STAGE_JOBS_SQL}) j USING (app_id, stageId)
 """
-REPORT_SQL = f"""
+def report_sql(stats: str, t: float) -> str:
+    return f"""
 SELECT *, CASE WHEN avgDuration <> 0 THEN maxDuration / avgDuration ELSE CAST('NaN' AS DOUBLE) END AS skewRatio
-FROM ({gated_sql(JOB_STATS_SQL)}) WHERE isSignificant AND ({skew_clause_sql(8.0)})
+FROM ({gated_sql(stats)}) WHERE isSignificant AND ({skew_clause_sql(t)})
 """
+
+
+REPORT_SQL = report_sql(JOB_STATS_SQL, 8.0)
 REPORT_BLOCK_SQL = f"""
 SELECT app_id, stageId, attemptId,
        printf('[Stage Id: %d, Attempt Id: %d, Job Ids: (%s), Task Count: %d]', stageId, attemptId, job_ids, numTasks)
@@ -299,10 +315,9 @@ SELECT lang, source, sum(n_chars) / count(n_chars) AS avg_n_chars, max(n_chars)
 FROM documents GROUP BY lang, source""",
 }
 ORACLE_SQL["order_price_skew"] = """
-SELECT o_custkey, round(sum(o_totalprice) / count(o_totalprice), 6) AS avg_o_totalprice,
-       max(o_totalprice) AS max_o_totalprice,
-       max(o_totalprice) > CAST(3.0 AS DOUBLE) * (sum(o_totalprice) / count(o_totalprice)) AS is_skewed
-FROM orders GROUP BY o_custkey"""
+SELECT o_custkey, sum(cents) / count(cents) AS avg_o_totalprice, max(cents) AS max_o_totalprice,
+       max(cents) > CAST(3.0 AS DOUBLE) * (sum(cents) / count(cents)) AS is_skewed
+FROM (SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) GROUP BY o_custkey"""
 ORACLE_SQL["latest_lineitem"] = """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (
@@ -351,4 +366,22 @@ ORACLE_SQL["stats_json"] = stats_json_sql(STATS_SQL)
 
 # The payload path gives what the direct path gives.
 ORACLE_SQL["stats_from_payloads"] = ORACLE_SQL["stage_stats"]
-ORACLE_SQL["report_from_payloads"] = ORACLE_SQL["skew_report"]
+ORACLE_SQL["report_from_payloads"] = f"""
+SELECT app_id, stageId, stageName, attemptId, stageStatus, job_ids, CAST(0 AS BIGINT) AS stageDuration,
+       numTasks AS taskCount, skewRatio FROM ({report_sql(JOB_STATS_SQL, 3.0)})"""
+
+# Views in which the gate, the semi join, the empty default and the NaN branch decide.
+ORACLE_SQL["skewed_stages_gate"] = skewed_sql(GATE_STATS_SQL, 2.0)
+ORACLE_SQL["skew_rank"] = f"""
+SELECT app_id, stageId, attemptId, skewRatio, CAST(row_number() OVER (
+    PARTITION BY app_id ORDER BY isnan(skewRatio), skewRatio DESC, stageId, attemptId) AS INTEGER) AS app_rank
+FROM ({report_sql(GATE_STATS_SQL, 3.0)})"""
+ORACLE_SQL["skew_ratio_shuffle_read"] = f"""
+SELECT app_id, stageId, attemptId, CASE WHEN avgShuffleBytesRead <> 0 THEN maxShuffleBytesRead / avgShuffleBytesRead
+       ELSE CAST('NaN' AS DOUBLE) END AS ratio FROM ({GATE_STATS_SQL})"""
+ORACLE_SQL["stages_with_large_jobs"] = f"""
+SELECT t.* FROM ({TASK_SQL}) t WHERE EXISTS (
+  SELECT 1 FROM ({LARGE_STAGE_JOBS_SQL}) j WHERE j.app_id = t.app_id AND j.stageId = t.stageId)"""
+ORACLE_SQL["attach_large_job_ids"] = f"""
+SELECT s.app_id, s.stageId, s.attemptId, COALESCE(j.job_ids, '') AS job_ids
+FROM ({STATS_SQL}) s LEFT JOIN ({LARGE_STAGE_JOBS_SQL}) j ON s.app_id = j.app_id AND s.stageId = j.stageId"""

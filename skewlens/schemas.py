@@ -30,8 +30,8 @@ TASK_METRICS = _struct(
 
 TASK = _struct(
     taskId=LONG,
-    index=INT,          # logical task within the stage (shared by its retries); optional
-    attempt=INT,
+    index=LONG,         # logical task within the stage (shared by its retries); optional
+    attempt=LONG,
     launchTime=STR,
     duration=LONG,
     executorId=STR,
@@ -41,7 +41,7 @@ TASK = _struct(
 )
 
 STAGE_ATTEMPT = _struct(
-    stageId=INT,
+    stageId=LONG,
     attemptId=INT,
     name=STR,
     status=STR,
@@ -58,13 +58,13 @@ JOB = _struct(
     name=STR,
     submissionTime=STR,
     completionTime=STR,
-    stageIds=T.ArrayType(INT),
+    stageIds=T.ArrayType(LONG),
 )
 
 # A stand-alone task list carries its stage keys next to each task (one JSON object per
 # task); this is the splittable layout for large inputs.
 TASK_RECORD = T.StructType(
-    [T.StructField(n, t, True) for n, t in (("stageId", INT), ("attemptId", INT))] + TASK.fields
+    [T.StructField(n, t, True) for n, t in (("stageId", LONG), ("attemptId", INT))] + TASK.fields
 )
 
 CORRUPT = "_corrupt_record"

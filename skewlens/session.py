@@ -19,6 +19,7 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",       # checkpoint files go with their last reader
     # Runtime re-planning: joins against a small side become broadcast joins only after
     # the small side's real size is measured; skewed partitions are split.
     "spark.sql.adaptive.enabled": "true",
@@ -73,6 +74,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this session's scratch folder.  For the end of a job: results that still read from it fail afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark).rstrip("/") + "/skewlens")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -49,8 +49,8 @@ def read_stages_stream(spark: SparkSession, path: str, max_files_per_trigger: in
     return reader.json(path).withColumn("app_id", F.coalesce(F.col("app_id"), F.lit("")))
 
 
-TASK_TABLE_SCHEMA = ("stageId int, attemptId int, stageName string, stageStatus string, numTasks int, "
-                     "taskId bigint, attempt int, status string, duration bigint, resultSize bigint, "
+TASK_TABLE_SCHEMA = ("stageId bigint, attemptId int, stageName string, stageStatus string, numTasks int, "
+                     "taskId bigint, attempt bigint, status string, duration bigint, resultSize bigint, "
                      "jvmGcTime bigint, bytesRead bigint, bytesWritten bigint, shuffleBytesRead bigint, "
                      "shuffleBytesWritten bigint, app_id string")
 
@@ -83,9 +83,19 @@ def read_stages(spark: SparkSession, path, multi_line: bool = False, app_id: str
     return _read(spark, path, STAGE_ATTEMPT, multi_line, app_id)
 
 
-def read_task_list(spark: SparkSession, path, multi_line: bool = False, app_id: str | None = None) -> DataFrame:
-    """Stand-alone task lists: one task object per record, stage ids alongside."""
-    return _read(spark, path, TASK_RECORD, multi_line, app_id)
+def read_task_list(spark: SparkSession, path, multi_line: bool = False, app_id: str | None = None,
+                   stage_id: int | None = None, attempt_id: int | None = None) -> DataFrame:
+    """Stand-alone task lists: one task object per record.
+
+    The stage ids come from the record, else from ``stageId=<n>/attemptId=<n>`` folders (read by Spark as partition
+    columns), else, for the bare list of one stage attempt, from ``stage_id`` and ``attempt_id``.
+    """
+    records = _read(spark, path, TASK_RECORD, multi_line, app_id)
+    for name, given in (("stageId", stage_id), ("attemptId", attempt_id)):
+        if given is not None:
+            kind = TASK_RECORD[name].dataType
+            records = records.withColumn(name, F.coalesce(F.col(name), F.lit(given).cast(kind)))
+    return records
 
 
 def missing_fields(required: list[str], nested: dict[str, list[str]] | None = None,

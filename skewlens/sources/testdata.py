@@ -11,11 +11,13 @@ Fixed values of the mapping (shared with the DuckDB oracle):
   taskId     = props.k;  attempt = event_id;  status = 'FAILED' for 'error' events else 'SUCCESS'
   duration   = round(value * 1000) ms;  bytesRead = round(value * value * 100)
   bytesWritten = k * 1024;  remote shuffle read = round(value * 1000) for 'purchase' else 0
-  local shuffle read = k * 100 for 'view' else 0;  shuffleBytesWritten = 0
-  resultSize = k * 8;  jvmGcTime = round(value * 50)
+  local shuffle read = k * 100 for 'view' else 0;  shuffleBytesWritten = 1 for 'view' else k * 10 + 2
+  resultSize = k * 8;  jvmGcTime = round(value * 50);  recordsRead = k * 3 + 1;  recordsWritten = k * 5 + 2
+  shuffleRecordsRead = k * 7 + 3;  writeTime = k * 11 + 4;  shuffleRecordsWritten = k * 13 + 5
 The ``gate`` view uses attemptId = (day(ts) - 1) div 3, duration = round(value * 100) and
 bytesWritten = k % 10.  Jobs: one per (app, day) with jobId = day and the sorted distinct
-users with a 'signup' event that day as stage ids.
+users with a 'signup' event that day as stage ids.  The ``large`` jobs view lists only the
+users with a signup of value >= 300 that day, so most stages have no job in it.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def _stage_columns(view: str) -> dict[str, Column]:
     attempt_id = (day > 15).cast("int") if view == "task" else F.floor((day - 1) / 3).cast("int")
     return {
         "app_id": F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")),
-        "stageId": F.col("user_id").cast("int"),
+        "stageId": F.col("user_id"),
         "attemptId": attempt_id,
         "stageName": F.concat(F.lit("stage "), F.col("user_id").cast("string")),
         "stageStatus": F.lit("COMPLETE"),
@@ -85,7 +87,7 @@ def _task_columns(view: str, damaged: bool = False) -> dict[str, Column]:
         executor = F.when(v >= 300, F.lit(None).cast("string")).otherwise(executor)
     return {
         "taskId": k,
-        "attempt": F.col("event_id").cast("int"),
+        "attempt": F.col("event_id"),
         "launchTime": F.date_format("ts", LAUNCH_FORMAT),
         "duration": _round_long(v * 1000) if view == "task" else _round_long(v * 100),
         "executorId": executor,
@@ -96,15 +98,15 @@ def _task_columns(view: str, damaged: bool = False) -> dict[str, Column]:
         "jvmGcTime": _round_long(v * 50),
         "peakExecutionMemory": k * 4096,
         "bytesRead": _round_long(v * v * 100),
-        "recordsRead": k,
+        "recordsRead": k * 3 + 1,
         "bytesWritten": k * 1024 if view == "task" else k % 10,
-        "recordsWritten": k,
+        "recordsWritten": k * 5 + 2,
         "remoteBytesRead": F.when(et == "purchase", _round_long(v * 1000)).otherwise(F.lit(0)).cast("long"),
         "localBytesRead": F.when(et == "view", k * 100).otherwise(F.lit(0)).cast("long"),
-        "shuffleRecordsRead": k,
-        "shuffleBytesWritten": F.lit(0).cast("long"),
-        "writeTime": F.lit(0).cast("long"),
-        "shuffleRecordsWritten": F.lit(0).cast("long"),
+        "shuffleRecordsRead": k * 7 + 3,
+        "shuffleBytesWritten": F.when(et == "view", F.lit(1)).otherwise(k * 10 + 2).cast("long"),
+        "writeTime": k * 11 + 4,
+        "shuffleRecordsWritten": k * 13 + 5,
     }
 
 
@@ -147,10 +149,17 @@ def events_tasks(events: DataFrame, view: str = "task") -> DataFrame:
     return _with_k(events).select(*[c.alias(n) for n, c in cols.items()])
 
 
-def _signups(events: DataFrame) -> DataFrame:
-    return (events.filter(F.col("event_type") == "signup")
+#: A signup of the ``large`` jobs view.
+LARGE_SIGNUP = 300
+
+
+def _signups(events: DataFrame, large: bool = False) -> DataFrame:
+    signups = events.filter(F.col("event_type") == "signup")
+    if large:
+        signups = signups.filter(F.col("value") >= LARGE_SIGNUP)
+    return (signups
                   .select(F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")).alias("app_id"),
-                          F.dayofmonth("ts").alias("jobId"), F.col("user_id").cast("int").alias("stageId"), "ts"))
+                          F.dayofmonth("ts").alias("jobId"), F.col("user_id").alias("stageId"), "ts"))
 
 
 def events_stage_job_pairs(events: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def events_stage_job_pairs(events: DataFrame) -> DataFrame:
     return _signups(events).select("app_id", "stageId", "jobId").distinct()
 
 
-def events_jobs(events: DataFrame, stages_per_record: int = 10_000) -> DataFrame:
+def events_jobs(events: DataFrame, stages_per_record: int = 10_000, large: bool = False) -> DataFrame:
     """Job payload rows: one job per (app, day) with its signup users as stage ids.
 
     In this mapping a job's stage list grows with the data, so a job is written as one
@@ -167,7 +176,7 @@ def events_jobs(events: DataFrame, stages_per_record: int = 10_000) -> DataFrame
     each).  Stage ids of a job are distinct integers, so no record holds more than that
     many; readers explode the records into the same (stage, job) pairs.
     """
-    signups, job = _signups(events), ["app_id", "jobId"]
+    signups, job = _signups(events, large), ["app_id", "jobId"]
     slices = (signups.groupBy(*job, F.floor(F.col("stageId") / stages_per_record).alias("_slice"))
                      .agg(F.array_sort(F.collect_set("stageId")).alias("stageIds")))
     span = signups.groupBy(*job).agg(F.min("ts").alias("s0"), F.max("ts").alias("s1"))     # one row per job
@@ -210,23 +219,32 @@ def task_records(rows: DataFrame) -> DataFrame:
     return rows.select("app_id", "stageId", "attemptId", "task.*")
 
 
-_WRITTEN: dict[tuple, dict[str, str]] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
-def write_payloads(spark: SparkSession, sf_dir: str, view: str = "task", damaged: bool = False,
-                   tasks_per_doc: int = 1000) -> dict[str, str]:
-    """Derive job / stage / task-list payloads from ``events`` and write them as JSON Lines
+def write_payload(spark: SparkSession, sf_dir: str, kind: str, view: str = "task", damaged: bool = False,
+                  tasks_per_doc: int = 1000) -> str:
+    """Derive one kind of payload (``jobs``, ``stages`` or ``tasks``) from ``events`` and write it as JSON Lines
     below the shared scratch folder, partitioned by app.  Written once per session and input.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, view, damaged, tasks_per_doc)
-    if key in _WRITTEN:
-        return _WRITTEN[key]
-    events = read_table(spark, sf_dir, "events")
-    rows = events_payload_rows(events, view, damaged)
-    base = scratch_path(spark, f"payloads-{view}{'-damaged' if damaged else ''}")
-    paths = {kind: f"{base}/{kind}" for kind in ("jobs", "stages", "tasks")}
-    events_jobs(events).write.mode("overwrite").partitionBy("app_id").json(paths["jobs"])
-    stage_documents(rows, tasks_per_doc).write.mode("overwrite").partitionBy("app_id").json(paths["stages"])
-    task_records(rows).write.mode("overwrite").partitionBy("app_id").json(paths["tasks"])
-    _WRITTEN[key] = paths
-    return paths
+    if kind == "jobs":                                       # the same whatever the view of the tasks
+        view, damaged = "task", False
+    key = (spark.sparkContext.applicationId, sf_dir, kind, view, damaged, tasks_per_doc)
+    if key not in _WRITTEN:
+        events = read_table(spark, sf_dir, "events")
+        if kind == "jobs":
+            payload = events_jobs(events)
+        else:
+            rows = events_payload_rows(events, view, damaged)
+            payload = stage_documents(rows, tasks_per_doc) if kind == "stages" else task_records(rows)
+        path = scratch_path(spark, f"payloads-{kind}-{view}{'-damaged' if damaged else ''}")
+        payload.write.partitionBy("app_id").json(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def write_payloads(spark: SparkSession, sf_dir: str, view: str = "task", damaged: bool = False,
+                   tasks_per_doc: int = 1000) -> dict[str, str]:
+    """All three kinds (see :func:`write_payload`)."""
+    return {kind: write_payload(spark, sf_dir, kind, view, damaged, tasks_per_doc)
+            for kind in ("jobs", "stages", "tasks")}

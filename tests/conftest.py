@@ -22,8 +22,8 @@ def tmp_dir():
     return tempfile.mkdtemp(prefix="skewlens-test-", dir="/tmp")
 
 
-FLAT_SCHEMA = ("app_id string, stageId int, attemptId int, stageName string, stageStatus string, numTasks int, "
-               "taskId bigint, attempt int, status string, duration bigint, resultSize bigint, jvmGcTime bigint, "
+FLAT_SCHEMA = ("app_id string, stageId bigint, attemptId int, stageName string, stageStatus string, numTasks int, "
+               "taskId bigint, attempt bigint, status string, duration bigint, resultSize bigint, jvmGcTime bigint, "
                "bytesRead bigint, bytesWritten bigint, shuffleBytesRead bigint, shuffleBytesWritten bigint")
 
 
@@ -38,7 +38,8 @@ def flat_rows(spark, rows):
 
 def task_json(task_id, duration=10, status="SUCCESS", attempt=0, bytes_read=0, bytes_written=0,
               remote=0, local=0, shuffle_written=0, drop=()):
-    """A task object shaped like the monitoring REST API's (self-authored values)."""
+    """A task object shaped like the monitoring REST API's (self-authored values).
+    Fixed values: the key names, those of that API."""
     t = {
         "taskId": task_id, "index": task_id % 7, "attempt": attempt,
         "launchTime": "2026-03-04T05:06:07.089GMT", "duration": duration, "executorId": "3",

@@ -82,3 +82,31 @@ def test_scans_read_only_the_columns_a_query_uses(spark):
 def test_generic_dedup_also_limits_before_the_shuffle(spark):
     text = plan(entry.queries()["latest_lineitem"](spark, SF))
     assert "WindowGroupLimit" in text and "Partial" in text and "Final" in text
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_no_added_round_robin_shuffle(spark, name):
+    assert "RoundRobin" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_payload_documents_of_a_hot_stage_are_spread(spark):
+    """A stage with six tenths of all rows: no partition of the documents comes near its share."""
+    from skewlens.sources.testdata import events_payload_rows, stage_documents
+    rows = 20_000
+    events = spark.range(rows).select(
+        F.col("id").alias("event_id"), F.lit("2026-03-04 05:06:07").cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 10 < 6, 1).otherwise(F.col("id") % 97).cast("bigint").alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(5.0).alias("value"),
+        F.format_string('{"k": %d}', "id").alias("props"))
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        docs = stage_documents(events_payload_rows(events), tasks_per_doc=100)
+        parts = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.size("tasks")).alias("n")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in parts) == rows
+    assert max(r["n"] for r in parts) < 0.3 * rows

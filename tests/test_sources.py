@@ -188,3 +188,26 @@ def test_documents_of_a_hot_stage_are_spread_over_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert sum(sizes) == events.count() and max(sizes) < 0.4 * sum(sizes)
+
+
+def test_bare_task_list_takes_its_ids_from_arguments_or_folders(spark, tmp_dir):
+    from skewlens.operators.tasks import flatten_task_records
+    write_json(f"{tmp_dir}/bare/list.json", [task_json(1), task_json(2)])
+    given = flatten_task_records(read_task_list(spark, f"{tmp_dir}/bare", multi_line=True, app_id="a", stage_id=3 << 31,
+                                                attempt_id=1))
+    assert sorted(tuple(r)[:4] for r in given.collect()) == [("a", 3 << 31, 1, 1), ("a", 3 << 31, 1, 2)]
+    write_json(f"{tmp_dir}/t/app_id=b/stageId=7/attemptId=2/list.json", [task_json(5)])
+    found = flatten_task_records(read_task_list(spark, f"{tmp_dir}/t", multi_line=True))
+    assert [tuple(r)[:4] for r in found.collect()] == [("b", 7, 2, 5)]
+
+
+def test_event_and_user_ids_beyond_32_bits(spark):
+    import datetime
+    from skewlens.sources.testdata import events_jobs, events_payload_rows, events_tasks, stage_documents
+    big = 1 << 40
+    events = spark.createDataFrame(
+        [(big + i, datetime.datetime(2026, 3, 4, 5, 6, 7), big, "signup", 310.0, f'{{"k": {i}}}') for i in range(3)],
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    assert sorted((r.stageId, r.attempt) for r in events_tasks(events).collect()) == [(big, big + i) for i in range(3)]
+    assert [r.stageIds for r in events_jobs(events).collect()] == [[big]]
+    assert sum(len(r.tasks) for r in stage_documents(events_payload_rows(events)).collect()) == 3
