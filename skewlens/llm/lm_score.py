@@ -1,9 +1,9 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Training counts n-grams over all training texts, level by level.  Level 1 is the sorted hashes of all words with their
-counts; a node of level k is a context (a node of level k - 1) and a following word, kept from two occurrences on.  Each
-level is dealt into shards by a hash of its nodes, so one frequent context is spread over all of them; a shard is one
-file in the shared folder:
+counts; a node of level k is a context (a node of level k - 1) and a following word, kept from ``least_count`` occurrences on
+(a parameter of ``train``; the production query keeps every n-gram, those seen once included).  Each level is dealt into
+shards by a hash of its nodes, so one frequent context is spread over all of them; a shard is one file in the shared folder:
 
 * the contexts present, their pointers into the successors, and the successors (word + rank of the context x words), each a
   monotone sequence in Elias-Fano form;
@@ -39,7 +39,7 @@ ORDER, DISCOUNT, LEAST_COUNT = 3, 0.75, 2
 #: Reserved hashes: the end token is a word; the begin mark is only a context (its node follows the last word).
 END = np.uint64(1)
 #: Bytes of neighbouring texts handled and hashed at once, and n-grams held before they are handed on.
-CHUNK, BLOCK, HELD = 3_000_000, 500_000, 3_000_000
+CHUNK, BLOCK, HELD = 2_000_000, 500_000, 1_000_000
 BLOBS = "shard int, keys binary, counts binary"
 MANIFEST = "shard int, file string, n bigint, total bigint"
 
@@ -138,7 +138,7 @@ def save(folder: str, sequences: dict[str, tuple[dict, dict]], arrays: dict[str,
         head["sequences"][key] = about
         flat |= {f"{key}.{part}": a for part, a in own.items()}
     for key, a in flat.items():
-        data = np.ascontiguousarray(a).tobytes()
+        data = memoryview(np.ascontiguousarray(a)).cast("B") if len(a) else b""
         head["arrays"][key] = [a.dtype.str, at, len(a)]
         parts += [data, bytes(-len(data) % 8)]
         at += len(data) + -len(data) % 8
@@ -175,6 +175,7 @@ class Trie:
     """What tasks need to open the model: the folder and, per level, the shards' files and first node numbers."""
     folder: str
     shards: int
+    least_count: int = LEAST_COUNT
     tokens: int = 0
     texts: int = 0
     files: list[list[str | None]] = field(default_factory=list)
@@ -336,7 +337,7 @@ def _sequences(reader: Reader, doc: np.ndarray, hashes: np.ndarray, upto: int):
     node, count = reader.word_nodes(distinct)
     node, count = node[back], count[back]
     starts = np.diff(doc, prepend=-1) > 0
-    word = np.where(count >= LEAST_COUNT, node, -1)
+    word = np.where(count >= reader.trie.least_count, node, -1)
     context = np.where(starts, reader.trie.words, np.roll(word, 1))       # the begin mark's node follows the words
     levels = []
     for level in range(1, upto):
@@ -350,21 +351,37 @@ def _sequences(reader: Reader, doc: np.ndarray, hashes: np.ndarray, upto: int):
     return node, count, levels, context, word
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """Numbers byte place by byte place, so that the places that are zero throughout compress to nothing."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _blobs(keys: np.ndarray, counts: np.ndarray, place: np.ndarray):
     shards, a, b = [], [], []
     for s, at in _by_shard(place):
         shards.append(s)
-        a.append(keys[at].tobytes())
-        b.append(counts[at].astype("<i8").tobytes())
+        a.append(_packed(np.diff(keys[at], prepend=np.uint64(0))))          # sorted, so the steps are small
+        b.append(_packed(counts[at]))
     return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
                                       ["shard", "keys", "counts"])
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts; holds few arrays at a time."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    del order
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+
+
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")])
-    counts = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("counts")])
-    distinct, back = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
+    return _summed(np.concatenate([np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in table.column("keys")]),
+                   np.concatenate([_unpacked(x.as_py()).astype(np.int64) for x in table.column("counts")]))
 
 
 class _Held:
@@ -381,18 +398,19 @@ class _Held:
             yield self.out()
 
     def out(self):
-        keys, back = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
-        counts = np.bincount(back, weights=np.concatenate([p[1] for p in self.parts]), minlength=len(keys)).astype(np.int64)
+        keys, counts = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.size = [], 0
+        keys, counts = _summed(keys, counts)
         return _blobs(keys, counts, self.place(keys))
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shards: int | None = None, folder: str | None = None) -> Trie:
-    """Learn from all texts; returns where the model lies."""
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, shards: int | None = None, folder: str | None = None,
+          least_count: int = LEAST_COUNT) -> Trie:
+    """Learn from all texts, n-grams from ``least_count`` occurrences on (1: every n-gram); returns where the model lies."""
     spark = texts.sparkSession
     ship_package(spark)
-    n = pow2_at_least(shards or max(8, shards_of(spark) // 4))
-    trie = Trie(folder or scratch_path(spark, "lm"), n)
+    n = pow2_at_least(shards or max(16, shards_of(spark)))
+    trie = Trie(folder or scratch_path(spark, "lm"), n, least_count)
     own = texts.select(text_of(text_col).alias("text"))
     where = trie.folder
     shift = 64 - (n.bit_length() - 1)
@@ -449,9 +467,11 @@ def _train_level(own: DataFrame, trie: Trie, level: int) -> None:
     def build(key, table):
         reader, t = _open(shared), shared.value
         keys, counts = _merged(table)
-        keys, counts = keys[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
+        keys, counts = keys[counts >= t.least_count], counts[counts >= t.least_count]
         base = np.uint64(t.base)
-        contexts, start, rank = np.unique(keys // base, return_index=True, return_inverse=True)
+        contexts = keys // base                                  # in order, as the keys are
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), contexts[1:] != contexts[:-1]]))
+        contexts, rank = contexts[start], np.repeat(np.arange(len(start)), np.diff(start, append=len(keys)))
         nodes = contexts.astype(np.int64)
         whole = reader.numbers("files", level - 1, nodes, "counts", 0.0)
         if level == 1:
@@ -460,7 +480,7 @@ def _train_level(own: DataFrame, trie: Trie, level: int) -> None:
         sequences = {"contexts": EliasFano.build(contexts, int(t.first[level - 1][-1]) + 1),
                      "pointers": EliasFano.build(np.append(start, len(keys)).astype(np.uint64), len(keys) + 1),
                      "successors": EliasFano.build(rank.astype(np.uint64) * base + keys % base, max(1, len(contexts) * t.base))}
-        name = save(t.folder, sequences, {"codes": codes, "counts": counts})
+        name = save(t.folder, sequences, {"codes": codes, "counts": counts.astype(np.min_scalar_type(int(counts.max(initial=0))))})
         given = np.bincount(rank, weights=decoded(codes), minlength=len(contexts))
         place = np.minimum(np.searchsorted(t.first[level - 1], nodes, side="right") - 1, n - 1)
         out = [(key[0].as_py(), name, len(keys), int(counts.sum()), None, None)]

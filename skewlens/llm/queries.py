@@ -45,7 +45,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = language_id.held_out("doc_id", 7)
-    trie = lm_score.train(docs.where(~held_out))
+    trie = lm_score.train(docs.where(~held_out), least_count=1)
     return lm_score.score(docs, trie).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
                                              "base_score", "score")
 

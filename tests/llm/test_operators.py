@@ -11,7 +11,7 @@ import pytest
 
 from skewlens.llm import (exact_dedup, language_id, license_scan, lm_score, mixture, near_dedup, secrets, sentencepiece, topk,
                           warc)
-from skewlens.llm.queries import PIECES
+from skewlens.llm.queries import PIECES, op5_lm_score
 from skewlens.llm.shingles import WordHashes, probability_jaccard, shingle_sets
 
 DOCS = "doc_id bigint, text string, lang string, source string, size string, kept string, piece_ids string, score string"
@@ -205,6 +205,30 @@ def test_lm_score_against_brute_force(spark, mixed_rows):
     assert [r.score for r in lm_score.score(frame, lm_score.train(docs(spark, []))).select("score").distinct().collect()] == [0.0]
 
 
+def test_lm_score_query_keeps_ngrams_seen_once(spark, tmp_dir):
+    rows = [(i, prose(i, 30 + i), "en", "a") for i in range(12)] + [(12, "once " + prose(3, 33), "en", "a"), (13, None, "en", "a")]
+    docs(spark, rows).write.parquet(f"{tmp_dir}/documents.parquet")
+    texts = {r[0]: (r[1] or "").split() + ["</s>"] for r in rows}
+    got = {r.doc_id: r for r in op5_lm_score(spark, tmp_dir).collect()}
+    train = [t for i, t in texts.items() if not got[i].held_out]
+    assert 0 < len(train) < len(rows)
+    c1 = collections.Counter(w for t in train for w in t)
+    c2 = collections.Counter(x for t in train for x in zip([None, *t], t))
+    c3 = collections.Counter(x for t in train for x in zip([None, *t], t, t[1:]))
+    n, v = sum(c1.values()), len(c1)
+    a2 = {k: 2 ** (-math.ceil(-8 * math.log2((c - 0.75) / (c1[k[0]] if k[0] else len(train)))) / 8) for k, c in c2.items()}
+    a3 = {k: 2 ** (-math.ceil(-8 * math.log2((c - 0.75) / c2[k[:2]])) / 8) for k, c in c3.items()}
+    l1, l2 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
+    for k, a in a2.items():
+        l1[k[0]] -= a
+    for k, a in a3.items():
+        l2[k[:2]] -= a
+    for i, t in texts.items():
+        p = [a2.get((u, w), 0) + l1[u] * (c1[w] + 1) / (n + v + 1) for u, w in zip([None, *t], t)]
+        p = p[:1] + [a3.get(x, 0) + l2[x[:2]] * b for x, b in zip(zip([None, *t], t, t[1:]), p[1:])]
+        assert got[i].score == pytest.approx(sum(map(math.log10, p)), rel=1e-6)
+
+
 def test_warc_round_trip(spark):
     long = "é" * 900
     pages = [(1, "http://a/1", long), (2, "http://a/ü x", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "u", None),
