@@ -2,9 +2,10 @@
 
 Training counts letter-centred character trigrams (hashed to ``buckets``) per language over all labelled rows.
 Each document is then a mixture of languages: expectation-maximisation estimates the shares from the
-likelihoods of its trigrams, and the language set grows from the best single language as long as the
-log likelihood gains more than ``penalty * ln(trigrams)``.  The predicted language has the largest
-share in the chosen set, and the score is that share.
+likelihoods of its trigrams, and the language set grows from the best single language: each step tries every other
+language and adds the one whose log likelihood gains most, as long as it gains more than ``penalty * ln(trigrams)``.  EM
+runs until the likelihood settles; a language is left untried only where a bound shows that it cannot gain enough.  The
+predicted language has the largest share in the chosen set, and the score is that share.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text when nothing was
 learned; ties between languages go to the smaller name by code point; repeated rows get the same answer; rows with null
@@ -13,6 +14,7 @@ language or text teach nothing; whole texts are read, whatever their length.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,33 +117,47 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", bucke
     return LanguageModel([str(x) for x in languages], p)
 
 
-def shares(p: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
-    """EM for the mixture weights of the columns of ``p``."""
-    mix, total = np.full(p.shape[1], 1.0 / p.shape[1]), weight.sum()
-    for _ in range(rounds):
-        mix *= (weight / (p @ mix)) @ p / total
-    return mix
-
-
-def infer(p: np.ndarray, weight: np.ndarray, penalty: float, rounds: int) -> tuple[int, float]:
+def shares(p: np.ndarray, weight: np.ndarray, tolerance: float, least: float = -np.inf) -> tuple[np.ndarray, float]:
+    """(mixture weights of the columns of ``p``, log likelihood) by EM until it settles; -inf once it cannot reach ``least``."""
+    mix, total, seen = np.full(p.shape[1], 1.0 / p.shape[1]), weight.sum(), -np.inf
+    for n in itertools.count(1):
+        each = p @ mix
+        slope = (weight / each) @ p
+        short = slope.max() - total                     # concave: the largest likelihood is not farther away than this
+        if short <= tolerance or n & (n - 1) == 0:
+            value = float(weight @ np.log(each))
+            if short <= tolerance or value - seen <= tolerance:
+                return mix, value
+            if value + short < least:
+                return mix, -np.inf
+            seen = value
+        mix = mix * slope
+        mix /= mix.sum()
+
+
+def infer(p: np.ndarray, weight: np.ndarray, penalty: float, tolerance: float = 1e-6) -> tuple[int, float]:
     """(language number, share) of a document from the likelihoods ``p`` of its trigrams."""
     alone = weight @ np.log(p)
-    chosen, best = [int(np.argmax(alone))], float(alone.max())
-    mix = np.ones(1)
-    if p.shape[1] > 1:
-        cost = penalty * np.log(weight.sum() + 1)
-        order = np.argsort(-shares(p, weight, rounds), kind="stable")
-        for k in (int(i) for i in order if i != chosen[0]):
-            wider = shares(p[:, [*chosen, k]], weight, rounds)
-            gained = float(weight @ np.log(p[:, [*chosen, k]] @ wider))
-            if gained - best <= cost:
+    chosen, best, mix = [int(np.argmax(alone))], float(alone.max()), np.ones(1)
+    total = weight.sum()
+    cost = penalty * np.log(total + 1)
+    while len(chosen) < p.shape[1]:
+        slope = (weight / (p[:, chosen] @ mix)) @ p
+        added, least = None, best + cost
+        for k in (int(i) for i in np.argsort(-slope, kind="stable") if i not in chosen):
+            if best + max(slope[k] - total, slope[chosen].max() - total) < least:     # nor can those after it gain enough
                 break
-            chosen, best, mix = [*chosen, k], gained, wider
+            wider, gained = shares(p[:, [*chosen, k]], weight, tolerance, least)
+            if gained > least or (added and gained == least and k < added[0]):
+                added, least = (k, wider), gained
+        if added is None:
+            break
+        chosen, mix, best = [*chosen, added[0]], added[1], least
     top = max(range(len(chosen)), key=lambda i: (mix[i], -chosen[i]))
     return chosen[top], float(mix[top])
 
 
-def identify(model: LanguageModel, spark, penalty: float = 3.0, rounds: int = 10):
+def identify(model: LanguageModel, spark, penalty: float = 3.0, tolerance: float = 1e-6):
     """A column function: text -> struct(lang, score)."""
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -160,7 +176,7 @@ def identify(model: LanguageModel, spark, penalty: float = 3.0, rounds: int = 10
                         own, weight = np.unique(own, return_counts=True)
                     else:
                         weight = np.ones(len(own))
-                    k, score[first + i] = infer(m.p[own], weight.astype(float), penalty, rounds)
+                    k, score[first + i] = infer(m.p[own], weight.astype(float), penalty, tolerance)
                     lang[first + i] = m.languages[k]
             yield pd.DataFrame({"lang": lang, "score": np.clip(score, 0, 1)})
 

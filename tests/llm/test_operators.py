@@ -318,3 +318,42 @@ def test_language_id(spark):
     assert got[904].lang == "xx" and 0.5 < got[904].score < 0.95
     nothing = language_id.identify(language_id.learn(docs(spark, [])), spark)
     assert {r.g.lang for r in frame.select(nothing("text").alias("g")).collect()} == {"und"}
+
+
+def test_language_id_goes_on_after_a_close_variety(spark):
+    letters = {"en": "etaoin", "en-gb": "etaoin", "xx": "кириллс"}
+
+    def text(lang, seed, words):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice(letters[lang]) for _ in range(r.randint(2, 8))) for _ in range(words))
+
+    rows = [(i, text(lang, i, 400), lang, "a") for i, lang in enumerate(["en", "en-gb", "xx"] * 20)]
+    frame = docs(spark, [(1, text("en", 900, 140) + " " + text("xx", 901, 60), None, "a")])
+    model = language_id.learn(docs(spark, rows))
+    got = frame.select(language_id.identify(model, spark)("text").alias("g")).first().g
+    assert got.lang in ("en", "en-gb") and got.score == pytest.approx(0.7, abs=0.06)
+
+
+def test_language_set_is_the_best_of_each_step():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        p = r.dirichlet(np.full(60, 0.4), 5).T + 1e-4
+        p /= p.sum(axis=0)
+        own = r.choice(60, 800, p=p[:, :3] @ r.dirichlet(np.ones(3)))
+        weight, p = np.ones(800), p[own]
+
+        def most(columns):
+            mix = np.full(len(columns), 1 / len(columns))
+            for _ in range(3000):
+                mix = mix * ((1 / (p[:, columns] @ mix)) @ p[:, columns]) / 800
+            return float(np.log(p[:, columns] @ mix).sum()), mix
+
+        chosen, best = [], -np.inf
+        while len(chosen) < 5:
+            value, k = max((most([*chosen, k])[0], -k) for k in range(5) if k not in chosen)
+            if chosen and value - best <= 3 * np.log(801):
+                break
+            chosen, best = [*chosen, -k], value
+        mix = most(chosen)[1]
+        lang, score = language_id.infer(p, weight, 3.0)
+        assert lang == chosen[int(np.argmax(mix))] and score == pytest.approx(mix.max(), abs=1e-3)
