@@ -5,13 +5,13 @@ counts; a node of level k is a context (a node of level k - 1) and a following w
 (a parameter of ``train``; the production query keeps every n-gram, those seen once included).  Each level is dealt into
 shards by a hash of its nodes, so one frequent context is spread over all of them; a shard is one file in the shared folder:
 
-* the contexts present, their pointers into the successors, and the successors (word + rank of the context x words), each a
-  monotone sequence in Elias-Fano form;
+* the contexts present and the successors (word + rank of the context x words), each a monotone sequence in Elias-Fano form;
+  the combined key is searched, so no pointers from contexts into the successors are kept;
 * an 8-bit code per node of its discounted probability max(c - D, 0) / c(context), rounded down;
 * the weight each node leaves to shorter contexts, 1 - the sum of its successors' decoded probabilities.
 
 So p(w | u v) = a(u v w) + left(u v) * p(w | v), down to the add-one unigram, and the quantised model still sums to 1.  Scoring maps the
-files into memory and searches the successor within its context: no level is ever broadcast or collected, and the driver
+files into memory and searches the context, then the combined key of its rank and the word: no level is ever broadcast or collected, and the driver
 sees one manifest row per shard.
 
 Defined results: a null or empty text is its end token alone; a word is known by its 64-bit hash; unknown words get the add-one
@@ -478,7 +478,6 @@ def _train_level(own: DataFrame, trie: Trie, level: int) -> None:
             whole[nodes == t.words] = t.texts
         codes = code((counts - DISCOUNT) / whole[rank]) if len(keys) else np.empty(0, np.uint8)
         sequences = {"contexts": EliasFano.build(contexts, int(t.first[level - 1][-1]) + 1),
-                     "pointers": EliasFano.build(np.append(start, len(keys)).astype(np.uint64), len(keys) + 1),
                      "successors": EliasFano.build(rank.astype(np.uint64) * base + keys % base, max(1, len(contexts) * t.base))}
         name = save(t.folder, sequences, {"codes": codes, "counts": counts.astype(np.min_scalar_type(int(counts.max(initial=0))))})
         given = np.bincount(rank, weights=decoded(codes), minlength=len(contexts))

@@ -229,6 +229,12 @@ def test_lm_score_query_keeps_ngrams_seen_once(spark, tmp_dir):
         assert got[i].score == pytest.approx(sum(map(math.log10, p)), rel=1e-6)
 
 
+def test_lm_score_shards_hold_only_what_is_searched(spark, mixed_rows):
+    trie = lm_score.train(docs(spark, mixed_rows), least_count=1)
+    held = {name for files in trie.files[1:] for f in files if f for name in lm_score.mapped(trie.folder, f)[0]}
+    assert held == {"contexts", "successors"}
+
+
 def test_warc_round_trip(spark):
     long = "é" * 900
     pages = [(1, "http://a/1", long), (2, "http://a/ü x", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "u", None),
