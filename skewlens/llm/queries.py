@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.llm import exact_dedup, language_id, license_scan, lm_score, mixture, near_dedup, secrets, sentencepiece, topk, warc
-from skewlens.llm.common import table
+from skewlens.llm import (collocations, exact_dedup, language_id, license_scan, lm_score, mixture, near_dedup, packing,
+                          periodic_runs, secrets, sentencepiece, topk, warc)
+from skewlens.llm.common import WORD, table, text_of
 
 #: The tokenizer file of the production query; read once on the driver.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_PIECES = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
@@ -83,8 +85,48 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("guess.lang").alias("lang_pred"), "guess.score")
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which the words of one document in ten repeat from some word on with some period (op11's rule)."""
+    h, g = F.crc32(F.col("doc_id").cast("string")), F.expr("__h div 10")
+    words = F.when(F.col("__h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    docs = docs.select("doc_id", text_of("text").alias("text")).withColumn("__h", h)
+    docs = docs.withColumn("__w", words).withColumn("__n", F.size("__w")).withColumn("__g", g)
+    docs = docs.withColumn("__a", F.when(F.col("__n") > 0, F.col("__g") % F.col("__n")).cast("int"))
+    docs = docs.withColumn("__p", F.expr("cast(1 + (__n - __a) div (3 + __g % 8) as int)"))
+    unit = F.slice("__w", F.col("__a") + 1, F.col("__p"))
+    again = F.concat(F.slice("__w", F.lit(1), F.col("__a")),
+                     F.flatten(F.array_repeat(unit, F.expr("cast((__n - __a) div __p as int)"))),
+                     F.slice(unit, F.lit(1), F.expr("(__n - __a) % __p")))
+    return docs.select("doc_id", F.when(F.col("__a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    # The greatest exact length / period; the runs come by start and period, so the first of equals is kept.
+    most = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, x: F.when(
+        best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best))
+    lines = F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","),
+                                                   x["period"].cast("string"), F.lit("\n")))
+    out = out.withColumn("best", most)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str, model_file: str = WORD_PIECES) -> DataFrame:
+    with open(model_file, encoding="utf-8") as f:
+        model = f.read()
+    pieces = packing.tokenised(table(spark, sf_dir, "documents"), model)
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mixture, op3_topk, op4_secrets, op5_lm_score, op6_exact_dedup,
-                                 op7_warc, op8_near_dedup, op9_licenses, op10_language_id)}
+                                 op7_warc, op8_near_dedup, op9_licenses, op10_language_id, op11_periodic_runs, op12_packing,
+                                 op13_collocations)}
 
 _SIZES = r"""
 WITH docs AS (
@@ -156,6 +198,32 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM g
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k))
+  GROUP BY lang, k, phrase HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x, array_to_string(string_split(phrase, ' ')[1:x], ' ') AS one,
+         array_to_string(string_split(phrase, ' ')[x + 1:], ' ') AS two
+  FROM (SELECT *, unnest(range(1, k)) AS x FROM f WHERE k > 1) c),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.x, p.a AS l, q.a AS r, n,
+         ((1000::HUGEINT * c.a * n) // (p.a::HUGEINT * q.a))::BIGINT AS score
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = c.one JOIN f q ON q.lang = c.lang AND q.phrase = c.two
+  JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, x) = 1),
+stay AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM f y WHERE y.lang = s.lang AND y.k > s.k AND contains(' ' || y.phrase || ' ', ' ' || s.phrase || ' ') AND y.a >= s.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM stay) WHERE rank <= 2000
 """,
     "op6_exact_dedup": r"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept,
