@@ -19,6 +19,7 @@ lengths; an empty table gives an empty result; :func:`pack` keeps all columns of
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -34,9 +35,9 @@ CAPACITY = 2048
 #: Token that ends each document.
 SEPARATOR = 0
 #: Words longer than this (bytes) are encoded each time, and this many shorter ones are remembered.
-LONGEST, MOST = 64, 400_000
-#: Signs that a word may end with and that are a run of their own there (fixed values; the apostrophe is not one).
-SIGNS = ".,;:!?()[]{}\"*-_=+/|~#$%&@^<>"
+LONGEST, MOST = 64, 800_000
+#: Where a letter meets a sign that follows it; the apostrophe may begin an ending of the word and counts as neither.
+_BORDER = re.compile(rb"(?<=[a-z])(?=[.,;:!?()\[\]{}\"*_=+/|~#$%&@^<>-])")
 #: Characters of the texts that are encoded together.
 CHUNK = 2_000_000
 
@@ -58,31 +59,45 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         return self._ids(word.decode("utf-8", "replace")).tobytes()
 
+    def words(self, text: bytes) -> list[bytes]:
+        """Parts of the text whose ids, one after the other, are the text's.
+
+        The tokenizer lowers letters, parts at white space and never joins a letter with a sign; only its special tokens are
+        looked for before that, so a text that may hold one is left as it is.
+        """
+        return text.split() if b"<|" in text else _BORDER.sub(b" ", text.lower()).split()
+
     def learn(self, words: set[bytes]) -> None:
         """Remember the words.  Plain letters are one run each, so new ones are encoded together and parted at the runs' ends."""
-        if len(self) + len(words) > MOST:
+        new = [w for w in words.difference(self) if len(w) <= LONGEST]
+        if len(self) + len(new) > MOST:
             self.clear()
-        plain: dict[bytes, tuple[bytes, bytes]] = {}
-        for word in words:
-            if word in self or len(word) > LONGEST:
-                continue
+            new = [w for w in words if len(w) <= LONGEST]
+        plain = []
+        for word in new:
             text = word.decode("utf-8", "replace")
-            core = text.rstrip(SIGNS)
-            if core.isalpha() and max(core) < "\u0180" and "\u0130" not in core:
-                plain[word] = core.lower().encode(), text[len(core):].encode()
+            if text.isalpha() and max(text) < "\u0180" and "\u0130" not in text:
+                plain.append(text)
             else:
                 self[word] = self._ids(text).tobytes()
-        new = [part for part in {x for pair in plain.values() for x in pair if x} if part not in self]
-        if new:
-            ids = self._ids(b" ".join(new).decode())
+        if plain:
+            ids = self._ids(" ".join(plain))
             upto = np.flatnonzero(self.last[ids]) + 1
-            assert len(upto) == len(new), "a run of letters or signs is one word of the tokenizer"
+            assert len(upto) == len(plain), "a run of letters is one word of the tokenizer"
             raw, start = ids.tobytes(), 0
-            for part, end in zip(new, (4 * upto).tolist()):
-                self[part] = raw[start:end]
+            for text, end in zip(plain, (4 * upto).tolist()):
+                self[text.encode()] = raw[start:end]
                 start = end
-        for word, (core, tail) in plain.items():
-            self[word] = self[core] + self[tail] if tail else self[core]
+
+
+_known: list = [None, None]
+
+
+def _words_of(shared) -> WordIds:
+    """The memo of this Python worker, kept between tasks that share the model."""
+    if _known[0] is not shared.value:
+        _known[:] = shared.value, WordIds(shared.value)
+    return _known[1]
 
 
 def tokenised(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -98,13 +113,12 @@ def tokenised(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = None
+        known = _words_of(shared)
         for batch in batches:
-            known = known or WordIds(shared.value)
             first, held, size = 0, [], 0
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py().encode("utf-8", "surrogatepass")
-                held.append(text.split())
+                held.append(known.words(text))
                 size += len(text)
                 if size >= CHUNK or i == batch.num_rows - 1:
                     known.learn(set().union(*held))
