@@ -18,7 +18,7 @@ STAGE_HEADER_FORMAT = ("[Stage Id: %d, Attempt Id: %d, Job Ids: (%s), Task Count
 
 def _idiv(a: Column, b: int) -> Column:
     """Integer division truncating toward zero (like JVM ``/`` on longs)."""
-    return ((a - a % F.lit(b)) / F.lit(b)).cast("long")
+    return F.call_function("div", a, F.lit(b))
 
 
 def pretty_time(seconds: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skewlens.functions.format import display_ratio
 from skewlens.operators.jobs import attach_job_ids
 from skewlens.operators.stats import STAT_METRICS
+from skewlens.session import written
 
 # Fixed values of the analysis.
 DEFAULT_THRESHOLD = 3.0
@@ -22,13 +23,15 @@ def app_max_duration(stats: DataFrame) -> DataFrame:
     return stats.groupBy("app_id").agg(F.max("maxDuration").alias("maxDurationAllStages"))
 
 
-def with_significance(stats: DataFrame) -> DataFrame:
+def with_significance(stats: DataFrame, copy: bool = True) -> DataFrame:
     """Add ``maxDurationAllStages`` and ``isSignificant`` (the gate), per app.
 
-    The per-app maximum is joined back on ``app_id``; adaptive execution turns this into
+    The statistics are written once (``copy=False``: they are a copy already), so that the maximum does not compute
+    them a second time.  It is joined back on ``app_id``; adaptive execution turns this into
     a broadcast join once the per-app side is measured small, and otherwise splits a
     skewed app's partition.  An app with no stages simply has no rows.
     """
+    stats = written(stats, "stats") if copy else stats
     joined = stats.join(app_max_duration(stats), "app_id")
     gate = ((F.col("maxDuration") >= GATE_ABSOLUTE_SECONDS)
             | (F.col("maxDuration") >= F.lit(GATE_RELATIVE_SHARE) * F.col("maxDurationAllStages")))
@@ -52,11 +55,18 @@ def flag_skew(stats: DataFrame, pairs: Sequence[tuple[str, str]], threshold: flo
     return stats.filter(cond if gate is None else gate & cond)
 
 
-def skewed_stages(stats: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Stage attempts that pass the significance gate and show skew on any metric."""
-    gated = with_significance(stats)
-    return flag_skew(gated, [(a, m) for _, a, m, _ in STAT_METRICS], threshold,
-                     F.col("isSignificant")).select(*stats.columns)
+def skewed_stages(stats: DataFrame, threshold: float = DEFAULT_THRESHOLD, copy: bool = True) -> DataFrame:
+    """Stage attempts that pass the significance gate and show skew on any metric.
+
+    The statistics are written once (``copy=False``: they are a copy already).  A stage whose longest task takes
+    ``GATE_ABSOLUTE_SECONDS`` passes whatever its app's maximum is; only the skewed stages below that are joined with it.
+    """
+    stats = written(stats, "stats") if copy else stats
+    skewed = flag_skew(stats, [(a, m) for _, a, m, _ in STAT_METRICS], threshold)
+    decided = skewed.where(F.col("maxDuration") >= GATE_ABSOLUTE_SECONDS)
+    open_ = skewed.where(F.col("maxDuration") < GATE_ABSOLUTE_SECONDS).join(app_max_duration(stats), "app_id")
+    passed = open_.where(F.col("maxDuration") >= F.lit(GATE_RELATIVE_SHARE) * F.col("maxDurationAllStages"))
+    return decided.unionByName(passed.select(*stats.columns))
 
 
 def metric_flag(avg: str, mx: str, unit: str, threshold: float) -> Column:
@@ -116,13 +126,13 @@ def rank_order() -> list[Column]:
 
 
 def stage_skew(stats: DataFrame, stage_jobs: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-               ordered: bool = True) -> DataFrame:
+               ordered: bool = True, copy: bool = True) -> DataFrame:
     """Skewed stage attempts as measures, highest duration skew first (NaN last).
 
     ``stats`` may already carry ``jobIds`` (see ``analyze_tasks``); otherwise they are
-    attached to the few skewed rows only.
+    attached to the few skewed rows only.  ``copy`` as in :func:`skewed_stages`.
     """
-    skewed = skewed_stages(stats, threshold)
+    skewed = skewed_stages(stats, threshold, copy)
     if "jobIds" not in skewed.columns:
         skewed = attach_job_ids(skewed, stage_jobs)
     measures = skewed.select(

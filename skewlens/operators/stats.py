@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from skewlens.operators.exact_sum import LIMBS, bucket, finite, limbs, total, whole_number
 from skewlens.schemas import METRICS, STAGE_KEYS
 
 
@@ -20,14 +22,41 @@ def group_skew_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str])
     """One row per group with ``avg_<m>`` (double) and ``max_<m>`` for every metric.
 
     All aggregates are algebraic, so each is computed partially before the shuffle:
-    a group holding a third of the rows costs one partial row per input partition.
+    a group holding a third of the rows costs one partial row per input partition.  Sums of doubles are exact
+    (``operators.exact_sum``), so an average does not depend on the order or the partitions of the rows.
     """
+    real = [m for m in metrics if isinstance(df.schema[m].dataType, (T.DoubleType, T.FloatType))]
+    if real:
+        return _real_stats(df, keys, metrics, real)
     aggs = []
     for m in metrics:
         aggs += [exact_avg(m).alias(f"avg_{m}"), F.max(m).alias(f"max_{m}")]
     return df.groupBy(*keys).agg(*aggs)
 
 
+def _real_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], real: Sequence[str]) -> DataFrame:
+    """:func:`group_skew_stats` with double metrics: limbs per magnitude, then one row per group."""
+    x = {m: F.col(m).cast("double") for m in real}
+    df = df.select(*keys, *metrics, *[bucket(x[m]).alias(f"_b_{m}") for m in real])
+    df = df.select("*", *[c.alias(f"_{i}_{m}") for m in real for i, c in enumerate(limbs(x[m], F.col(f"_b_{m}")))])
+    first, last = [], []
+    for m in metrics:
+        first += [F.count(m).alias(f"_n_{m}"), F.max(m).alias(f"_max_{m}")]
+        if m in real:
+            first += [F.sum(f"_{i}_{m}").alias(f"_{i}_{m}") for i in range(LIMBS)]
+            # Infinities and NaN give the same sum in any order.
+            first.append(F.sum(F.when(~finite(x[m]), x[m])).alias(f"_odd_{m}"))
+            number = whole_number([F.col(f"_{i}_{m}") for i in range(LIMBS)])
+            parts = F.collect_list(F.struct(F.col(f"_b_{m}").alias("b"), number.alias("s")))
+            whole = F.coalesce(F.sum(f"_odd_{m}"), total(parts))
+        else:
+            first.append(F.sum(m).alias(f"_sum_{m}"))
+            whole = F.sum(f"_sum_{m}")
+        n = F.sum(f"_n_{m}")
+        last += [F.when(n > 0, whole / n).alias(f"avg_{m}"), F.max(f"_max_{m}").alias(f"max_{m}")]
+    return df.groupBy(*keys, *[f"_b_{m}" for m in real]).agg(*first).groupBy(*keys).agg(*last)
+
+
 def _cap(name: str) -> str:
     return name[0].upper() + name[1:]
 

@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skewlens.schemas import STAGE_KEYS
+from skewlens.schemas import FLAT_TASK_COLUMNS, STAGE_KEYS
+
+TASK_COLUMNS = [c for c in FLAT_TASK_COLUMNS if c not in STAGE_KEYS]
 
 
 def project_stage(stages: DataFrame) -> DataFrame:
@@ -44,17 +47,19 @@ def flat_task_columns(task: str | None = "task") -> list[Column]:
     ]
 
 
-def explode_tasks(stages: DataFrame, with_index: bool = False) -> DataFrame:
+def explode_tasks(stages: DataFrame, with_index: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
     """One flat row per (stage attempt, task).
 
     The explode is an inner one: an attempt without tasks yields no rows, exactly as
     the analysis expects.  Map keys (task ids as text) are dropped; values are kept.
-    ``with_index`` appends the task's ``index`` (for ``dedup_tasks(task_key="index")``).
+    ``with_index`` appends the task's ``index`` (for ``dedup_tasks(task_key="index")``).  ``columns`` names the task
+    columns to keep, for documents that were read with a narrowed schema.
     """
     exploded = project_stage(stages).select(
         *STAGE_KEYS, F.explode(F.map_values("tasks")).alias("task"))
     extra = [F.col("task.index").alias("index")] if with_index else []
-    return exploded.select(*STAGE_KEYS, *flat_task_columns("task"), *extra)
+    kept = [c for name, c in zip(TASK_COLUMNS, flat_task_columns("task")) if columns is None or name in columns]
+    return exploded.select(*STAGE_KEYS, *kept, *extra)
 
 
 def flatten_task_records(records: DataFrame) -> DataFrame:
@@ -87,6 +92,51 @@ def latest_attempt(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
               .drop("_rn"))
 
 
+def _earlier(df: DataFrame, name: str, descending: bool) -> Column:
+    """A struct that is the smaller, the earlier ``name`` comes in a window's order (ascending: NULL first, descending: last)."""
+    c, kind = F.col(name), df.schema[name].dataType
+    if not descending:
+        return F.struct(c.isNotNull(), c)
+    if isinstance(kind, T.TimestampNTZType):
+        c = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', `{name}`)")
+    elif isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(kind, T.BooleanType):
+        c = c.cast("int")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.struct(c.isNull(), ~F.isnan(c), -c)
+    elif not isinstance(kind, T.IntegralType):
+        raise ValueError(f"no descending order of {kind.simpleString()} in an aggregate; rank {name} by a number")
+    return F.struct(F.col(name).isNull(), F.bitwise_not(c))          # unlike a minus, without overflow
+
+
+def latest_by_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]],
+                        prefer: Column | None = None) -> DataFrame:
+    """The same rows as :func:`latest_attempt`, as a mergeable aggregate: the least order struct wins its key.
+
+    ``order`` names columns and whether they descend.  The aggregate is partial before the shuffle, and the result of two
+    disjoint inputs is that of their two results put together, so batches can be reduced one by one
+    (``streaming``).  Rows that are equal in the whole order are interchangeable only if the order is total.
+    """
+    first = [] if prefer is None else [~F.coalesce(prefer, F.lit(False))]
+    rest = [c for c in df.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(*first, *[_earlier(df, c, down) for c, down in order]))
+    return df.groupBy(*keys).agg(best.alias("_best")).select(
+        *[F.col(f"_best.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
+
+
+def dedup_order(tasks: DataFrame, keys: Sequence[str]) -> list[tuple[str, bool]]:
+    """The order of :func:`dedup_tasks` after the status: the latest attempt, then the other columns as tie-breakers."""
+    return [("attempt", True)] + [(c, False) for c in tasks.columns if c not in keys and c != "attempt"]
+
+
+def merge_tasks(tasks: DataFrame, keys: Sequence[str] = (*STAGE_KEYS, "taskId")) -> DataFrame:
+    """:func:`dedup_tasks` as a mergeable aggregate (see :func:`latest_by_aggregate`)."""
+    return latest_by_aggregate(tasks, keys, dedup_order(tasks, keys), F.col("status") == "SUCCESS")
+
+
 def dedup_tasks(tasks: DataFrame, task_key: str = "taskId") -> DataFrame:
     """One row per task of a stage attempt: a successful attempt first, then the latest.
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from skewlens.functions.format import stage_block
 from skewlens.operators.jobs import attach_job_ids, stage_to_jobs
+from skewlens.operators.reduce import may_match
 from skewlens.operators.skew import DEFAULT_THRESHOLD, stage_skew
 from skewlens.operators.stats import stage_stats
 from skewlens.operators.tasks import dedup_tasks, explode_tasks
 from skewlens.schemas import METRICS, STAGE_KEYS
-from skewlens.session import ensure_checkpoint_dir
+from skewlens.session import written
 from skewlens.sources.payloads import required_jobs, required_stages
 
 
@@ -34,9 +35,11 @@ def stats_from_stages(stages: DataFrame, mode: str = "fail") -> DataFrame:
     """Stage-attempt payloads -> statistics (explode, de-duplicate, aggregate).
 
     ``mode="fail"``: a malformed or incomplete document fails the action.  ``mode="trusted"``: the documents were
-    checked before (``required_stages``, whose quarantine mode also returns the bad ones).
+    checked before (``required_stages``, whose quarantine mode also returns the bad ones); then they may have been read with
+    the statistics' fields only (``read_stages(..., paths=STATS_PATHS)``).
     """
-    return stats_from_tasks(explode_tasks(_checked(stages, required_stages, mode)))
+    used = ["taskId", "attempt", "status", *METRICS]
+    return stats_from_tasks(explode_tasks(_checked(stages, required_stages, mode), columns=used))
 
 
 def _checked(payloads: DataFrame, check, mode: str) -> DataFrame:
@@ -52,28 +55,32 @@ def with_report_block(measures: DataFrame) -> DataFrame:
         F.col("stageStatus"), F.col("stageName"), F.col("taskAgg")))
 
 
+STAGE_ID = ["app_id", "stageId"]
+
+
 def analyze_tasks(tasks: DataFrame, stage_jobs: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                  only_job_stages: bool = True, materialize: bool = True) -> DataFrame:
+                  only_job_stages: bool = True, ordered: bool = True, reduce: bool = True) -> DataFrame:
     """Flat task rows + stage->jobs -> ranked measures with their report block.
 
-    With ``materialize`` the per-stage statistics (one row per stage attempt) are written
+    Task rows of stages that no job lists go before the de-duplication shuffle (``reduce=False``: they went before; see
+    ``operators.reduce``).  The per-stage statistics (one row per stage attempt) are written
     once to the session's checkpoint folder: the gate, the skew filter and the report all
     read them, so the task-level shuffle runs once and a lost executor does not re-run it.
+    ``ordered=False`` leaves out the sort, for sinks that have no order.
     """
+    if only_job_stages and reduce:
+        tasks = may_match(tasks, stage_jobs, STAGE_ID)
     # Job ids are attached to the per-stage statistics, a table orders of magnitude smaller
     # than the tasks; keeping only stages some job lists is then a filter on that column.
-    # Restricting the statistics equals restricting the task rows (stageId is a grouping
-    # key).  Without ``materialize`` the per-app maximum branch would rebuild the statistics
-    # from the (reused) de-dup exchange, since column pruning gives it a narrower aggregate.
+    # Restricting the statistics equals restricting the task rows (stageId is a grouping key), so
+    # what the reduction lets pass goes here.
     stats = attach_job_ids(stats_from_tasks(tasks), stage_jobs)
     if only_job_stages:
         stats = stats.filter(F.size("jobIds") > 0)
-    if materialize:
-        ensure_checkpoint_dir(stats.sparkSession)
-        stats = stats.checkpoint(eager=True)
+    stats = written(stats, "stats")
     # Sort the compact measures, then render: the range-partitioned sort samples its input
     # before shuffling it, and the text would otherwise be built on both passes.
-    return with_report_block(stage_skew(stats, stage_jobs, threshold, ordered=True))
+    return with_report_block(stage_skew(stats, stage_jobs, threshold, ordered, copy=False))
 
 
 def analyze(jobs: DataFrame, stages: DataFrame, threshold: float = DEFAULT_THRESHOLD, mode: str = "fail") -> DataFrame:
@@ -82,5 +89,7 @@ def analyze(jobs: DataFrame, stages: DataFrame, threshold: float = DEFAULT_THRES
     Only stages listed by some job are analysed; each measure carries its job ids.  ``mode`` as in
     :func:`stats_from_stages`: nothing is dropped unseen.
     """
-    stages = _checked(stages, required_stages, mode)
-    return analyze_tasks(explode_tasks(stages), stage_to_jobs(_checked(jobs, required_jobs, mode)), threshold)
+    stage_jobs = stage_to_jobs(_checked(jobs, required_jobs, mode))
+    # Documents of stages that no job lists go before their tasks are exploded; in mode "fail" they are checked nevertheless.
+    listed = may_match(_checked(stages, required_stages, mode), stage_jobs, STAGE_ID)
+    return analyze_tasks(explode_tasks(listed), stage_jobs, threshold, reduce=False)

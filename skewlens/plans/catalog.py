@@ -15,16 +15,18 @@ from skewlens.functions.format import display_ratio, metric_text, pretty_bytes,
 from skewlens.operators.jobs import attach_job_ids, jobs_by_stage, stage_to_jobs, stages_with_jobs
 from skewlens.operators.skew import (metric_flags, metric_long, rank_order, skew_predicate, skew_ratio,
                                      skewed_stages, stage_skew, with_significance)
+from skewlens.operators.rank import global_rank
 from skewlens.operators.stats import STATS_COLUMNS, group_skew_stats, stage_stats
 from skewlens.operators.tasks import (dedup_tasks, derive_shuffle_read, explode_task_fields, explode_tasks,
-                                      flatten_task_records, latest_attempt, project_stage, status_rank)
+                                      flatten_task_records, latest_attempt, latest_by_aggregate, merge_tasks,
+                                      project_stage, status_rank)
 from skewlens.plans.analyze import analyze, analyze_tasks, stats_from_stages, stats_from_tasks
-from skewlens.schemas import FLAT_TASK_COLUMNS, METRICS, STAGE_KEYS
+from skewlens.schemas import FLAT_TASK_COLUMNS, METRICS, STAGE_KEYS, STATS_PATHS
 from skewlens.session import scratch_path
-from skewlens.sources.payloads import (TASK_TABLE_SCHEMA, read_jobs, read_stages, read_task_list, read_task_table,
-                                       required_stages)
-from skewlens.sources.sinks import (REPORT_SEPARATOR, convert_stages, stats_json, write_measures, write_report,
-                                    write_task_table)
+from skewlens.sources.diagnosis import diagnose_jobs, diagnose_stages
+from skewlens.sources.payloads import TASK_TABLE_SCHEMA, read_jobs, read_stages, read_task_list, read_task_table
+from skewlens.sources.sinks import (REPORT_SEPARATOR, convert_stages, stats_json, write_bucketed_tasks, write_measures,
+                                    write_report, write_task_table)
 from skewlens.sources.testdata import (events_jobs, events_stage_job_pairs, events_tasks, read_table,
                                       write_payload)
 
@@ -64,12 +66,12 @@ def _job_ids_text(col="jobIds"):
 
 # ---------------------------------------------------------------- Spark side: queries
 
-def _payload(spark, sf, kind, damaged=False):
-    return write_payload(spark, sf, kind, "task", damaged)
+def _payload(spark, sf, kind, damaged=False, variant=""):
+    return write_payload(spark, sf, kind, "task", damaged, variant=variant)
 
 
-def _stages(spark, sf, damaged=False):
-    return read_stages(spark, _payload(spark, sf, "stages", damaged))
+def _stages(spark, sf, damaged=False, variant="", paths=None):
+    return read_stages(spark, _payload(spark, sf, "stages", damaged, variant), paths=paths)
 
 
 # Metric name stems in report order: as in the statistics columns (avg<Stem>, max<Stem>)
@@ -82,6 +84,23 @@ def q_dedup_tasks(spark, sf):
     return dedup_tasks(task_view(spark, sf))
 
 
+def q_dedup_merged(spark, sf):
+    """The same rows by the mergeable aggregate."""
+    return merge_tasks(task_view(spark, sf)).select(*FLAT_TASK_COLUMNS)
+
+
+def q_dedup_bucketed(spark, sf):
+    """Task rows written as a bucketed table; its de-duplication shuffles nothing."""
+    return dedup_tasks(bucketed_tasks(spark, sf))
+
+
+def bucketed_tasks(spark, sf):
+    path = scratch_path(spark, "tasks-bucketed")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    write_bucketed_tasks(task_view(spark, sf), name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.table(name).select(*FLAT_TASK_COLUMNS)
+
+
 def q_stage_stats(spark, sf):
     return task_stats(spark, sf)
 
@@ -100,11 +119,11 @@ def q_skewed_stages_gate(spark, sf):
 
 
 def q_skew_rank(spark, sf):
-    """The report order (default threshold) as a rank within each application."""
+    """The report order (default threshold) as a rank over all applications and within each."""
     pairs = jobs_by_stage(events_stage_job_pairs(_events(spark, sf)))
     order = Window.partitionBy("app_id").orderBy(*rank_order())
-    return stage_skew(gate_stats(spark, sf), pairs, ordered=False).select(
-        "app_id", "stageId", "attemptId", "skewRatio", F.row_number().over(order).alias("app_rank"))
+    measures = stage_skew(gate_stats(spark, sf), pairs, ordered=False).select("app_id", "stageId", "attemptId", "skewRatio")
+    return global_rank(measures, rank_order(), "global_rank").withColumn("app_rank", F.row_number().over(order))
 
 
 def q_skew_ratio_shuffle_read(spark, sf):
@@ -172,6 +191,18 @@ def q_stats_from_payloads(spark, sf):
     return stats_from_stages(_stages(spark, sf))
 
 
+def q_stats_from_payloads_trusted(spark, sf):
+    """Documents that were checked before, read with the fields of the statistics only."""
+    return stats_from_stages(_stages(spark, sf, paths=STATS_PATHS), mode="trusted")
+
+
+def q_report_large_jobs(spark, sf):
+    """As ``report_from_payloads``; most stages have no job in this jobs view and go before their tasks are exploded."""
+    return analyze(read_jobs(spark, _payload(spark, sf, "jobs", variant="large")), _stages(spark, sf)).select(
+        "app_id", "stageId", "stageName", "attemptId", "stageStatus", _job_ids_text(),
+        "stageDuration", "taskCount", "skewRatio")
+
+
 def q_report_from_payloads(spark, sf):
     """Payload files -> read, checked -> the ranked report, at the default threshold."""
     return analyze(read_jobs(spark, _payload(spark, sf, "jobs")), _stages(spark, sf)).select(
@@ -212,18 +243,21 @@ def q_stats_json(spark, sf):
 
 
 def q_status_rank(spark, sf):
-    return task_view(spark, sf).select("app_id", "stageId", "attemptId", "taskId", "attempt", "status",
-                                       status_rank(F.col("status")).alias("statusOrder"))
+    """With a NULL status of every seventh task id."""
+    tasks = task_view(spark, sf).withColumn("status", F.when(F.col("taskId") % 7 != 0, F.col("status")))
+    return tasks.select("app_id", "stageId", "attemptId", "taskId", "attempt", "status",
+                        status_rank(F.col("status")).alias("statusOrder"))
 
 
 def q_project_stage(spark, sf):
-    projected = project_stage(_stages(spark, sf))
+    projected = project_stage(_stages(spark, sf, variant="bare"))
     # A large attempt may be stored as several documents; count its tasks over all of them.
     return projected.groupBy(*STAGE_KEYS).agg(F.sum(F.size("tasks")).alias("n_tasks"))
 
 
 def q_explode_tasks(spark, sf):
-    return explode_tasks(_stages(spark, sf))
+    """Attempts without tasks, which these payloads have, give no row."""
+    return explode_tasks(_stages(spark, sf, variant="bare"))
 
 
 def q_derive_shuffle_read(spark, sf):
@@ -258,15 +292,23 @@ def q_src_task_list(spark, sf):
     return flatten_task_records(read_task_list(spark, _payload(spark, sf, "tasks")))
 
 
+def q_src_task_arrays(spark, sf):
+    """Bare task lists, one JSON array per stage attempt; the ids come from the folders."""
+    return flatten_task_records(read_task_list(spark, _payload(spark, sf, "tasks", variant="arrays"), multi_line="split"))
+
+
 def q_src_required_fields(spark, sf):
-    docs = required_stages(_stages(spark, sf, damaged=True), mode="tag")      # one pass over the JSON
-    # One row per (document, missing field); the set per attempt is bounded by the number of
-    # distinct field names however many documents an attempt is split into.
-    reasons = docs.select("app_id", "stageId", "attemptId", F.size("missing").alias("n_missing"),
-                          F.explode_outer("missing").alias("reason"))
-    return (reasons.groupBy("app_id", "stageId", "attemptId")
-                   .agg((F.max("n_missing") == 0).alias("accepted"),
-                        F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("missing")))
+    """What is wrong with the broken payload lines, per stage attempt and job; lines that are no JSON have no id."""
+    stages = diagnose_stages(spark, _payload(spark, sf, "stages", variant="broken")).select(
+        "app_id", F.lit("stage").alias("kind"), F.col("stageId").alias("id"), "attemptId", "reasons")
+    jobs = diagnose_jobs(spark, _payload(spark, sf, "jobs", variant="broken")).select(
+        "app_id", F.lit("job").alias("kind"), F.col("jobId").cast("long").alias("id"), F.lit(None).cast("int").alias("attemptId"), "reasons")
+    # One row per (document, reason); the set per attempt is bounded by the number of
+    # distinct reasons however many documents an attempt is split into.
+    each = stages.unionByName(jobs).select("app_id", "kind", "id", "attemptId", F.size("reasons").alias("n"),
+                                           F.explode_outer("reasons").alias("reason"))
+    return each.groupBy("app_id", "kind", "id", "attemptId").agg(
+        (F.max("n") == 0).alias("accepted"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
 def q_task_table(spark, sf):
@@ -294,7 +336,7 @@ def q_report_sink(spark, sf):
 def q_measures_sink(spark, sf):
     """Write the structured measures as parquet by app and read them back."""
     path = scratch_path(spark, "measures")
-    write_measures(flagship(spark, sf).drop("block"), path)
+    write_measures(flagship(spark, sf, ordered=False).drop("block"), path)
     return spark.read.parquet(path).select(
         "app_id", "stageId", "attemptId", "taskCount", "skewRatio", _job_ids_text(),
         F.size("taskAgg").alias("n_metrics"))
@@ -313,12 +355,15 @@ def q_latest_lineitem(spark, sf):
     return latest_attempt(items, ["l_orderkey", "l_linenumber"], order)
 
 
+def q_latest_lineitem_merged(spark, sf):
+    """The same rows by the mergeable aggregate."""
+    order = [("l_shipdate", True)] + [(c, False) for c in LINEITEM_ORDER]
+    return latest_by_aggregate(read_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], order, F.col("l_linestatus") == "F")
+
+
 def q_order_price_skew(spark, sf):
-    """Group statistics + skew flag on a money measure: order totals per customer.  The totals are summed in whole
-    cents, so that the average does not depend on the order of rows."""
-    orders = read_table(spark, sf, "orders").select("o_custkey", F.round(F.col("o_totalprice") * 100).cast("long")
-                                                    .alias("o_totalprice"))
-    stats = group_skew_stats(orders, ["o_custkey"], ["o_totalprice"])
+    """Group statistics + skew flag on a money measure: order totals per customer, doubles that are summed exactly."""
+    stats = group_skew_stats(read_table(spark, sf, "orders"), ["o_custkey"], ["o_totalprice"])
     return stats.select("o_custkey", "avg_o_totalprice", "max_o_totalprice",
                         skew_predicate(3.0, [("avg_o_totalprice", "max_o_totalprice")]).alias("is_skewed"))
 
@@ -332,6 +377,8 @@ def q_doc_length_skew(spark, sf):
 QUERIES: dict[str, Query] = {
     # attempt de-dup, statistics, skew filter
     "dedup_tasks": q_dedup_tasks,
+    "dedup_merged": q_dedup_merged,
+    "dedup_bucketed": q_dedup_bucketed,
     "status_rank": q_status_rank,
     "stage_stats": q_stage_stats,
     "skewed_stages": q_skewed_stages,
@@ -354,7 +401,9 @@ QUERIES: dict[str, Query] = {
     "skew_rank": q_skew_rank,
     "report_block": q_report_block,
     "stats_from_payloads": q_stats_from_payloads,
+    "stats_from_payloads_trusted": q_stats_from_payloads_trusted,
     "report_from_payloads": q_report_from_payloads,
+    "report_large_jobs": q_report_large_jobs,
     "metric_line": q_metric_line,
     "fmt_time": q_fmt_time,
     "fmt_bytes": q_fmt_bytes,
@@ -364,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "src_stages": q_src_stages,
     "src_tasks_flat": q_src_tasks_flat,
     "src_task_list": q_src_task_list,
+    "src_task_arrays": q_src_task_arrays,
     "src_required_fields": q_src_required_fields,
     "project_stage": q_project_stage,
     "explode_tasks": q_explode_tasks,
@@ -376,10 +426,11 @@ QUERIES: dict[str, Query] = {
     "doc_length_skew": q_doc_length_skew,
     "order_price_skew": q_order_price_skew,
     "latest_lineitem": q_latest_lineitem,
+    "latest_lineitem_merged": q_latest_lineitem_merged,
 }
 
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
+def flagship(spark: SparkSession, sf: str, ordered: bool = True) -> DataFrame:
     """The full report at threshold 8 over the task view: measures + rendered blocks.
 
     Stage -> job lists come from the (stage, job) pairs of the mapping directly; the
@@ -387,4 +438,5 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     lists and is checked by its own queries.
     """
     events = _events(spark, sf)
-    return analyze_tasks(events_tasks(events, "task"), jobs_by_stage(events_stage_job_pairs(events)), 8.0)
+    return analyze_tasks(events_tasks(events, "task"), jobs_by_stage(events_stage_job_pairs(events)), 8.0,
+                         ordered=ordered)

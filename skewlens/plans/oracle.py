@@ -240,8 +240,8 @@ def _flag_cols(t: float) -> str:
 ORACLE_SQL: dict[str, str] = {
     "dedup_tasks": DEDUP_SQL,
     "status_rank": f"""
-SELECT app_id, stageId, attemptId, taskId, attempt, status,
-       CASE WHEN status = 'SUCCESS' THEN 1 ELSE 2 END AS statusOrder FROM ({TASK_SQL})""",
+SELECT app_id, stageId, attemptId, taskId, attempt, s AS status, CASE WHEN s = 'SUCCESS' THEN 1 ELSE 2 END AS statusOrder
+FROM (SELECT *, CASE WHEN taskId % 7 <> 0 THEN status END AS s FROM ({TASK_SQL}))""",
     "stage_stats": STATS_SQL,
     "skewed_stages": skewed_sql(STATS_SQL, 10.0),
     "skewed_stages_t8": skewed_sql(STATS_SQL, 8.0),
@@ -290,12 +290,28 @@ FROM ({PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId, stageName, stageStatus
 SELECT app_id, stageId, attemptId, taskId, attempt, status, duration, resultSize, jvmGcTime, bytesRead,
        bytesWritten, shuffleBytesRead, shuffleBytesWritten FROM ({TASK_SQL})""",
     "src_required_fields": f"""
-SELECT app_id, stageId, attemptId, NOT bool_or(executorId IS NULL) AS accepted,
-       CASE WHEN bool_or(executorId IS NULL) THEN 'tasks.executorId' ELSE '' END AS missing
-FROM ({DAMAGED_PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId""",
+WITH broken AS (
+  SELECT app_id, 'stage' AS kind, stageId AS id, attemptId, concat_ws(',',
+         CASE WHEN stageId % 7 = 0 THEN 'missing numTasks' END,
+         CASE WHEN bool_or(executorId IS NULL) THEN 'missing tasks.executorId' END,
+         CASE WHEN stageId % 11 = 0 THEN 'wrong type status' END,
+         CASE WHEN stageId % 5 = 0 THEN 'wrong type tasks.duration' END) AS reasons
+  FROM ({DAMAGED_PAYLOAD_SQL}) WHERE stageId % 13 <> 0 GROUP BY app_id, stageId, attemptId
+  UNION ALL
+  SELECT DISTINCT app_id, 'stage', CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), 'malformed record'
+  FROM ({DAMAGED_PAYLOAD_SQL}) WHERE stageId % 13 = 0
+  UNION ALL
+  SELECT app_id, 'job', CAST(jobId AS BIGINT), CAST(NULL AS INTEGER), concat_ws(',',
+         CASE WHEN jobId % 5 = 0 THEN 'missing completionTime' END, CASE WHEN jobId % 7 = 0 THEN 'wrong type jobId' END,
+         CASE WHEN jobId % 11 = 0 THEN 'wrong type stageIds' END)
+  FROM ({JOBS_SQL}))
+SELECT app_id, kind, id, attemptId, reasons = '' AS accepted, reasons FROM broken""",
     "project_stage": f"""
 SELECT app_id, stageId, attemptId, stageName, stageStatus, numTasks, count(*) AS n_tasks
-FROM ({PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId, stageName, stageStatus, numTasks""",
+FROM ({PAYLOAD_SQL}) GROUP BY app_id, stageId, attemptId, stageName, stageStatus, numTasks
+UNION ALL
+SELECT DISTINCT {APP}, CAST(user_id AS BIGINT), CAST(2 AS INTEGER), 'stage ' || CAST(user_id AS VARCHAR), 'PENDING',
+       CAST(100 AS INTEGER), CAST(0 AS BIGINT) FROM events WHERE event_type = 'signup'""",
     "explode_tasks": TASK_SQL,
     "task_table": TASK_SQL,
     "convert_stages": f"""
@@ -314,10 +330,14 @@ SELECT lang, source, sum(n_chars) / count(n_chars) AS avg_n_chars, max(n_chars)
        max(n_chars) > CAST(3.0 AS DOUBLE) * (sum(n_chars) / count(n_chars)) AS is_skewed
 FROM documents GROUP BY lang, source""",
 }
+# Prices lie between 1 and 2^32, so each is a whole number of steps of 2^-53; the text gives the sum's nearest double.
 ORACLE_SQL["order_price_skew"] = """
-SELECT o_custkey, sum(cents) / count(cents) AS avg_o_totalprice, max(cents) AS max_o_totalprice,
-       max(cents) > CAST(3.0 AS DOUBLE) * (sum(cents) / count(cents)) AS is_skewed
-FROM (SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) GROUP BY o_custkey"""
+SELECT *, max_o_totalprice > CAST(3.0 AS DOUBLE) * avg_o_totalprice AS is_skewed FROM (
+  SELECT o_custkey, CAST(CAST(sum(CAST(floor(o_totalprice) AS HUGEINT) * 9007199254740992
+                                  + CAST((o_totalprice - floor(o_totalprice)) * 9007199254740992 AS HUGEINT)) AS VARCHAR) AS DOUBLE)
+                    / 9007199254740992 / count(o_totalprice) AS avg_o_totalprice,
+         max(o_totalprice) AS max_o_totalprice
+  FROM orders GROUP BY o_custkey)"""
 ORACLE_SQL["latest_lineitem"] = """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (
@@ -373,8 +393,9 @@ SELECT app_id, stageId, stageName, attemptId, stageStatus, job_ids, CAST(0 AS BI
 # Views in which the gate, the semi join, the empty default and the NaN branch decide.
 ORACLE_SQL["skewed_stages_gate"] = skewed_sql(GATE_STATS_SQL, 2.0)
 ORACLE_SQL["skew_rank"] = f"""
-SELECT app_id, stageId, attemptId, skewRatio, CAST(row_number() OVER (
-    PARTITION BY app_id ORDER BY isnan(skewRatio), skewRatio DESC, stageId, attemptId) AS INTEGER) AS app_rank
+SELECT app_id, stageId, attemptId, skewRatio,
+       row_number() OVER (ORDER BY isnan(skewRatio), skewRatio DESC, app_id, stageId, attemptId) AS global_rank,
+       CAST(row_number() OVER (PARTITION BY app_id ORDER BY isnan(skewRatio), skewRatio DESC, stageId, attemptId) AS INTEGER) AS app_rank
 FROM ({report_sql(GATE_STATS_SQL, 3.0)})"""
 ORACLE_SQL["skew_ratio_shuffle_read"] = f"""
 SELECT app_id, stageId, attemptId, CASE WHEN avgShuffleBytesRead <> 0 THEN maxShuffleBytesRead / avgShuffleBytesRead
@@ -385,3 +406,13 @@ SELECT t.* FROM ({TASK_SQL}) t WHERE EXISTS (
 ORACLE_SQL["attach_large_job_ids"] = f"""
 SELECT s.app_id, s.stageId, s.attemptId, COALESCE(j.job_ids, '') AS job_ids
 FROM ({STATS_SQL}) s LEFT JOIN ({LARGE_STAGE_JOBS_SQL}) j ON s.app_id = j.app_id AND s.stageId = j.stageId"""
+
+# The same rows by another way.
+ORACLE_SQL["src_task_arrays"] = ORACLE_SQL["src_task_list"]
+ORACLE_SQL["dedup_merged"] = ORACLE_SQL["dedup_bucketed"] = ORACLE_SQL["dedup_tasks"]
+ORACLE_SQL["latest_lineitem_merged"] = ORACLE_SQL["latest_lineitem"]
+ORACLE_SQL["stats_from_payloads_trusted"] = ORACLE_SQL["stage_stats"]
+ORACLE_SQL["report_large_jobs"] = f"""
+SELECT app_id, stageId, stageName, attemptId, stageStatus, job_ids, CAST(0 AS BIGINT) AS stageDuration,
+       numTasks AS taskCount, skewRatio FROM ({report_sql(
+    f"SELECT s.*, j.job_ids FROM ({STATS_SQL}) s JOIN ({LARGE_STAGE_JOBS_SQL}) j USING (app_id, stageId)", 3.0)})"""

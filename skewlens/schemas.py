@@ -90,6 +90,26 @@ TASK_REQUIRED = [
     "taskMetrics.shuffleWriteMetrics.recordsWritten",
 ]
 
+def narrowed(struct: T.StructType, paths: list[str]) -> T.StructType:
+    """The fields of ``struct`` that ``paths`` name (``a.b``: field b of a, or of the values of a map a)."""
+    out = []
+    for f in struct.fields:
+        below = [p[len(f.name) + 1:] for p in paths if p.startswith(f"{f.name}.")]
+        if f.name in paths:
+            out.append(f)
+        elif below and isinstance(f.dataType, T.MapType):
+            out.append(T.StructField(f.name, T.MapType(f.dataType.keyType, narrowed(f.dataType.valueType, below)), True))
+        elif below:
+            out.append(T.StructField(f.name, narrowed(f.dataType, below), True))
+    return T.StructType(out)
+
+
+# What the statistics use of a stage attempt.
+STATS_PATHS = ["stageId", "attemptId", "name", "status", "numTasks"] + [f"tasks.{p}" for p in (
+    "taskId", "attempt", "status", "duration", "taskMetrics.inputMetrics.bytesRead", "taskMetrics.outputMetrics.bytesWritten",
+    "taskMetrics.shuffleReadMetrics.remoteBytesRead", "taskMetrics.shuffleReadMetrics.localBytesRead",
+    "taskMetrics.shuffleWriteMetrics.bytesWritten")]
+
 # Keys identifying one stage attempt; every table carries ``app_id`` first.
 STAGE_KEYS = ["app_id", "stageId", "attemptId", "stageName", "stageStatus", "numTasks"]
 

@@ -7,7 +7,8 @@ empty string, never NULL).
 
 ``multi_line=False`` (default) reads JSON Lines, which Spark splits across tasks;
 ``multi_line=True`` reads saved REST responses (one JSON array per file; each file is
-parsed whole by one Spark task, so keep one file per stage rather than per application).
+parsed whole by one Spark task); ``multi_line="split"`` reads them with several tasks per file
+(``sources.arrays``: the files are read twice, for arrays of more than a block or two).
 """
 
 from __future__ import annotations
@@ -17,17 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skewlens.schemas import (CORRUPT, FLAT_TASK_COLUMNS, JOB, JOB_REQUIRED, STAGE_ATTEMPT, STAGE_REQUIRED,
-                              TASK_RECORD, TASK_REQUIRED)
+                              TASK_RECORD, TASK_REQUIRED, narrowed)
+from skewlens.sources.arrays import read_arrays
 
 
-def _read(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool,
+def _read(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool | str,
           app_id: str | None) -> DataFrame:
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
-    df = (spark.read.schema(with_corrupt)
-          .option("multiLine", multi_line)
-          .option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT)
-          .json(path))
+    if multi_line == "split":
+        df = read_arrays(spark, path, with_corrupt, CORRUPT)
+    else:
+        df = (spark.read.schema(with_corrupt)
+              .option("multiLine", multi_line)
+              .option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT)
+              .json(path))
     # Never NULL: app_id is a join and grouping key downstream (a NULL key would match nothing).
     given = F.lit("" if app_id is None else app_id)
     app = F.coalesce(F.col("app_id").cast("string"), given) if "app_id" in df.columns else given
@@ -73,17 +78,23 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).filter(~F.col("valid"))
 
 
-def read_jobs(spark: SparkSession, path, multi_line: bool = False, app_id: str | None = None) -> DataFrame:
+def read_jobs(spark: SparkSession, path, multi_line: bool | str = False, app_id: str | None = None) -> DataFrame:
     """Job payloads: app_id, jobId, name, submissionTime, completionTime, stageIds."""
     return _read(spark, path, JOB, multi_line, app_id)
 
 
-def read_stages(spark: SparkSession, path, multi_line: bool = False, app_id: str | None = None) -> DataFrame:
-    """Stage-attempt payloads with their ``tasks`` map (task id -> task)."""
-    return _read(spark, path, STAGE_ATTEMPT, multi_line, app_id)
+def read_stages(spark: SparkSession, path, multi_line: bool | str = False, app_id: str | None = None,
+                paths: list[str] | None = None) -> DataFrame:
+    """Stage-attempt payloads with their ``tasks`` map (task id -> task).
+
+    ``paths`` narrows the read schema to these fields (``schemas.STATS_PATHS``: those of the statistics).  JSON is not
+    pruned below the top level, so this is what keeps the parser from building the others; the result cannot be checked
+    for required fields, so it is for documents that were (``mode="trusted"``).
+    """
+    return _read(spark, path, narrowed(STAGE_ATTEMPT, paths) if paths else STAGE_ATTEMPT, multi_line, app_id)
 
 
-def read_task_list(spark: SparkSession, path, multi_line: bool = False, app_id: str | None = None,
+def read_task_list(spark: SparkSession, path, multi_line: bool | str = False, app_id: str | None = None,
                    stage_id: int | None = None, attempt_id: int | None = None) -> DataFrame:
     """Stand-alone task lists: one task object per record.
 

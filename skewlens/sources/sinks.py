@@ -39,6 +39,22 @@ def write_task_table(tasks: DataFrame, path: str, mode: str = "overwrite") -> No
           .write.mode(mode).partitionBy("app_id").parquet(path))
 
 
+#: What a bucketed task table is dealt by: with the task in it, a hot stage is spread over all buckets.
+BUCKET_KEYS = ["stageId", "taskId"]
+
+
+def write_bucketed_tasks(tasks: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Flat task rows as a catalog table by app, bucketed by stage and task.
+
+    One exchange deals the rows out when the table is written, into one file per bucket and app.  Any de-duplication
+    of what ``spark.table(table)`` reads then finds each task's rows in one place: its window and the partial
+    statistics need no exchange of task rows, however often the table is analysed.  ``table`` must be a new name.
+    """
+    (tasks.repartition(buckets, *BUCKET_KEYS)
+          .write.partitionBy("app_id").bucketBy(buckets, *BUCKET_KEYS).sortBy(*BUCKET_KEYS)
+          .option("path", path).format("parquet").saveAsTable(table))
+
+
 def convert_stages(stages: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One pass over stage payloads: check required fields, explode, write task rows.
 

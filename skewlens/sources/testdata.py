@@ -18,16 +18,22 @@ The ``gate`` view uses attemptId = (day(ts) - 1) div 3, duration = round(value *
 bytesWritten = k % 10.  Jobs: one per (app, day) with jobId = day and the sorted distinct
 users with a 'signup' event that day as stage ids.  The ``large`` jobs view lists only the
 users with a signup of value >= 300 that day, so most stages have no job in it.
+The ``bare`` stage payloads also have an attempt 2 without tasks ('PENDING') of each user with a 'signup' event.
+The ``broken`` lines are those of the damaged view (executorId missing for value >= 300) with these faults:
+  stageId % 5 = 0: every duration is a string;  stageId % 7 = 0: no numTasks;  stageId % 11 = 0: status is a number
+  stageId % 13 = 0: the line ends too early;  jobId % 5 = 0: no completionTime;  jobId % 7 = 0: jobId is a string
+  jobId % 11 = 0: stageIds is a string
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from skewlens.operators.tasks import derive_shuffle_read
 from skewlens.schemas import STAGE_KEYS
-from skewlens.session import scratch_path
+from skewlens.session import path_exists, scratch_path
 
 LAUNCH_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'"
 
@@ -214,31 +220,80 @@ def stage_documents(rows: DataFrame, tasks_per_doc: int = 1000) -> DataFrame:
                     "numFailedTasks", "firstTaskLaunchedTime", "completionTime", "tasks"))
 
 
+def bare_attempts(events: DataFrame, tasks: DataType) -> DataFrame:
+    """Stage-attempt documents without tasks (a map of type ``tasks``): attempt 2 of each user with a signup."""
+    stage = _stage_columns("task") | {"attemptId": F.lit(2)}
+    none = {"numCompleteTasks": F.lit(0), "numFailedTasks": F.lit(0), "firstTaskLaunchedTime": F.lit(None).cast("string"),
+            "completionTime": F.lit(None).cast("string"), "tasks": F.create_map().cast(tasks)}
+    users = events.filter(F.col("event_type") == "signup").select("user_id").distinct()
+    return users.select(stage["app_id"].alias("app_id"), stage["stageId"].alias("stageId"), stage["attemptId"].alias("attemptId"),
+                        stage["stageName"].alias("name"), F.lit("PENDING").alias("status"), stage["numTasks"].alias("numTasks"),
+                        *[c.alias(n) for n, c in none.items()])
+
+
+def broken_lines(documents: DataFrame, kind: str) -> DataFrame:
+    """(app_id, value): the documents as JSON lines, some of them with the faults of the module's docstring."""
+    line = F.to_json(F.struct(*[c for c in documents.columns if c != "app_id"]))
+    own = F.col("stageId" if kind == "stages" else "jobId")
+    changes = [(5, '"duration":(\\d+)', '"duration":"$1"'), (7, '"numTasks":\\d+,', ""),
+               (11, '"status":"COMPLETE"', '"status":5')] if kind == "stages" else [
+        (5, ',"completionTime":"[^"]*"', ""), (7, '"jobId":(\\d+)', '"jobId":"$1"'), (11, '"stageIds":\\[[^\\]]*\\]', '"stageIds":"all"')]
+    for every, found, put in changes:
+        line = F.when(own % every == 0, F.regexp_replace(line, found, put)).otherwise(line)
+    if kind == "stages":
+        line = F.when(own % 13 == 0, F.left(line, F.length(line) - 1)).otherwise(line)
+    return documents.select("app_id", line.alias("value"))
+
+
 def task_records(rows: DataFrame) -> DataFrame:
     """Payload rows -> stand-alone task records (task fields top level, stage ids alongside)."""
     return rows.select("app_id", "stageId", "attemptId", "task.*")
 
 
+def array_lines(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value): the records as one JSON array per key, a line per record, in the order to be written.
+
+    An array is one file, so the lines of a key are one task's; no value holds more than a record.
+    """
+    line = F.to_json(F.struct(*[c for c in records.columns if c not in keys]))
+    n, up = "_n", Window.partitionBy(*keys).orderBy("_line")
+    rows = records.select(*keys, line.alias("_line")).withColumn(n, F.row_number().over(up))
+    first, last = F.col(n) == 1, F.lead("_line").over(up).isNull()
+    value = F.concat(F.when(first, "[").otherwise(","), F.col("_line"), F.when(last, "]").otherwise(""))
+    return rows.select(*keys, n, value.alias("value")).sortWithinPartitions(*keys, n).drop(n)
+
+
 _WRITTEN: dict[tuple, str] = {}
 
 
 def write_payload(spark: SparkSession, sf_dir: str, kind: str, view: str = "task", damaged: bool = False,
-                  tasks_per_doc: int = 1000) -> str:
+                  tasks_per_doc: int = 1000, variant: str = "") -> str:
     """Derive one kind of payload (``jobs``, ``stages`` or ``tasks``) from ``events`` and write it as JSON Lines
     below the shared scratch folder, partitioned by app.  Written once per session and input.
+
+    ``variant``: ``large`` (jobs), ``bare`` (stages) or ``broken`` (jobs, stages; damaged), see the module's docstring;
+    ``arrays`` (tasks): one bare JSON array per stage attempt, in ``app_id=/stageId=/attemptId=`` folders.
     """
     if kind == "jobs":                                       # the same whatever the view of the tasks
         view, damaged = "task", False
-    key = (spark.sparkContext.applicationId, sf_dir, kind, view, damaged, tasks_per_doc)
-    if key not in _WRITTEN:
+    key = (spark.sparkContext.applicationId, sf_dir, kind, view, damaged, tasks_per_doc, variant)
+    if key not in _WRITTEN or not path_exists(spark, _WRITTEN[key]):
         events = read_table(spark, sf_dir, "events")
         if kind == "jobs":
-            payload = events_jobs(events)
+            payload = events_jobs(events, large=variant == "large")
         else:
-            rows = events_payload_rows(events, view, damaged)
+            rows = events_payload_rows(events, view, damaged or variant == "broken")
             payload = stage_documents(rows, tasks_per_doc) if kind == "stages" else task_records(rows)
-        path = scratch_path(spark, f"payloads-{kind}-{view}{'-damaged' if damaged else ''}")
-        payload.write.partitionBy("app_id").json(path)
+        if variant == "bare":
+            payload = payload.unionByName(bare_attempts(events, payload.schema["tasks"].dataType))
+        path = scratch_path(spark, f"payloads-{kind}-{view}{'-damaged' if damaged else ''}{variant and '-' + variant}")
+        if variant == "arrays":
+            keys = ["app_id", "stageId", "attemptId"]
+            array_lines(payload, keys).write.partitionBy(*keys).text(path)
+        elif variant == "broken":
+            broken_lines(payload, kind).write.partitionBy("app_id").text(path)
+        else:
+            payload.write.partitionBy("app_id").json(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
