@@ -23,6 +23,8 @@ the phrase's UTF-8 bytes; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,8 +37,8 @@ from skewlens.llm.shingles import mixed
 LONGEST, THRESHOLD, SHARE, TOP = 5, 100, 100, 2000
 #: Counters of a summary: this many times mass / threshold.
 SPARE = 4
-#: Phrase occurrences of a hash partition (about), and bytes of one round's bitmap.
-MASS, MAP_BYTES = 8_000_000, 16 << 20
+#: Phrase occurrences of a hash partition (about), bytes of one round's bitmap, and its slots per hash.
+MASS, MAP_BYTES, PROBES = 8_000_000, 16 << 20, 3
 #: Characters that are hashed together, and phrases that a task of pass 2 counts before it hands them on.
 CHUNK, HELD = 2_000_000, 200_000
 UNDETERMINED = "und"
@@ -190,31 +192,37 @@ def frequent(rows: DataFrame, threshold: int = THRESHOLD, spare: int = SPARE) ->
     return rows.groupBy("part").applyInArrow(run, "part bigint, keys binary")
 
 
-def exact_counts(docs: DataFrame, bitmap: bytes, parts: int, low: int, high: int, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, f) of every phrase whose hash partition is from low to high - 1 and whose slot the bitmap holds.
+def exact_counts(docs: DataFrame, bitmap: bytes, parts: int, low: int, high: int, longest: int = LONGEST,
+                 threshold: int = THRESHOLD) -> DataFrame:
+    """(lang, phrase, f) of every phrase whose hash partition is from low to high - 1 and that reaches the threshold.
 
-    The phrase '' carries the number of words of a language, in the round from partition 0.  Equal phrases of a task are put
-    together by 128 bits of hash, those of different tasks as phrases.
+    The phrase '' carries the number of words of a language, in the round from partition 0.  A task puts equal phrases together by
+    128 bits of hash and hands on one list of phrases and counts per hash partition; a partition's lists hold at most its
+    occurrences, are merged list by list, and are compared as phrases.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def rows(found: dict) -> pa.RecordBatch:
+        keys = sorted(found)                            # (part, language, line feed, phrase)
+        part = np.array([k[0] for k in keys], np.int64)
+        border = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        lists = lambda kind, values: pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(values, kind))
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()).cast(pa.string()),
-             pa.array(list(found.values()), pa.int64())], ["lang", "phrase", "f"])
+            [pa.array(part[border[:-1]]), lists(pa.binary(), [k[1] for k in keys]), lists(pa.int64(), [found[k] for k in keys])],
+            ["part", "phrases", "counts"])
 
     def run(batches):
         held = np.frombuffer(shared.value, np.uint8)
         slots, found = 8 * len(held), {}
         for texts, langs, seeds in _chunks(batches):
-            words = Words(texts, seeds)
+            words, names = Words(texts, seeds), [x.encode() + b"\n" for x in langs]
             if not low:
-                for lang, n in zip(langs, np.bincount(words.text, minlength=len(texts)).tolist()):
-                    found[lang, b""] = found.get((lang, b""), 0) + n
+                for lang, n in zip(names, np.bincount(words.text, minlength=len(texts)).tolist()):
+                    found[0, lang] = found.get((0, lang), 0) + n
             for (k, at, h), (_, _, other) in zip(words.phrases(longest), words.phrases(longest, 1)):
                 part = _part(h, parts)
                 hit = np.flatnonzero((part >= low) & (part < high))
-                for probe in range(2):
+                for probe in range(PROBES):
                     slot = _slot(h[hit], probe, slots)
                     hit = hit[held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0]
                 if not len(hit):
@@ -222,19 +230,30 @@ def exact_counts(docs: DataFrame, bitmap: bytes, parts: int, low: int, high: int
                 order = hit[np.lexsort((other[hit], h[hit]))]
                 one, two = h[order], other[order]
                 first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-                n = np.diff(np.append(first, len(order)))
-                for i, count in zip(at[order[first]].tolist(), n.tolist()):
-                    name = b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start[i:i + k].tolist(),
-                                                                             words.end[i:i + k].tolist()))
-                    key = langs[words.text[i]], name
+                n, order = np.diff(np.append(first, len(order))), order[first]
+                for i, p, count in zip(at[order].tolist(), part[order].tolist(), n.tolist()):
+                    phrase = b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start[i:i + k].tolist(),
+                                                                               words.end[i:i + k].tolist()))
+                    key = p, names[words.text[i]] + phrase
                     found[key] = found.get(key, 0) + count
             if len(found) >= HELD:
                 yield rows(found)
                 found = {}
-        yield rows(found)
+        if found:
+            yield rows(found)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        for batch in batches:
+            keys, counts = batch.column("phrases").flatten().to_pylist(), batch.column("counts").flatten().to_pylist()
+            for key, n in zip(keys, counts):
+                total[key] = total.get(key, 0) + n
+        out = [(*key.rpartition(b"\n")[::2], n) for key, n in total.items() if n >= threshold or key.endswith(b"\n")]
+        text = lambda i: pa.array([x[i] for x in out], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([text(0), text(1), pa.array([x[2] for x in out], pa.int64())], ["lang", "phrase", "f"])
 
-    counted = docs.mapInArrow(run, "lang string, phrase string, f bigint")
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counted = docs.mapInArrow(run, "part bigint, phrases array<binary>, counts array<bigint>")
+    return counted.groupBy("part").applyInArrow(merge, "lang string, phrase string, f bigint")
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST,
@@ -249,23 +268,22 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     kept = cut(frequent(summaries(used, parts, longest), threshold, spare), "frequent")
     size = F.octet_length("keys") / 4
     held = kept.agg(F.sum(size)).first()[0] or 0
-    slots = 1 << max(16, int(32 * held).bit_length())
+    slots = 1 << max(16, int(64 * held).bit_length() - 1)
     rounds = max(1, slots // (8 * map_bytes))
     found = None
     for r in range(rounds):
         low, high = parts * r // rounds, parts * (r + 1) // rounds
         if low < high:
             bitmap = _bitmap(kept.where(F.col("part").between(low, high - 1)), min(slots, 8 * map_bytes), parts)
-            part = cut(exact_counts(used, bitmap, parts, low, high, longest).where(
-                (F.col("f") >= threshold) | (F.col("phrase") == "")), "counts")
+            part = cut(exact_counts(used, bitmap, parts, low, high, longest, threshold), "counts")
             found = part if found is None else found.unionByName(part)
     return found
 
 
 def _slot(h: np.ndarray, probe: int, slots: int) -> np.ndarray:
-    """Two slots of a hash, from its lower half."""
+    """The slots of a hash, from its lower half."""
     low = h & np.uint64(0xFFFFFFFF)
-    return (low * np.uint64(0x9E3779B1) >> np.uint64(5) if probe else low) & np.uint64(slots - 1)
+    return (low * np.uint64((1, 0x9E3779B1, 0x85EBCA77)[probe]) >> np.uint64(5 * probe)) & np.uint64(slots - 1)
 
 
 def _bitmap(kept: DataFrame, slots: int, parts: int) -> bytes:
@@ -276,7 +294,7 @@ def _bitmap(kept: DataFrame, slots: int, parts: int) -> bytes:
         for batch in batches:
             for raw in batch.column(1):
                 keys = _unpack(raw.as_py()).astype(np.uint64)
-                slot = np.unique(np.concatenate([_slot(keys, probe, slots) for probe in range(2)])).astype(np.int64)
+                slot = np.unique(np.concatenate([_slot(keys, probe, slots) for probe in range(PROBES)])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(slot // bits, pa.int64()), pa.array(slot % bits, pa.int64())], ["block", "bit"])
 
     blocks = kept.mapInArrow(run, "block bigint, bit bigint").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
