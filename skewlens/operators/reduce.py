@@ -54,7 +54,7 @@ def may_match(df: DataFrame, keys: DataFrame, cols: Sequence[str], limit: int =
     n, total = known.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     if total <= limit:
         return df.join(F.broadcast(known), list(cols), "left_semi").select(*df.columns)
-    bits = min(8 * limit // BLOCK_BITS * BLOCK_BITS, 1 << (16 * n).bit_length())
+    bits = min(8 * limit // BLOCK_BITS * BLOCK_BITS, max(BLOCK_BITS, 1 << (16 * n).bit_length()))
     if bits < BLOCK_BITS or (1 - math.exp(-PROBES * n / bits)) ** PROBES > 0.5:
         return df
     return might_match(df, written(bloom_blocks(known, cols, bits), "filter"), cols, bits)
