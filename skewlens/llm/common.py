@@ -2,39 +2,51 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-import os
-import tempfile
-import zipfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.session import scratch_path
+from skewlens.session import ship_package, written
 
 # The white space of every text contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+__all__ = ["SPACE", "WORD", "cut", "fresh", "open_fs", "pow2_at_least", "release", "remembered", "shards_of", "ship_package",
+           "table", "text_of"]
 
-_shipped: set[str] = set()
+_slot: list = [None, None]
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package's source, once per application (``addPyFile``)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="skewlens-"), "skewlens_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
+def remembered(shared, make):
+    """``make(shared.value)``, kept by this Python worker for the tasks that share the broadcast value, and for no others."""
+    if _slot[0] is not shared.value:
+        release()
+        _slot[:] = shared.value, make(shared.value)
+    return _slot[1]
+
+
+def release() -> None:
+    """Forget what an earlier task left in this worker, and give freed memory back to the system.
+
+    Workers outlive their stage, and an executor's memory holds all of them.
+    """
+    _slot[:] = None, None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def fresh(batches: Iterable) -> Iterator:
+    """The batches of a task that keeps nothing for later ones."""
+    release()
+    yield from batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +55,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def text_of(col: str | Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skewlens.llm.common import ship_package
+from skewlens.llm.common import fresh, ship_package
 
 UNDETERMINED = "und"
 #: Letters looked at together; texts are cut into calls of about this size, and longer ones stand alone.
@@ -82,7 +82,7 @@ def count_trigrams(rows: DataFrame, lang_col: str, text_col: str, buckets: int)
     """(lang, bucket, n) over all rows with a language and a text."""
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in fresh(batches):
             langs = batch.column(0).to_pylist()
             for first, texts in _chunks(t.as_py() for t in batch.column(1)):
                 doc, bucket = trigrams(texts, buckets)
@@ -165,7 +165,7 @@ def identify(model: LanguageModel, spark, penalty: float = 3.0, tolerance: float
     @F.pandas_udf("lang string, score double")
     def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m: LanguageModel = shared.value
-        for texts in series:
+        for texts in fresh(series):
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             for first, some in _chunks(iter(texts)) if m.languages else ():
                 doc, bucket = trigrams(some, len(m.p))

@@ -11,8 +11,9 @@
 4. Candidates are verified by the exact J_P >= 0.8 of their whole texts; connected components of verified links
    are classes.
 5. Where a bucket still holds several classes, the members outside its most frequent class are compared with
-   those of other classes (if enough registers agree, first of the same and then of a longer signature), so that every pair that shares a bucket is either
-   in one class or was verified to differ.
+   those of other classes, if enough registers agree, first of the same and then of a longer signature.  So every pair that
+   shares a bucket is either in one class, or was verified to differ, or both estimates of its J_P lie 4.5 standard errors
+   and more below 0.8 (a pair of exactly 0.8 does with probability 0.000006).
 
 With 20 bands of 6 registers a pair of similarity s shares a bucket with probability 1 - (1 - s^6)^20:
 0.9977 at 0.8, 0.99992 at 0.85.
@@ -30,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skewlens.llm.common import cut, ship_package, text_of
+from skewlens.llm.common import cut, fresh, ship_package, text_of
 from skewlens.llm.shingles import WordHashes, mixed, probability_jaccard, shingle_sets
+from skewlens.operators.reduce import may_match
 
 BANDS, ROWS = 20, 6
 #: Registers beyond those of the bands serve the estimate only.
 REGISTERS = 238
 THRESHOLD = 0.8
 #: Shares of registers that must agree before an exact comparison across classes.  Both are estimates of J_P: the first, from
-#: the bands' signature, is 4.6 standard errors below 0.8; the second, from a longer signature of the texts in question, 2.7
-#: (a pair of exactly 0.8 misses it with probability 0.0035, one of 0.82 with 0.00001).
-LEAST_AGREE, FINE_REGISTERS, FINE_AGREE = 0.68, 952, 0.765
+#: the bands' signature, is 4.6 standard errors below 0.8; the second, from a longer signature of the texts in question, 4.5.
+LEAST_AGREE, FINE_REGISTERS, FINE_AGREE = 0.68, 952, 0.742
 #: Characters of neighbouring texts that are sketched together.
 CHUNK = 1_500_000
 
@@ -94,6 +95,17 @@ def _packed(registers: np.ndarray) -> np.ndarray:
     return full.reshape(n, -1, 7) @ (np.int64(1) << (8 * np.arange(7, dtype=np.int64)))
 
 
+def _stretches(texts: pa.Array, most: int):
+    """(place of the first, texts) of neighbouring texts, of about ``most`` characters each."""
+    first, held, size = 0, [], 0
+    for i in range(len(texts)):
+        held.append(texts[i].as_py())
+        size += len(held[-1])
+        if size >= most or i == len(texts) - 1:
+            yield first, held
+            first, held, size = i + 1, [], 0
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS,
            registers: int = REGISTERS) -> DataFrame:
     """(__nd_id, __nd_key, copy, sig, buckets), one row per document.
@@ -121,15 +133,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in fresh(batches):
             ids, keys, texts = batch.columns
-            first, held, size = 0, [], 0
-            for i in range(len(texts)):
-                held.append(texts[i].as_py())
-                size += len(held[-1])
-                if size >= CHUNK or i == len(texts) - 1:
-                    yield done(ids.slice(first, len(held)), keys.slice(first, len(held)), held, known)
-                    first, held, size = i + 1, [], 0
+            for first, held in _stretches(texts, CHUNK):
+                yield done(ids.slice(first, len(held)), keys.slice(first, len(held)), held, known)
 
     ship_package(docs.sparkSession)
     used = docs.select(F.col(id_col).cast("long").alias("__nd_id"), _key(text_col), text_of(text_col).alias("text"))
@@ -145,7 +152,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     so AQE can split it."""
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in fresh(batches):
             keep, last, right = [], None, None
             for i in range(batch.num_rows):
                 if (b := batch.column(1)[i].as_py()) != last:
@@ -207,10 +214,12 @@ def _fine(texts: DataFrame) -> DataFrame:
     """(copy, fine): a longer signature of each text."""
     def run(batches):
         known = WordHashes()
-        for batch in batches:
-            starts, h, c = shingle_sets(batch.column(1).to_pylist(), known)
-            packed = _packed((signatures(starts, h, c, FINE_REGISTERS) >> np.uint64(56)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(packed), pa.list_(pa.int64()))], ["copy", "fine"])
+        for batch in fresh(batches):
+            for first, held in _stretches(batch.column(1), CHUNK * REGISTERS // FINE_REGISTERS):
+                starts, h, c = shingle_sets(held, known)
+                packed = _packed((signatures(starts, h, c, FINE_REGISTERS) >> np.uint64(56)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)),
+                                                  pa.array(list(packed), pa.list_(pa.int64()))], ["copy", "fine"])
 
     return texts.select("copy", "text").mapInArrow(run, "copy binary, fine array<bigint>")
 
@@ -253,9 +262,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     placed = cut(member.join(shared, "bucket"), "placed")
     star = placed.select("copy", F.explode(F.array("first", "last")).alias("lead")).where("copy != lead")
     star = cut(star.select(F.greatest("copy", "lead").alias("a"), F.least("copy", "lead").alias("b")).distinct(), "star")
-    # One text per representative that shares a bucket; no other text moves.
-    owner = reps.join(placed.select("copy").distinct(), "copy", "left_semi").select("copy", "row.*")
+    # One text per representative that shares a bucket.  The others go before the texts are shuffled (a few pass, if a
+    # Bloom filter has to take the place of the list).
+    owner = cut(reps.join(placed.select("copy").distinct(), "copy", "left_semi").select("copy", "row.*"), "owner")
     again = docs.select(F.col(id_col).cast("long").alias("__nd_i"), _key(text_col).alias("__nd_k"), text_of(text_col).alias("text"))
+    again = may_match(again, owner.select(F.col("__nd_key").alias("__nd_k")), ["__nd_k"])
     texts = owner.join(again, owner["__nd_id"].eqNullSafe(again["__nd_i"]) & (owner["__nd_key"] == again["__nd_k"]))
     texts = cut(texts.groupBy("copy").agg(F.max("text").alias("text")), "texts")
     own = placed.groupBy("copy").agg(F.min("first").alias("lead")).where("copy != lead")

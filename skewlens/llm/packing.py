@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skewlens.llm.common import cut, shards_of, ship_package, text_of
+from skewlens.llm.common import cut, remembered, shards_of, ship_package, text_of
 
 CAPACITY = 2048
 #: Token that ends each document.
@@ -90,16 +90,6 @@ class WordIds(dict):
                 start = end
 
 
-_known: list = [None, None]
-
-
-def _words_of(shared) -> WordIds:
-    """The memo of this Python worker, kept between tasks that share the model."""
-    if _known[0] is not shared.value:
-        _known[:] = shared.value, WordIds(shared.value)
-    return _known[1]
-
-
 def tokenised(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
               separator: int = SEPARATOR) -> DataFrame:
     """(id, piece, start, length, ids), one row per piece; ids are little-endian 32-bit integers.
@@ -113,7 +103,7 @@ def tokenised(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = _words_of(shared)
+        known = remembered(shared, WordIds)
         for batch in batches:
             first, held, size = 0, [], 0
             for i in range(batch.num_rows):

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skewlens.llm.common import ship_package
+from skewlens.llm.common import remembered, ship_package
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
@@ -190,16 +190,6 @@ def decoded(pieces: list[bytes], ids: list[int]) -> str:
     return b"".join(map(pieces.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
-#: The last broadcast value seen by this Python worker and its encoder, so that tasks share what it remembers.
-_held: list = [None, None]
-
-
-def _encoder_of(shared) -> Encoder:
-    if _held[0] is not shared.value:
-        _held[:] = shared.value, Encoder(*shared.value)
-    return _held[1]
-
-
 def _with_column(df: DataFrame, name: str, kind: str, make) -> DataFrame:
     """``df`` and a column that ``make`` yields for each Arrow batch."""
     df = df.drop(name)
@@ -218,7 +208,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, trie_of(vocabulary)))
 
     def make(batches):
-        encoder = _encoder_of(shared)
+        encoder = remembered(shared, lambda value: Encoder(*value))
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col)).cast(pa.binary())
             ids = [encoder.encode(t.as_py() or b"") for t in texts]
