@@ -10,7 +10,8 @@ Candidates are verified by exact containment: at least 0.8 of the template's shi
 
 Defined results: null counts as empty; a text or template of one to four words has one shingle, all its words; a text without
 such words matches nothing; rows that repeat id and text repeat the result; of windows with equal containment the first counts;
-templates without words are ignored; an empty table gives an empty result.  Templates are a small fixed list by contract.
+templates without words are ignored; near-identical notices (a text and its next version) may both be found, each with its
+containment; an empty table gives an empty result.  The templates are a parameter; the list of the query is in ``license_texts``.
 """
 
 from __future__ import annotations
@@ -19,24 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewlens.llm.common import cut, text_of
+from skewlens.llm.license_texts import templates
 
 BANDS = 48
-#: Notices in common use (fixed values).
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "mit-line": "Released under the MIT License.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-                 "documentation files, to deal in the Software without restriction, including without limitation the rights to "
-                 "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-                         "http://www.apache.org/licenses/LICENSE-2.0",
-    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                          "that the following conditions are met",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-                  "Public License as published by the Free Software Foundation",
-}
+#: About 400 notices and texts in common use.
+TEMPLATES = templates()
+#: Anchors that are looked up as a literal of the plan; more of them are joined.
+MOST_LISTED = 50_000
 
 
 def shingles(text: Column) -> Column:
@@ -68,16 +58,24 @@ def _anchors(templates: DataFrame) -> DataFrame:
     return each.where(hit).select("p", "shingle").distinct()
 
 
+def _anchored(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows whose shingles hold an anchor.  Their number does not grow with the documents; it is measured nevertheless."""
+    if anchors.count() <= MOST_LISTED:
+        listed = F.array(*[F.lit(int(r[0])) for r in anchors.collect()]).cast("array<bigint>")
+        return rows.where(F.arrays_overlap("h", listed))
+    hits = rows.select("__li_id", "__li_key", F.explode("h").alias("shingle")).join(anchors, "shingle", "left_semi").select(
+        F.col("__li_id").alias("i"), F.col("__li_key").alias("k"))
+    return rows.join(hits, F.col("__li_id").eqNullSafe(F.col("i")) & (F.col("__li_key") == F.col("k")), "left_semi")
+
+
 def find(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
          least: float = 0.8, bands: int = BANDS) -> DataFrame:
     """(__li_id, __li_key, template, containment, shingle): each template found in a document, in its best window."""
     spark = docs.sparkSession
     known = cut(_template_table(spark, TEMPLATES if templates is None else templates, bands), "templates")
     anchors = cut(_anchors(known), "anchors")
-    # The templates' anchors are a fixed list (templates x bands values at most), as a literal of the plan.
-    listed = F.array(*[F.lit(int(r[0])) for r in anchors.select("shingle").distinct().collect()]).cast("array<bigint>")
     rows = docs.select(F.col(id_col).alias("__li_id"), F.xxhash64(text_of(text_col)).alias("__li_key"), shingles(text_of(text_col)).alias("h"))
-    some = cut(rows.where(F.arrays_overlap("h", listed)).dropDuplicates(["__li_id", "__li_key"]), "anchored")
+    some = cut(_anchored(rows, anchors.select("shingle").distinct()).dropDuplicates(["__li_id", "__li_key"]), "anchored")
     at = some.select("__li_id", "__li_key", F.posexplode("h").alias("pos", "shingle")).join(anchors, "shingle")
     first = F.expr("pos div p")
     windows = at.select("__li_id", "__li_key", "p", F.explode(F.array(first - 1, first)).alias("w")).where("w >= 0").distinct()

@@ -9,20 +9,25 @@ from skewlens.llm import (collocations, exact_dedup, language_id, license_scan,
                           periodic_runs, secrets, sentencepiece, topk, warc)
 from skewlens.llm.common import WORD, table, text_of
 
-#: The tokenizer file of the production query; read once on the driver.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-WORD_PIECES = "/opt/tokenizers/word_bpe_49k.json"
+#: Tokenizer files of the production queries; read once on the driver.
+PIECES, WORD_PIECES = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
-def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
+def tokenizer_file(spark: SparkSession, name: str) -> str:
+    """A vocabulary file in the folder that the session's ``spark.skewlens.tokenizers`` names."""
+    return f"{spark.conf.get('spark.skewlens.tokenizers', '/opt/tokenizers')}/{name}"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
     """Per document: pieces, byte pieces among them, hashes of the ids and of the decoded text, exact round trip."""
-    v = sentencepiece.read_vocabulary(model_file)
+    v = sentencepiece.read_vocabulary(model_file or tokenizer_file(spark, PIECES))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     low, high = min(v.bytes_), max(v.bytes_)
+    is_byte = lambda x: x.between(low, high) if high - low < len(v.bytes_) else x.isin(*v.bytes_)
     out = sentencepiece.decode(sentencepiece.encode(docs, v), v)
     return out.select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.size(F.filter("piece_ids", lambda x: x.between(low, high))).cast("long").alias("n_byte_pieces"),
+        F.size(F.filter("piece_ids", is_byte)).cast("long").alias("n_byte_pieces"),
         F.xxhash64("piece_ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
@@ -113,8 +118,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-def op12_packing(spark: SparkSession, sf_dir: str, model_file: str = WORD_PIECES) -> DataFrame:
-    with open(model_file, encoding="utf-8") as f:
+def op12_packing(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    with open(model_file or tokenizer_file(spark, WORD_PIECES), encoding="utf-8") as f:
         model = f.read()
     pieces = packing.tokenised(table(spark, sf_dir, "documents"), model)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -171,7 +176,8 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """,
     "op9_licenses": r"""
-WITH templates(template, body) AS (VALUES """ + ", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items()) + r"""),
+WITH templates(template, body) AS (VALUES """ + ", ".join(
+    "('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items()) + r"""),
 words AS (SELECT template, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM templates),
 known AS (
   SELECT DISTINCT template, array_to_string(w[i:i + 4], ' ') AS s
