@@ -305,3 +305,11 @@ def test_payloads_are_written_again_after_the_scratch_folder_went(spark):
     first = catalog.QUERIES["src_jobs"](spark, SF).count()
     clear_scratch(spark)
     assert catalog.QUERIES["src_jobs"](spark, SF).count() == first > 0
+
+
+def test_stage_fields_meet_aggregated_rows_only(spark, tmp_dir):
+    src, out = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(f"{src}/app_id=a/0.json", [stage_json(4, 0, [task_json(1), task_json(2)])])
+    start_stage_stats_stream(spark, src, out, f"{tmp_dir}/ckpt", available_now=True).awaitTermination(120)
+    tree = plan(read_stream_stats(spark, out)).split("(1) Scan")[0]
+    assert tree.index("Join") < tree.index("Aggregate") and "Window" not in tree
