@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from skewlens.operators.skew import DEFAULT_THRESHOLD
 from skewlens.operators.jobs import stage_to_jobs
+from skewlens.operators.reduce import may_match
 from skewlens.operators.tasks import explode_tasks
-from skewlens.plans.analyze import analyze_tasks
+from skewlens.plans.analyze import STAGE_ID, analyze_tasks
 from skewlens.session import get_session
 from skewlens.sources.payloads import read_jobs, read_stages, read_task_table, required_jobs, required_stages
 from skewlens.sources.sinks import REPORT_SEPARATOR, convert_stages, write_measures, write_report
@@ -43,6 +44,7 @@ def parse_args(argv):
     p.add_argument("--measures-out", help="also write the structured result as parquet")
     p.add_argument("--quarantine-out", help="write rejected payload records here as JSON")
     p.add_argument("--multi-line", action="store_true", help="files are JSON arrays (saved REST responses)")
+    p.add_argument("--split-arrays", action="store_true", help="as --multi-line, but a large array is read by several tasks")
     p.add_argument("--strict", action="store_true", help="fail on any record with a missing field")
     p.add_argument("--tasks-converted", action="store_true", help="--tasks was written by --convert-to")
     p.add_argument("--master", help="Spark master (default: from spark-submit)")
@@ -61,10 +63,11 @@ def _reject(bad: DataFrame, kind: str, out: str | None) -> None:
 def main(argv=None) -> int:
     args = parse_args(sys.argv[1:] if argv is None else argv)
     spark = get_session(args.master)
-    jobs = read_jobs(spark, f"{args.payloads}/jobs", multi_line=args.multi_line)
+    multi_line = "split" if args.split_arrays else args.multi_line
+    jobs = read_jobs(spark, f"{args.payloads}/jobs", multi_line=multi_line)
     # --tasks takes the place of stages/, which need not exist then
     stages = None if args.tasks and not args.convert_to else read_stages(
-        spark, f"{args.payloads}/stages", multi_line=args.multi_line)
+        spark, f"{args.payloads}/stages", multi_line=multi_line)
     if args.app_id:  # a filter on the partition column: only those folders are listed and read
         jobs = jobs.filter(F.col("app_id").isin(args.app_id))
         if stages is not None:
@@ -77,6 +80,7 @@ def main(argv=None) -> int:
     else:
         jobs, bad_jobs = required_jobs(jobs)
         _reject(bad_jobs, "jobs", args.quarantine_out)
+    stage_jobs = stage_to_jobs(jobs)
     if args.convert_to:
         convert_stages(stages, args.convert_to)        # quarantined rows stay in the table (valid=false)
         tasks = read_task_table(spark, args.convert_to, converted=True)
@@ -86,10 +90,12 @@ def main(argv=None) -> int:
         if mode == "quarantine":
             stages, bad_stages = required_stages(stages)
             _reject(bad_stages.drop("tasks"), "stages", args.quarantine_out)
-        tasks = explode_tasks(stages)
+        tasks = explode_tasks(may_match(stages, stage_jobs, STAGE_ID))
     if args.app_id:
         tasks = tasks.filter(F.col("app_id").isin(args.app_id))
-    report = analyze_tasks(tasks, stage_to_jobs(jobs), args.threshold)
+    whole = bool(args.convert_to or args.tasks)             # rows of unlisted stages are still among the tasks
+    # write_report sorts what it writes; the printed report is sorted here.
+    report = analyze_tasks(tasks, stage_jobs, args.threshold, ordered=not args.out, reduce=whole)
     if args.measures_out:
         write_measures(report.drop("block"), args.measures_out)
     if args.out:

@@ -1,7 +1,7 @@
 """Composed analyses: payloads -> statistics -> ranked skew report.
 
-Plans are lazy; the one exception is ``analyze_tasks`` (and ``analyze``), which writes the
-per-stage statistics once to the checkpoint folder before returning the report plan.
+Plans are lazy, but for ``analyze_tasks`` (and ``analyze``): they write the ids of the listed stages, to measure them, and
+the per-stage statistics once to the checkpoint folder before returning the report plan.
 """
 
 from __future__ import annotations

@@ -35,7 +35,8 @@ def test_cli_convert_then_reuse_task_table(spark, tmp_dir, monkeypatch):
     assert main(["--payloads", f"{tmp_dir}/p", "--multi-line", "--tasks", f"{tmp_dir}/t", "--tasks-converted",
                  "--out", f"{tmp_dir}/r2"]) == 0
     assert main(["--payloads", f"{tmp_dir}/p", "--multi-line", "--out", f"{tmp_dir}/r3"]) == 0
-    assert report(f"{tmp_dir}/r1") == report(f"{tmp_dir}/r2") == report(f"{tmp_dir}/r3")
+    assert main(["--payloads", f"{tmp_dir}/p", "--split-arrays", "--out", f"{tmp_dir}/r4"]) == 0
+    assert report(f"{tmp_dir}/r1") == report(f"{tmp_dir}/r2") == report(f"{tmp_dir}/r3") == report(f"{tmp_dir}/r4")
     assert report(f"{tmp_dir}/r1").count("[Stage Id:") == 1
 
 

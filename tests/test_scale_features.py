@@ -8,7 +8,6 @@ from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skewlens.operators.jobs import stage_to_jobs
 from skewlens.operators.rank import global_rank
@@ -17,8 +16,8 @@ from skewlens.operators.skew import skewed_stages, with_significance
 from skewlens.operators.stats import group_skew_stats
 from skewlens.operators.tasks import dedup_tasks, explode_tasks, latest_attempt, latest_by_aggregate, merge_tasks
 from skewlens.plans import catalog
-from skewlens.plans.analyze import STAGE_ID, analyze, stats_from_stages, stats_from_tasks
-from skewlens.schemas import STATS_PATHS, TASK_RECORD
+from skewlens.plans.analyze import STAGE_ID, analyze, stats_from_tasks
+from skewlens.schemas import STATS_PATHS
 from skewlens.session import clear_scratch
 from skewlens.sources.arrays import array_elements
 from skewlens.sources.diagnosis import diagnose_jobs, diagnose_stages
