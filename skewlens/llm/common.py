@@ -43,10 +43,13 @@ def release() -> None:
         trim(0)
 
 
-def fresh(batches: Iterable) -> Iterator:
-    """The batches of a task that keeps nothing for later ones."""
+def fresh(batches: Iterable, *memos: dict) -> Iterator:
+    """The batches of a task that keeps nothing for later ones; its ``memos`` are emptied at its end."""
     release()
     yield from batches
+    for memo in memos:
+        memo.clear()
+    release()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,8 +42,8 @@ THRESHOLD = 0.8
 #: Shares of registers that must agree before an exact comparison across classes.  Both are estimates of J_P: the first, from
 #: the bands' signature, is 4.6 standard errors below 0.8; the second, from a longer signature of the texts in question, 4.5.
 LEAST_AGREE, FINE_REGISTERS, FINE_AGREE = 0.68, 952, 0.742
-#: Characters of neighbouring texts that are sketched together.
-CHUNK = 1_500_000
+#: Characters of neighbouring texts that are sketched together, and words whose hashes a task remembers.
+CHUNK, KNOWN = 1_500_000, 150_000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -132,8 +132,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
                                           ["__nd_id", "__nd_key", "copy", "sig", "buckets"])
 
     def run(batches):
-        known = WordHashes()
-        for batch in fresh(batches):
+        known = WordHashes(KNOWN)
+        for batch in fresh(batches, known):
             ids, keys, texts = batch.columns
             for first, held in _stretches(texts, CHUNK):
                 yield done(ids.slice(first, len(held)), keys.slice(first, len(held)), held, known)
@@ -151,8 +151,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """The pairs (a, b) whose texts reach the threshold.  A leader's partition may be hot; both sides are exchanges,
     so AQE can split it."""
     def run(batches):
-        known = WordHashes()
-        for batch in fresh(batches):
+        known = WordHashes(KNOWN)
+        for batch in fresh(batches, known):
             keep, last, right = [], None, None
             for i in range(batch.num_rows):
                 if (b := batch.column(1)[i].as_py()) != last:
@@ -213,8 +213,8 @@ def _fine_agree(a: str, b: str, m: int):
 def _fine(texts: DataFrame) -> DataFrame:
     """(copy, fine): a longer signature of each text."""
     def run(batches):
-        known = WordHashes()
-        for batch in fresh(batches):
+        known = WordHashes(KNOWN)
+        for batch in fresh(batches, known):
             for first, held in _stretches(batch.column(1), CHUNK * REGISTERS // FINE_REGISTERS):
                 starts, h, c = shingle_sets(held, known)
                 packed = _packed((signatures(starts, h, c, FINE_REGISTERS) >> np.uint64(56)).astype(np.int64))
