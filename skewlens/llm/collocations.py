@@ -40,7 +40,7 @@ SPARE = 4
 #: Phrase occurrences of a hash partition (about), bytes of one round's bitmap, and its slots per hash.
 MASS, MAP_BYTES, PROBES = 8_000_000, 16 << 20, 3
 #: Characters that are hashed together, and phrases that a task of pass 2 counts before it hands them on.
-CHUNK, HELD = 2_000_000, 200_000
+CHUNK, HELD = 1_200_000, 200_000
 UNDETERMINED = "und"
 
 _P = np.uint64(0xD1342543DE82EF95)
@@ -80,9 +80,17 @@ class Words:
             value *= power[np.minimum(within, len(power) - 1)]
             return mixed(np.add.reduceat(value, self.start) + size.astype(np.uint64))
 
-    def phrases(self, longest: int, which: int = 0):
+    def other(self, own: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
+        """A second hash of the phrases of k words at these places, from the words' second hashes."""
+        with np.errstate(over="ignore"):
+            h = self.seed[at]
+            for j in range(k):
+                h = h * _P + own[at + j]
+            return mixed(h)
+
+    def phrases(self, longest: int):
         """(words, place of the first word, hash) for each length; the language's seed is part of the hash."""
-        own = self.hashes(which)
+        own = self.hashes()
         with np.errstate(over="ignore"):
             h = own * _P + self.seed
             at = np.arange(len(own))
@@ -192,6 +200,18 @@ def frequent(rows: DataFrame, threshold: int = THRESHOLD, spare: int = SPARE) ->
     return rows.groupBy("part").applyInArrow(run, "part bigint, keys binary")
 
 
+def _groups(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first, number) of each distinct pair of hashes."""
+    order = np.argsort(one, kind="stable")
+    a, b = one[order], two[order]
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    if (np.minimum.reduceat(b, first) != np.maximum.reduceat(b, first)).any():          # equal in one hash only
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return order[first], np.diff(np.append(first, len(order)))
+
+
 def exact_counts(docs: DataFrame, bitmap: bytes, parts: int, low: int, high: int, longest: int = LONGEST,
                  threshold: int = THRESHOLD) -> DataFrame:
     """(lang, phrase, f) of every phrase whose hash partition is from low to high - 1 and that reaches the threshold.
@@ -219,19 +239,20 @@ def exact_counts(docs: DataFrame, bitmap: bytes, parts: int, low: int, high: int
             if not low:
                 for lang, n in zip(names, np.bincount(words.text, minlength=len(texts)).tolist()):
                     found[0, lang] = found.get((0, lang), 0) + n
-            for (k, at, h), (_, _, other) in zip(words.phrases(longest), words.phrases(longest, 1)):
-                part = _part(h, parts)
-                hit = np.flatnonzero((part >= low) & (part < high))
+            second = words.hashes(1)
+            for k, at, h in words.phrases(longest):
+                hit = np.arange(len(h))
+                if (low, high) != (0, parts):
+                    part = _part(h, parts)
+                    hit = np.flatnonzero((part >= low) & (part < high))
                 for probe in range(PROBES):
                     slot = _slot(h[hit], probe, slots)
                     hit = hit[held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0]
                 if not len(hit):
                     continue
-                order = hit[np.lexsort((other[hit], h[hit]))]
-                one, two = h[order], other[order]
-                first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-                n, order = np.diff(np.append(first, len(order))), order[first]
-                for i, p, count in zip(at[order].tolist(), part[order].tolist(), n.tolist()):
+                order, n = _groups(h[hit], words.other(second, k, at[hit]))
+                order = hit[order]
+                for i, p, count in zip(at[order].tolist(), _part(h[order], parts).tolist(), n.tolist()):
                     phrase = b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start[i:i + k].tolist(),
                                                                                words.end[i:i + k].tolist()))
                     key = p, names[words.text[i]] + phrase

@@ -123,7 +123,7 @@ def test_op11_query(spark):
 
 @pytest.fixture(scope="module")
 def model():
-    with open(WORD_PIECES, encoding="utf-8") as f:
+    with open(f"/opt/tokenizers/{WORD_PIECES}", encoding="utf-8") as f:
         return f.read()
 
 
@@ -266,6 +266,13 @@ def test_every_frequent_phrase_survives(spark):
         assert kept.get(k, 0) <= n <= kept.get(k, 0) + taken
 
 
+def test_phrases_are_told_apart_by_both_hashes():
+    for one, two in (([3, 1, 3, 1, 3], [1, 2, 1, 2, 1]), ([3, 1, 3, 1, 3], [1, 2, 1, 3, 1]), ([7], [7])):
+        first, n = collocations._groups(np.array(one, np.uint64), np.array(two, np.uint64))
+        got = {(one[i], two[i]): count for i, count in zip(first.tolist(), n.tolist())}
+        assert got == collections.Counter(zip(one, two)) and len(got) == len(first)
+
+
 def test_summaries_round_trip():
     keys = np.unique(np.random.default_rng(1).integers(0, 2 ** 32, 1000, dtype=np.uint32))
     assert (collocations._unpack(collocations._pack(keys)) == keys).all()
