@@ -27,6 +27,8 @@ BANDS = 48
 TEMPLATES = templates()
 #: Anchors that are looked up as a literal of the plan; more of them are joined.
 MOST_LISTED = 50_000
+#: Bytes of the templates' bands that may be broadcast, and of one of them.
+BROADCAST_BYTES, BAND_BYTES = 16 << 20, 64
 
 
 def shingles(text: Column) -> Column:
@@ -85,6 +87,9 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     windows = cut(windows, "windows")
     bands_of = windows.select("__li_id", "__li_key", "p", "w", F.posexplode(_minima(F.col("window"), bands)).alias("band", "least"))
     template_bands = known.select("template", "p", F.posexplode("minima").alias("band", "least"))
+    # A row per template and band, however many documents there are.  Many windows share a minimum, so theirs do not shuffle by it.
+    if known.count() * bands * BAND_BYTES <= BROADCAST_BYTES:
+        template_bands = F.broadcast(template_bands)
     met = bands_of.join(template_bands, ["p", "band", "least"]).select("__li_id", "__li_key", "p", "w", "template").distinct()
     whole = windows.toDF("i", "k", "q", "v", "window")
     held = met.join(whole, F.col("__li_id").eqNullSafe(F.col("i")) & (F.col("__li_key") == F.col("k"))
