@@ -202,8 +202,12 @@ def _with_column(df: DataFrame, name: str, kind: str, make) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
-    """``docs`` with the array of piece ids of each whole text."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "piece_ids", lossless: bool = False) -> DataFrame:
+    """``docs`` with the array of piece ids of each whole text.
+
+    ``lossless`` keeps only the rows whose ids decode to their own text; they are decoded in the same task, so an executor
+    holds one worker a task and the ids cross to it once.
+    """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, trie_of(vocabulary)))
 
@@ -212,6 +216,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out:
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col)).cast(pa.binary())
             ids = [encoder.encode(t.as_py() or b"") for t in texts]
+            if lossless:
+                keep = [decoded(encoder.v.pieces, np.frombuffer(x, "<u4").tolist()) == (t.as_py() or b"").decode("utf-8", "replace")
+                        for x, t in zip(ids, texts)]
+                batch, ids = batch.filter(pa.array(keep, pa.bool_())), [x for x, k in zip(ids, keep) if k]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32), pa.int32())
             yield batch, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)

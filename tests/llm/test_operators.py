@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy; nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -143,6 +144,13 @@ def test_pieces_round_trip(spark, vocabulary, mixed_rows):
     out = sentencepiece.decode(sentencepiece.encode(docs(spark, rows), vocabulary), vocabulary)
     assert out.where("decoded <> coalesce(text, '')").count() == 0
     assert out.where("text is null or text = ''").selectExpr("max(size(piece_ids))").first()[0] == 0
+    kept = sentencepiece.encode(docs(spark, rows), vocabulary, lossless=True)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, sentencepiece.encode(docs(spark, rows), vocabulary).collect()))
+    # Without byte pieces' ids a text cannot be written back: those rows go.
+    broken = dataclasses.replace(vocabulary, pieces=[b"?" if i in vocabulary.bytes_ else x for i, x in enumerate(vocabulary.pieces)])
+    left = sorted(str(r.doc_id) for r in sentencepiece.encode(docs(spark, rows), broken, lossless=True).collect())
+    plain = sorted(str(r.doc_id) for r in kept.collect() if not set(r.piece_ids) & set(vocabulary.bytes_))
+    assert left == plain and 0 < len(plain) < len(rows)
     assert sentencepiece.encode(docs(spark, []), vocabulary).count() == 0
 
 
