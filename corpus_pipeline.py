@@ -56,12 +56,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``piece_ids`` and ``n_pieces``; what does not decode to its own text would go.  A null text has no pieces.
 
-    Columns of these two names, and one named ``decoded``, are replaced.
+    Columns of these two names are replaced.
     """
     _in_small_batches(spark)
     v = sentencepiece.read_vocabulary(tokenizer_file(spark, PIECES))
-    out = sentencepiece.decode(sentencepiece.encode(docs, v), v)
-    return out.where("decoded = coalesce(text, '')").withColumn("n_pieces", F.size("piece_ids")).drop("decoded")
+    return sentencepiece.encode(docs, v, lossless=True).withColumn("n_pieces", F.size("piece_ids"))
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near dedup", near), ("mixture", mixed), ("pieces", pieces)]
