@@ -58,17 +58,31 @@ def _found(record: Column, struct: T.StructType, required: Sequence[str], prefix
     return F.array_compact(F.array(*texts))
 
 
+def _shape(struct: T.StructType, required: Sequence[str]) -> str:
+    """The text of a record's type that has exactly the required fields, all of their type."""
+    parts = []
+    for f in sorted(struct.fields, key=lambda f: f.name):
+        below = [p[len(f.name) + 1:] for p in required if p.startswith(f"{f.name}.")]
+        if below:
+            parts.append(f"{f.name}: {_shape(f.dataType, below)}")
+        elif f.name in required:
+            parts.append(f"{f.name}: {'BIGINT' if type(f.dataType) in _NUMBERS else 'STRING'}")
+    return f"OBJECT<{', '.join(parts)}>"
+
+
 def _found_in(struct: T.StructType, required: Sequence[str], prefix: str):
-    return lambda record: _found(record, struct, required, prefix)
+    """The faults of a value; one of the usual type has none and is not looked at field by field."""
+    usual = [_shape(struct, required), _shape(struct, [*required, *(f.name for f in struct.fields if not isinstance(f.dataType, T.StructType))])]
+    return lambda record: F.when(F.schema_of_variant(record).isin(*usual), F.array().cast("array<string>")).otherwise(
+        _found(record, struct, required, prefix))
 
 
-def reasons(line: Column, struct: T.StructType, required: Sequence[str],
+def reasons(record: Column, struct: T.StructType, required: Sequence[str],
             nested: dict[str, tuple[T.StructType, Sequence[str]]] | None = None) -> Column:
-    """array<string> of what is wrong with a JSON text (empty: nothing).
+    """array<string> of what is wrong with a record, a VARIANT that is NULL if the text is no JSON (empty: nothing).
 
     ``nested`` names map fields whose every value must have further fields.
     """
-    record = F.try_parse_json(line)
     parts = [_found(record, struct, required)]
     for field, (kind, fields) in (nested or {}).items():
         values = F.map_values(F.try_variant_get(record, f"$.{field}", "map<string,variant>"))
@@ -83,12 +97,13 @@ def _lines(spark: SparkSession, path, app_id: str | None) -> DataFrame:
     lines = spark.read.text(path)
     given = F.lit("" if app_id is None else app_id)
     app = F.coalesce(F.col("app_id").cast("string"), given) if "app_id" in lines.columns else given
-    return lines.where(F.length(F.trim("value")) > 0).select(app.alias("app_id"), "value")
+    lines = lines.where(F.length(F.trim("value")) > 0).select(app.alias("app_id"), "value")
+    return lines.withColumn("_record", F.try_parse_json("value"))           # parsed once, looked at often
 
 
 def diagnose_stages(spark: SparkSession, path, app_id: str | None = None) -> DataFrame:
     """(app_id, stageId, attemptId, reasons, value), one row per JSON line of stage attempts; ids where they can be read."""
-    record, why = F.try_parse_json("value"), reasons(F.col("value"), STAGE_ATTEMPT, STAGE_REQUIRED, {"tasks": (TASK, TASK_REQUIRED)})
+    record, why = F.col("_record"), reasons(F.col("_record"), STAGE_ATTEMPT, STAGE_REQUIRED, {"tasks": (TASK, TASK_REQUIRED)})
     return _lines(spark, path, app_id).select("app_id", F.try_variant_get(record, "$.stageId", "bigint").alias("stageId"),
                                               F.try_variant_get(record, "$.attemptId", "int").alias("attemptId"),
                                               why.alias("reasons"), "value")
@@ -96,6 +111,6 @@ def diagnose_stages(spark: SparkSession, path, app_id: str | None = None) -> Dat
 
 def diagnose_jobs(spark: SparkSession, path, app_id: str | None = None) -> DataFrame:
     """(app_id, jobId, reasons, value), one row per JSON line of jobs; the id where it can be read."""
-    record, why = F.try_parse_json("value"), reasons(F.col("value"), JOB, JOB_REQUIRED)
+    record, why = F.col("_record"), reasons(F.col("_record"), JOB, JOB_REQUIRED)
     return _lines(spark, path, app_id).select("app_id", F.try_variant_get(record, "$.jobId", "int").alias("jobId"),
                                               why.alias("reasons"), "value")
