@@ -2,7 +2,7 @@
 
 reduction  rows that enter the de-duplication exchange, with and without the reduction to listed stages
 top1       seconds of the de-duplication by window and by aggregate
-array      a JSON array of about 1 GB read whole and split: seconds, tasks, equal rows
+array      a JSON array (of about 1 GB, or the bytes of a third argument) read whole and split, and the same records as lines
 narrow     CPU seconds of the trusted statistics, read whole and narrowed
 
 Shuffle rows and CPU seconds come from Spark's event log, written to a scratch folder.
@@ -91,24 +91,28 @@ def array(spark, sf):
     os.makedirs(f"{folder}/app_id=a")
     lines = glob.glob(write_payload(spark, sf, "stages").removeprefix("file:") + "/app_id=*/*.json")
     docs = [line.rstrip("\n") for p in sorted(lines) for line in open(p)]
-    path, size, n = f"{folder}/app_id=a/stages.json", 0, 0
-    with open(path, "w") as out:
+    path, size, n, most = f"{folder}/app_id=a/stages.json", 0, 0, int((sys.argv[3:] or [1_000_000_000])[0])
+    os.makedirs(f"{folder}-lines/app_id=a")
+    with open(path, "w") as out, open(f"{folder}-lines/app_id=a/stages.json", "w") as flat:
         out.write("[")
-        while size < 1_000_000_000:
-            doc = docs[n % len(docs)].replace('"stageId":', f'"stageId":{n // len(docs)}', 1)
+        while size < most:
+            doc = docs[n % len(docs)]
+            if n >= len(docs):                              # other stages, copies of the same tasks
+                doc = doc.replace('"stageId":', f'"stageId":{n // len(docs)}', 1)
             out.write(("," if n else "") + doc)
+            flat.write(doc + "\n")
             size += len(doc)
             n += 1
         out.write("]\n")
     print(f"{os.path.getsize(path) / 1e9:.2f} GB, {n} elements")
     digest = lambda df: df.select(F.sum(F.xxhash64("stageId", "attemptId", "name", F.to_json("tasks")) % 1_000_003), F.count("*")).first()
     seen = {}
-    for mode in (True, "split"):
+    for mode in (True, "split", False):
         def go(mode=mode):
-            seen[mode] = digest(read_stages(spark, folder, multi_line=mode))
+            seen[mode] = digest(read_stages(spark, folder if mode else f"{folder}-lines", multi_line=mode))
         taken, cpu, _, tasks = log_of(spark, go)
         print(f"multi_line={mode}: {taken:.1f} s, {cpu:.0f} CPU s of the JVM, {tasks} tasks")
-    print("equal:", seen[True] == seen["split"], seen["split"])
+    print("split equals lines:", seen["split"] == seen[False], "whole equals lines:", seen[True] == seen[False], seen)
 
 
 def narrow(spark, sf):
