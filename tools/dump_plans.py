@@ -25,8 +25,8 @@ def main() -> None:
     print("# Physical plans of the headline queries\n")
     print(f"Generated by `python tools/dump_plans.py` at `{os.path.basename(sf)}` with `explain(\"formatted\")`. "
           "Plans are shown before adaptive re-planning, so joins that AQE turns into broadcast joins at run time\n"
-          "still appear with their static choice. `skew_report` and `report_block` start from the checkpointed\n"
-          "per-stage statistics (`Scan ExistingRDD`).\n")
+          "still appear with their static choice. `skew_report` and `report_block` start from the written\n"
+          "per-stage statistics (a parquet scan).\n")
     for name in HEADLINE + ["latest_lineitem", "task_table"]:
         df = catalog.QUERIES[name](spark, sf)
         buf = io.StringIO()
