@@ -10,6 +10,9 @@ count depends on what comes before it, so the file is read twice:
 2. Every block is read again from that state and hands out the elements that lie in it.  Only the pieces of elements that cross a
    block's border are shuffled, by element, and put together.
 
+Files that Spark reads in one block (no larger than it takes a file's opening to cost) need no index: they begin in the known state, and
+no element crosses a border.  So the index has rows for the blocks of the larger files only, however many files there are.
+
 The elements are then parsed with the declared schema as JSON Lines are.  A file whose first value is no array is taken as a
 sequence of objects.  What is left of a truncated file is a malformed record.
 """
@@ -17,6 +20,7 @@ sequence of objects.  What is left of a truncated file is a malformed record.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +44,34 @@ def depth_change(text: str) -> int:
     return text.count("{") + text.count("[") - text.count("]")
 
 
-def _fragments(spark: SparkSession, path) -> DataFrame:
-    text = spark.read.option("lineSep", "}").text(path)
-    return text.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "*")
+@contextmanager
+def _listed_by_few_tasks(spark: SparkSession):
+    """Spark lists folders with a task for each, up to this number; a task costs more than hundreds of folders."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(old), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _fragments(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """Fragments of the files that are one block for sure, and of the others.
+
+    The size of a file is known before it is read, so each of the two reads its own files only.
+    """
+    with _listed_by_few_tasks(spark):
+        text = spark.read.option("lineSep", "}").text(path)
+    conf = spark._jsparkSession.sessionState().conf()
+    one_block = min(conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes())          # Spark's splits are no smaller
+    own = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "*"]
+    size = F.col("_metadata.file_size")
+    return text.where(size <= one_block).select(*own), text.where(size > one_block).select(*own)
+
+
+def _is_array(values: list[str]) -> bool:
+    return "".join(values[:64]).lstrip("\ufeff \t\r\n").startswith("[")
 
 
 def _by_block(batches):
@@ -66,8 +95,7 @@ def block_index(fragments: DataFrame) -> DataFrame:
         for own, _, values in _by_block(batches):
             if own != key:
                 key = own
-                head = "".join(values[:64]).lstrip("﻿ \t\r\n")
-                rows.append([*own, head.startswith("["), 0, 1 << 60, False, 0, 1 << 60, True])
+                rows.append([*own, _is_array(values), 0, 1 << 60, False, 0, 1 << 60, True])
             row = rows[-1]
             for at in (3, 6):
                 change, least, inside = row[at:at + 3]
@@ -111,11 +139,26 @@ def block_starts(index: list) -> dict[tuple[str, int], tuple[int, int, bool, int
 def array_elements(spark: SparkSession, path) -> DataFrame:
     """(columns of the folders, value): the JSON text of every element of the arrays below ``path``."""
     ship_package(spark)
-    fragments = _fragments(spark, path)
-    extra = [c for c in fragments.columns if c not in ("_file", "_block", "value")]
-    # One row per block, as many as Spark has tasks to read the files.
-    starts = spark.sparkContext.broadcast(block_starts([r.asDict() for r in block_index(fragments).collect()]))
+    small, large = _fragments(spark, path)
+    extra = [c for c in small.columns if c not in ("_file", "_block", "value")]
+    # One row per block, as many as Spark has tasks to read the large files.
+    index = [r.asDict() for r in block_index(large).collect()]
+    whole = _elements(small, extra, None).select(*extra, "value")
+    if not index:
+        return whole
+    found = _elements(large, extra, spark.sparkContext.broadcast(block_starts(index)))
+    whole = whole.unionByName(found.where("_owner is null").select(*extra, "value"))
+    # Pieces of one element: at most one per block that it touches.
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "value"))), lambda p: p["value"]), "")
+    crossing = found.where("_owner is not null").groupBy("_file", *extra, "_owner").agg(parts.alias("value"))
+    return whole.unionByName(crossing.select(*extra, F.regexp_replace("value", r"^[^{]*", "").alias("value")))
+
+
+def _elements(fragments: DataFrame, extra: list[str], starts) -> DataFrame:
+    """(file, columns of the folders, owner, block, value): whole elements (owner null) and pieces of those that cross a block's border.
 
+    ``starts``: the broadcast states in which blocks begin; None, if every file is one block.
+    """
     def run(batches):
         key = head = None
         base = depth = inside = owner = last = None
@@ -126,15 +169,18 @@ def array_elements(spark: SparkSession, path) -> DataFrame:
             text = "}".join(held) + ("" if last else "}")
             return text if "{" in text or owner is not None else None
 
+        def remainder(text):
+            return (key[1] if owner is None else owner, key[1], text) if starts else (None, key[1], text[text.index("{"):])
+
         for own, one, values in _by_block(batches):
             out: list[tuple] = []
             if own != key:
                 if key and (text := rest()) is not None:
-                    yield _rows(head, [(key[1] if owner is None else owner, key[1], text)])
-                if own not in starts.value:
+                    yield _rows(head, [remainder(text)])
+                if own not in starts.value if starts else own[1]:
                     raise RuntimeError(f"{own} was not in the index: the files or the split size changed meanwhile")
                 key, held = own, []
-                base, depth, inside, owner, last = starts.value[own]
+                base, depth, inside, owner, last = starts.value[own] if starts else (int(_is_array(values)), 0, False, None, True)
             head = one
             for value in values:
                 held.append(value)
@@ -150,7 +196,7 @@ def array_elements(spark: SparkSession, path) -> DataFrame:
             if out:
                 yield _rows(one, out)
         if key and (text := rest()) is not None:
-            yield _rows(head, [(key[1] if owner is None else owner, key[1], text)])
+            yield _rows(head, [remainder(text)])
 
     def _rows(one, found):
         n = len(found)
@@ -160,12 +206,7 @@ def array_elements(spark: SparkSession, path) -> DataFrame:
                                           ["_file", *extra, "_owner", "_block", "value"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fragments.schema if f.name in extra)
-    found = fragments.mapInArrow(run, f"_file string, {kinds + ', ' if kinds else ''}_owner bigint, _block bigint, value string")
-    whole = found.where("_owner is null").select(*extra, "value")
-    # Pieces of one element: at most one per block that it touches.
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "value"))), lambda p: p["value"]), "")
-    crossing = found.where("_owner is not null").groupBy("_file", *extra, "_owner").agg(parts.alias("value"))
-    return whole.unionByName(crossing.select(*extra, F.regexp_replace("value", r"^[^{]*", "").alias("value")))
+    return fragments.mapInArrow(run, f"_file string, {kinds + ', ' if kinds else ''}_owner bigint, _block bigint, value string")
 
 
 def read_arrays(spark: SparkSession, path, schema: T.StructType, corrupt: str) -> DataFrame:
