@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.session import ship_package, written
+from skewlens.session import open_fs, ship_package, written
 
 # The white space of every text contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -73,13 +73,3 @@ def pow2_at_least(n: float) -> int:
 def shards_of(spark: SparkSession, least: int = 8) -> int:
     """Partition count for hand-dealt data: that of the session's shuffles, which the caller sizes to the input."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def open_fs(uri: str):
-    """(file system, path) of a folder in any store that pyarrow can open (file, hdfs, s3, gs)."""
-    from pyarrow import fs
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)

@@ -27,13 +27,19 @@ The ``broken`` lines are those of the damaged view (executorId missing for value
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+import uuid
+from collections.abc import Callable
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from skewlens.operators.tasks import derive_shuffle_read
 from skewlens.schemas import STAGE_KEYS
-from skewlens.session import path_exists, scratch_path
+from skewlens.session import open_fs, path_exists, scratch_path, ship_package
 
 LAUNCH_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'"
 
@@ -83,18 +89,19 @@ def _stage_columns(view: str) -> dict[str, Column]:
     }
 
 
-def _task_columns(view: str, damaged: bool = False) -> dict[str, Column]:
-    """Every task field as an expression over one event row (names as in the payload)."""
+def _task_columns(view: str, damaged: bool = False, event: Column | None = None) -> dict[str, Column]:
+    """Every task field as an expression over one event row (names as in the payload), or over the struct ``event``."""
     if view not in ("task", "gate"):
         raise ValueError(view)
-    k, v, et = F.col("k"), F.col("value"), F.col("event_type")
+    of = F.col if event is None else event.getField
+    k, v, et = of("k"), of("value"), of("event_type")
     executor = F.concat(F.lit("exec-"), (k % 8).cast("string"))
     if damaged:
         executor = F.when(v >= 300, F.lit(None).cast("string")).otherwise(executor)
     return {
         "taskId": k,
-        "attempt": F.col("event_id"),
-        "launchTime": F.date_format("ts", LAUNCH_FORMAT),
+        "attempt": of("event_id"),
+        "launchTime": F.date_format(of("ts"), LAUNCH_FORMAT),
         "duration": _round_long(v * 1000) if view == "task" else _round_long(v * 100),
         "executorId": executor,
         "host": F.concat(F.lit("host-"), (k % 4).cast("string")),
@@ -116,14 +123,14 @@ def _task_columns(view: str, damaged: bool = False) -> dict[str, Column]:
     }
 
 
-def events_payload_rows(events: DataFrame, view: str = "task", damaged: bool = False) -> DataFrame:
-    """One row per task attempt: stage fields plus a ``task`` struct shaped like the payload.
+def payload_task(view: str = "task", damaged: bool = False, event: Column | None = None) -> Column:
+    """A struct shaped like the payload's task, over one event row or over the struct ``event``.
 
     ``damaged=True`` drops ``executorId`` from tasks of events with ``value >= 300``
     (a rare, data-driven fault used to exercise the required-field check).
     """
-    t = _task_columns(view, damaged)
-    task = F.struct(
+    t = _task_columns(view, damaged, event)
+    return F.struct(
         *[t[n].alias(n) for n in ("taskId", "attempt", "launchTime", "duration", "executorId", "host", "status")],
         F.struct(
             *[t[n].alias(n) for n in ("executorRunTime", "resultSize", "jvmGcTime", "peakExecutionMemory")],
@@ -136,8 +143,25 @@ def events_payload_rows(events: DataFrame, view: str = "task", damaged: bool = F
                      t["shuffleRecordsWritten"].alias("recordsWritten")).alias("shuffleWriteMetrics"),
         ).alias("taskMetrics"),
     )
-    stage = _stage_columns(view)
-    return _with_k(events).select(*[c.alias(n) for n, c in stage.items()], task.alias("task"))
+
+
+def _event_rows(events: DataFrame, view: str) -> DataFrame:
+    """One row per task attempt: stage fields, and as ``task`` the event that :func:`payload_task` makes one of.
+
+    An event is a tenth of its task, so this is what is shuffled and sorted.
+    """
+    event = F.struct("event_id", "ts", "event_type", "value", "k")
+    return _with_k(events).select(*[c.alias(n) for n, c in _stage_columns(view).items()], event.alias("task"))
+
+
+def _by_app(df: DataFrame) -> DataFrame:
+    """Sorted as a write by app needs it (app_id not null, so that Spark sees it), before the rows grow."""
+    return df.withColumn("app_id", F.coalesce("app_id", F.lit(""))).sortWithinPartitions("app_id")
+
+
+def events_payload_rows(events: DataFrame, view: str = "task", damaged: bool = False) -> DataFrame:
+    """One row per task attempt: stage fields plus a ``task`` struct shaped like the payload (see :func:`payload_task`)."""
+    return _event_rows(events, view).withColumn("task", payload_task(view, damaged, F.col("task")))
 
 
 def events_tasks(events: DataFrame, view: str = "task") -> DataFrame:
@@ -192,32 +216,40 @@ def events_jobs(events: DataFrame, stages_per_record: int = 10_000, large: bool
         F.date_format("s1", LAUNCH_FORMAT).alias("completionTime"), "stageIds")
 
 
-def stage_documents(rows: DataFrame, tasks_per_doc: int = 1000) -> DataFrame:
-    """Payload rows -> stage-attempt documents with a ``tasks`` map.
+def stage_documents(rows: DataFrame, tasks_per_doc: int = 1000, made: Callable[[Column], Column] = lambda task: task) -> DataFrame:
+    """Payload rows -> stage-attempt documents with a ``tasks`` map; ``made`` gives the task of the column ``task``.
+
+    A task is made of its (smaller) column only when its document is put together, after the shuffles and the sort.
 
     A stage attempt with many tasks is split into several documents of about
     ``tasks_per_doc`` tasks (hash of the task key), and rows are dealt out by document, so
     neither a document nor a task's share of them grows with the hottest stage (the join
     before it is one that AQE may split); readers treat the pieces as one attempt.
     """
-    keys = STAGE_KEYS
+    keys, task = STAGE_KEYS, made(F.col("task"))
     per_attempt = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum((F.col("task.status") == "SUCCESS").cast("int")).cast("int").alias("numCompleteTasks"),
-        F.sum((F.col("task.status") == "FAILED").cast("int")).cast("int").alias("numFailedTasks"),
-        F.min("task.launchTime").alias("firstTaskLaunchedTime"),
-        F.max("task.launchTime").alias("completionTime"),
+        F.sum((task["status"] == "SUCCESS").cast("int")).cast("int").alias("numCompleteTasks"),
+        F.sum((task["status"] == "FAILED").cast("int")).cast("int").alias("numFailedTasks"),
+        F.min(task["launchTime"]).alias("firstTaskLaunchedTime"),
+        F.max(task["launchTime"]).alias("completionTime"),
     )
-    entry_key = F.format_string("%d.%d", F.col("task.taskId"), F.col("task.attempt"))
+
+    def entry_key(task: Column) -> Column:
+        return F.format_string("%d.%d", task["taskId"], task["attempt"])
+
+    def entry(task: Column) -> Column:
+        return F.struct(entry_key(task).alias("key"), task.alias("value"))
+
     chunked = rows.join(per_attempt, keys).withColumn(
-        "_chunk", F.pmod(F.xxhash64(entry_key), F.ceil(F.col("_n") / tasks_per_doc)))
-    return (chunked.repartition(*keys, "_chunk")
-            .groupBy(*keys, "numCompleteTasks", "numFailedTasks", "firstTaskLaunchedTime",
-                     "completionTime", "_chunk")
-            .agg(F.map_from_entries(F.collect_list(F.struct(entry_key, F.col("task")))).alias("tasks"))
-            .select("app_id", "stageId", "attemptId", F.col("stageName").alias("name"),
-                    F.col("stageStatus").alias("status"), "numTasks", "numCompleteTasks",
-                    "numFailedTasks", "firstTaskLaunchedTime", "completionTime", "tasks"))
+        "_chunk", F.pmod(F.xxhash64(entry_key(task)), F.ceil(F.col("_n") / tasks_per_doc)))
+    documents = (chunked.repartition(*keys, "_chunk")
+                 .groupBy(*keys, "numCompleteTasks", "numFailedTasks", "firstTaskLaunchedTime", "completionTime", "_chunk")
+                 .agg(F.collect_list("task").alias("tasks")))
+    return _by_app(documents).select(
+        "app_id", "stageId", "attemptId", F.col("stageName").alias("name"), F.col("stageStatus").alias("status"), "numTasks",
+        "numCompleteTasks", "numFailedTasks", "firstTaskLaunchedTime", "completionTime",
+        F.map_from_entries(F.transform("tasks", lambda t: entry(made(t)))).alias("tasks"))
 
 
 def bare_attempts(events: DataFrame, tasks: DataType) -> DataFrame:
@@ -250,17 +282,53 @@ def task_records(rows: DataFrame) -> DataFrame:
     return rows.select("app_id", "stageId", "attemptId", "task.*")
 
 
-def array_lines(records: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value): the records as one JSON array per key, a line per record, in the order to be written.
+ARRAY_FILE = "tasks.json"
+#: As Spark names folders of partitions.
+_NO_VALUE, _ESCAPED = "__HIVE_DEFAULT_PARTITION__", re.compile("[\\x00-\\x1f\"#%'*/:=?\\\\\\x7f{\\[\\]^]")
+
+
+def _folder(key: str, value) -> str:
+    return f"{key}={_NO_VALUE if value in (None, '') else _ESCAPED.sub(lambda c: f'%{ord(c[0]):02X}', str(value))}"
 
-    An array is one file, so the lines of a key are one task's; no value holds more than a record.
+
+def write_arrays(records: DataFrame, keys: list[str], path: str) -> int:
+    """Write the JSON lines (keys, value) as one array per key, ``tasks.json`` in a ``key=value`` folder of its own; returns how many.
+
+    There is a folder per stage attempt, so the tasks write the files themselves, one at a time and line by line: Spark's
+    writer makes and commits each file and folder in several steps, the last of them one by one on the driver.  Rows of a key
+    follow each other in one partition.  A file gets its name when it is whole, so an attempt that fails or runs twice leaves no other.
     """
-    line = F.to_json(F.struct(*[c for c in records.columns if c not in keys]))
-    n, up = "_n", Window.partitionBy(*keys).orderBy("_line")
-    rows = records.select(*keys, line.alias("_line")).withColumn(n, F.row_number().over(up))
-    first, last = F.col(n) == 1, F.lead("_line").over(up).isNull()
-    value = F.concat(F.when(first, "[").otherwise(","), F.col("_line"), F.when(last, "]").otherwise(""))
-    return rows.select(*keys, n, value.alias("value")).sortWithinPartitions(*keys, n).drop(n)
+    spark = records.sparkSession
+    ship_package(spark)
+
+    def run(batches):
+        fs, top = open_fs(path)
+        own = out = at = None
+        n = 0
+
+        def done():
+            out.write(b"]\n")
+            out.close()
+            fs.move(f"{at}/{name}", f"{at}/{ARRAY_FILE}")
+
+        for batch in batches:
+            *ids, values = (batch.column(c).to_pylist() for c in (*keys, "value"))
+            for *key, value in zip(*ids, values):
+                if key != own:
+                    if out:
+                        done()
+                    own, n = key, n + 1
+                    at, name = "/".join([top, *map(_folder, keys, key)]), f".{uuid.uuid4().hex}"
+                    fs.create_dir(at, recursive=True)
+                    out = fs.open_output_stream(f"{at}/{name}", compression=None)
+                    out.write(b"[" + value.encode())
+                else:
+                    out.write(b"\n," + value.encode())
+        if out:
+            done()
+        yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
+
+    return records.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0]
 
 
 _WRITTEN: dict[tuple, str] = {}
@@ -279,21 +347,25 @@ def write_payload(spark: SparkSession, sf_dir: str, kind: str, view: str = "task
     key = (spark.sparkContext.applicationId, sf_dir, kind, view, damaged, tasks_per_doc, variant)
     if key not in _WRITTEN or not path_exists(spark, _WRITTEN[key]):
         events = read_table(spark, sf_dir, "events")
+        path = scratch_path(spark, f"payloads-{kind}-{view}{'-damaged' if damaged else ''}{variant and '-' + variant}")
+        made = partial(payload_task, view, damaged or variant == "broken")
+        rows = _event_rows(events, view) if kind != "jobs" else None
         if kind == "jobs":
             payload = events_jobs(events, large=variant == "large")
-        else:
-            rows = events_payload_rows(events, view, damaged or variant == "broken")
-            payload = stage_documents(rows, tasks_per_doc) if kind == "stages" else task_records(rows)
-        if variant == "bare":
-            payload = payload.unionByName(bare_attempts(events, payload.schema["tasks"].dataType))
-        path = scratch_path(spark, f"payloads-{kind}-{view}{'-damaged' if damaged else ''}{variant and '-' + variant}")
+        elif kind == "stages":
+            payload = stage_documents(rows, tasks_per_doc, lambda task: made(event=task))
+        elif variant != "arrays":
+            payload = task_records(_by_app(rows.select("app_id", "stageId", "attemptId", "task")).withColumn("task", made(event=F.col("task"))))
         if variant == "arrays":
             keys = ["app_id", "stageId", "attemptId"]
-            array_lines(payload, keys).write.partitionBy(*keys).text(path)
+            rows = rows.select(*keys, "task").repartition(*keys).sortWithinPartitions(*keys, "task.k", "task.event_id")
+            write_arrays(rows.select(*keys, F.to_json(made(event=F.col("task"))).alias("value")), keys, path)
         elif variant == "broken":
             broken_lines(payload, kind).write.partitionBy("app_id").text(path)
         else:
             payload.write.partitionBy("app_id").json(path)
+            if variant == "bare":                            # beside them: a union of both would be sorted anew
+                bare_attempts(events, payload.schema["tasks"].dataType).write.mode("append").partitionBy("app_id").json(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 

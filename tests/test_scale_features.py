@@ -19,6 +19,7 @@ from skewlens.plans import catalog
 from skewlens.plans.analyze import STAGE_ID, analyze, stats_from_tasks
 from skewlens.schemas import STATS_PATHS
 from skewlens.session import clear_scratch
+from skewlens.sources import arrays
 from skewlens.sources.arrays import array_elements
 from skewlens.sources.diagnosis import diagnose_jobs, diagnose_stages
 from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, required_stages
@@ -206,6 +207,54 @@ def test_split_arrays_equal_whole_arrays(spark, tmp_dir, setting, indent, size):
     assert spark.read.option("lineSep", "}").text(f"{tmp_dir}/t").rdd.getNumPartitions() > 2
 
 
+def test_files_of_one_block_need_no_index(spark, tmp_dir, setting, monkeypatch):
+    """Small files are left out of the index on the driver, and nothing of them is shuffled."""
+    for s in range(6):
+        _write(f"{tmp_dir}/t/app_id=a/stageId={s}/attemptId=0/tasks.json", [], json.dumps(_tasks(20 + s)))
+    cut = json.dumps(_tasks(3))
+    _write(f"{tmp_dir}/t/app_id=a/stageId=7/attemptId=0/tasks.json", [], cut[:cut.rindex('"resultSize"')])
+    _write(f"{tmp_dir}/t/app_id=a/stageId=8/attemptId=0/tasks.json", [], "\n".join(map(json.dumps, _tasks(3))))
+    made = []
+    index = arrays.block_index
+    monkeypatch.setattr(arrays, "block_index", lambda df: made.append(index(df)) or made[-1])
+    small = rows_of(array_elements(spark, f"{tmp_dir}/t"))
+    assert len(small) == sum(range(20, 26)) + 3 + 3 and made[0].count() == 0
+    assert "Exchange" not in plan(array_elements(spark, f"{tmp_dir}/t"))
+    setting("spark.sql.files.openCostInBytes", "0")
+    setting("spark.sql.files.maxPartitionBytes", "900b")
+    assert rows_of(array_elements(spark, f"{tmp_dir}/t")) == small and made[-1].count() > 20
+
+
+def test_arrays_of_the_payload_are_written_by_the_tasks(spark, monkeypatch):
+    """One file per stage attempt in its folder; the events, not the tasks made of them, are shuffled."""
+    from skewlens.sources import testdata
+    monkeypatch.setattr(testdata, "_WRITTEN", {})
+    seen, write = [], testdata.write_arrays
+    monkeypatch.setattr(testdata, "write_arrays", lambda df, *args: seen.append((plan(df), write(df, *args))))
+    path = testdata.write_payload(spark, SF, "tasks", variant="arrays")
+    folders = {r[0] for r in testdata.events_tasks(testdata.read_table(spark, SF, "events")).selectExpr(
+        "concat('app_id=', app_id, '/stageId=', stageId, '/attemptId=', attemptId)").distinct().collect()}
+    top = path.removeprefix("file:")
+    found = {os.path.relpath(where, top): names for where, _, names in os.walk(top) if names}
+    assert found == {f: ["tasks.json"] for f in folders} and seen[0][1] == len(folders)
+    exchange = seen[0][0].split("Exchange")[1]
+    assert "taskMetrics" not in exchange and "date_format" not in exchange
+    assert testdata._folder("k", None) == "k=__HIVE_DEFAULT_PARTITION__" and testdata._folder("k", "a/b=c") == "k=a%2Fb%3Dc"
+
+
+@pytest.mark.parametrize("kind", ["stages", "tasks"])
+def test_payloads_grow_after_their_shuffles_and_sort(spark, kind):
+    """No exchange or sort of the payload's write holds the tasks, only the events that they are made of."""
+    from skewlens.sources import testdata
+    rows = testdata._event_rows(testdata.read_table(spark, SF, "events"), "task")
+    made = testdata.payload_task
+    df = (testdata.stage_documents(rows, 1000, lambda task: made(event=task)) if kind == "stages"
+          else testdata._by_app(rows).withColumn("task", made(event=F.col("task"))))
+    logical = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "resultSize" in logical.split("Sort")[0] and "resultSize" not in logical.split("Sort")[1]
+    assert dict(df.dtypes)["app_id"] == "string" and not df.schema["app_id"].nullable
+
+
 def test_an_element_of_many_blocks_and_odd_files(spark, tmp_dir, setting):
     big = stage_json(1, 0, [task_json(i, duration=i) for i in range(60)])
     _write(f"{tmp_dir}/s/app_id=a/stages.json", [], json.dumps([stage_json(0, 0, []), big, stage_json(2, 0, [task_json(1)])]))
