@@ -11,7 +11,8 @@
 4. Candidates are verified by the exact J_P >= 0.8 of their whole texts; connected components of verified links
    are classes.
 5. Where a bucket still holds several classes, the members outside its most frequent class are compared with
-   those of other classes, if enough registers agree, first of the same and then of a longer signature.  So every pair that
+   those of other classes, if enough registers agree, first of the same and then of a longer signature: each member first
+   with the one that agrees in most registers, then with all those that this left in another class.  So every pair that
    shares a bucket is either in one class, or was verified to differ, or both estimates of its J_P lie 4.5 standard errors
    and more below 0.8 (a pair of exactly 0.8 does with probability 0.000006).
 
@@ -225,7 +226,7 @@ def _fine(texts: DataFrame) -> DataFrame:
 
 
 def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, label: DataFrame, m: int) -> DataFrame:
-    """Pairs (a, b) of one bucket but different classes that agree in enough registers.
+    """Pairs (a, b, agree) of one bucket but different classes that agree in enough registers.
 
     A bucket's most frequent class is never paired with itself, so a bucket of one large class costs nothing.
     """
@@ -243,10 +244,42 @@ def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, label: DataFra
     # A pair is emitted in the first band that both share, and from one side of it.
     once = ((F.col("copy_x") < F.col("copy_y")) | (F.col("label_y") == F.col("most_y"))) & (
         F.element_at(F.array_intersect("buckets_x", "buckets_y"), 1) == F.col("bucket"))
-    close = (_agree("sig_x", "sig_y", m) >= LEAST_AGREE) & once & (_fine_agree("fine_x", "fine_y", FINE_REGISTERS) >= FINE_AGREE)
+    agree = _fine_agree("fine_x", "fine_y", FINE_REGISTERS)
+    close = (_agree("sig_x", "sig_y", m) >= LEAST_AGREE) & once & (agree >= FINE_AGREE)
     pairs = left.join(right, "bucket").where((F.col("label_x") != F.col("label_y")) & close)
     pairs = pairs.withColumnsRenamed({"copy_x": "x", "copy_y": "y"})
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), agree.alias("agree")).distinct()
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different classes."""
+    for side in ("a", "b"):
+        pairs = pairs.join(label.toDF(side, f"label_{side}"), side, "left")
+    return cut(pairs.where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b"), "apart")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """For each text, the pair (a, b) of it that agrees in most registers: no more rows than texts."""
+    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
+    most = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("most"))
+    return cut(most.select("most.a", "most.b").distinct(), "likeliest")
+
+
+def _closed(label: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The labels after all links among the pairs (a, b, agree).
+
+    Large classes that belong together are joined by the likeliest pairs, and only what they leave apart is verified in full.
+    """
+    if not pairs.limit(1).count():
+        return label
+    first = _likeliest(pairs)
+    label = _linked(label, first, texts, threshold)
+    return _linked(label, _apart(pairs.join(first, ["a", "b"], "left_anti"), label), texts, threshold)
+
+
+def _linked(label: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    more = cut(_verified(pairs, texts, threshold), "links")
+    return _joined(label, more) if more.limit(1).count() else label
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
@@ -273,16 +306,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     own = cut(own.select(F.greatest("copy", "lead").alias("a"), F.least("copy", "lead").alias("b")), "leaders")
     links = cut(_verified(own, texts, threshold), "links")
     label = links.toDF("node", "label")                     # a leader is the smaller of the two
-    apart = star.join(own, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        apart = apart.join(label.toDF(side, f"label_{side}"), side, "left")
-    apart = cut(apart.where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b"), "apart")
+    apart = _apart(star.join(own, ["a", "b"], "left_anti"), label)
     links = cut(links.union(_verified(apart, texts, threshold)), "links")
     label = components(links)
     more = cut(_across(placed, reps, texts, label, _registers(bands, rows)).join(star, ["a", "b"], "left_anti"), "across")
-    more = cut(_verified(more, texts, threshold), "links")
-    if more.limit(1).count():
-        label = _joined(label, more)
+    label = _closed(label, more, texts, threshold)
     named = cut(reps.select("copy", "id", "n").join(label.withColumnRenamed("node", "copy"), "copy", "left")
                     .select("copy", "id", "n", F.coalesce("label", "copy").alias("label")), "named")
     whole = cut(named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size")), "classes")

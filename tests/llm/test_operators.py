@@ -455,6 +455,41 @@ def brute_licenses(text, templates):
     return out
 
 
+def test_near_classes_are_joined_by_their_likeliest_pairs(spark, monkeypatch):
+    """Texts about as far apart as the threshold: most pairs need no comparison once a few have joined their classes."""
+    r = random.Random(5)
+    base = prose(4, 300).split()
+    texts = {}
+    for i in range(240):
+        words = list(base)
+        for at in r.sample(range(300), r.choice((2, 3, 4, 5))):
+            words[at] = f"w{i}x{at}"
+        texts[i] = " ".join(words)
+    counted, across, verified = [], near_dedup._across, near_dedup._verified
+
+    def count(df):
+        counted.append(df.count())
+        return df
+
+    def from_here(*args):
+        counted.clear()
+        return count(across(*args))
+
+    monkeypatch.setattr(near_dedup, "_across", from_here)
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *args: verified(count(pairs), *args))
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    known = WordHashes()
+    sets = {i: shingle_sets([t], known)[1:] for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for a in texts:
+        for b in range(a):
+            if want[a] != want[b] and probability_jaccard(*sets[a], *sets[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if c == high else c for i, c in want.items()}
+    assert got == want
+    assert counted[0] > 500 and sum(counted[1:]) < counted[0] / 2, counted
+
+
 @pytest.mark.parametrize("listed", [50_000, 0])
 def test_licenses_against_brute_force(spark, monkeypatch, listed):
     monkeypatch.setattr(license_scan, "MOST_LISTED", listed)
