@@ -10,11 +10,10 @@
    largest copy hash) that are still in another class; never all with all.
 4. Candidates are verified by the exact J_P >= 0.8 of their whole texts; connected components of verified links
    are classes.
-5. Where a bucket still holds several classes, the members outside its most frequent class are compared with
-   those of other classes, if enough registers agree, first of the same and then of a longer signature: each member first
-   with the one that agrees in most registers, then with all those that this left in another class.  So every pair that
-   shares a bucket is either in one class, or was verified to differ, or both estimates of its J_P lie 4.5 standard errors
-   and more below 0.8 (a pair of exactly 0.8 does with probability 0.000006).
+5. Where a bucket's members besides its leaders are still in several classes, those outside the most frequent class are compared
+   with those of other classes, in tasks of two blocks of texts each.  A task links classes as it goes and returns only the links
+   that joined two: no rows of pairs are made.  So every pair that shares a bucket is either in one class, or was found to
+   differ (exactly, or by an upper bound of its J_P), or its estimated J_P lies 4.6 standard errors and more below 0.8.
 
 With 20 bands of 6 registers a pair of similarity s shares a bucket with probability 1 - (1 - s^6)^20:
 0.9977 at 0.8, 0.99992 at 0.85.
@@ -40,9 +39,10 @@ BANDS, ROWS = 20, 6
 #: Registers beyond those of the bands serve the estimate only.
 REGISTERS = 238
 THRESHOLD = 0.8
-#: Shares of registers that must agree before an exact comparison across classes.  Both are estimates of J_P: the first, from
-#: the bands' signature, is 4.6 standard errors below 0.8; the second, from a longer signature of the texts in question, 4.5.
-LEAST_AGREE, FINE_REGISTERS, FINE_AGREE = 0.68, 952, 0.742
+#: Share of registers that must agree before an exact comparison across classes: an estimate of J_P, 4.6 standard errors below 0.8.
+LEAST_AGREE = 0.68
+#: Texts and characters of a block of a large bucket; a comparison holds two blocks.
+BLOCK_TEXTS, BLOCK_CHARS = 256, 4_000_000
 #: Characters of neighbouring texts that are sketched together, and words whose hashes a task remembers.
 CHUNK, KNOWN = 1_500_000, 150_000
 
@@ -196,59 +196,84 @@ def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
     return cut(known.unionByName(whole.toDF("node", "label").join(label.select("node"), "node", "left_anti")), "labels")
 
 
-def _agree(a: str, b: str, m: int):
-    """Share of equal registers of two signatures: zero bytes of the exclusive or, seven to a long."""
-    low, high = (sum(x << 8 * i for i in range(7)) for x in (0x7F, 0x80))
-    same = " + ".join(f"bit_count(~((({t} & {low}L) + {low}L) | {t}) & {high}L)"
-                      for t in (f"({a}[{i}] ^ {b}[{i}])" for i in range(-(-m // 7))))
-    return F.expr(f"({same}) / {float(m)}D")
+def _new_links(copies: list[bytes], labels: list[bytes], sig: np.ndarray, buckets: np.ndarray, block: np.ndarray,
+               texts: list[str], bucket: int, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Verified links between members of one bucket that join all classes linked there: fewer than there are classes.
 
-
-def _fine_agree(a: str, b: str, m: int):
-    """As :func:`_agree`, for long signatures."""
-    low, high = (sum(x << 8 * i for i in range(7)) for x in (0x7F, 0x80))
-    one = f"zip_with({a}, {b}, (x, y) -> bit_count(~((((x ^ y) & {low}L) + {low}L) | (x ^ y)) & {high}L))"
-    return F.expr(f"aggregate({one}, 0, (n, x) -> n + x) / {float(m)}D")
-
-
-def _fine(texts: DataFrame) -> DataFrame:
-    """(copy, fine): a longer signature of each text."""
-    def run(batches):
-        known = WordHashes(KNOWN)
-        for batch in fresh(batches, known):
-            for first, held in _stretches(batch.column(1), CHUNK * REGISTERS // FINE_REGISTERS):
-                starts, h, c = shingle_sets(held, known)
-                packed = _packed((signatures(starts, h, c, FINE_REGISTERS) >> np.uint64(56)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)),
-                                                  pa.array(list(packed), pa.list_(pa.int64()))], ["copy", "fine"])
-
-    return texts.select("copy", "text").mapInArrow(run, "copy binary, fine array<bigint>")
-
-
-def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, label: DataFrame, m: int) -> DataFrame:
-    """Pairs (a, b, agree) of one bucket but different classes that agree in enough registers.
-
-    A bucket's most frequent class is never paired with itself, so a bucket of one large class costs nothing.
+    Members of one block are compared with each other, those of two blocks with those of the other block.  Of each text's
+    rivals (in another class by now, enough equal registers, the bucket the first that both share) the exact J_P is needed only
+    where its upper bound reaches the threshold: common shingles of equal weights w count w / sum of max, as they do in
+    J_P, others the smaller of the two shares.
     """
-    inside = cut(placed.select("bucket", "copy").join(label.withColumnRenamed("node", "copy"), "copy", "left")
-                       .select("bucket", "copy", F.coalesce("label", "copy").alias("label")), "inside")
-    most = inside.groupBy("bucket", "label").count().groupBy("bucket").agg(
-        F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("classes"))
-    most = cut(most.where("classes > 1").select("bucket", "most"), "open")
-    open_ = cut(inside.join(most, "bucket"), "open")
-    fine = cut(_fine(texts.join(open_.select("copy").distinct(), "copy", "left_semi")), "fine")
-    open_ = cut(open_.join(reps.select("copy", "sig", "buckets"), "copy").join(fine, "copy"), "open")
-    columns = ("copy", "label", "most", "sig", "buckets", "fine")
-    left = open_.where("label != most").select("bucket", *[F.col(c).alias(f"{c}_x") for c in columns])
-    right = open_.select("bucket", *[F.col(c).alias(f"{c}_y") for c in columns])
-    # A pair is emitted in the first band that both share, and from one side of it.
-    once = ((F.col("copy_x") < F.col("copy_y")) | (F.col("label_y") == F.col("most_y"))) & (
-        F.element_at(F.array_intersect("buckets_x", "buckets_y"), 1) == F.col("bucket"))
-    agree = _fine_agree("fine_x", "fine_y", FINE_REGISTERS)
-    close = (_agree("sig_x", "sig_y", m) >= LEAST_AGREE) & once & (agree >= FINE_AGREE)
-    pairs = left.join(right, "bucket").where((F.col("label_x") != F.col("label_y")) & close)
-    pairs = pairs.withColumnsRenamed({"copy_x": "x", "copy_y": "y"})
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), agree.alias("agree")).distinct()
+    starts, h, c = shingle_sets(texts, WordHashes(KNOWN))
+    shingle, place = np.unique(h, return_inverse=True)
+    root, sizes, total = np.unique(labels, return_inverse=True)[1], np.diff(starts), np.add.reduceat(c, starts[:-1])
+    weight, links, crossed = np.zeros(len(shingle)), [], block.min() != block.max()
+    for x in range(len(texts)):
+        y = np.flatnonzero((root != root[x]) & ((block > block[x]) if crossed else (np.arange(len(texts)) > x)))
+        y = y[(sig[y] == sig[x]).sum(axis=1) >= LEAST_AGREE * sig.shape[1]]
+        y = y[buckets[x][(buckets[y] == buckets[x]).argmax(axis=1)] == bucket]
+        if not len(y):
+            continue
+        mine, first = slice(starts[x], starts[x + 1]), np.cumsum(sizes[y]) - sizes[y]
+        at = np.repeat(starts[y] - first, sizes[y]) + np.arange(sizes[y].sum())
+        weight[place[mine]] = c[mine]
+        own, its = weight[place[at]], c[at]
+        weight[place[mine]] = 0
+        most = total[x] + total[y] - np.add.reduceat(np.minimum(own, its), first)
+        share = np.where(own == its, 0, np.minimum(own / total[x], its / np.repeat(total[y], sizes[y])))
+        bound = np.add.reduceat(np.where(own == its, its, 0), first) / most + np.add.reduceat(share, first)
+        for k in np.argsort(-bound, kind="stable"):
+            if bound[k] < threshold - 1e-9:
+                break
+            if root[z := y[k]] != root[x]:
+                its = slice(starts[z], starts[z + 1])
+                if probability_jaccard(h[mine], c[mine], h[its], c[its]) >= threshold:
+                    links.append((max(copies[x], copies[z]), min(copies[x], copies[z])))
+                    root[root == root[z]] = root[x]
+    return links
+
+
+def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, label: DataFrame) -> DataFrame:
+    """(bucket, one, two, block, copy, label, sig, buckets, text): members of buckets that hold several classes, dealt to comparisons.
+
+    The leaders were compared with all members before, so they are not among them.  What is left of a larger bucket is dealt
+    into blocks, those of its most frequent class apart; comparison (one, two) is that of two blocks, and there is none of two of
+    the most frequent class, so a bucket of one large class costs nothing.
+    """
+    size = texts.select("copy", (F.length("text") / BLOCK_CHARS + 1 / BLOCK_TEXTS).alias("part"))
+    inside = placed.where("copy != first and copy != last").select("bucket", "copy").join(
+        label.withColumnRenamed("node", "copy"), "copy", "left").join(size, "copy")
+    inside = cut(inside.select("bucket", "copy", "part", F.coalesce("label", "copy").alias("label")), "inside")
+    most = inside.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("part").alias("part")).groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("most"), F.max_by("part", F.struct("n", "label")).alias("largest"),
+        F.sum("part").alias("parts"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = [F.expr(x).alias(name) for name, x in (
+        ("few", "if(parts <= 1, 1, greatest(1, ceil(parts - largest)))"),
+        ("blocks", "if(parts <= 1, 1, greatest(1, ceil(parts - largest)) + ceil(largest))"))]
+    most = cut(most.select("bucket", "most", *blocks), "open")
+    dealt = F.expr("if(label != most or blocks = few, pmod(xxhash64(copy), few), few + pmod(xxhash64(copy), blocks - few))")
+    open_ = inside.join(most, "bucket").withColumn("block", dealt)
+    open_ = open_.withColumn("other", F.explode(F.expr("sequence(0L, if(block < few, blocks, few) - 1)")))
+    open_ = open_.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+                         "block", "copy", "label")
+    return open_.join(reps.select("copy", "sig", "buckets"), "copy").join(texts, "copy").select(
+        "bucket", "one", "two", "block", "copy", "label", "sig", "buckets", "text")
+
+
+def _linked_across(dealt: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) that join the classes of each comparison of :func:`_across`."""
+    def run(group: pa.Table) -> pa.Table:
+        bucket, one, two, block, copies, labels, sig, buckets, texts = (x.combine_chunks() for x in group.columns)
+        block, links = block.to_numpy(), []
+        if one[0].as_py() == two[0].as_py() or block.min() != block.max():
+            n = len(block)
+            bytes_ = sig.flatten().to_numpy().reshape(n, -1, 1).view(np.uint8)[:, :, :7].reshape(n, -1)
+            links = _new_links(copies.to_pylist(), labels.to_pylist(), bytes_, buckets.flatten().to_numpy().reshape(n, -1), block,
+                               texts.to_pylist(), bucket[0].as_py(), threshold)
+        return pa.table([pa.array(x, pa.binary()) for x in (zip(*links) if links else ([], []))], ["a", "b"])
+
+    return dealt.groupBy("bucket", "one", "two").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -258,30 +283,6 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return cut(pairs.where("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b"), "apart")
 
 
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """For each text, the pair (a, b) of it that agrees in most registers: no more rows than texts."""
-    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
-    most = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("most"))
-    return cut(most.select("most.a", "most.b").distinct(), "likeliest")
-
-
-def _closed(label: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The labels after all links among the pairs (a, b, agree).
-
-    Large classes that belong together are joined by the likeliest pairs, and only what they leave apart is verified in full.
-    """
-    if not pairs.limit(1).count():
-        return label
-    first = _likeliest(pairs)
-    label = _linked(label, first, texts, threshold)
-    return _linked(label, _apart(pairs.join(first, ["a", "b"], "left_anti"), label), texts, threshold)
-
-
-def _linked(label: DataFrame, pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    more = cut(_verified(pairs, texts, threshold), "links")
-    return _joined(label, more) if more.limit(1).count() else label
-
-
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
     """(__nd_id, __nd_key, class_id, class_size), one row per document."""
     ids = cut(sketch(docs, id_col, text_col, bands, rows), "sketch")
@@ -309,8 +310,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, band
     apart = _apart(star.join(own, ["a", "b"], "left_anti"), label)
     links = cut(links.union(_verified(apart, texts, threshold)), "links")
     label = components(links)
-    more = cut(_across(placed, reps, texts, label, _registers(bands, rows)).join(star, ["a", "b"], "left_anti"), "across")
-    label = _closed(label, more, texts, threshold)
+    more = cut(_linked_across(_across(placed, reps, texts, label), threshold), "links")
+    if more.limit(1).count():
+        label = _joined(label, more)
     named = cut(reps.select("copy", "id", "n").join(label.withColumnRenamed("node", "copy"), "copy", "left")
                     .select("copy", "id", "n", F.coalesce("label", "copy").alias("label")), "named")
     whole = cut(named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size")), "classes")

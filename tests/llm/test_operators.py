@@ -490,6 +490,41 @@ def test_near_classes_are_joined_by_their_likeliest_pairs(spark, monkeypatch):
     assert counted[0] > 500 and sum(counted[1:]) < counted[0] / 2, counted
 
 
+@pytest.mark.parametrize("most", [256, 16])
+def test_near_classes_make_no_rows_of_pairs(spark, monkeypatch, most):
+    """A large group of texts about as far apart as the threshold, in one block a bucket and in many."""
+    r = random.Random(7)
+    base = prose(4, 300).split()
+    texts = {}
+    for i in range(400):
+        words = list(base)
+        for at in r.sample(range(300), r.choice((3, 4, 5))):
+            words[at] = f"w{i}x{at}"
+        texts[i] = " ".join(words) + (f" tail{i} tail{i} tail{i}" if i % 5 == 0 else "")
+    made, cut = [], near_dedup.cut
+
+    def count(df, name):
+        out = cut(df, name)
+        if "a" in df.columns:
+            made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", count)
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", most, raising=False)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    known = WordHashes()
+    sets = {i: shingle_sets([t], known)[1:] for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for a in texts:
+        for b in range(a):
+            if want[a] != want[b] and probability_jaccard(*sets[a], *sets[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if c == high else c for i, c in want.items()}
+    assert got == want
+    after = made[[name for name, _ in made].index("apart") + 2:]
+    assert after and all(n <= 2 * len(texts) for _, n in after), made
+
+
 @pytest.mark.parametrize("listed", [50_000, 0])
 def test_licenses_against_brute_force(spark, monkeypatch, listed):
     monkeypatch.setattr(license_scan, "MOST_LISTED", listed)
