@@ -32,7 +32,7 @@ MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 CHUNKS = re.compile(rb" *[^ ]+| +")
 #: Longest chunk that is remembered, and how many are in each of two generations.
-MEMO_BYTES, MEMO_CHUNKS = 40, 100_000
+MEMO_BYTES, MEMO_CHUNKS = 40, 200_000
 
 
 @dataclass
@@ -123,31 +123,29 @@ class Encoder(dict):
         super().__init__()
         self.v, self.trie, self.older = vocabulary, trie, {}
         self.unknown = min((s for s in vocabulary.scores if s is not None), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max((len(p) for p, s in zip(vocabulary.pieces, vocabulary.scores) if s is not None), default=0)
+        # A child is at base + byte; what ends nowhere has no score, and no sum with it is greater than another.
+        self.base = [x + 1 for x in trie.base]
+        self.gain = [-math.inf if x < 0 else vocabulary.scores[x] for x in trie.value]
 
     def viterbi(self, text: bytes) -> tuple[list[int], float]:
         """(ids, score) of the best segmentation of UTF-8 bytes in which spaces stand for the marker."""
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
-        scores, limit, n = self.v.scores, len(self.trie.check), len(text)
+        base, check, gain, value, n = self.base, self.trie.check, self.gain, self.trie.value, len(text)
         best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0], at = 0.0, 0
+        best[0], at, longest, unknown = 0.0, 0, self.longest, self.unknown
         while at < n:
-            lead, here = text[at], best[at]
-            after = min(n, at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4))
-            node, i, own = 0, at, False
-            while i < n:
-                child = base[node] + text[i] + 1
-                if child >= limit or check[child] != node:
+            lead, here, node, i = text[at], best[at], 0, at
+            after = at + 1 if lead < 0x80 else min(n, at + (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4))
+            for byte in text[at:at + longest]:
+                child = base[node] + byte
+                if check[child] != node:
                     break
                 node, i = child, i + 1
-                found = value[child]
-                if found >= 0:
-                    score = here + scores[found]
-                    if score > best[i]:
-                        best[i], back[i], piece[i] = score, at, found
-                    if i == after:
-                        own = True
-            if not own and here + self.unknown > best[after]:
-                best[after], back[after], piece[after] = here + self.unknown, at, -1
+                score = here + gain[child]
+                if score > best[i]:
+                    best[i], back[i], piece[i] = score, at, value[child]
+            if here + unknown > best[after]:            # never, if a piece covers the character
+                best[after], back[after], piece[after] = here + unknown, at, -1
             at = after
         out, at = [], n
         while at:

@@ -139,6 +139,17 @@ def test_viterbi_is_the_best_segmentation(vocabulary):
         assert sentencepiece.decoded(vocabulary.pieces, encoder.viterbi(b" " + raw)[0]) == text
 
 
+def test_chunks_are_found_once(vocabulary):
+    """A worker's documents hold some hundred thousand distinct chunks; those that come again need no search."""
+    encoder, searched = sentencepiece.Encoder(vocabulary, sentencepiece.trie_of(vocabulary)), []
+    viterbi = encoder.viterbi
+    encoder.viterbi = lambda text: searched.append(text) or viterbi(text)
+    text = " ".join(map(str, range(180_000))).encode()
+    first = encoder.encode(text)
+    assert encoder.encode(text) == first and len(searched) == 180_000
+    assert sentencepiece.decoded(vocabulary.pieces, np.frombuffer(first, "<u4").tolist()) == text.decode()
+
+
 def test_pieces_round_trip(spark, vocabulary, mixed_rows):
     rows = mixed_rows + [(20, "▁ mark ▁▁", "en", "a"), (21, "  é​😀\n\t tail ", "fr", "a"), (22, "x" * 5000, "en", "a")]
     out = sentencepiece.decode(sentencepiece.encode(docs(spark, rows), vocabulary), vocabulary)
