@@ -10,8 +10,10 @@ count depends on what comes before it, so the file is read twice:
 2. Every block is read again from that state and hands out the elements that lie in it.  Only the pieces of elements that cross a
    block's border are shuffled, by element, and put together.
 
-Files that Spark reads in one block (no larger than it takes a file's opening to cost) need no index: they begin in the known state, and
-no element crosses a border.  So the index has rows for the blocks of the larger files only, however many files there are.
+Files that are no larger than Spark's blocks of the whole input need no index: they begin in the known state, and no element crosses a
+border.  So the index has rows for the blocks of the larger files only, however many files there are.  The files are listed by tasks
+(``sources.listing``), and those of one block are opened and read by them too, a piece at a time: the driver knows the larger files alone.
+In a store that the tasks cannot open, Spark lists the files, on the driver.
 
 The elements are then parsed with the declared schema as JSON Lines are.  A file whose first value is no array is taken as a
 sequence of objects.  What is left of a truncated file is a malformed record.
@@ -19,16 +21,23 @@ sequence of objects.  What is left of a truncated file is a malformed record.
 
 from __future__ import annotations
 
+import codecs
 import re
-from contextlib import contextmanager
+from collections.abc import Callable
+from typing import NamedTuple
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skewlens.session import ship_package
+from skewlens.session import open_fs, ship_package
+from skewlens.sources.listing import FILES_PER_TASK, below, folder_values, list_files, listed_by_few_tasks, tasks_for, text_files
 
+#: Files that the tasks unpack; Hadoop's own formats are left to Spark's reader.
+_COMPRESSION, _HADOOP_ONLY = {"gz": "gzip", "bz2": "bz2"}, r"\.(deflate|snappy|lz4|zst|zstd)$"
+_PIECE = 1 << 20
 _ESCAPED = re.compile(r"\\.", re.DOTALL)
 
 
@@ -44,30 +53,39 @@ def depth_change(text: str) -> int:
     return text.count("{") + text.count("[") - text.count("]")
 
 
-@contextmanager
-def _listed_by_few_tasks(spark: SparkSession):
-    """Spark lists folders with a task for each, up to this number; a task costs more than hundreds of folders."""
-    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(old), 4 * spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
+def _fragments(text: DataFrame) -> DataFrame:
+    return text.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "value")
 
 
-def _fragments(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+def _listed_by_spark(spark: SparkSession, path) -> tuple[_Source, DataFrame, list[T.StructField]]:
     """Fragments of the files that are one block for sure, and of the others.
 
     The size of a file is known before it is read, so each of the two reads its own files only.
     """
-    with _listed_by_few_tasks(spark):
+    with listed_by_few_tasks(spark):
         text = spark.read.option("lineSep", "}").text(path)
     conf = spark._jsparkSession.sessionState().conf()
     one_block = min(conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes())          # Spark's splits are no smaller
-    own = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "*"]
     size = F.col("_metadata.file_size")
-    return text.where(size <= one_block).select(*own), text.where(size > one_block).select(*own)
+    return _Source(_fragments(text.where(size <= one_block)), _by_block), _fragments(text.where(size > one_block)), text.schema.fields[1:]
+
+
+def _listed_by_tasks(spark: SparkSession, path) -> tuple[_Source, DataFrame, list[T.StructField]] | None:
+    """As :func:`_listed_by_spark`; the first of the two are names of files."""
+    files = list_files(spark, path)
+    if files is None:
+        return None
+    conf = spark._jsparkSession.sessionState().conf()
+    cost, most = conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes()
+    one_block = min(most, max(cost, (files.size + files.n * cost) // spark.sparkContext.defaultParallelism))     # as Spark splits files
+    whole = (F.col("size") <= one_block) & ~F.lower("path").rlike(_HADOOP_ONLY)
+    large = files.table.where(~whole).collect()
+    text = (_fragments(text_files(spark, [below(files.roots[f.root], f.path) for f in large], lineSep="}")) if large
+            else spark.createDataFrame([], "_file string, _block bigint, value string"))
+    tasks = max(tasks_for(spark, files.n - len(large), FILES_PER_TASK), -(-(files.size - sum(f.size for f in large)) // most))
+    # Rows of names say nothing about the size of what is read; Spark takes an RDD's size as unknown, so as too large to broadcast.
+    names = files.table.where(whole & (F.col("size") > 0)).select("root", "path").repartition(tasks, "root", "path")
+    return _Source(spark.createDataFrame(names.rdd, names.schema, verifySchema=False), _by_file(files.roots)), text, files.folders
 
 
 def _is_array(values: list[str]) -> bool:
@@ -75,16 +93,46 @@ def _is_array(values: list[str]) -> bool:
 
 
 def _by_block(batches):
-    """((file, block), other columns, fragments) for each stretch of a block's fragments in a batch."""
+    """((file, block), fragments) for each stretch of a block's fragments in a batch."""
     for batch in batches:
         files, blocks, values = (batch.column(name).to_pylist() for name in ("_file", "_block", "value"))
         first = 0
         for i in range(1, len(files) + 1):
             if i == len(files) or files[i] != files[first] or blocks[i] != blocks[first]:
-                yield (files[first], blocks[first]), batch.slice(first, 1), values[first:i]
+                yield (unquote(files[first]), blocks[first]), values[first:i]
                 first = i
 
 
+def file_fragments(stream):
+    """The fragments of a file's text as Spark's text reader makes them, some at a time; what follows the last brace is one if not empty."""
+    decode, rest = codecs.getincrementaldecoder("utf-8")("replace").decode, ""
+    while piece := stream.read(_PIECE):
+        *values, rest = (rest + decode(piece)).split("}")
+        if values:
+            yield values
+    if rest := rest + decode(b"", True):
+        yield [rest]
+
+
+def _by_file(roots: list[str]):
+    """As :func:`_by_block`, over names of files."""
+    def run(batches):
+        opened = [open_fs(root) for root in roots]
+        for batch in batches:
+            for root, path in zip(batch.column("root").to_pylist(), batch.column("path").to_pylist()):
+                fs, at = opened[root][0], below(opened[root][1], path)
+                with fs.open_input_stream(at, compression=_COMPRESSION.get(at.lower().rsplit(".", 1)[-1])) as stream:
+                    for values in file_fragments(stream):
+                        yield (at, 0), values
+    return run
+
+
+class _Source(NamedTuple):
+    """Rows, and what makes ((file, block), fragments) of their batches."""
+    rows: DataFrame
+    read: Callable
+
+
 _INDEX = "file string, block bigint, array boolean, change0 bigint, least0 bigint, inside0 boolean, change1 bigint, least1 bigint, inside1 boolean"
 
 
@@ -92,7 +140,7 @@ def block_index(fragments: DataFrame) -> DataFrame:
     """One row per block: what it does to the depth and the string state, from either state at its start."""
     def run(batches):
         rows, key = [], None
-        for own, _, values in _by_block(batches):
+        for own, values in _by_block(batches):
             if own != key:
                 key = own
                 rows.append([*own, _is_array(values), 0, 1 << 60, False, 0, 1 << 60, True])
@@ -139,28 +187,32 @@ def block_starts(index: list) -> dict[tuple[str, int], tuple[int, int, bool, int
 def array_elements(spark: SparkSession, path) -> DataFrame:
     """(columns of the folders, value): the JSON text of every element of the arrays below ``path``."""
     ship_package(spark)
-    small, large = _fragments(spark, path)
-    extra = [c for c in small.columns if c not in ("_file", "_block", "value")]
+    small, large, folders = _listed_by_tasks(spark, path) or _listed_by_spark(spark, path)
+    extra = [f.name for f in folders]
+    columns = [F.col(f"`{f.name}`").cast(f.dataType) if f.dataType != T.NullType() else F.lit(None).alias(f.name) for f in folders]
+    columns.append(F.col("value"))
     # One row per block, as many as Spark has tasks to read the large files.
     index = [r.asDict() for r in block_index(large).collect()]
     whole = _elements(small, extra, None).select(*extra, "value")
     if not index:
-        return whole
-    found = _elements(large, extra, spark.sparkContext.broadcast(block_starts(index)))
+        return whole.select(*columns)
+    found = _elements(_Source(large, _by_block), extra, spark.sparkContext.broadcast(block_starts(index)))
     whole = whole.unionByName(found.where("_owner is null").select(*extra, "value"))
     # Pieces of one element: at most one per block that it touches.
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "value"))), lambda p: p["value"]), "")
     crossing = found.where("_owner is not null").groupBy("_file", *extra, "_owner").agg(parts.alias("value"))
-    return whole.unionByName(crossing.select(*extra, F.regexp_replace("value", r"^[^{]*", "").alias("value")))
+    return whole.unionByName(crossing.select(*extra, F.regexp_replace("value", r"^[^{]*", "").alias("value"))).select(*columns)
 
 
-def _elements(fragments: DataFrame, extra: list[str], starts) -> DataFrame:
-    """(file, columns of the folders, owner, block, value): whole elements (owner null) and pieces of those that cross a block's border.
+def _elements(source: _Source, extra: list[str], starts) -> DataFrame:
+    """(file, texts of the folders, owner, block, value): whole elements (owner null) and pieces of those that cross a block's border.
 
     ``starts``: the broadcast states in which blocks begin; None, if every file is one block.
     """
+    stretches = source.read
+
     def run(batches):
-        key = head = None
+        key = None
         base = depth = inside = owner = last = None
         held: list[str] = []
 
@@ -172,16 +224,15 @@ def _elements(fragments: DataFrame, extra: list[str], starts) -> DataFrame:
         def remainder(text):
             return (key[1] if owner is None else owner, key[1], text) if starts else (None, key[1], text[text.index("{"):])
 
-        for own, one, values in _by_block(batches):
+        for own, values in stretches(batches):
             out: list[tuple] = []
             if own != key:
                 if key and (text := rest()) is not None:
-                    yield _rows(head, [remainder(text)])
+                    yield _rows(key, [remainder(text)])
                 if own not in starts.value if starts else own[1]:
                     raise RuntimeError(f"{own} was not in the index: the files or the split size changed meanwhile")
                 key, held = own, []
                 base, depth, inside, owner, last = starts.value[own] if starts else (int(_is_array(values)), 0, False, None, True)
-            head = one
             for value in values:
                 held.append(value)
                 text, inside = outside(value, inside)
@@ -194,19 +245,18 @@ def _elements(fragments: DataFrame, extra: list[str], starts) -> DataFrame:
                     out.append((None, key[1], whole[whole.index("{"):]) if owner is None else (owner, key[1], whole))
                     held, owner = [], None
             if out:
-                yield _rows(one, out)
+                yield _rows(key, out)
         if key and (text := rest()) is not None:
-            yield _rows(head, [remainder(text)])
+            yield _rows(key, [remainder(text)])
 
-    def _rows(one, found):
-        n = len(found)
+    def _rows(key, found):
         owners, blocks, texts = zip(*found)
-        same = [pa.array(one.column(c).to_pylist() * n, one.column(c).type) for c in ("_file", *extra)]
+        same = [pa.array([value] * len(found), pa.string()) for value in (key[0], *folder_values(key[0], len(extra)))]
         return pa.RecordBatch.from_arrays([*same, pa.array(owners, pa.int64()), pa.array(blocks, pa.int64()), pa.array(texts)],
                                           ["_file", *extra, "_owner", "_block", "value"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fragments.schema if f.name in extra)
-    return fragments.mapInArrow(run, f"_file string, {kinds + ', ' if kinds else ''}_owner bigint, _block bigint, value string")
+    texts = "".join(f"`{name}` string, " for name in extra)
+    return source.rows.mapInArrow(run, f"_file string, {texts}_owner bigint, _block bigint, value string")
 
 
 def read_arrays(spark: SparkSession, path, schema: T.StructType, corrupt: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """Reductions before shuffles, layouts without shuffles, mergeable and exact aggregates, split reads, diagnosis."""
 
+import bz2
+import gzip
 import json
 import math
 import os
 import random
+import zlib
 from fractions import Fraction
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from skewlens.operators.jobs import stage_to_jobs
@@ -19,7 +23,7 @@ from skewlens.plans import catalog
 from skewlens.plans.analyze import STAGE_ID, analyze, stats_from_tasks
 from skewlens.schemas import STATS_PATHS
 from skewlens.session import clear_scratch
-from skewlens.sources import arrays
+from skewlens.sources import arrays, listing
 from skewlens.sources.arrays import array_elements
 from skewlens.sources.diagnosis import diagnose_jobs, diagnose_stages
 from skewlens.sources.payloads import read_jobs, read_stages, read_task_list, required_stages
@@ -225,6 +229,100 @@ def test_files_of_one_block_need_no_index(spark, tmp_dir, setting, monkeypatch):
     assert rows_of(array_elements(spark, f"{tmp_dir}/t")) == small and made[-1].count() > 20
 
 
+TREES = {
+    "ids": ["app_id=a%2Fb/stageId=7/x", "app_id=[z]/stageId=9999999999/x", "app_id=é+1/stageId=-3/x", "app_id=__HIVE_DEFAULT_PARTITION__/stageId=007/x"],
+    "numbers": ["k=1.5/d=2020-01-01/x", "k=7/d=2020-02-30/x"],
+    "dates": ["k=123456789012345678901234/d=2020-01-01/x", "k=7/d=__HIVE_DEFAULT_PARTITION__/x", "k=0012/d=2020-1-2/x"],
+    "times": ["t=2020-01-01 10%3A00%3A00/k=1e3/x", "t=2020-01-02/k=12/x"],
+    "none": ["k=__HIVE_DEFAULT_PARTITION__/x"],
+    "hidden": ["k=1/x", "k=1/_x", "k=2/.x", "_k/x", ".k=3/x", "k=4/x._COPYING_", "_k=5/x"],
+    "beside": ["k=1/x", "y"],
+    "below": ["top/k=1/x", "top/k=2/y"],
+    "plain": ["x", "y", "z/x", "z/w/x", "k=v.json"],
+    "empty": [],
+    "conflict": ["k=1/x", "top/k=1/x"],
+    "names": ["k=1/x", "l=1/x"],
+    "mixed": ["k=1/x", "z/x"],
+    "packed": ["k=1/x.gz", "k=2/x.bz2", "k=3/x.deflate", "k=4/x.GZ"],
+}
+
+
+@pytest.mark.parametrize("here", [0, 1000])
+@pytest.mark.parametrize("tree", TREES)
+def test_files_are_found_as_spark_finds_them(spark, tmp_dir, monkeypatch, tree, here):
+    """The files, the columns of the folders, their types and values, and what is refused."""
+    monkeypatch.setattr(listing, "LISTED_HERE", here)
+    os.makedirs(f"{tmp_dir}/t o")
+    pack = {"gz": gzip.compress, "bz2": bz2.compress, "deflate": zlib.compress}
+    for name in TREES[tree]:
+        path = f"{tmp_dir}/t o/{name}"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(pack.get(name.rsplit(".")[-1].lower(), bytes)(json.dumps([{"a": name}, {"a": "}"}]).encode()))
+    try:
+        want = spark.read.schema("a string").option("multiLine", True).json(f"{tmp_dir}/t o").where("a is not null")
+        rows = rows_of(want.select(*want.columns[1:], "a"))
+    except Exception as e:
+        with pytest.raises(type(e)):
+            array_elements(spark, f"{tmp_dir}/t o")
+        return
+    got = array_elements(spark, f"{tmp_dir}/t o").withColumn("value", F.from_json("value", "a string")["a"])
+    assert [t for _, t in got.dtypes] == [t for _, t in want.dtypes[1:]] + ["string"] and got.columns[:-1] == want.columns[1:]
+    assert rows_of(got) == rows
+    assert rows or tree == "empty"
+
+
+def test_several_paths_patterns_and_single_files(spark, tmp_dir, monkeypatch):
+    for i in range(3):
+        _write(f"{tmp_dir}/t/app{i}/x.json", [], json.dumps([{"a": i}]))
+    for path in ([f"{tmp_dir}/t/app0", f"{tmp_dir}/t/app2"], f"{tmp_dir}/t/app[01]", f"{tmp_dir}/t/app1/x.json", f"file:{tmp_dir}/t/app1/"):
+        want = rows_of(spark.read.option("multiLine", True).json(path))
+        for here in (0, 1000):
+            monkeypatch.setattr(listing, "LISTED_HERE", here)
+            assert rows_of(array_elements(spark, path).select(F.from_json("value", "a bigint")["a"])) == want
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        array_elements(spark, f"{tmp_dir}/t/none")
+    # A store that the tasks cannot open is listed by Spark.
+    monkeypatch.setattr(listing, "opened_by_tasks", lambda roots: None)
+    assert array_elements(spark, f"{tmp_dir}/t/app*").count() == 3
+
+
+def test_the_driver_does_not_know_the_folders(spark, tmp_dir, monkeypatch):
+    """However many stage attempts there are, the driver gets a few of their files' names and Spark's own listing gets no more."""
+    monkeypatch.setattr(listing, "LISTED_HERE", 0)
+    monkeypatch.setattr(listing, "FOLDERS_PER_TASK", 20)
+    known = []
+    for module in (listing, arrays):
+        monkeypatch.setattr(module, "text_files", lambda spark, paths, f=listing.text_files, **o: known.append(len(paths)) or f(spark, paths, **o))
+    for s in range(150):
+        for a in (0, 1):
+            _write(f"{tmp_dir}/t/app_id=app-{s % 3}/stageId={s}/attemptId={a}/tasks.json", [], json.dumps([{"taskId": s, "attempt": a}]))
+    df = read_task_list(spark, f"{tmp_dir}/t", multi_line="split")
+    assert known and max(known) <= 8
+    assert "FileScan" not in plan(df) and "Exchange" not in plan(df)
+    assert rows_of(df.select("app_id", "stageId", "attemptId", "taskId", "attempt")) == sorted(
+        ((f"app-{s % 3}", s, a, s, a) for s in range(150) for a in (0, 1)), key=repr)
+    # What is read is of unknown size to the planner: not as small as the names of the files, which it might broadcast.
+    assert int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 1 << 40
+
+
+def test_fragments_of_a_file_are_those_of_the_text_reader(spark, tmp_dir, monkeypatch):
+    texts = ["", "}", "}}a", "[{\"é😀\": 1}, {}]\n", "no brace", "x}" * 5, "\n}\n"]
+    for piece in (1, 2, 3, 1 << 20):
+        monkeypatch.setattr(arrays, "_PIECE", piece)
+        for text in texts:
+            _write(f"{tmp_dir}/{piece}/x", [], text)
+            got = [v for values in arrays.file_fragments(open(f"{tmp_dir}/{piece}/x", "rb")) for v in values]
+            assert got == [r[0] for r in spark.read.option("lineSep", "}").text(f"{tmp_dir}/{piece}/x").collect()]
+
+
+def test_kinds_of_values():
+    assert [listing.value_kind(v) for v in ("7", "-2147483648", "2147483648", "app-1", "3f2a9", "application_17_01")] == [
+        "int", "int", "long", "text", "text", "text"]
+    for v in ("1.5", "12e4", "NaN", "0x1p3", "2020-01-01", "2020-01-01 10%3A00", "1" * 19, "٣"):
+        assert listing.value_kind(v) == f"value {v}"
+
+
 def test_arrays_of_the_payload_are_written_by_the_tasks(spark, monkeypatch):
     """One file per stage attempt in its folder; the events, not the tasks made of them, are shuffled."""
     from skewlens.sources import testdata
